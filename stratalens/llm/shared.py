@@ -107,12 +107,13 @@ def doc_rows(docs: DataFrame, *more: str | Column) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what the plan reads, for choosing numbers of buckets; no job runs."""
+    """Catalyst's estimate of what the plan's leaves hold, for choosing numbers of buckets; no job runs. A leaf of unknown size counts as 64 MB."""
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # another kind of session
         return 1 << 30
-    return min(size, 1 << 50)
+    return sum(x if x < 1 << 60 else 64 << 20 for x in sizes)
 
 
 def shared_dir(spark: SparkSession) -> str:
