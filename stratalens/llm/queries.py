@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import fingerprints, mixing, mpeg, recompression, sentencepieces, token_counts
+from stratalens.llm import fingerprints, mixing, mpeg, neardup, recompression, sentencepieces, token_counts
 from stratalens.session import read_table
 
 
@@ -41,8 +41,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
