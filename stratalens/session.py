@@ -24,9 +24,18 @@ def get_spark(app: str = "stratalens", master: str | None = None, **conf: str) -
         b = b.master(master)
     for k, v in {**DEFAULTS, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return importable(b.getOrCreate())
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package wherever the driver was started; on a cluster ship it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables of a data folder; the path goes through Spark's own readers only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
