@@ -6,16 +6,16 @@ left or right in a pair, and a left one joins a right one behind it. Names are 6
 what they stand for, so all tasks give equal strings the same names without talking to each other.
 Inside two equal strings the rounds make the same symbols but for one at either end of each round,
 which may reach outside. What is certain to be inside a window of ``WINDOW`` words is therefore a
-function of its words alone, and so is its *core*: of the certain symbols of the highest level that
-has any, the one with the least hashed name. Equal windows share their core, and a core serves
-several neighbouring windows.
+function of its words alone, and so is its *core*: of the certain symbols of the highest level (of
+``LEVELS``) that has any, the longest class's least hashed name. Equal windows share their core, and a
+core serves about six neighbouring windows.
 
 So windows meet by core: each block of texts sends a core once with the fingerprints of the windows
 that it serves (40 bits, besides the 64 of the core), packed for each bucket of core names. In a
 bucket all but the first window of equal ones, by (document, start), are marked. A block first marks
 those that start earlier in the block itself and sends the others only, so a passage that stands in
 very many documents reaches its bucket once for each block. Marked windows go back to their
-documents, whose covered words are removed.
+documents, packed for each *home* (a bucket of doc_ids), and the covered words are removed.
 
 Order of documents: doc_id (null first), then a hash of the text; rows that agree in both are one
 document and have the same result. Null and empty texts have no words and nothing to remove; texts
@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import batches, doc_rows, input_bytes, mix, shingles, slices, text_column, words
+from stratalens.llm.shared import batches, doc_rows, input_bytes, mix, shingles, slices, spark_xxhash64, text_column, words
 
 WINDOW = 20
-#: Bytes of text that are parsed together, and of stored input that meet in a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 3 << 20
-#: More rounds than any window of WINDOW words can last.
-ROUNDS = 24
+#: Bytes of text that are parsed together, and of stored input that meet in a bucket and in a home.
+BLOCK_BYTES, BUCKET_BYTES, HOME_BYTES = 8 << 20, 4 << 20, 8 << 20
+#: Levels of symbols: words, then after naming runs, then after each of three rounds of pairs.
+LEVELS = 5
 NULL_ID = -(1 << 63)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -95,7 +95,7 @@ def cores(h: np.ndarray, woff: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     doc_start = np.zeros(len(h), bool)
     doc_start[woff[:-1]] = True
     out = []
-    for level in range(ROUNDS):
+    for level in range(LEVELS):
         if level == 0:
             names, at = name_runs(sym, doc_start)
             parent = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(sym))))
@@ -106,10 +106,10 @@ def cores(h: np.ndarray, woff: np.ndarray, window: int = WINDOW) -> tuple[np.nda
             parent = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(sym))))
             lo2, hi2 = parent[lo] + right[lo], parent[hi - 1] + right[hi - 1]
         gone = lo2 >= hi2
-        if level == ROUNDS - 1:
+        if level == LEVELS - 1:
             gone[:] = True
         if gone.any():
-            out.append(_least(s[gone], e[gone], lo[gone], hi[gone], sym, begin, level))
+            out.append(_least(s[gone], e[gone], lo[gone], hi[gone], sym, begin, len(h), level))
             stay = ~gone
             s, e, lo2, hi2 = s[stay], e[stay], lo2[stay], hi2[stay]
         if not len(s):
@@ -133,12 +133,17 @@ def cores(h: np.ndarray, woff: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     return s[firsts], e[lasts], name[firsts], word[firsts]
 
 
-def _least(s, e, lo, hi, sym, begin, level):
-    """The core of each range of windows whose certain symbols at this level are lo to hi: the least hashed name, the leftmost of equal ones."""
-    best, at = mix(sym[lo] ^ _B), lo.copy()
+def _least(s, e, lo, hi, sym, begin, n_words, level):
+    """The core of each range of windows whose certain symbols at this level are lo to hi: of those of three words or more, else two, else one, the least hashed name, the leftmost of equal ones.
+
+    Short symbols are common words; passing over them keeps the groups that meet small.
+    """
+    length = np.diff(np.append(begin, n_words))
+    order = mix(sym ^ _B) >> np.uint64(2) | (np.uint64(3) - np.minimum(length, 3).astype(np.uint64)) << np.uint64(62)
+    best, at = order[lo], lo.copy()
     for j in range(1, int((hi - lo).max(initial=1))):
         k = np.flatnonzero(hi - lo > j)
-        x = mix(sym[lo[k] + j] ^ _B)
+        x = order[lo[k] + j]
         better = x < best[k]
         best[k[better]] = x[better]
         at[k[better]] = lo[k[better]] + j
@@ -160,26 +165,36 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-COLUMNS = ("bucket", "doc_id", "th", "spans", "docs", "ths", "doc_cores", "names", "starts", "counts", "hashes")
-SCHEMA = "bucket int, doc_id long, th int, spans binary, docs binary, ths binary, doc_cores binary, names binary, starts binary, counts binary, hashes binary"
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 8]
+COLUMNS = ("bucket", "home", "docs", "ths", "runs_of", "runs", "cores_of", "names", "starts", "counts", "hashes")
+SCHEMA = "bucket int, home int, " + ", ".join(f"{c} binary" for c in COLUMNS[2:])
+MARKS = ["home", "docs", "ths", "runs_of", "runs"]
+
 
+def _cut(key: np.ndarray) -> np.ndarray:
+    """Ends of the stretches of equal keys."""
+    last = np.ones(len(key), bool)
+    last[:-1] = key[1:] != key[:-1]
+    return np.flatnonzero(last) + 1
 
-def _span_rows(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
-    """(doc_id, th, spans) for each document with marked windows, from (document number, window start) in order."""
+
+def _marks(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ths: np.ndarray, homes: int) -> list[pa.Array]:
+    """Marked windows, given as (document number, window start) in order, as one row for each home: its documents and their runs (first start, number of windows)."""
     new_doc = np.ones(len(doc), bool)
     new_doc[1:] = doc[1:] != doc[:-1]
     new = new_doc.copy()
     new[1:] |= pos[1:] != pos[:-1] + 1
     at = np.flatnonzero(new)
     runs = np.stack([pos[at], np.diff(np.append(at, len(doc)))], axis=1).astype(np.uint32)
-    firsts = np.flatnonzero(new_doc[at])
-    ends = np.append(firsts[1:], len(at))
-    d = doc[at[firsts]]
-    return pa.array(ids[d]), pa.array(ths[d]), _binary(runs, ends), d
+    home = spark_xxhash64(ids[doc[at]]) % homes
+    by = np.argsort(home, kind="stable")
+    runs, home, d = runs[by], home[by], doc[at][by]
+    each = _cut(d)
+    d, per = d[each - 1], np.diff(np.concatenate([[0], each])).astype(np.uint32)
+    ends = _cut(home[each - 1])
+    return [pa.array(home[each - 1][ends - 1].astype(np.int32)), _binary(ids[d], ends), _binary(ths[d], ends), _binary(per, ends), _binary(runs, each[ends - 1])]
 
 
-def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_buckets: int, homes: int, window: int) -> Iterator[pa.RecordBatch]:
     """What one block of texts sends: marks of its own, and cores for each bucket."""
     nw = np.diff(woff)
     order = np.lexsort((ths, ids))
@@ -203,10 +218,9 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
     later[by[1:]] = hashes[by[1:]] == hashes[by[:-1]]
     if later.any():
         k = np.flatnonzero(later)
-        d, t, spans, at = _span_rows(doc[k], pos[k], ids, ths)
-        none = pa.nulls(len(d), pa.binary())
-        bucket = pa.array((at % n_buckets).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([bucket, d, t, spans, *[none] * 7], list(COLUMNS))
+        found = _marks(doc[k], pos[k], ids, ths, homes)
+        m = len(found[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(found[0]) % n_buckets, pa.int32()), *found, *[pa.nulls(m, pa.binary())] * 5], list(COLUMNS))
     s, e, name, _ = cores(h, woff, window)
     core = np.repeat(np.arange(len(s)), e - s)
     new = np.ones(n, bool)
@@ -222,10 +236,9 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
         return
     win = np.repeat(at - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
     five = (hashes[win] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-    new_bucket = np.ones(len(at), bool)
-    new_bucket[1:] = bucket[1:] != bucket[:-1]
-    ends = np.append(np.flatnonzero(new_bucket)[1:], len(at))
-    new_doc = new_bucket.copy()
+    ends = _cut(bucket)
+    new_doc = np.zeros(len(at), bool)
+    new_doc[np.append(0, ends[:-1])] = True
     new_doc[1:] |= doc[at[1:]] != doc[at[:-1]]
     d_at = np.flatnonzero(new_doc)
     d_n = np.diff(np.append(d_at, len(at))).astype(np.uint32)
@@ -236,11 +249,11 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[ends - 1].astype(np.int32)),
-            pa.nulls(m, pa.int64()),
             pa.nulls(m, pa.int32()),
-            pa.nulls(m, pa.binary()),
             _binary(ids[d], d_ends),
             _binary(ths[d], d_ends),
+            pa.nulls(m, pa.binary()),
+            pa.nulls(m, pa.binary()),
             _binary(d_n, d_ends),
             _binary(name, ends),
             _binary(pos[at].astype(np.uint32), ends),
@@ -251,12 +264,12 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
     )
 
 
-def _send(it: Iterator[pa.RecordBatch], n_buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+def _send(it: Iterator[pa.RecordBatch], n_buckets: int, homes: int, window: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
         ids, ths, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _block(ids, ths, h, np.concatenate([[0], np.cumsum(n)]), n_buckets, window)
+        return _block(ids, ths, h, np.concatenate([[0], np.cumsum(n)]), n_buckets, homes, window)
 
     for rows, buf, off in batches(it, "text"):
         h, woff = words(buf, off)
@@ -269,10 +282,10 @@ def _send(it: Iterator[pa.RecordBatch], n_buckets: int, window: int) -> Iterator
         yield from flush()
 
 
-def _mark(blobs: list[dict]) -> pa.RecordBatch | None:
+def _mark(blobs: list[dict], homes: int) -> pa.RecordBatch | None:
     """Marked windows of one bucket."""
     whole = lambda c, kind: np.concatenate([np.frombuffer(b[c], kind) for b in blobs])
-    per_doc = whole("doc_cores", np.uint32)
+    per_doc = whole("cores_of", np.uint32)
     ids, ths = whole("docs", np.int64), whole("ths", np.int32)
     doc = np.repeat(np.arange(len(ids)), per_doc)
     name, start, count = whole("names", np.uint64), whole("starts", np.uint32).astype(np.int64), whole("counts", np.uint8).astype(np.int64)
@@ -294,27 +307,30 @@ def _mark(blobs: list[dict]) -> pa.RecordBatch | None:
     k = np.sort(a[later])
     if not len(k):
         return None
-    d, t, spans, _ = _span_rows(doc[row[k]], start[row[k]] + inside[k], ids, ths)
-    return pa.RecordBatch.from_arrays([d, t, spans], ["doc_id", "th", "spans"])
+    doc, pos = doc[row[k]], start[row[k]] + inside[k]
+    # A document stands in ids once for each block that names it: the first of equal ones is its number.
+    new = np.ones(len(k), bool)
+    new[1:] = (ids[doc[1:]] != ids[doc[:-1]]) | (ths[doc[1:]] != ths[doc[:-1]])
+    return pa.RecordBatch.from_arrays(_marks(doc[np.flatnonzero(new)][np.cumsum(new) - 1], pos, ids, ths, homes), MARKS)
 
 
-def _meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(it: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; marks made in the blocks pass through."""
     blobs: list[dict] = []
     bucket = None
     for batch in it:
         own = batch.filter(batch.column("names").is_null())
         if own.num_rows:
-            yield own.select(["doc_id", "th", "spans"])
+            yield own.select(MARKS)
         for r in batch.filter(batch.column("names").is_valid()).to_pylist():
             if blobs and r["bucket"] != bucket:
-                out = _mark(blobs)
+                out = _mark(blobs, homes)
                 blobs = []
                 if out is not None:
                     yield out
             bucket = r["bucket"]
             blobs.append(r)
-    if blobs and (out := _mark(blobs)) is not None:
+    if blobs and (out := _mark(blobs, homes)) is not None:
         yield out
 
 
@@ -322,40 +338,56 @@ def text_hash():
     return F.hash(F.coalesce(F.col("text"), F.lit("")), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id (null as the least long), th (hash of the text) and spans of every document with windows that start earlier elsewhere.
+def repeated_windows(docs: DataFrame, homes: int, window: int = WINDOW) -> DataFrame:
+    """Windows that start earlier elsewhere, as rows (home, docs, ths, runs_of, runs): packed for each home of documents.
 
-    ``spans`` are pairs of unsigned 32-bit numbers: first window start, number of windows.
+    The binary columns hold doc_ids (64 bits, null as the least number), text hashes (32), runs of each
+    document (32), and the runs: first window start and number of windows (32 each).
     """
     n = int(max(8, min(1 << 30, input_bytes(docs) // BUCKET_BYTES)))
     parts = min(n, 20_000)
     rows = doc_rows(docs).withColumn("th", text_hash())
-    sent = rows.mapInArrow(lambda it: _send(it, n, window), SCHEMA)
+    sent = rows.mapInArrow(lambda it: _send(it, n, homes, window), SCHEMA)
     met = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return met.mapInArrow(_meet, "doc_id long, th int, spans binary")
+    return met.mapInArrow(lambda it: _meet(it, homes), "home int, docs binary, ths binary, runs_of binary, runs binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space; its SHA-256 with ``digest``); ``keep`` names columns to carry."""
-    spans = repeated_windows(docs, window).groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
-    rows = doc_rows(docs, *keep).withColumn("th", text_hash()).withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
-    rows = rows.join(spans, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    homes = int(max(4, min(1 << 30, input_bytes(docs) // HOME_BYTES)))
+    parts = min(homes, 20_000)
+    marks = repeated_windows(docs, homes, window).withColumn("late", F.lit(0))
+    kinds = dict(docs.dtypes)
+    texts = doc_rows(docs, *keep).withColumn("th", text_hash()).withColumn("late", F.lit(1))
+    texts = texts.withColumn("home", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))), F.lit(homes)).cast("int"))
+    both = marks.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("home") % parts).sortWithinPartitions("home", "late")
     last = "kept_sha256" if digest else "kept"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[int, dict] = {}
         for batch in it:
-            _, off = text_column(batch.column("text"))
+            if batch.num_rows:  # rows come sorted by home
+                for x in [x for x in runs if x < batch.column("home")[0].as_py()]:
+                    del runs[x]
+            is_text = np.asarray(batch.column("late")) == 1
+            for r in batch.filter(pa.array(~is_text)).select(MARKS).to_pylist():
+                at, here = 0, runs.setdefault(r["home"], {})
+                for i, t, n in zip(*(np.frombuffer(r[c], k).tolist() for c, k in (("docs", np.int64), ("ths", np.int32), ("runs_of", np.uint32))), strict=True):
+                    here.setdefault((i, t), []).append(r["runs"][8 * at : 8 * (at + n)])
+                    at += n
+            whole = batch.filter(pa.array(is_text))
+            _, off = text_column(whole.column("text"))
             for i, j in slices(off):
-                part = batch.slice(i, j - i)
+                part = whole.slice(i, j - i)
                 n_words, n_removed, kept = [], [], []
-                for text, marks in zip(part.column("text"), part.column("spans"), strict=True):
+                for d, t, h, text in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), part.column("home").to_pylist(), part.column("text"), strict=True):
                     w = (text.as_py() or "").encode().split()
                     n = len(w)
-                    if marks.is_valid and len(marks):
-                        runs = np.frombuffer(b"".join(marks.as_py()), np.uint32).reshape(-1, 2).astype(np.int64)
-                        gone = marked_words(runs[:, 0], runs[:, 1], n, window)
-                        w = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
+                    found = runs.get(h, {}).get((NULL_ID if d is None else d, t))
+                    if found:
+                        x = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 2).astype(np.int64)
+                        gone = marked_words(x[:, 0], x[:, 1], n, window)
+                        w = [y for y, g in zip(w, gone.tolist(), strict=True) if not g]
                     joined = b" ".join(w)
                     n_words.append(n)
                     n_removed.append(n - len(w))
@@ -363,6 +395,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
                 cols = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in keep)], ["doc_id", "n_words", "n_removed", last, *keep])
 
-    kinds = dict(docs.dtypes)
     extra = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return rows.select("doc_id", "text", "spans", *keep).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string{extra}")
+    return both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string{extra}")
