@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import fingerprints, mixing, mpeg, neardup, recompression, sentencepieces, token_counts, toxicity
+from stratalens.llm import fingerprints, languages, mixing, mpeg, neardup, recompression, sentencepieces, token_counts, toxicity
 from stratalens.session import read_table
 
 
@@ -45,13 +45,17 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(read_table(spark, sf_dir, "pages"), languages.fit(read_table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, *toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
