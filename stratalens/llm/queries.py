@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import fingerprints, languages, mixing, mpeg, neardup, recompression, sentencepieces, token_counts, toxicity
+from stratalens.llm import fingerprints, languages, lm_scores, mixing, mpeg, neardup, recompression, sentencepieces, token_counts, toxicity
 from stratalens.session import read_table
 
 
@@ -54,8 +54,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, *toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
