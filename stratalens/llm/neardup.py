@@ -8,15 +8,17 @@ probability (1 - (1 - 0.8^3)^12)^2 = 0.9996, higher similarities almost surely.
 
 Texts with equal sets are one class first, and only its representative (least doc_id) goes on, so
 copies, however many, cost one row each. The keys of a block of texts are packed for each bucket of
-key values; where keys meet, they give *groups*. Candidates are confirmed on full sets:
+key values; texts that share a key are linked in a star to the least of them. Stars are confirmed on
+full sets, and components of the links found:
 
-1. every member of a group against its least member, and components of the links found;
-2. where a group still spans several components: all its pairs across components if it is small,
-   else, over all such groups that share members, blocks of members against blocks of members, but
-   for blocks that lie in one component. Sets meet in the blocks; only links leave them.
+1. every member of a star against its centre;
+2. where a star still spans several components, all its pairs across components, if it is small; else,
+   over all such stars that share members, blocks of members against blocks of members, but for blocks
+   that lie in one component. Sets meet in the blocks; only links leave them.
 
-So no pair that meets in a table and could join two components goes untested, and no task lists the
-pairs of a large group. Links, components and sets stay in tables; nothing of them goes to the driver.
+All texts that share a key lie in one star, so no pair that meets in a table and could join two
+components goes untested, and no task lists the pairs of a large group. Links, components and sets
+stay in tables; nothing of them goes to the driver.
 
 Texts without a word have an empty set and stay alone. Rows with a null doc_id are linked with
 nothing (component_id null, kept). Rows that share a doc_id are one node, linked by any of their texts.
@@ -35,8 +37,8 @@ from stratalens.llm.components import components
 from stratalens.llm.shared import batches, doc_rows, input_bytes, materialise, mix, shingles, words
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 3
-#: Stored input that meets in a bucket of keys; members up to which all pairs of a group are listed; members of a block.
-BUCKET_BYTES, SMALL, BLOCK = 6 << 20, 32, 512
+#: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block.
+BUCKET_BYTES, SMALL, BLOCK = 6 << 20, 16, 512
 
 _rng = np.random.default_rng(0xBA4D)
 _XOR = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
@@ -122,23 +124,25 @@ def _keys(it: Iterator[pa.RecordBatch], n_bands: int, n_buckets: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), _packed(key, ends), _packed(doc, ends)], ["bucket", "keys", "docs"])
 
 
-def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of every key that two documents or more share; rows come sorted by bucket, equal groups of a bucket are one."""
+def _stars(it: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the least text of a key with each other one, packed for each home of pairs; rows come sorted by bucket."""
 
     def met(keys: list[bytes], docs: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, doc = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(docs), np.int64)
         by = np.lexsort((doc, key))
         key, doc = key[by], doc[by]
         first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, doc = key[first], doc[first]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(key))
-        found = {doc[a:b].tobytes() for a, b in zip(starts[(ends - starts) > 1].tolist(), ends[(ends - starts) > 1].tolist(), strict=True)}
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["members"])
+        first[1:] = key[1:] != key[:-1]
+        centre = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+        pair = centre != doc
+        a, b = _unique_pairs(centre[pair], doc[pair])
+        if not len(a):
+            return
+        home = (mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
+        by = np.argsort(home, kind="stable")
+        a, b, home = a[by], b[by], home[by]
+        ends = np.append(np.flatnonzero(home[1:] != home[:-1]) + 1, len(home))
+        yield pa.RecordBatch.from_arrays([pa.array(home[ends - 1]), _packed(a, ends), _packed(b, ends)], ["home", "a", "b"])
 
     keys: list[bytes] = []
     docs: list[bytes] = []
@@ -155,38 +159,42 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from met(keys, docs)
 
 
-def _ids(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.int64)
+def _distinct_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair once; rows come sorted by home."""
+    home, a, b = None, [], []
+    for batch in it:
+        for r in batch.to_pylist():
+            if a and r["home"] != home:
+                yield _pair_rows(_ids(b"".join(a)), _ids(b"".join(b)))
+                a, b = [], []
+            home = r["home"]
+            a.append(r["a"])
+            b.append(r["b"])
+    if a:
+        yield _pair_rows(_ids(b"".join(a)), _ids(b"".join(b)))
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
 
 
-def _stars(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        groups = [_ids(x.as_py()) for x in batch.column("members")]
-        if groups:
-            yield _pair_rows(np.concatenate([np.full(len(g) - 1, g[0]) for g in groups]), np.concatenate([g[1:] for g in groups]))
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first]
 
 
-def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number of the group, made from its members; member) rows."""
-    for batch in it:
-        groups = [_ids(x.as_py()) for x in batch.column("members")]
-        if groups:
-            size = np.array([len(g) for g in groups])
-            doc = np.concatenate(groups)
-            at = np.concatenate([[0], np.cumsum(size)[:-1]])
-            gid = mix(np.add.reduceat(mix(doc.view(np.uint64)), at) + size.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid.view(np.int64), size)), pa.array(doc)], ["gid", "doc"])
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    a, b = _unique_pairs(a.astype(np.int64), b.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough: b's set travels to a's, where the two meet."""
-    withb = pairs.join(sets.select(F.col("doc").alias("b"), "set"), "b").select("a", "b", "set")
-    centres = pairs.select("a").distinct().join(sets.select(F.col("doc").alias("a"), "set"), "a").select("a", F.lit(None).cast("long").alias("b"), "set")
+    withb = sets.select(F.col("doc").alias("b"), "set").join(pairs.hint("shuffle_hash"), "b").select("a", "b", "set")
+    centres = sets.select(F.col("doc").alias("a"), "set").join(pairs.select("a").distinct().hint("shuffle_hash"), "a").select("a", F.lit(None).cast("long").alias("b"), "set")
     both = centres.unionByName(withb)
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(parts, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
@@ -218,14 +226,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of small groups; pairs with the least member were tested before."""
+    """Pairs across components of small stars; pairs with the centre were tested before."""
     for batch in it:
         a, b = [], []
         for members, comps in zip(batch.column("ids").to_pylist(), batch.column("comps").to_pylist(), strict=True):
             order = np.argsort(members)
             m, c = np.array(members, np.int64)[order], np.array(comps, np.int64)[order]
             i, j = np.triu_indices(len(m), 1)
-            new = (c[i] != c[j]) & (i > 0)
+            new = c[i] != c[j]
             a.append(m[i[new]])
             b.append(m[j[new]])
         if a:
@@ -265,16 +273,13 @@ def _block_links(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield links(held)
 
 
-def large_group_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components inside large groups: groups that share members are one family, whose members, by component, are cut in blocks; each two blocks that aren't one component meet."""
+def large_star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside large stars (centre, doc, comp): stars that share members are one family, whose members, by component, are cut in blocks; each two blocks that aren't one component meet."""
     from pyspark.sql import Window
 
-    member = groups.select("gid", F.explode("ids").alias("doc"))
-    bridge = member.join(member.groupBy("gid").agg(F.min("doc").alias("first")), "gid").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
-    family = components(bridge)
-    docs = member.select("doc").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc", "left").withColumn("family", F.coalesce("family", "doc"))
-    docs = docs.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    docs = docs.withColumn("block", F.expr(f"cast((row_number() over (partition by family order by comp, doc) - 1) div {BLOCK} as int)"))
+    family = components(stars.where("centre <> doc").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
+    docs = stars.select("doc", "comp").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
+    docs = docs.withColumn("block", ((F.row_number().over(Window.partitionBy("family").orderBy("comp", "doc")) - 1) / BLOCK).cast("int"))
     per = docs.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     docs, per = materialise(docs, "family-docs"), materialise(per, "family-blocks")
     other = per.select("family", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -296,24 +301,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     n_buckets = int(max(8, min(20_000, input_bytes(docs) // BUCKET_BYTES)))
     first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, ["doc_id", "s1", "s2"]).select("doc_id", "bands")
     sent = first.mapInArrow(lambda it: _keys(it, n_bands, n_buckets), "bucket int, keys binary, docs binary")
-    groups = sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_groups, "members binary")
-    groups = materialise(groups, "groups")
-    pairs = materialise(groups.mapInArrow(_stars, "a long, b long").distinct(), "pairs")
+    starred = sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda it: _stars(it, n_buckets), "home int, a binary, b binary")
+    pairs = starred.repartitionById(n_buckets, F.col("home")).sortWithinPartitions("home").mapInArrow(_distinct_pairs, "a long, b long")
+    pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = materialise(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary"), "sets")
+    sets = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary")
+    sets = materialise(sets, "sets")
     links = materialise(confirm(pairs, sets, percent), "links")
     labels = components(links)
 
-    open_ = groups.distinct().mapInArrow(_members, "gid long, doc long")
-    open_ = open_.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    spans = open_.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    open_ = materialise(open_.join(spans.select("gid", "size"), "gid"), "open")
-    small = open_.where(F.col("size") <= SMALL).groupBy("gid").agg(F.collect_list(F.struct("doc", "comp")).alias("m")).select(F.col("m.doc").alias("ids"), F.col("m.comp").alias("comps"))
-    more = confirm(materialise(small.mapInArrow(_cross_pairs, "a long, b long").distinct(), "cross-pairs"), sets, percent)
-    large = open_.where(F.col("size") > SMALL)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    stars = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    open_ = stars.groupBy("a").agg(F.max((F.col("ca") != F.col("cb")).cast("int")).alias("broken"), (F.count("*") + 1).alias("size"), F.min("ca").alias("ca")).where("broken = 1 and size > 2")
+    open_ = stars.select("a", "b", "cb").join(open_.select("a", "size"), "a").select(F.col("a").alias("centre"), F.col("b").alias("doc"), F.col("cb").alias("comp"), "size").unionByName(
+        open_.select(F.col("a").alias("centre"), F.col("a").alias("doc"), F.col("ca").alias("comp"), "size")
+    )
+    open_ = materialise(open_, "open")
+    small = open_.where((F.col("size") <= SMALL) & (F.col("centre") != F.col("doc"))).groupBy("centre").agg(F.collect_list(F.struct("doc", "comp")).alias("m")).select(F.col("m.doc").alias("ids"), F.col("m.comp").alias("comps"))
+    cross = small.mapInArrow(_cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = confirm(materialise(cross, "cross-pairs"), sets, percent)
+    large = open_.where(F.col("size") > SMALL).select("centre", "doc", "comp")
     if not large.isEmpty():
-        large = large.groupBy("gid").agg(F.collect_list("doc").alias("ids"))
-        more = more.unionByName(large_group_links(large, labels, sets, percent))
+        more = more.unionByName(large_star_links(large, sets, percent))
     more = materialise(more, "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
