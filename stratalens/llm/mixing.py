@@ -74,18 +74,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document as often as it is taken whole, and once more cut to its leading words where the budget ends within it.
+    """The mix itself, with the columns of ``docs``: a document as often as it is taken whole, and once more cut where the budget ends within it.
 
-    The cut text is its leading words joined by one space. Documents that the mix doesn't reach,
-    and those without words, are left out.
+    The cut text is its leading words joined by one space; a column n_chars follows it. Documents that
+    the mix doesn't reach, and those without words, are left out. Only ids, sources and sizes move until
+    the takes are known. Rows that agree in doc_id, source and size are taken alike.
     """
     cols = docs.columns
-    packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
-    taken = mix(packed, keep=("__row",), **how)
-    copies = F.transform(F.sequence(F.lit(1), F.expr("cast(taken div size as int) + if(taken % size > 0, 1, 0)")), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
-    each = taken.where("taken > 0").select("__row", "size", F.explode(copies).alias("words"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("__row.text"))
-    out = each.withColumn("__text", text)
-    made = {"text": F.col("__text"), "n_chars": F.when(F.col("words") < F.col("size"), F.length("__text").cast("long")).otherwise(F.col("__row.n_chars").cast("long") if "n_chars" in cols else F.length("__text").cast("long"))}
-    return out.select(*[made.get(c, F.col(f"__row.`{c}`")).alias(c) for c in cols])
+    takes = mix(docs, **how).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    takes = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("taken").alias("__taken"))
+    rows = docs.withColumn("__size", n_words(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
+    rows = rows.join(takes.hint("shuffle_hash"), same)
+    copies = F.transform(F.sequence(F.lit(1), F.expr("cast(__taken div __size as int) + if(__taken % __size > 0, 1, 0)")), lambda i: F.least(F.col("__size"), F.col("__taken") - (i - 1) * F.col("__size")))
+    rows = rows.withColumn("__words", F.explode(copies))
+    part = F.col("__words") < F.col("__size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")
+    rows = rows.withColumn("__text", F.when(part, cut).otherwise(F.col("text")))
+    made = {"text": F.col("__text")}
+    if "n_chars" in cols:
+        made["n_chars"] = F.when(part, F.length("__text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return rows.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in cols])

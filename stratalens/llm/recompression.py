@@ -353,12 +353,12 @@ def repeated_windows(docs: DataFrame, homes: int, window: int = WINDOW) -> DataF
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by one space; its SHA-256 with ``digest``); ``keep`` names columns to carry."""
+    """doc_id, n_words, n_removed and kept (the words left, joined by one space; its SHA-256 with ``digest``); ``keep`` names columns to carry, text among them."""
     homes = int(max(4, min(1 << 30, input_bytes(docs) // HOME_BYTES)))
     parts = min(homes, 20_000)
     marks = repeated_windows(docs, homes, window).withColumn("late", F.lit(0))
     kinds = dict(docs.dtypes)
-    texts = doc_rows(docs, *keep).withColumn("th", text_hash()).withColumn("late", F.lit(1))
+    texts = doc_rows(docs, *(c for c in keep if c != "text")).withColumn("th", text_hash()).withColumn("late", F.lit(1))
     texts = texts.withColumn("home", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))), F.lit(homes)).cast("int"))
     both = marks.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("home") % parts).sortWithinPartitions("home", "late")
     last = "kept_sha256" if digest else "kept"

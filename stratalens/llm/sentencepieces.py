@@ -286,7 +286,7 @@ def model_of(key: int, raw: bytes) -> Unigram:
 
 
 def encode_decode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids, decoded of each document; ``keep`` names further columns to carry.
+    """doc_id, ids, decoded of each document; ``keep`` names further columns to carry, text among them.
 
     The model file is read once on the driver and broadcast; the file fixes its size.
     """
@@ -305,7 +305,7 @@ def encode_decode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ())
                 cols = [part.column("doc_id"), list_array(np.concatenate(ids) if ids else np.zeros(0, np.int32), off, pa.int32()), pa.array([m.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in keep)], ["doc_id", "ids", "decoded", *keep])
 
-    rows = doc_rows(docs, *keep)
+    rows = doc_rows(docs, *(c for c in keep if c != "text"))
     extra = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
     return rows.mapInArrow(run, f"doc_id long, ids array<int>, decoded string{extra}")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Java regex of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _own: list[str] = []
 _SPACE = np.zeros(256, bool)

@@ -293,7 +293,7 @@ def _cover(rows: DataFrame, sure: dict[str, float], few: int) -> list[str]:
 
 
 def score(docs: DataFrame, terms: dict[str, float], coefficients: list[float], threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document; ``keep`` names further columns to carry."""
+    """doc_id, held_out, score, predicted of each document; ``keep`` names further columns to carry, text among them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(terms, coefficients)
@@ -303,5 +303,5 @@ def score(docs: DataFrame, terms: dict[str, float], coefficients: list[float], t
 
     kinds = dict(docs.dtypes)
     extra = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    rows = doc_rows(docs, held_out(F.col("doc_id").cast("long")).alias("held_out"), *keep)
+    rows = doc_rows(docs, held_out(F.col("doc_id").cast("long")).alias("held_out"), *(c for c in keep if c != "text"))
     return rows.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int{extra}")
