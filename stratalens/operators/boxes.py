@@ -5,12 +5,12 @@ A box is the columns xmin, ymin, [zmin,] xmax, ymax[, zmax]; two prefixes name t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1.1920929e-07
@@ -106,14 +106,50 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float, most: int
     return np.array(kept, int)
 
 
+def sorted_groups(it: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, group ends) of whole groups, many at a time, from batches in which the rows of a group stand together.
+
+    Groups are small and many (an image's boxes), so a call of Python for each would cost more than the work.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = _group_ends(table, by)
+        if len(ends) > 1:  # the last group may go on
+            yield table.slice(0, int(ends[-2])), ends[:-1]
+            held = table.slice(int(ends[-2])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _group_ends(table, by)
+
+
+def _group_ends(table: pa.Table, by: Sequence[str]) -> np.ndarray:
+    last = np.zeros(table.num_rows, bool)
+    last[-1] = True
+    for c in by:
+        _, code = np.unique(table.column(c).to_numpy(), return_inverse=True)
+        last[:-1] |= code[1:] != code[:-1]
+    return np.flatnonzero(last) + 1
+
+
 def nms(df: DataFrame, by: list[str], corners: list[str], score: str, key: str, threshold: float, most: int | None = None) -> DataFrame:
-    """Boxes kept in each group (image, or image and class)."""
+    """Boxes kept in each group (image, or image and class), best first."""
+    rows = df.repartition(*by).sortWithinPartitions(*by, F.desc(score), key)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, key], ascending=[False, True], kind="stable")
-        return g.iloc[suppress(g[corners].to_numpy(float), g[score].to_numpy(float), threshold, most)]
+    def run(it):
+        for table, ends in sorted_groups(it, by):
+            boxes = np.stack([table.column(c).to_numpy() for c in corners], axis=1).astype(float)
+            scores = table.column(score).to_numpy()
+            keep, start = [], 0
+            for end in ends.tolist():
+                keep.append(start + suppress(boxes[start:end], scores[start:end], threshold, most) if end - start > 1 else np.array([start]))
+                start = end
+            yield from table.take(pa.array(np.concatenate(keep))).to_batches()
 
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    return rows.mapInArrow(run, df.schema)
 
 
 def match_boxes(pred: np.ndarray, score: np.ndarray, truth: np.ndarray, ious: tuple[float, ...], most: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -134,36 +170,40 @@ def match_boxes(pred: np.ndarray, score: np.ndarray, truth: np.ndarray, ious: tu
 
 
 def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[float, ...] = (0.5,), recalls: int = 101, most: int = 100) -> DataFrame:
-    """Average precision of each class at each IoU: matching within (image, class), then precision envelopes over all images of the class."""
-    cols = ["image_id", "label", *corners]
-    p = pred.select(*cols, "score", "box_id")
-    own = [f"t_{c}" for c in corners]
-    t = truth.select(F.col("image_id").alias("t_image"), F.col("label").alias("t_label"), *[F.col(c).alias(o) for c, o in zip(corners, own, strict=True)])
-
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = np.zeros((0, len(corners)))
-        a = a.sort_values(["score", "box_id"], ascending=[False, True], kind="stable") if len(a) else a
-        score, hits = match_boxes(a[corners].to_numpy(float) if len(a) else none, a["score"].to_numpy(float) if len(a) else np.zeros(0), b[own].to_numpy(float) if len(b) else none, ious, most)
-        out = pd.DataFrame({"label": key[1], "score": score, "n_truth": 0, **{f"h{k}": hits[k] for k in range(len(ious))}})
-        more = pd.DataFrame({"label": [key[1]], "score": [float("-inf")], "n_truth": [len(b)], **{f"h{k}": [False] for k in range(len(ious))}})
-        return pd.concat([out, more], ignore_index=True)
-
-    shape = "label int, score double, n_truth int, " + ", ".join(f"h{k} boolean" for k in range(len(ious)))
-    rows = p.groupBy("image_id", "label").cogroup(t.groupBy("t_image", "t_label")).applyInPandas(match, shape)
-
-    def envelope(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = pd.concat(list(batches))
-        n = int(g["n_truth"].sum())
-        g = g[g["score"] > float("-inf")].sort_values("score", ascending=False, kind="stable")
-        out = []
-        for k, at in enumerate(ious):
-            tp = np.cumsum(g[f"h{k}"].to_numpy())
-            precision = tp / np.arange(1, len(tp) + 1) if len(tp) else np.zeros(0)
-            recall = tp / n if n else tp.astype(float)
-            precision = np.maximum.accumulate(precision[::-1])[::-1]
-            where = np.searchsorted(recall, np.linspace(0, 1, recalls), side="left")
-            ap = float(np.where(where < len(precision), precision[np.minimum(where, len(precision) - 1)] if len(precision) else 0.0, 0.0).mean()) if n else -1.0
-            out.append((key[0], at, ap, float(recall[-1]) if len(recall) and n else -1.0, n))
-        yield pd.DataFrame(out, columns=["label", "iou", "ap", "ar", "n_truth"])
-
-    return rows.groupBy("label").applyInPandas(lambda key, g: next(envelope(key, iter([g]))), "label int, iou double, ap double, ar double, n_truth int")
+    """label, iou, ap, ar, n_truth: matching within (image, class), then precision envelopes over all images of a class; -1 without truths.
+
+    Matches of equal score combine before they are summed up in the order of scores.
+    """
+    side = lambda df, k: df.select("image_id", "label", F.lit(k).alias("side"), *[F.col(c).cast("double").alias(c) for c in corners], (F.col("score").cast("double") if k else F.lit(0.0)).alias("score"), (F.col("box_id").cast("long") if k else F.lit(0).cast("long")).alias("box_id"))
+    rows = side(truth, 0).unionByName(side(pred, 1)).repartition("image_id", "label").sortWithinPartitions("image_id", "label", "side", F.desc("score"), "box_id")
+
+    def match(it):
+        for table, ends in sorted_groups(it, ["image_id", "label"]):
+            boxes = np.stack([table.column(c).to_numpy() for c in corners], axis=1)
+            scores, sides, labels = table.column("score").to_numpy(), table.column("side").to_numpy(), table.column("label").to_numpy()
+            out, start = [], 0
+            for end in ends.tolist():
+                cut = start + int((sides[start:end] == 0).sum())
+                top = min(end, cut + most)
+                if top > cut:
+                    score, hits = match_boxes(boxes[cut:top], scores[cut:top], boxes[start:cut], ious, most) if cut > start else (scores[cut:top], np.zeros((len(ious), top - cut), bool))
+                    out.append((np.full(top - cut, labels[start]), score, hits))
+                start = end
+            if out:
+                label, score, hits = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(score), pa.array(hits.T.tolist(), pa.list_(pa.bool_()))], ["label", "score", "hits"])
+
+    hits = rows.mapInArrow(match, "label int, score double, hits array<boolean>")
+    each = hits.select("label", "score", F.posexplode("hits").alias("k", "hit")).groupBy("label", "k", "score").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("c"))
+    down = Window.partitionBy("label", "k").orderBy(F.desc("score"))
+    n = truth.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_truth"))
+    curve = each.withColumn("tp", F.sum("tp").over(down)).withColumn("c", F.sum("c").over(down)).join(n, "label", "left").withColumn("recall", F.when(F.col("n_truth") > 0, F.col("tp") / F.col("n_truth")))
+    step = F.floor(F.col("recall") * (recalls - 1) + 1e-9).cast("int")  # the highest recall point that is reached
+    best = curve.groupBy("label", "k", step.alias("step")).agg(F.max(F.col("tp") / F.col("c")).alias("p"), F.max("recall").alias("ar"), F.max("n_truth").alias("n_truth"))
+    up = Window.partitionBy("label", "k").orderBy(F.desc("step"))
+    best = best.withColumn("envelope", F.max("p").over(up)).withColumn("below", F.coalesce(F.lead("step").over(up), F.lit(-1)))
+    ap = F.sum(F.col("envelope") * (F.col("step") - F.col("below"))) / recalls
+    out = best.groupBy("label", "k").agg(ap.alias("ap"), F.max("ar").alias("ar"), F.max("n_truth").alias("n_truth"))
+    iou = F.element_at(F.array(*[F.lit(float(x)) for x in ious]), F.col("k") + 1)
+    none = F.coalesce("n_truth", F.lit(0)) == 0
+    return out.select("label", iou.alias("iou"), F.when(none, -1.0).otherwise(F.col("ap")).alias("ap"), F.when(none, -1.0).otherwise(F.col("ar")).alias("ar"), F.coalesce("n_truth", F.lit(0)).alias("n_truth"))
