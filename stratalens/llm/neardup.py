@@ -37,8 +37,8 @@ from stratalens.llm.components import components
 from stratalens.llm.shared import batches, doc_rows, input_bytes, materialise, mix, shingles, words
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 3
-#: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block.
-BUCKET_BYTES, SMALL, BLOCK = 6 << 20, 16, 512
+#: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block; elements of sets that are compared at a time.
+BUCKET_BYTES, SMALL, BLOCK, ELEMENTS = 6 << 20, 16, 256, 4096
 
 _rng = np.random.default_rng(0xBA4D)
 _XOR = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
@@ -246,13 +246,20 @@ def _block_links(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     def links(rows: list[tuple]) -> pa.RecordBatch:
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         size = np.array([len(s) for s in sets])
-        _, element = np.unique(np.concatenate(sets), return_inverse=True)
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(rows)), size)
+        by = np.argsort(values, kind="stable")
+        values, owner = values[by], owner[by]
+        element = np.cumsum(np.append(False, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
         left = np.array([r[1] == 0 for r in rows])
-        matrix = np.zeros((len(rows), int(element.max()) + 1), np.float32)
-        matrix[np.repeat(np.arange(len(rows)), size), element] = 1
         x = np.flatnonzero(left)
         y = np.flatnonzero(~left) if (~left).any() else x
-        common = matrix[x] @ matrix[y].T
+        common = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, int(element[-1]) + 1 if len(element) else 0, ELEMENTS):  # so many elements at a time
+            i, j = np.searchsorted(element, [at, at + ELEMENTS])
+            matrix = np.zeros((len(rows), ELEMENTS), np.float32)
+            matrix[owner[i:j], element[i:j] - at] = 1
+            common += matrix[x] @ matrix[y].T
         ok = 100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)
         ids, comp = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
         ok &= comp[x][:, None] != comp[y][None, :]

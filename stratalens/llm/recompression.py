@@ -37,7 +37,7 @@ from stratalens.llm.shared import batches, doc_rows, input_bytes, mix, shingles,
 
 WINDOW = 20
 #: Bytes of text that are parsed together, and of stored input that meet in a bucket and in a home.
-BLOCK_BYTES, BUCKET_BYTES, HOME_BYTES = 8 << 20, 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES, HOME_BYTES = 4 << 20, 4 << 20, 8 << 20
 #: Levels of symbols: words, then after naming runs, then after each of three rounds of pairs.
 LEVELS = 5
 NULL_ID = -(1 << 63)

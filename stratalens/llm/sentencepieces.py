@@ -32,7 +32,7 @@ from stratalens.llm.shared import doc_rows, list_array
 
 MARK = "▁"
 #: Words of a worker's memo; it starts anew when full, so that memory stays bounded.
-MEMO = 400_000
+MEMO = 250_000
 UNK_PENALTY = 10.0
 
 

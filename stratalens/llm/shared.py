@@ -7,6 +7,7 @@ object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -108,12 +109,22 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nda
     return mix(np.add.reduceat(value, starts)), woff
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system; workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batches(it: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of slices of the batches of a partition."""
     for batch in it:
         buf, off = text_column(batch.column(text))
         for i, j in slices(off, size):
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
+    release()
 
 
 def doc_rows(docs: DataFrame, *more: str | Column) -> DataFrame:

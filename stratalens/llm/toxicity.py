@@ -36,7 +36,7 @@ SAMPLE = (4_000, 8_000)
 CANDIDATES, COVER, SPAN, THRESHOLD = 3_000, 3, 6, 0.7
 STEMS = range(4, 9)
 #: Words of a worker's memo; it starts anew when full.
-MEMO = 400_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Cues of quotation and of address.
