@@ -44,7 +44,7 @@ _CODE = re.compile(r"/([a-z]{2})(?:[-_][A-Za-z]{2})?(?=/|$)")
 
 def page_text(source: str) -> str:
     """What a reader sees of a page, without scripts, navigation and advertisements."""
-    return html_lib.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", source)))
+    return html_lib.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", source))).strip()
 
 
 def declared(source: str) -> str:
