@@ -109,6 +109,8 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     n = len(splits) - 1
 
     def ranged(df: DataFrame) -> DataFrame:
+        if n == 1:
+            return df.withColumn("range", F.lit(0))
         at = df.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf)))
         return Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(at).withColumn("range", F.col("range").cast("int")).drop("at")
 
