@@ -120,3 +120,27 @@ def test_pipelines(spark):
     assert PL.from_json(json.dumps(spec))(df).count() == 3
     with pytest.raises(ValueError):
         PL.resolve("@a", {"a": "@b", "b": "@a"})
+
+
+def test_random_transforms_repeat(spark):
+    from stratalens.functions import random_tensors as RT
+
+    df = spark.createDataFrame([(i, [6, 6], [float(x) for x in range(36)]) for i in range(40)], "id int, shape array<int>, data array<double>")
+    chain = [RT.sometimes(RT.gaussian_noise(0.0, 0.5), 0.5), RT.in_random_order([RT.axis_flip(), RT.rotate90()]), RT.elastic(1.0, 1.0), RT.grid_distortion(), RT.coarse_dropout(2, [2, 2]), RT.crop([4, 4])]
+    a = {r.id: r.data for r in RT.apply_random(df, chain, "id", 3).collect()}
+    b = {r.id: r.data for r in RT.apply_random(df.repartition(7), chain, "id", 3).collect()}
+    assert a == b and len({tuple(v) for v in a.values()}) == 40 and all(len(v) == 16 for v in a.values())
+    assert a != {r.id: r.data for r in RT.apply_random(df, chain, "id", 4).collect()}
+
+
+def test_random_kernels():
+    from stratalens.functions import random_tensors as RT
+
+    a, rng = np.arange(64.0).reshape(8, 8), np.random.default_rng(0)
+    for k in (RT.rician_noise(), RT.scale_intensity(-0.1, 0.1), RT.shift_intensity(-1, 1), RT.adjust_contrast(), RT.smooth(), RT.histogram_shift(), RT.bias_field(), RT.spike(1, 2), RT.coarse_shuffle(1, [3, 3]), RT.flip([0]), RT.rotate(0.3), RT.zoom(0.8, 1.2), RT.affine(0.2, 0.1, 0.1, 1.0), RT.one_of([RT.axis_flip(), RT.rotate90()], [1, 3])):
+        assert k(a, rng).shape == a.shape and np.isfinite(k(a, rng)).all()
+    assert sorted(RT.coarse_shuffle(3, [3, 3])(a, rng).ravel()) == sorted(a.ravel())
+    box = RT.crop_by_label([3, 3], lambda x: x > 60, 1.0)(a, rng)
+    assert box.shape == (3, 3) and box.max() > 60
+    assert set(np.unique(RT.cutmix(a, a + 100, rng))) <= set(a.ravel()) | set((a + 100).ravel())
+    assert RT.mixup(a, a, rng) == pytest.approx(a) and RT.cutout(a, rng).min() == 0
