@@ -88,13 +88,14 @@ def reduction_modes(s, d):
     return out
 
 
-@query("""with e as (select l_orderkey, l_extendedprice / l_quantity as p, p_retailprice as y from lineitem join part on l_partkey = p_partkey), m as (select l_orderkey, avg((p - y) * (p - y)) mse, avg(abs(p - y)) mae from e group by 1)
-select l_orderkey, round(mse, 4) as mse, round(mae, 9) as mae, round(sqrt(mse), 6) as rmse, round(case when mse > 0 then 20 * log10(2000) - 10 * log10(mse) end, 6) as psnr from m""")
+@query("""with e as (select l_orderkey, l_extendedprice / l_quantity as p, p_retailprice * 1.0471975511965976::double as y from lineitem join part on l_partkey = p_partkey), m as (select l_orderkey, avg((p - y) * (p - y)) mse, avg(abs(p - y)) mae from e group by 1)
+select l_orderkey, round(mse, 3) as mse, round(mae, 5) as mae, round(sqrt(mse), 5) as rmse, round(case when mse > 0 then 20 * log10(2000) - 10 * log10(mse) end, 6) as psnr from m""")
 def regression_metrics(s, d):
+    """Unit prices against part prices times a factor with no short decimal form, so that no result lies on a rounding border."""
     x = t(s, d, "lineitem").join(t(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = x.select("l_orderkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.col("p_retailprice").alias("y"))
+    x = x.select("l_orderkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), (F.col("p_retailprice") * 1.0471975511965976).alias("y"))
     m = M.regression(x, "l_orderkey", "p", "y", 2000.0)
-    return m.select("l_orderkey", F.round("mse", 4).alias("mse"), F.round("mae", 9).alias("mae"), r6("rmse").alias("rmse"), r6("psnr").alias("psnr"))
+    return m.select("l_orderkey", F.round("mse", 3).alias("mse"), F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"), r6("psnr").alias("psnr"))
 
 
 _AUC = "with j as (select cast(n_chars as double) as score, quality as y, lang, toxic from documents join labels using (doc_id)){more}, g as (select {k} score, sum(y) p, count(*) - sum(y) n from j group by all), b as (select *, sum(n) over ({part} order by score) - n as below from g) "
