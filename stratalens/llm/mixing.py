@@ -1,7 +1,7 @@
 """Mixing sources to target weights (operator 2), in DataFrame operations only.
 
 Each document gets a hash-random key; the order of keys within its source is the order in which the
-mix takes it. The key's top bits are its range: sizes are summed by (source, range), a window over
+mix takes it. The key's first digits are its range: sizes are summed by (source, range), a window over
 these few sums gives what stands before each range, and a window within (source, range) the rest.
 So a source of any share is spread over all its ranges, and the prefix sums are exact. A source's
 target T takes its whole order as many times as it fits, then the documents in front up to the word
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from stratalens.llm.shared import WORD, doc_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Bits of a key that name its range: 4096 ranges for each source.
-RANGE_BITS = 12
+#: Hexadecimal digits of a key that name its range: 4096 ranges for each source.
+RANGE_DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
@@ -55,8 +55,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     rows = rows.withColumn("size", n_words(F.col("text")))
     if "text" not in keep:
         rows = rows.drop("text")
-    key = F.xxhash64(F.lit(seed), "doc_id", "source")
-    rows = rows.withColumn("key", key).withColumn("range", F.shiftrightunsigned(F.col("key"), 64 - RANGE_BITS))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("source")))
+    rows = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
     ranges = ranges.withColumn("before", before)

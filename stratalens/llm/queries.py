@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalens.llm import fingerprints, languages, lm_scores, mixing, mpeg, neardup, recompression, sentencepieces, token_counts, toxicity
 from stratalens.session import read_table
@@ -55,12 +56,57 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.lm_scores(read_table(spark, sf_dir, "documents"))
+    x = lm_scores.lm_scores(read_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", "log_score", "mean_log_score", "perplexity", *[F.col("by_order")[i].alias(f"n_by_{i + 1}") for i in range(lm_scores.ORDER)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores)}
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL = {
+    "op2_mixing": f"""
+with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5(concat_ws(':', '17', cast(doc_id as varchar), source)) as key from documents),
+s as (select source, sum(size)::double as n from d group by source),
+w as (select source, n, 2.0::double * n as cap, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight from s),
+f as (select *, sum(cap) over (order by cap / weight, source nulls last) - cap as filled, sum(weight) over () - sum(weight) over (order by cap / weight, source nulls last) + weight as open, 1.5::double * sum(n) over () as total from w),
+l as (select *, (total - filled) / open as level from f),
+t as (select source, n, weight, cap, (select level from l where level * weight <= cap order by cap / weight, level limit 1) as level from l),
+g as (select source, cast(n as bigint) as source_size, least(coalesce(level * weight, cap), cap) as target from t),
+x as (select d.doc_id, d.size, d.source, g.source_size, g.target, cast(round(g.target) as bigint) as whole, cast(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows unbounded preceding) as bigint) - d.size as before from d join g on d.source is not distinct from g.source)
+select doc_id, size, source, source_size, target, case when source_size > 0 then (whole // source_size) * size + greatest(0, least(size, whole - (whole // source_size) * source_size - before)) else 0 end as taken from x""",
+    "op6_substring_dedup": f"""
+with d as (select doc_id, {WORDS} as ws from documents),
+x as (select doc_id, i, array_to_string(ws[i : i + 19], ' ') as win from d, unnest(range(1, len(ws) - 18)) as u(i)),
+late as (select doc_id, i from x qualify row_number() over (partition by win order by doc_id, i) > 1),
+gone as (select distinct doc_id, j from late, unnest(range(i, i + 20)) as u(j)),
+k as (select d.doc_id, j, d.ws[j] as word from d, unnest(range(1, len(ws) + 1)) as u(j)),
+r as (select k.doc_id, count(g.j) as n_removed, string_agg(k.word, ' ' order by k.j) filter (where g.j is null) as kept from k left join gone g on k.doc_id = g.doc_id and k.j = g.j group by k.doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join r using (doc_id)""",
+    "op7_near_dedup": f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (select distinct doc_id, hash(sh) as sh from (select doc_id, ws[i : i + 1] as sh from d, unnest(range(1, greatest(len(ws), 2))) as u(i) where len(ws) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as materialized (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+links as materialized (select x, y from e union all select y, x from e),
+reach(node, root) as (select doc_id, doc_id from documents union select l.y, r.root from reach r join links l on l.x = r.node where r.root < l.y),
+c as (select node as doc_id, min(root) as component_id from reach group by 1)
+select c.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.doc_id = c.component_id as kept from c left join n using (doc_id)""",
+    "op10_lm_scores": f"""
+with d as (select doc_id, {WORDS} as ws from documents),
+w as materialized (select doc_id, i, ws[i] as w3, case when i > 1 then ws[i - 1] end as w2, case when i > 2 then ws[i - 2] end as w1 from d, unnest(range(1, len(ws) + 1)) as u(i)),
+c1 as materialized (select w3, count(*) as n from w group by 1), c2 as materialized (select w2, w3, count(*) as n from w where w2 is not null group by 1, 2), c3 as materialized (select w1, w2, w3, count(*) as n from w where w1 is not null group by 1, 2, 3),
+total as (select count(*)::double as n from w),
+t as (select w.doc_id, case when c3.n >= 2 then 3 when c2.n >= 2 then 2 else 1 end as o, case when c3.n >= 2 then ln(c3.n / h2.n) else case when w.w1 is not null then ln(0.4) else 0 end + case when c2.n >= 2 then ln(c2.n / h1.n) else case when w.w2 is not null then ln(0.4) else 0 end + ln(c1.n / total.n) end end as s
+from w join c1 on w.w3 = c1.w3 left join c2 on w.w2 = c2.w2 and w.w3 = c2.w3 left join c3 on w.w1 = c3.w1 and w.w2 = c3.w2 and w.w3 = c3.w3 left join c1 h1 on h1.w3 = w.w2 left join c2 h2 on h2.w2 = w.w1 and h2.w3 = w.w2, total),
+g as (select doc_id, sum(s) as s, count(*) as n, count(*) filter (where o = 1) as n1, count(*) filter (where o = 2) as n2, count(*) filter (where o = 3) as n3 from t group by 1)
+select d.doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 9) as mean_log_score, round(exp(-s / n), 6) as perplexity, coalesce(n1, 0) as n_by_1, coalesce(n2, 0) as n_by_2, coalesce(n3, 0) as n_by_3 from d left join g using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are held against brute force in tests/llm."""
+    return dict(SQL)
