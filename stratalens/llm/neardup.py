@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
-from stratalens.llm.shared import batches, doc_rows, input_bytes, materialise, mix, shingles, words
+from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, materialise, mix, shingles, words
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 3
 #: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block; elements of sets that are compared at a time.
@@ -325,14 +325,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     )
     open_ = materialise(open_, "open")
     small = open_.where((F.col("size") <= SMALL) & (F.col("centre") != F.col("doc"))).groupBy("centre").agg(F.collect_list(F.struct("doc", "comp")).alias("m")).select(F.col("m.doc").alias("ids"), F.col("m.comp").alias("comps"))
-    cross = small.mapInArrow(_cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = confirm(materialise(cross, "cross-pairs"), sets, percent)
+    cross = materialise(small.mapInArrow(_cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+    more = confirm(cross, sets, percent)
     large = open_.where(F.col("size") > SMALL).select("centre", "doc", "comp")
     if not large.isEmpty():
         more = more.unionByName(large_star_links(large, sets, percent))
     more = materialise(more, "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    for done in (pairs, sets, links, open_, cross, more):  # the result reads profiles and components only
+        forget(done)
 
     rep = some.join(classes, ["s1", "s2", "n"]).select("doc_id", "n", "rep")
     rep = rep.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
