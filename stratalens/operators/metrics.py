@@ -237,7 +237,7 @@ def panoptic(df: DataFrame, gt: str, pred: str, threshold: float = 0.5) -> DataF
     m = m.withColumn("iou", F.col("inter") / (F.col("ga") + F.col("pa") - F.col("inter"))).where(F.col("iou") > threshold)
     hits = m.agg(F.count("*").alias("tp"), F.coalesce(F.sum("iou"), F.lit(0.0)).alias("iou_sum"))
     n = cells.agg(F.countDistinct(F.when(F.col(gt) != 0, F.col(gt))).alias("n_gt"), F.countDistinct(F.when(F.col(pred) != 0, F.col(pred))).alias("n_pred"))
-    x = hits.join(n)  # one row each
+    x = hits.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one")  # one row each
     fp, fn = F.col("n_pred") - F.col("tp"), F.col("n_gt") - F.col("tp")
     rq = F.col("tp") / F.nullif(F.col("tp") + fp / 2 + fn / 2, F.lit(0.0))
     sq = F.col("iou_sum") / (F.col("tp") + 1e-6)
