@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from stratalens.llm.shared import doc_rows, list_array
 
 MARK = "▁"
+MARKER = MARK.encode()
 #: Words of a worker's memo; it starts anew when full, so that memory stays bounded.
 MEMO = 250_000
 UNK_PENALTY = 10.0
@@ -86,6 +87,16 @@ class DoubleArrayTrie:
                 todo.append((t, i, j, depth + 1))
         self.base, self.check, self.value = base + [0] * 257, check + [-1] * 257, value + [-1] * 257
 
+    def find(self, data: bytes) -> int:
+        """The node of a string, 0 if no key goes on from it."""
+        s = 0
+        for b in data:
+            t = self.base[s] + b + 1
+            if self.check[t] != s:
+                return 0
+            s = t
+        return s
+
     def prefixes(self, data: bytes, at: int = 0) -> list[tuple[int, int]]:
         """(end, key number) of every key that begins at ``at``."""
         out, s, base, check, value = [], 0, self.base, self.check, self.value
@@ -144,6 +155,8 @@ class Unigram:
             if self.types[i] == self.USER:
                 self.scores[i] = len(self.pieces[i]) * high - 0.1
         self.unk_score = low - UNK_PENALTY
+        self.score_of = [self.scores[i] for i in normal]
+        self.marked = self.trie.find(MARKER)
         self.unk = self.types.index(self.UNKNOWN)
         byte_ids = [i for i, t in enumerate(self.types) if t == self.BYTE]
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in byte_ids}
@@ -161,26 +174,33 @@ class Unigram:
         n = len(data)
         best, back, via = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
-        ids, scores = self.ids, self.scores
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score_of
         i = 0
         while i < n:
             here, b = best[i], data[i]
             width = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            single, s = False, 0
-            for j in range(i, n):
+            single, s, j = False, 0, i
+            if width == 3 and data[i : i + 3] == MARKER and self.marked:  # most words begin here; the way to the marker's node is known
+                s, j = self.marked, i + 2
+                e, k = i + 3, value[s]
+                if k >= 0:
+                    single, x = True, here + score[k]
+                    if x > best[e]:
+                        best[e], back[e], via[e] = x, i, k
+                j += 1
+            while j < n:
                 t = base[s] + data[j] + 1
+                j += 1
                 if check[t] != s:
                     break
                 s = t
-                k = value[s]
+                k = value[t]
                 if k >= 0:
-                    e, k = j + 1, ids[k]
-                    if e - i == width:
+                    if j - i == width:
                         single = True
-                    x = here + scores[k]
-                    if x > best[e]:
-                        best[e], back[e], via[e] = x, i, k
+                    x = here + score[k]
+                    if x > best[j]:
+                        best[j], back[j], via[j] = x, i, k
             if not single:
                 e, x = i + width, here + self.unk_score
                 if x > best[e]:
@@ -192,7 +212,7 @@ class Unigram:
             if k == -2:
                 out += [self.id_of_byte[b] for b in reversed(data[i:n])] if self.id_of_byte else ([] if out and out[-1] == self.unk else [self.unk])
             else:
-                out.append(k)
+                out.append(self.ids[k])
             n = i
         return out[::-1]
 
