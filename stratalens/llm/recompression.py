@@ -303,8 +303,13 @@ def _mark(blobs: list[dict], homes: int) -> pa.RecordBatch | None:
     key = mix(name[row] ^ (h40 * _A))
     by = np.argsort(key, kind="stable")
     a, b = by[1:], by[:-1]
-    later = (key[a] == key[b]) & (h40[a] == h40[b]) & (name[row[a]] == name[row[b]])
-    k = np.sort(a[later])
+    equal = np.zeros(total, bool)
+    equal[1:] = (key[a] == key[b]) & (h40[a] == h40[b]) & (name[row[a]] == name[row[b]])
+    at = np.flatnonzero(equal)
+    k, first = by[at], by[np.maximum.accumulate(np.where(equal, 0, np.arange(total)))[at]]
+    # A document whose rows lie in several blocks sends a window once for each: these are one window.
+    x, y = doc[row[k]], doc[row[first]]
+    k = np.sort(k[(ids[x] != ids[y]) | (ths[x] != ths[y]) | (start[row[k]] + inside[k] != start[row[first]] + inside[first])])
     if not len(k):
         return None
     doc, pos = doc[row[k]], start[row[k]] + inside[k]

@@ -81,6 +81,16 @@ def test_repeats_edge_cases(spark):
     assert RC.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_copies_of_a_row_in_other_blocks_are_one_document(spark, doc_id):
+    text = " ".join(f"t{i}" for i in range(40))
+    again = " ".join(f"u{i}" for i in range(25))
+    rows = [(doc_id, text), (doc_id, text), (doc_id, f"{again} {again}"), (doc_id, f"{again} {again}"), (9, text + " more")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.kept) for r in RC.remove_repeats(df).collect())
+    assert got == sorted([(str(doc_id), text)] * 2 + [(str(doc_id), again)] * 2 + [("9", "more")])
+
+
 def test_hash_of_ids_is_sparks(spark):
     ids = [0, 1, -1, 7, 1 << 40, -(1 << 63), (1 << 63) - 1]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x long").select(F.xxhash64("x")).collect()]
