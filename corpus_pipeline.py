@@ -1,7 +1,8 @@
 """A training corpus in five stages, each an operator of stratalens.llm with production parameters.
 
 1. toxicity: documents predicted toxic go.
-2. near-dedup: of each component of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays.
+2. near-dedup: of each component of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays,
+   and one row of those that agree in doc_id (null included) and text.
 3. substring dedup: words in a 20-word window that also starts earlier are removed; other texts stay as they are.
 4. mixing: sources in the proportions of their weights, documents repeated or cut at each source's budget.
 5. SentencePiece: ids of every document, and whether they decode to its text.
@@ -41,9 +42,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(_columns(docs))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of those that agree in doc_id (null included) and text, the least by the JSON of its other columns; null texts as they are."""
+    some = _packed(docs.where("text is not null")).groupBy("doc_id", "text").agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+    return some.select(_columns(docs)).unionByName(docs.where("text is null"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    return _once(docs).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,17 @@ def test_stages(spark, data):
     assert pairs(b) == pairs(a) and b.where("not round_trip").count() == 0
 
 
+def test_one_row_of_equal_ones_stays_whole(spark, data):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a, "x"), (5, a, "y"), (5, a, "x"), (None, b, "y"), (None, b, "x"), (None, "short", "x"), (6, None, "x"), (6, None, "x"), (None, None, "x")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string, source string")
+    one = P.drop_near_duplicates(spark, docs, data)
+    key = lambda df: sorted(map(str, df.collect()))
+    want = [(5, a, "x"), (None, b, "x"), (None, "short", "x"), (6, None, "x"), (6, None, "x"), (None, None, "x")]
+    assert key(one) == key(spark.createDataFrame(want, docs.schema))
+    assert key(P.drop_repeats(spark, one, data)) == key(one)
+
+
 def test_run_and_empty(spark, data):
     assert P.run(spark, data).count() > 0
     none = spark.read.parquet(f"{data}/documents.parquet").limit(0)
