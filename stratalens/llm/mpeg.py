@@ -4,8 +4,9 @@
 length, a Xing frame with frame count, byte count and seek table, then checksummed frames of silence
 whose ancillary bytes are the payload. ``MpegAudio`` reads any MPEG audio stream: it skips tags,
 resynchronises on frame headers (a header counts only if another of its kind or the stream's end
-follows), parses Xing, Info and VBRI tables, verifies each frame's CRC-16, and keeps the exact
-duration (samples and rate), the offset of every frame and a seek offset for each second.
+follows), takes an ID3v1 tag only where no frame covers its place, parses Xing, Info and VBRI tables,
+verifies each frame's CRC-16, and keeps the exact duration (samples and rate), the offset of every
+frame and a seek offset for each second.
 
 A null text is an empty payload (64 zero bytes once padded). Equal texts give equal streams. Bytes
 that are no stream give zero frames and an empty payload.
@@ -116,8 +117,7 @@ class MpegAudio:
     ancillary: list[tuple[int, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        end = self._trailing()
-        self._frames(self._leading(), end)
+        self._frames(self._leading(), len(self.data))
 
     @property
     def rate(self) -> int:
@@ -161,19 +161,20 @@ class MpegAudio:
                     self.tags[name] = parts[0]
             at += 10 + size
 
-    def _trailing(self) -> int:
-        d, end = self.data, len(self.data)
-        if end >= 128 and d[end - 128 : end - 125] == b"TAG":
-            end -= 128
-            for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-                self.tags.setdefault(name, d[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
-        return end
+    def _trailing(self, at: int) -> None:
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
+            self.tags.setdefault(name, self.data[at + a : at + b].rstrip(b"\0 ").decode("latin-1"))
 
     def _frames(self, at: int, end: int) -> None:
         d, sound = self.data, {}
         before = None
+        whole, tag = end, end - 128
+        if tag >= at and d[tag : tag + 3] == b"TAG":
+            end = tag
         while at + 4 <= end:
             h = header(d[at : at + 4])
+            if h is not None and end < at + h.size <= whole and (before is None or h.kind == before.kind) and self._follows(h, at + h.size, whole):
+                end = whole  # a whole frame covers the place: its bytes only look like a tag
             if h is None or at + h.size > end or before is not None and h.kind != before.kind or before is None and not self._follows(h, at + h.size, end):
                 nxt = d.find(b"\xff", at + 1, end)
                 nxt = end if nxt < 0 else nxt
@@ -201,6 +202,8 @@ class MpegAudio:
             before = h
             at += h.size
         self.skipped += max(0, end - at)
+        if end < whole:
+            self._trailing(end)
 
     def _follows(self, h: Header, at: int, end: int) -> bool:
         if at >= end:

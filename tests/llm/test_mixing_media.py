@@ -165,6 +165,24 @@ def test_other_tags_and_tables():
     assert m.table["kind"] == "VBRI" and m.table["frames"] == 1 and m.table["bytes"] == 500
 
 
+@pytest.mark.parametrize("size", [64, 320, 960, 1024, 1984])
+def test_text_like_a_tag_is_payload(spark, size):
+    """TAG at 128 bytes before the stream's end, wherever payload can stand there."""
+    plain = MP.write_stream(b"x" * size)
+    places = [k for k in range(size - 2) if MP.write_stream(b"x" * k + b"TAG" + b"x" * (size - k - 3))[-128:-125] == b"TAG"]
+    assert bool(places) == (plain[-128:-125] == b"xxx")
+    for k in places:
+        text = "x" * k + "TAG" + "x" * (size - k - 3)
+        r = MP.probe(MP.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+        assert r.payload_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.tail_crc32 == zlib.crc32(text.encode()[-64:])
+        assert "skipped=0" in r.feature and "table=Xing:ok" in r.feature
+        media = MP.write_stream(text.encode())
+        real = MP.MpegAudio(media + b"TAG" + b"name".ljust(30, b"\0") + bytes(95))
+        assert real.payload() == text.encode() and real.tags["title"] == "name" and real.skipped == 0
+        cut = MP.MpegAudio(media[:-40] + b"TAG" + b"name".ljust(30, b"\0") + bytes(95))
+        assert cut.tags["title"] == "name" and len(cut.offsets) == r.frames - 1
+
+
 def test_media_of_a_table(spark):
     texts = [None, "", "a" * 64, "a" * 65, "é" * 5000, "a" * 64]
     df = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
