@@ -1,7 +1,8 @@
 """Language-model scores with stupid backoff, computed relationally (operator 10).
 
 The model is the corpus' own table of n-gram counts: n-grams of up to ``ORDER`` words with how often
-they occur in all documents, without those of two words or more that occur once. A word's score is
+they occur in all documents, those of two words or more from ``least`` occurrences on (2 in the query, as
+in its SQL; 1 for all). A word's score is
 
     S(w | context) = count(context w) / count(context)   if the n-gram is in the table,
                      0.4 x S(w | shorter context)         otherwise; at last count(w) / all words,
@@ -202,7 +203,7 @@ def log_scores(sums: np.ndarray, number: np.ndarray, ends: list[np.ndarray], n_w
     return out, took
 
 
-def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int, least: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block, its texts first, then the answers by bucket."""
 
     def scored(block: dict, answers: list[bytes]) -> pa.RecordBatch:
@@ -221,7 +222,7 @@ def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.Rec
         sums = np.concatenate([unplanes(x, 5) for x in answers]) if answers else np.zeros(0, np.uint64)
         if len(sums) != len(keys):
             raise RuntimeError("answers don't match a block: the input was read in another order the second time")
-        logs, took = log_scores(sums.astype(np.int64), number, ends, b.h)
+        logs, took = log_scores(sums.astype(np.int64), number, ends, b.h, least)
         doc = np.repeat(np.arange(len(ids)), n_words)
         by_order = [np.bincount(doc[took == o], minlength=len(ids)) for o in range(1, order + 1)]
         return pa.RecordBatch.from_arrays(
@@ -245,8 +246,8 @@ def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.Rec
         yield scored(block, answers)
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, log_score (natural), mean_log_score, perplexity, by_order (words scored by 1-, 2-, ... grams) of each document."""
+def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """doc_id, n_words, log_score (natural), mean_log_score, perplexity, by_order (words scored by 1-, 2-, ... grams) of each document; n-grams of two words or more count from ``least`` occurrences on, 1 for all."""
     rows = doc_rows(docs)
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = materialise(rows, "documents")
@@ -259,7 +260,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     both = texts.unionByName(answers, allowMissingColumns=True)
     homes = int(max(8, min(20_000, input_bytes(docs) // BUCKET_BYTES)))
     both = both.repartitionById(homes, F.pmod(F.col("block"), F.lit(homes)).cast("int")).sortWithinPartitions("block", F.col("bucket").asc_nulls_first())
-    part = materialise(both.mapInArrow(lambda it: _sum(it, order, bits), "doc_id long, n_words long, log_part double, by_order array<long>"), "scores")
+    part = materialise(both.mapInArrow(lambda it: _sum(it, order, bits, least), "doc_id long, n_words long, log_part double, by_order array<long>"), "scores")
     total = part.agg(F.sum("n_words")).first()[0] or 0
     log_score = F.col("log_part") - F.col("by_order")[0] * F.log(F.lit(float(max(1, total))))
     some = F.col("n_words") > 0

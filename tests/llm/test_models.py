@@ -114,6 +114,17 @@ def test_backoff_scores(spark, monkeypatch, data, order):
         assert (r.n_words, sum(r.by_order)) == (want[r.doc_id][0],) * 2 and abs(r.log_score - want[r.doc_id][1]) < 1e-5
 
 
+def test_backoff_with_all_ngrams(spark, data):
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    want = brute.backoff(rows, 3, least=1)
+    got = LM.lm_scores(df, least=1).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, sum(r.by_order)) == (want[r.doc_id][0],) * 2 and abs(r.log_score - want[r.doc_id][1]) < 1e-5
+        assert r.by_order[0] == min(1, r.n_words) and r.by_order[1] == min(1, max(0, r.n_words - 1))
+
+
 def test_backoff_edge_cases(spark):
     rows = [(1, "a b a b a b"), (1, "a b a b a b"), (2, None), (3, ""), (None, "a"), (4, "b " * 5000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_words int").repartition(2)
