@@ -9,7 +9,7 @@ share taken out of its host's; none of them trusts a tag more than it has been r
     log P(l | page) = text + log P(declared | l) + log P(suffix | l) + log P(code | l) + log prior(l | host)
 
 The text model is learnt from labelled documents: of each language those with the least hashed ids,
-about ``SAMPLE`` of them at most (the bound is a parameter; languages: the ``LANGUAGES`` most frequent).
+about ``SAMPLE`` of them at most (the bound is a parameter), and of every language that has any.
 N-grams of 1 to 3 bytes of lower-cased words are hashed to 2^16 cells. Text likelihoods are tempered,
 as n-grams of a text depend on each other.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.shared import materialise, slices, text_column
 
-SAMPLE, LANGUAGES, CELLS = 2_000, 64, 1 << 16
+SAMPLE, CELLS = 2_000, 1 << 16
 #: Strength of each level's prior in pages, and the share of the text's log likelihood that counts, at most MOST nats between languages.
 STRENGTH, TEMPER, MOST = 8.0, 0.25, 60.0
 
@@ -100,15 +101,15 @@ class TextModel:
         return np.maximum(out, -MOST)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> TextModel | None:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel | None:
     """The text model of labelled documents (doc_id, text, lang)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    found = rows.groupBy("lang").count().collect()
     if not found:
         return None
     names = sorted(r["lang"] for r in found)
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    chosen = rows.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -119,11 +120,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Te
                     got = np.bincount(cells(buf[at : at + (1 << 20)]).ravel(), minlength=CELLS)
                     total[lang] = total[lang] + got if lang in total else got
         for lang, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([x.astype(np.int64).tobytes()], pa.binary())], ["lang", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1)], pa.binary())], ["lang", "cells"])
 
-    counts = np.zeros((CELLS, len(names)))
+    counts, at = np.zeros((CELLS, len(names))), {x: i for i, x in enumerate(names)}
     for r in chosen.coalesce(8).mapInArrow(count, "lang string, cells binary").collect():  # 8 tasks x languages rows at most
-        counts[:, names.index(r.lang)] += np.frombuffer(bytes(r.cells), np.int64)
+        counts[:, at[r.lang]] += np.frombuffer(zlib.decompress(bytes(r.cells)), np.int64)
     return TextModel(counts, names)
 
 

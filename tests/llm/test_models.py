@@ -42,6 +42,17 @@ def test_priors_and_tags_decide_where_the_text_does_not(text_model, spark):
     assert LG.identify(df, None).where("language is null").count() == len(rows)
 
 
+def test_every_labelled_language_counts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b for a in letters[:10] for b in letters[:7]]
+    text = lambda n: f"{n}{n} {n[::-1]}{n} {n}q{n} " * 20
+    docs = spark.createDataFrame([(i, text(n), n) for i, n in enumerate(names * 2) if i < 140 - (n == "jg")], "doc_id long, text string, lang string")
+    model = LG.fit(docs)
+    assert model.names == names
+    pages = spark.createDataFrame([(1, None, f"<p>{text('jg')}</p>"), (2, None, f"<p>{text('ac')}</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.language for r in LG.identify(pages, model).collect()} == {1: "jg", 2: "ac"}
+
+
 def test_page_parts():
     assert LG.address("https://user@m.Blog.example.co.uk:8080/de-AT/x?q#f") == ("m.blog.example.co.uk", "blog.example.co.uk", "co.uk", "uk", "de")
     assert LG.address("") == ("", "", "", "", "") and LG.address("http://10.0.0.1/fr/") == ("10.0.0.1", "10.0.0.1", "10.0.0.1", "", "fr")
