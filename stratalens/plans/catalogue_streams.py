@@ -26,7 +26,7 @@ def _run(s, df, mode="complete"):
 
 @query("select cast(event_id // 100 as bigint) as chunk, count(*) as n, round(sum(value), 6) as total from events group by 1")
 def stream_chunk_counts(s, d):
-    return _run(s, ST.chunk_counts(_stream(s, d), "event_id", 100, "value"))
+    return ST.run_to_table(ST.chunk_counts(_stream(s, d), "event_id", 100, "value"), "chunks")
 
 
 @query("with x as (select event_id, row_number() over (order by event_id) - 1 as i, count(*) over () as n from events) select event_id, cast(i as bigint) as row_idx from x where (i - (3 * (n // 20)) % n + n) % n < n // 4")
@@ -50,7 +50,7 @@ def stream_sliding(s, d):
 @query("""with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval '2 hours' then 0 else 1 end as fresh from events), r as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as run from g)
 select user_id, min(ts) as start, count(*) as n from r group by user_id, run""")
 def stream_session(s, d):
-    return _run(s, ST.sessions(_stream(s, d), "ts", "2 hours", ["user_id"])).select("user_id", "start", "n")
+    return ST.run_to_table(ST.sessions(_stream(s, d), "ts", "2 hours", ["user_id"]), "sessions").select("user_id", "start", "n")
 
 
 @query("select event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1")

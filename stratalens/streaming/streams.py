@@ -5,6 +5,8 @@ Each function works on a streaming or a batch DataFrame alike, or says so.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,3 +68,22 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     q = (w.foreachBatch(each) if each else w.format("memory").queryName(name)).start()
     q.awaitTermination()
     return None if each else spark.table(name)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now and give its result as a Parquet table in the shared folder, for results that grow with the input.
+
+    Each batch is written to a folder of its own; in complete mode the last one is the result.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalens-")
+    path = f"{shared.rstrip('/')}/stratalens/{name}-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(f"{path}/{number}")
+
+    run_available(spark, stream, name, mode, each=write)
+    done = done[-1:] if mode == "complete" else list(dict.fromkeys(done))
+    return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)

@@ -110,3 +110,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.format("frames").option("frames", 250).load().count() == 250
     names = spark.createDataFrame([("/d/img.nii.gz",)], "p string").select(sinks.file_name(F.col("p"), "seg")).first()[0]
     assert names == "img/img_seg.nii.gz"
+
+
+def test_streams_that_grow_leave_the_driver(spark, data):
+    from stratalens.plans.catalogue import QUERIES
+
+    for name in ("stream_chunk_counts", "stream_session"):
+        df = QUERIES[name](spark, data)
+        files = df.inputFiles()
+        assert files and all("/stratalens/" in f and f.endswith(".parquet") for f in files) and df.count()
