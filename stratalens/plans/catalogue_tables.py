@@ -225,7 +225,9 @@ def histogram_equalize(s, d):
 @query("select md5(concat('7:', event_id)) as shuffle_key, event_id, cast((row_number() over (order by md5(concat('7:', event_id))) - 1) % 4 as int) as rank from events")
 def distributed_sampler(s, d):
     x = D.row_index(D.hash_shuffle(t(s, d, "events").select("event_id"), "event_id", 7), ["shuffle_key"])
-    return x.select("shuffle_key", "event_id", F.pmod("row_idx", F.lit(4)).cast("int").alias("rank"))
+    n = x.count()
+    x = D.partition_even(x, 4, n) if n else D.partition_strided(x, 4)
+    return x.select("shuffle_key", "event_id", F.col("part").alias("rank"))
 
 
 @query("""with x as (select l_orderkey, l_linenumber, sum(l_quantity) over (order by l_orderkey, l_linenumber) hi, l_quantity w, sum(l_quantity) over () total from lineitem), u as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95])::double as u)

@@ -112,6 +112,19 @@ def test_sources_and_sinks(spark, tmp_path):
     assert names == "img/img_seg.nii.gz"
 
 
+@pytest.mark.parametrize("n", [0, 3, 6, 8])
+def test_sampler_ranks_have_one_size(spark, tmp_path, n):
+    from stratalens.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(i,) for i in range(n)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    rows = sorted(QUERIES["distributed_sampler"](spark, str(tmp_path)).collect(), key=lambda r: r.rank)
+    assert [r.rank for r in rows] == [k for k in range(4) for _ in range(-(-n // 4))]
+    assert {r.event_id for r in rows} == set(range(n))
+    if n == 6:  # the first two in shuffled order start over
+        first = sorted({(r.shuffle_key, r.event_id) for r in rows})[:2]
+        assert [sum(r.event_id == i for r in rows) for _, i in first] == [2, 2]
+
+
 def test_streams_that_grow_leave_the_driver(spark, data):
     from stratalens.plans.catalogue import QUERIES
 
