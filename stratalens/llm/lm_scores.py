@@ -1,24 +1,25 @@
 """Language-model scores with stupid backoff, computed relationally (operator 10).
 
-The model is the corpus' own table of n-gram counts: n-grams of up to ``ORDER`` words with how often
-they occur in all documents, those of two words or more from ``least`` occurrences on (2 in the query, as
-in its SQL; 1 for all). A word's score is
+The model of a document is the n-gram counts of all *other* documents: from the corpus' counts of
+n-grams of up to ``ORDER`` words the document's own are taken away (leave-one-out). Otherwise every
+n-gram of a document would be known from the document itself and nothing ever back off. A word's score is
 
-    S(w | context) = count(context w) / count(context)   if the n-gram is in the table,
-                     0.4 x S(w | shorter context)         otherwise; at last count(w) / all words,
+    S(w | context) = count(context w) / count(context)   if the n-gram stands elsewhere (``least`` times or more),
+                     0.4 x S(w | shorter context)         otherwise; at last count(w) / words elsewhere,
+                                                          and 0.4 / words elsewhere for a word that stands nowhere else,
 
-and a document's is the sum of their logarithms.
+and a document's is the sum of their logarithms. Copies of a document are other documents.
 
-Count tables are partitioned by hash: the top bits of an n-gram's hash name its bucket. A block of
-documents explodes its n-grams, sums equal ones, and sends each bucket the sorted keys (as byte
+Count tables are partitioned by hash: the top bits of an n-gram's 64-bit hash name its bucket. A block
+of documents explodes its n-grams, sums equal ones, and sends each bucket the sorted keys (as byte
 planes of their differences) with its counts. A bucket sums the counts of a key over all blocks and
 joins the sums back to the blocks' keys. So a key reaches its bucket once for each block, however
 frequent it is. The answers meet the block's texts again, where each word's n-grams pick up their
-counts and are summed per document. A key has 46 bits besides those of its bucket, so one in some
-ten million n-grams shares its count with another.
+counts and are summed per document. The chance that any two of a million n-grams share a hash is 3 in 10^8.
 
-Blocks are cut from partitions as they are read; a plan that shuffles is written to the shared folder
-first, so that a second reading cuts the same blocks. An answer that finds no block is an error.
+Blocks are cut from partitions as they are read; unless the plan only reads and projects files, it is
+written to the shared folder first, so that a second reading cuts the same blocks. An answer that
+finds no block is an error.
 
 Words are as written. Null and empty texts: no words, log_score 0, mean_log_score and perplexity null.
 Repeated rows count as often as they stand there. A null doc_id is carried.
@@ -26,6 +27,7 @@ Repeated rows count as often as they stand there. A null doc_id is carried.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,11 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import batches, doc_rows, input_bytes, materialise, mix, slices, words
+from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, materialise, mix, slices, words
 
-ORDER, BACKOFF, LEAST = 3, 0.4, 2
-#: Bytes of text of a block, bytes of stored input that meet in a bucket, key bits besides the bucket's.
-BLOCK_BYTES, BUCKET_BYTES, KEY_BITS = 6 << 20, 4 << 20, 46
+ORDER, BACKOFF, LEAST = 3, 0.4, 1
+#: Bytes of text of a block, bytes of stored input that meet in a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 
 _rng = np.random.default_rng(0x10A)
 _PLACE = _rng.integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -62,15 +64,19 @@ def grams(h: np.ndarray, woff: np.ndarray, order: int) -> tuple[np.ndarray, list
     return np.concatenate(keys), ends
 
 
-def planes(x: np.ndarray, n_bytes: int) -> bytes:
-    """Numbers as byte planes, lowest first; high planes are mostly zeros and pack well."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T).tobytes()
+def pack(x: np.ndarray, even: int = 0) -> bytes:
+    """Whole numbers as byte planes, lowest first: ``even`` low planes, which hold noise, as they are, the others deflated."""
+    n = len(x)
+    width = max(even, (int(x.max()).bit_length() + 7) // 8) if n else even
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return struct.pack("<IBB", n, width, even) + raw[: even * n] + zlib.compress(raw[even * n :], 1)
 
 
-def unplanes(raw: bytes, n_bytes: int) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(n_bytes, -1)
-    out = np.zeros((part.shape[1], 8), np.uint8)
-    out[:, :n_bytes] = part.T
+def unpack(raw: bytes) -> np.ndarray:
+    n, width, even = struct.unpack_from("<IBB", raw)
+    body = raw[6 : 6 + even * n] + zlib.decompress(raw[6 + even * n :])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
     return out.view("<u8")[:, 0]
 
 
@@ -91,7 +97,6 @@ class Block:
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """(sorted distinct keys, counts, number of each n-gram's key, n-grams that end at each word)."""
         keys, ends = grams(self.h, self.woff, self.order)
-        keys >>= np.uint64(64 - KEY_BITS - self.bits)
         by = np.argsort(keys)
         s = keys[by]
         new = np.ones(len(s), bool)
@@ -122,18 +127,20 @@ def _ask(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.Rec
         keys, counts, _, _ = b.table()
         if not len(keys):
             continue
-        bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
-        low = keys & np.uint64((1 << KEY_BITS) - 1)
+        rest = 64 - bits
+        bucket = (keys >> np.uint64(rest)).astype(np.int32)
+        low = keys & np.uint64((1 << rest) - 1)
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(keys))
         starts = np.append(0, ends[:-1])
         step = np.diff(low, prepend=np.uint64(0))
         step[starts] = low[starts]
+        spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[starts]),
                 pa.array(np.full(len(ends), b.number), pa.int64()),
-                pa.array([planes(step[i:j], 6) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                pa.array([planes(counts[i:j], 4) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                pa.array([pack(step[i:j], max(0, (rest - (j - i).bit_length()) // 8)) for i, j in spans], pa.binary()),
+                pa.array([pack(counts[i:j]) for i, j in spans], pa.binary()),
             ],
             ["bucket", "block", "keys", "counts"],
         )
@@ -143,18 +150,18 @@ def _answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the counts of each key over the blocks of a bucket, back to each block in the order of its keys."""
 
     def joined(rows: list[dict]) -> pa.RecordBatch:
-        keys = [np.cumsum(unplanes(r["keys"], 6), dtype=np.uint64) for r in rows]
+        keys = [np.cumsum(unpack(r["keys"]), dtype=np.uint64) for r in rows]
         ends = np.cumsum([len(k) for k in keys])
         every = np.concatenate(keys)
         by = np.argsort(every, kind="stable")
         s = every[by]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
-        counts = np.concatenate([unplanes(r["counts"], 4) for r in rows])[by]
+        counts = np.concatenate([unpack(r["counts"]) for r in rows])[by]
         sums = np.add.reduceat(counts, np.flatnonzero(new))
         out = np.empty(len(s), np.uint64)
         out[by] = sums[np.cumsum(new) - 1]
-        parts = [planes(x, 5) for x in np.split(out, ends[:-1])]
+        parts = [pack(x) for x in np.split(out, ends[:-1])]
         return pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(parts, pa.binary())], ["bucket", "block", "sums"])
 
     held: list[dict] = []
@@ -176,30 +183,43 @@ def _pack(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["block", "ids", "no_id", "lengths", "texts"])
 
 
-def log_scores(sums: np.ndarray, number: np.ndarray, ends: list[np.ndarray], n_words: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(log score of each word but for the size of the corpus where a word backs off to itself, order of the n-gram that it took).
+def own_counts(number: np.ndarray, ends: list[np.ndarray], doc: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """For each order, how often the n-gram that ends at a word stands in the word's own document (0 where none ends)."""
+    out = []
+    for end in ends:
+        own = np.zeros(len(end), np.int64)
+        at = np.flatnonzero(end >= 0)
+        if len(at):
+            pair = number[end[at]].astype(np.int64) * n_docs + doc[at]
+            by = np.argsort(pair, kind="stable")
+            p = pair[by]
+            first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            n = np.diff(np.append(first, len(p)))
+            own[at[by]] = np.repeat(n, n)
+        out.append(own)
+    return out
 
-    ``sums`` are the corpus counts of the block's keys, ``ends`` tells which n-gram ends at each word.
+
+def log_scores(sums: np.ndarray, number: np.ndarray, ends: list[np.ndarray], own: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(log score of each word but for the number of words elsewhere where a word backs off to itself, order of the n-gram that it took; 0 for a word that stands nowhere else).
+
+    ``sums`` are the corpus counts of the block's keys, ``ends`` tells which n-gram ends at each word, ``own`` how often it stands in the document.
     """
-    n = len(n_words)
-    out, took = np.zeros(n), np.zeros(n, np.int8)
-    done = np.zeros(n, bool)
+    n = len(ends[0])
+    out, took, done = np.zeros(n), np.zeros(n, np.int8), np.zeros(n, bool)
     for o in range(len(ends) - 1, -1, -1):
-        end = ends[o]
-        ok = ~done & (end >= 0)
-        count = np.zeros(n)
-        count[ok] = sums[number[end[ok]]]
+        there = ~done & (ends[o] >= 0)
+        at = np.flatnonzero(there)
+        count = sums[number[ends[o][at]]] - own[o][at]
+        ok = count >= (least if o else 1)
+        hit = at[ok]
+        out[hit] += np.log(count[ok])
         if o:
-            hit = ok & (count >= least)
-            before = np.flatnonzero(hit) - 1
-            context = sums[number[ends[o - 1][before]]].astype(float)
-            out[hit] += np.log(count[hit]) - np.log(context)
-            out[~done & ~hit & (end >= 0)] += np.log(BACKOFF)
-        else:
-            hit = ok
-            out[hit] += np.log(count[hit])
+            # The context is the n-gram of one word less that ends a word earlier; elsewhere it stands at least as often.
+            out[hit] -= np.log(sums[number[ends[o - 1][hit - 1]]] - own[o - 1][hit - 1])
+        out[at[~ok]] += np.log(BACKOFF)
         took[hit] = o + 1
-        done |= hit
+        done[hit] = True
     return out, took
 
 
@@ -219,12 +239,12 @@ def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int, least: int) -> Ite
             n_words[i:j] = np.diff(woff)
         b.h, b.woff, b.order, b.bits = np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(n_words)]), order, bits
         keys, _, number, ends = b.table()
-        sums = np.concatenate([unplanes(x, 5) for x in answers]) if answers else np.zeros(0, np.uint64)
+        sums = np.concatenate([unpack(x) for x in answers]) if answers else np.zeros(0, np.uint64)
         if len(sums) != len(keys):
             raise RuntimeError("answers don't match a block: the input was read in another order the second time")
-        logs, took = log_scores(sums.astype(np.int64), number, ends, b.h, least)
         doc = np.repeat(np.arange(len(ids)), n_words)
-        by_order = [np.bincount(doc[took == o], minlength=len(ids)) for o in range(1, order + 1)]
+        logs, took = log_scores(sums.astype(np.int64), number, ends, own_counts(number, ends, doc, len(ids)), least)
+        by_order = [np.bincount(doc[took == o], minlength=len(ids)) for o in range(order + 1)]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=none.astype(bool)), pa.array(n_words), pa.array(np.bincount(doc, logs, len(ids))), pa.array(np.stack(by_order, axis=1).tolist(), pa.list_(pa.int64()))],
             ["doc_id", "n_words", "log_part", "by_order"],
@@ -246,23 +266,34 @@ def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int, least: int) -> Ite
         yield scored(block, answers)
 
 
+def _only_reads(rows: DataFrame) -> bool:
+    """Whether a plan projects and filters one file scan, and so cuts the same blocks whenever it runs."""
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """doc_id, n_words, log_score (natural), mean_log_score, perplexity, by_order (words scored by 1-, 2-, ... grams) of each document; n-grams of two words or more count from ``least`` occurrences on, 1 for all."""
-    rows = doc_rows(docs)
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = materialise(rows, "documents")
-    n = max(8, min(1 << 20, input_bytes(docs) // BUCKET_BYTES))
-    bits = (n - 1).bit_length()
-    parts = min(1 << bits, 20_000)
+    """doc_id, n_words, log_score (natural), mean_log_score, perplexity, by_order (words scored by no, by 1-, 2-, ... grams) of each document; n-grams of two words or more count from ``least`` occurrences elsewhere on."""
+    rows, own = doc_rows(docs), None
+    if not _only_reads(rows):
+        rows = own = materialise(rows, "documents")
+    size = max(8, input_bytes(docs) // BUCKET_BYTES)
+    bits = min(30, (size - 1).bit_length())  # a bucket's number is an int; 2^30 buckets of 4 MB are 4 PiB
+    parts = min(1 << bits, 20_000)  # partitions only: a task takes one bucket after the other
     asked = rows.mapInArrow(lambda it: _ask(it, order, bits), "bucket int, block long, keys binary, counts binary")
     answers = asked.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(_answer, "bucket int, block long, sums binary")
     texts = rows.mapInArrow(lambda it: _pack(it, order, bits), "block long, ids binary, no_id binary, lengths binary, texts binary")
     both = texts.unionByName(answers, allowMissingColumns=True)
-    homes = int(max(8, min(20_000, input_bytes(docs) // BUCKET_BYTES)))
+    homes = int(min(20_000, size))  # partitions only: a task takes one block after the other
     both = both.repartitionById(homes, F.pmod(F.col("block"), F.lit(homes)).cast("int")).sortWithinPartitions("block", F.col("bucket").asc_nulls_first())
     part = materialise(both.mapInArrow(lambda it: _sum(it, order, bits, least), "doc_id long, n_words long, log_part double, by_order array<long>"), "scores")
+    if own is not None:
+        forget(own)
     total = part.agg(F.sum("n_words")).first()[0] or 0
-    log_score = F.col("log_part") - F.col("by_order")[0] * F.log(F.lit(float(max(1, total))))
+    elsewhere = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
+    log_score = F.col("log_part") - (F.col("by_order")[0] + F.col("by_order")[1]) * F.log(elsewhere)
     some = F.col("n_words") > 0
     mean = F.when(some, log_score / F.col("n_words"))
     return part.select("doc_id", "n_words", F.round(log_score, 6).alias("log_score"), F.round(mean, 9).alias("mean_log_score"), F.round(F.exp(-mean), 6).alias("perplexity"), "by_order")

@@ -57,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lm_scores.lm_scores(read_table(spark, sf_dir, "documents"))
-    return x.select("doc_id", "n_words", "log_score", "mean_log_score", "perplexity", *[F.col("by_order")[i].alias(f"n_by_{i + 1}") for i in range(lm_scores.ORDER)])
+    return x.select("doc_id", "n_words", "log_score", "mean_log_score", "perplexity", *[F.col("by_order")[i].alias(f"n_by_{i}") for i in range(lm_scores.ORDER + 1)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,12 +98,14 @@ select c.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.doc_id = c.co
     "op10_lm_scores": f"""
 with d as (select doc_id, {WORDS} as ws from documents),
 w as materialized (select doc_id, i, ws[i] as w3, case when i > 1 then ws[i - 1] end as w2, case when i > 2 then ws[i - 2] end as w1 from d, unnest(range(1, len(ws) + 1)) as u(i)),
-c1 as materialized (select w3, count(*) as n from w group by 1), c2 as materialized (select w2, w3, count(*) as n from w where w2 is not null group by 1, 2), c3 as materialized (select w1, w2, w3, count(*) as n from w where w1 is not null group by 1, 2, 3),
-total as (select count(*)::double as n from w),
-t as (select w.doc_id, case when c3.n >= 2 then 3 when c2.n >= 2 then 2 else 1 end as o, case when c3.n >= 2 then ln(c3.n / h2.n) else case when w.w1 is not null then ln(0.4) else 0 end + case when c2.n >= 2 then ln(c2.n / h1.n) else case when w.w2 is not null then ln(0.4) else 0 end + ln(c1.n / total.n) end end as s
-from w join c1 on w.w3 = c1.w3 left join c2 on w.w2 = c2.w2 and w.w3 = c2.w3 left join c3 on w.w1 = c3.w1 and w.w2 = c3.w2 and w.w3 = c3.w3 left join c1 h1 on h1.w3 = w.w2 left join c2 h2 on h2.w2 = w.w1 and h2.w3 = w.w2, total),
-g as (select doc_id, sum(s) as s, count(*) as n, count(*) filter (where o = 1) as n1, count(*) filter (where o = 2) as n2, count(*) filter (where o = 3) as n3 from t group by 1)
-select d.doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 9) as mean_log_score, round(exp(-s / n), 6) as perplexity, coalesce(n1, 0) as n_by_1, coalesce(n2, 0) as n_by_2, coalesce(n3, 0) as n_by_3 from d left join g using (doc_id)""",
+o1 as materialized (select doc_id, w3, count(*) as n from w group by all), o2 as materialized (select doc_id, w2, w3, count(*) as n from w where w2 is not null group by all), o3 as materialized (select doc_id, w1, w2, w3, count(*) as n from w where w1 is not null group by all),
+a1 as materialized (select w3, sum(n) as n from o1 group by 1), a2 as materialized (select w2, w3, sum(n) as n from o2 group by 1, 2), a3 as (select w1, w2, w3, sum(n) as n from o3 group by 1, 2, 3),
+e1 as materialized (select o1.doc_id, w3, cast(a1.n - o1.n as bigint) as n from o1 join a1 using (w3)), e2 as materialized (select o2.doc_id, w2, w3, cast(a2.n - o2.n as bigint) as n from o2 join a2 using (w2, w3)), e3 as materialized (select o3.doc_id, w1, w2, w3, cast(a3.n - o3.n as bigint) as n from o3 join a3 using (w1, w2, w3)),
+total as (select count(*) as n from w), size as (select doc_id, count(*) as m from w group by 1),
+t as (select w.doc_id, case when c3.n > 0 then 3 when c2.n > 0 then 2 when c1.n > 0 then 1 else 0 end as o, case when c3.n > 0 then ln(c3.n / h2.n) else case when w.w1 is not null then ln(0.4) else 0 end + case when c2.n > 0 then ln(c2.n / h1.n) else case when w.w2 is not null then ln(0.4) else 0 end + case when c1.n > 0 then ln(c1.n) else ln(0.4) end - ln(greatest(total.n - size.m, 1)) end end as s
+from w join size using (doc_id) join e1 c1 on w.doc_id = c1.doc_id and w.w3 = c1.w3 left join e2 c2 on w.doc_id = c2.doc_id and w.w2 = c2.w2 and w.w3 = c2.w3 left join e3 c3 on w.doc_id = c3.doc_id and w.w1 = c3.w1 and w.w2 = c3.w2 and w.w3 = c3.w3 left join e1 h1 on h1.doc_id = w.doc_id and h1.w3 = w.w2 left join e2 h2 on h2.doc_id = w.doc_id and h2.w2 = w.w1 and h2.w3 = w.w2, total),
+g as (select doc_id, sum(s) as s, count(*) as n, count(*) filter (where o = 0) as n0, count(*) filter (where o = 1) as n1, count(*) filter (where o = 2) as n2, count(*) filter (where o = 3) as n3 from t group by 1)
+select d.doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 9) as mean_log_score, round(exp(-s / n), 6) as perplexity, coalesce(n0, 0) as n_by_0, coalesce(n1, 0) as n_by_1, coalesce(n2, 0) as n_by_2, coalesce(n3, 0) as n_by_3 from d left join g using (doc_id)""",
 }
 
 

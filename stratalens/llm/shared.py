@@ -7,7 +7,9 @@ object is made for a word.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,6 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 _own: list[str] = []
+_folders: set[str] = set()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(0x5EED)
@@ -109,6 +112,23 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nda
     return mix(np.add.reduceat(value, starts)), woff
 
 
+class Memo(dict):
+    """A worker's memo of a function of strings; bounded by bytes, it starts anew when full, and long strings are never kept."""
+
+    def __init__(self, make, most_bytes: int = 24 << 20, longest: int = 64) -> None:
+        self.make, self.most, self.longest, self.size = make, most_bytes, longest, 0
+
+    def __missing__(self, key: str):
+        found = self.make(key)
+        if len(key) <= self.longest:
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
+            self.size += 200 + 4 * len(key)
+            self[key] = found
+        return found
+
+
 def release() -> None:
     """Give memory that a worker has freed back to the system; workers live for many tasks."""
     pa.default_memory_pool().release_unused()
@@ -142,13 +162,21 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x if x < 1 << 60 else 64 << 20 for x in sizes)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own only where all run on one machine and the session names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="stratalens-"))
         found = _own[0]
@@ -156,21 +184,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    The table lies in a folder of this application, which goes when the driver ends; ``forget`` deletes it sooner.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stratalens/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/stratalens/" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception as e:  # the driver's JVM may have ended; what is left is a folder of an ended application
+        logging.getLogger(__name__).info("left %s: %s", path, e)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_written", None):
+            _delete(df.sparkSession, df._written)
 
 
 def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -55,17 +55,26 @@ def near(rows: list[tuple], k: int, percent: int) -> dict:
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def backoff(rows: list[tuple], order: int, least: int = 2, factor: float = 0.4) -> dict:
-    """doc_id: (words, log score)."""
+def backoff(rows: list[tuple], order: int, least: int = 1, factor: float = 0.4) -> dict:
+    """doc_id: (words, log score, words by order) by the counts of the other documents."""
     words = {i: (t or "").encode().split() for i, t in rows}
-    counts = Counter(tuple(w[i : i + o]) for w in words.values() for o in range(1, order + 1) for i in range(len(w) - o + 1))
+    grams = {i: Counter(tuple(w[k : k + o]) for o in range(1, order + 1) for k in range(len(w) - o + 1)) for i, w in words.items()}
+    counts: Counter = sum(grams.values(), Counter())
     total = sum(map(len, words.values()))
 
-    def score(w, i, o):
-        o = min(o, i + 1)
+    def score(i, k, o):
+        w, n = words[i], lambda g: counts[g] - grams[i][g]
+        o = min(o, k + 1)
+        g = tuple(w[k - o + 1 : k + 1])
         if o == 1:
-            return counts[(w[i],)] / total
-        g = tuple(w[i - o + 1 : i + 1])
-        return counts[g] / counts[g[:-1]] if counts[g] >= least else factor * score(w, i, o - 1)
+            return (n(g) or factor) / max(1, total - len(w)), int(n(g) > 0)
+        if n(g) >= least:
+            return n(g) / n(g[:-1]), o
+        x, took = score(i, k, o - 1)
+        return factor * x, took
 
-    return {i: (len(w), sum(math.log(score(w, k, order)) for k in range(len(w)))) for i, w in words.items()}
+    out = {}
+    for i, w in words.items():
+        got = [score(i, k, order) for k in range(len(w))]
+        out[i] = (len(w), sum(math.log(x) for x, _ in got), [sum(t == o for _, t in got) for o in range(order + 1)])
+    return out

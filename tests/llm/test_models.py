@@ -113,34 +113,52 @@ def test_toxicity_edge_cases(spark):
     assert TX.score(docs.limit(0), {}, [0.0] * 10).count() == 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff_scores(spark, monkeypatch, data, order):
+@pytest.mark.parametrize(("order", "least"), [(1, 1), (2, 1), (3, 1), (3, 2)])
+def test_backoff_scores(spark, monkeypatch, data, order, least):
     monkeypatch.setattr(LM, "BLOCK_BYTES", 100_000)
     df = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    want = brute.backoff(rows, order)
-    got = LM.lm_scores(df, order).collect()
+    want = brute.backoff(rows, order, least)
+    got = LM.lm_scores(df, order, least).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r.n_words, sum(r.by_order)) == (want[r.doc_id][0],) * 2 and abs(r.log_score - want[r.doc_id][1]) < 1e-5
-
-
-def test_backoff_with_all_ngrams(spark, data):
-    df = spark.read.parquet(f"{data}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    want = brute.backoff(rows, 3, least=1)
-    got = LM.lm_scores(df, least=1).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.n_words, sum(r.by_order)) == (want[r.doc_id][0],) * 2 and abs(r.log_score - want[r.doc_id][1]) < 1e-5
-        assert r.by_order[0] == min(1, r.n_words) and r.by_order[1] == min(1, max(0, r.n_words - 1))
+        assert (r.n_words, list(r.by_order)) == (want[r.doc_id][0], want[r.doc_id][2]) and abs(r.log_score - want[r.doc_id][1]) < 1e-5
 
 
 def test_backoff_edge_cases(spark):
-    rows = [(1, "a b a b a b"), (1, "a b a b a b"), (2, None), (3, ""), (None, "a"), (4, "b " * 5000)]
+    rows = [(1, "a b a b a b"), (1, "a b a b a b"), (2, None), (3, ""), (None, "a"), (4, "b " * 5000), (5, "only here")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_words int").repartition(2)
     got = LM.lm_scores(df).collect()
     want = brute.backoff([(i, t) for i, (_, t) in enumerate(rows)], 3)
-    assert sorted(round(r.log_score, 4) for r in got) == sorted(round(x, 4) for _, x in want.values())
+    assert sorted(round(r.log_score, 4) for r in got) == sorted(round(x[1], 4) for x in want.values())
     assert all(r.mean_log_score is None for r in got if r.n_words == 0)
     assert LM.lm_scores(df.limit(0)).count() == 0
+    alone = LM.lm_scores(df.where("doc_id = 5")).first()
+    assert list(alone.by_order) == [2, 0, 0, 0]
+
+
+@pytest.mark.parametrize("bits", [3, 8, 17, 18, 19, 24, 30])
+def test_buckets_of_any_number_keep_whole_keys(bits):
+    """As many buckets as petabytes need: the answers to a block's question are its own counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(random.Random(k).choice(["a", "b", "c", "dd"]) + str(j % 7) for j in range(300)) for k in range(5)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), texts], ["doc_id", "text"])
+    (block,) = LM.blocks(iter([batch]), 3, bits, False)
+    keys, counts, _, _ = block.table()
+    (asked,) = LM._ask(iter([batch]), 3, bits)
+    assert max(asked.column("bucket").to_pylist()) < 1 << bits
+    answers = [LM.unpack(x) for a in LM._answer(iter([asked])) for x in a.column("sums").to_pylist()]
+    assert (np.concatenate(answers) == counts).all() and len(np.unique(keys)) == len(keys)
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for top in (0, 1, 255, 256, 1 << 40, (1 << 63) + 5):
+        x = rng.integers(0, top + 1, 50, dtype=np.uint64)
+        for even in (0, 3, 8):
+            assert (LM.unpack(LM.pack(x, even)) == x).all()
+    assert len(LM.unpack(LM.pack(np.zeros(0, np.uint64)))) == 0
