@@ -13,8 +13,15 @@ about ``SAMPLE`` of them at most (the bound is a parameter), and of every langua
 N-grams of 1 to 3 bytes of lower-cased words are hashed to 2^16 cells. Text likelihoods are tempered,
 as n-grams of a text depend on each other.
 
-Null or empty html or url: no evidence of that kind. Pages without any text get tags and priors only.
-No labelled documents: language null. Repeated rows give repeated results.
+Hosts, with the sums of their parents, domains and suffixes, are a table of their own, which pages join
+once: hosts that hold more than a thousandth of the pages (a thousand at most) by broadcast, the others
+by a shuffle, so no task gets all pages of a large host. The tables of declarations and codes are
+bounded by their letters (18,253 and 677 rows).
+
+Pages are parsed in one forward pass, whatever they hold. Null or empty html or url: no evidence of that
+kind. Pages without any text get tags and priors only. Of equally likely languages the first by name is
+taken. No labelled documents: language null. Repeated rows give repeated results, a null page_id is
+carried; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +29,6 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,23 +42,64 @@ SAMPLE, CELLS = 2_000, 1 << 16
 #: Strength of each level's prior in pages, and the share of the text's log likelihood that counts, at most MOST nats between languages.
 STRENGTH, TEMPER, MOST = 8.0, 0.25, 60.0
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|nav|aside|footer)\b.*?</\1\s*>|<div[^>]*class=[\"']?(?:ad|ads|advert|banner)\b.*?</div\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = (re.compile(r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})\b"), re.compile(r"(?is)<meta\b[^>]*?(?:content-language|og:locale)[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b"))
+#: Elements that hold nothing to read, and classes of those that hold advertisements.
+HIDDEN = ("script", "style", "noscript", "template", "nav", "aside", "footer")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in (*HIDDEN, "div")}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*+")
+_ADVERT = re.compile(r"(?i)class=[\"']?(?:ads?|advert|banner)\b")
+_LANG = re.compile(r"(?i)\b(?:xml:)?lang\s*+=\s*+[\"']?([a-z]{2,3})(?![a-z])")
+_META = re.compile(r"(?i)content-language|og:locale")
+_CONTENT = re.compile(r"(?i)content\s*+=\s*+[\"']?([a-z]{2,3})(?![a-z])")
+_LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 _CODE = re.compile(r"/([a-z]{2})(?:[-_][A-Za-z]{2})?(?=/|$)")
 
 
-def page_text(source: str) -> str:
-    """What a reader sees of a page, without scripts, navigation and advertisements."""
-    return html_lib.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", source))).strip()
-
-
-def declared(source: str) -> str:
-    for p in _DECLARED:
-        if m := p.search(source):
-            return m[1].lower()
-    return ""
+def parse(source: str) -> tuple[str, str]:
+    """(what a reader sees of a page, without scripts, navigation and advertisements; the language that its markup declares or '').
+
+    Each search goes forward from where the last one ended, and one that finds nothing isn't tried again,
+    so the time is in proportion to the page. A comment or hidden element without an end is a plain tag;
+    a tag without an end is text.
+    """
+    out: list[str] = []
+    html_lang = meta_lang = ""
+    gone: set[str] = set()  # ends that don't come any more
+    at = 0
+    while (start := source.find("<", at)) >= 0:
+        end = source.find(">", start)
+        if end < 0:
+            break
+        out.append(source[at:start])
+        at = end + 1
+        if source.startswith("<!--", start):
+            if "-->" not in gone:
+                close = source.find("-->", start + 4)
+                if close < 0:
+                    gone.add("-->")
+                else:
+                    at = close + 3
+            continue
+        m = _NAME.match(source, start + 1, end)
+        name = m[0].lower() if m and len(m[0]) <= 8 else ""
+        if name == "html" and not html_lang:
+            html_lang = m[1].lower() if (m := _LANG.search(source, start + 5, end)) else ""
+        elif name == "meta" and not meta_lang:
+            if (m := _META.search(source, start + 5, end)) and (m := _CONTENT.search(source, m.end(), end)):
+                meta_lang = m[1].lower()
+        if (name in HIDDEN or name == "div" and _ADVERT.search(source, start, end)) and name not in gone:
+            close = _CLOSE[name].search(source, at)
+            if close is None:
+                gone.add(name)
+            else:
+                at = close.end()
+    out.append(source[at:])
+    text = " ".join(out)
+    try:
+        text = html_lib.unescape(text)
+    except ValueError:  # a character number with thousands of digits
+        text = html_lib.unescape(_LONG_NUMBER.sub("\ufffd", text))
+    return text.strip(), html_lang or meta_lang
 
 
 def address(url: str) -> tuple[str, str, str, str, str]:
@@ -66,14 +113,23 @@ def address(url: str) -> tuple[str, str, str, str, str]:
     return host, ".".join(labels[1:]) if len(labels) > 2 else host, ".".join(labels[-2:]), labels[-1], code[1] if code else ""
 
 
-def cells(buf: np.ndarray) -> np.ndarray:
-    """Cells of the 1-, 2- and 3-grams that end at each byte (3 x bytes); letters in lower case, everything below 'A' a space."""
+def cells(buf: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Cells of the 1-, 2- and 3-grams that end at each byte (3 x bytes); letters in lower case, everything below 'A' a space.
+
+    No n-gram reaches over one of the ``starts`` of texts.
+    """
     low = np.where((buf >= 65) & (buf <= 90), buf + 32, np.where(buf < 65, 32, buf)).astype(np.uint32)
     one = low.copy()
     two, three = low.copy(), low.copy()
-    two[1:] |= low[:-1] << np.uint32(8)
-    three[1:] |= low[:-1] << np.uint32(8)
-    three[2:] |= low[:-2] << np.uint32(16)
+    last, last_but_one = low[:-1].copy(), low[:-2].copy()
+    if starts is not None:
+        last[starts[(starts > 0) & (starts < len(low))] - 1] = 0
+        for back in (1, 2):
+            at = starts - back
+            last_but_one[at[(starts > 0) & (at >= 0) & (at < len(last_but_one))]] = 0
+    two[1:] |= last << np.uint32(8)
+    three[1:] |= last << np.uint32(8)
+    three[2:] |= last_but_one << np.uint32(16)
     out = np.stack([one, two | np.uint32(1 << 24), three | np.uint32(2 << 24)])
     out *= np.uint32(0x9E3779B1)
     return (out >> np.uint32(16)).astype(np.int64)
@@ -93,7 +149,7 @@ class TextModel:
         out = np.zeros((n, len(self.names)))
         some = np.flatnonzero(np.diff(off))
         if len(some):
-            c = cells(buf)
+            c = cells(buf, off[:-1][some])
             for k in range(len(self.names)):
                 out[some, k] = np.add.reduceat(self.table[:, k][c].sum(axis=0, dtype=np.float64), off[:-1][some])
         out *= TEMPER / 3
@@ -103,13 +159,12 @@ class TextModel:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel | None:
     """The text model of labelled documents (doc_id, text, lang)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    found = rows.groupBy("lang").count().collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang")).where("lang is not null and doc_id is not null")
+    found = rows.groupBy("lang").count().collect()  # a row for each language
     if not found:
         return None
-    names = sorted(r["lang"] for r in found)
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).where("text is not null")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -120,11 +175,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel | None:
                     got = np.bincount(cells(buf[at : at + (1 << 20)]).ravel(), minlength=CELLS)
                     total[lang] = total[lang] + got if lang in total else got
         for lang, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1)], pa.binary())], ["lang", "cells"])
+            some = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(x[some], pa.int64())], ["lang", "cell", "n"])
 
+    table = chosen.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows for each language
+    names = sorted(set(table.column("lang").to_pylist()))
+    if not names:
+        return None
     counts, at = np.zeros((CELLS, len(names))), {x: i for i, x in enumerate(names)}
-    for r in chosen.coalesce(8).mapInArrow(count, "lang string, cells binary").collect():  # 8 tasks x languages rows at most
-        counts[:, at[r.lang]] += np.frombuffer(zlib.decompress(bytes(r.cells)), np.int64)
+    counts[table.column("cell").to_numpy(), [at[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
     return TextModel(counts, names)
 
 
@@ -142,10 +201,11 @@ def read_pages(pages: DataFrame, model: TextModel) -> DataFrame:
                 part = batch.slice(at, 200)
                 sources = [x.as_py() or "" for x in part.column("html")]
                 where = [address(x.as_py() or "") for x in part.column("url")]
-                buf, off = text_column(pa.array([page_text(x) for x in sources], pa.large_string()))
+                parsed = [parse(x) for x in sources]
+                buf, off = text_column(pa.array([t for t, _ in parsed], pa.large_string()))
                 like = np.concatenate([model.likelihoods(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)])
                 host, parent, domain, suffix, code = ([w[k] for w in where] for k in range(5))
-                cols = [part.column("page_id"), *(pa.array(x, pa.string()) for x in (host, parent, domain, suffix, code, [declared(x) for x in sources])), pa.array(np.diff(off)), pa.array(like.tolist(), pa.list_(pa.float64()))]
+                cols = [part.column("page_id"), *(pa.array(x, pa.string()) for x in (host, parent, domain, suffix, code, [x for _, x in parsed])), pa.array(np.diff(off)), pa.array(like.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -172,14 +232,25 @@ def identify(pages: DataFrame, model: TextModel | None) -> DataFrame:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), *[F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in shape.split(", ")[1:]])
     names, n = model.names, len(model.names)
     read = materialise(read_pages(pages, model).withColumn("share", _posterior(F.col("text"))), "pages")
-    sums = [F.sum(F.col("share")[k]).alias(f"s{k}") for k in range(n)]
+    sums = [F.count("*").alias("n"), *[F.sum(F.col("share")[k]).alias(f"s{k}") for k in range(n)]]
+    again = [F.sum(c).alias(c) for c in ("n", *[f"s{k}" for k in range(n)])]
     as_array = F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n)])
-    everything = read.groupBy().agg(*sums).first()
-    out = read.withColumn("all", F.array(*[F.lit(float(x or 0.0)) for x in everything]))
-    for c in (*EVIDENCE, *LEVELS):
-        t = read.groupBy(c).agg(*sums).select(F.col(c).alias(f"_{c}"), as_array.alias(f"{c}_sums"))
-        out = out.join(t, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
-    kinds = read.agg(*[F.countDistinct(c).alias(c) for c in EVIDENCE]).first()
+    table = lambda t, c: t.select(c, as_array.alias(f"{c}_sums"))
+    hosts = materialise(read.groupBy(*LEVELS, "suffix").agg(*sums), "hosts")  # a host has one parent, domain and suffix
+    everything = hosts.agg(*again).first()
+    n_pages = everything["n"] or 0
+    full = hosts.select("host", "n", as_array.alias("host_sums"), "parent", "domain", "suffix")
+    for c in ("parent", "domain", "suffix"):
+        full = full.join(table(hosts.groupBy(c).agg(*again), c), c)
+    full = materialise(full.select("host", "n", *[f"{c}_sums" for c in (*LEVELS, "suffix")]), "host-sums")
+    large = full.where(F.col("n") * 1000 > n_pages).drop("n")
+    small = full.where(F.col("n") * 1000 <= n_pages).drop("n")
+    out = read.join(F.broadcast(large), "host").unionByName(read.join(F.broadcast(large.select("host")), "host", "left_anti").join(small, "host"))  # at most a thousand large ones
+    tags = {c: read.groupBy(c).agg(*sums) for c in ("declared", "code")}
+    for c, x in tags.items():
+        out = out.join(F.broadcast(table(x, c)), c)  # codes of two or three letters
+    kinds = {"suffix": hosts.select("suffix").distinct().count(), **{c: x.count() for c, x in tags.items()}}
+    out = out.withColumn("all", F.array(*[F.lit(float(everything[f"s{k}"] or 0.0)) for k in range(n)]))
 
     def own(c):  # what other pages say
         return F.zip_with(c, "share", lambda a, b: F.greatest(a - b, F.lit(0.0)))

@@ -56,8 +56,74 @@ def test_every_labelled_language_counts(spark):
 def test_page_parts():
     assert LG.address("https://user@m.Blog.example.co.uk:8080/de-AT/x?q#f") == ("m.blog.example.co.uk", "blog.example.co.uk", "co.uk", "uk", "de")
     assert LG.address("") == ("", "", "", "", "") and LG.address("http://10.0.0.1/fr/") == ("10.0.0.1", "10.0.0.1", "10.0.0.1", "", "fr")
-    assert LG.declared('<HTML xml:lang="ES-mx">') == "es" and LG.declared("<p>") == ""
-    assert LG.page_text("<style>a</style><nav>menu</nav><p>a &amp; b</p>").split() == ["a", "&", "b"]
+    assert LG.parse('<HTML xml:lang="ES-mx">')[1] == "es" and LG.parse("<p>")[1] == ""
+    assert LG.parse('<meta property="og:locale" content="fr_FR"><html lang=de>')[1] == "de" and LG.parse('<meta property="og:locale" content="fr_FR">')[1] == "fr"
+    assert LG.parse("<style>a</style><nav>menu</nav><p>a &amp; b</p>")[0].split() == ["a", "&", "b"]
+    assert LG.parse('x<!-- <p>no</p> -->y<div class="ads">buy</div><div class="main">z</DIV >')[0].split() == ["x", "y", "z"]
+    assert LG.parse("<!-- open <b>a</b> <script>b")[0].split() == ["a", "b"] and LG.parse("a < b")[0] == "a < b"
+    assert LG.parse("&#" + "1" * 9000 + "; x")[0].split() == ["\ufffd", "x"]
+
+
+@pytest.mark.parametrize("unit", ["<html ", "<!--", "<script>", "</script", "<div class=ad>", "<meta og:locale ", "<", "&#1", "<nav></nav ", "lang  ", "<a b='", "<style><!--"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    for closed in ("", ">"):
+        page = unit * ((1 << 20) // len(unit)) + closed
+        start = time.time()
+        LG.parse(page)
+        LG.address(page)
+        assert time.time() - start < 2.5
+
+
+def test_posteriors_are_what_brute_force_finds(text_model, spark):
+    """Every posterior from its definition, page by page, over pages with all kinds of evidence and none."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").limit(60).collect()
+    rng = random.Random(3)
+    hosts = ["", "a.example.de", "b.example.de", "shop.b.example.de", "x.co.uk", "big.example.com", "10.0.0.1", "localhost"]
+    rows = []
+    for i in range(220):
+        d = rng.choice(docs)
+        host = rng.choice(hosts) if rng.random() < 0.6 else "big.example.com"
+        lang = rng.choice(["", f' lang="{d.lang}"', ' lang="en"'])
+        words = d.text.split()[: rng.choice([0, 2, 5, 60])]
+        rows.append((i, f"http://{host}/{rng.choice(['de', 'fr', 'x', ''])}/{i}" if host else None, f"<html{lang}><p>{' '.join(words)}</p></html>"))
+    got = {r.page_id: r for r in LG.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), text_model).collect()}
+
+    names, n = text_model.names, len(text_model.names)
+    pages = []
+    for i, url, source in rows:
+        text, declared = LG.parse(source)
+        host, parent, domain, suffix, code = LG.address(url or "")
+        low = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 65 else b for b in text.encode())
+        like = [0.0] * n
+        for k in range(len(low)):
+            grams = [low[k], (low[k] | low[k - 1] << 8 if k else low[k]) | 1 << 24, low[k] | (low[k - 1] << 8 if k else 0) | (low[k - 2] << 16 if k > 1 else 0) | 2 << 24]
+            for g in grams:
+                for l in range(n):
+                    like[l] += float(text_model.table[(g * 0x9E3779B1 & 0xFFFFFFFF) >> 16, l])
+        like = [x * LG.TEMPER / 3 for x in like]
+        like = [max(x - max(like), -LG.MOST) for x in like]
+        share = [math.exp(x) / sum(map(math.exp, like)) for x in like]
+        pages.append({"id": i, "host": host, "parent": parent, "domain": domain, "suffix": suffix, "code": code, "declared": declared, "like": like, "share": share})
+    for p in pages:
+        others = lambda c: [sum(q["share"][l] for q in pages if q is not p and (c is None or q[c] == p[c])) for l in range(n)]  # noqa: E731, B023
+        everyone = others(None)
+        prior = [(x + 1) / (sum(everyone) + n) for x in everyone]
+        for c in ("domain", "parent", "host"):
+            if p[c]:
+                own = others(c)
+                prior = [(a + LG.STRENGTH * b) / (sum(own) + LG.STRENGTH) for a, b in zip(own, prior, strict=True)]
+        logs = [a + math.log(b) for a, b in zip(p["like"], prior, strict=True)]
+        for c in ("declared", "suffix", "code"):
+            if p[c]:
+                kinds = len({q[c] for q in pages})
+                logs = [x + math.log((a + 1) / (b + kinds)) for x, a, b in zip(logs, others(c), everyone, strict=True)]
+        post = [math.exp(x - max(logs)) for x in logs]
+        for name, x in zip(names, post, strict=True):
+            assert abs(got[p["id"]].posteriors[name] - x / sum(post)) < 5e-9
 
 
 def test_toxicity_holds_out(spark):
