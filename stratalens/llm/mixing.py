@@ -53,10 +53,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     """doc_id, size, source, source_size, target, taken of each document; ``keep`` names further columns to carry."""
     rows = doc_rows(docs, F.col("source").cast("string").alias("source"), *keep)
     rows = rows.withColumn("size", n_words(F.col("text")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))  # rows without an id are told apart by their texts
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("source")))
+    rows = rows.withColumn("key", key)
     if "text" not in keep:
         rows = rows.drop("text")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("source")))
-    rows = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
     ranges = ranges.withColumn("before", before)
@@ -85,7 +87,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     takes = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("taken").alias("__taken"))
     rows = docs.withColumn("__size", n_words(F.col("text").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    rows = rows.join(takes.hint("shuffle_hash"), same)
+    rows = rows.join(takes, same)
     copies = F.transform(F.sequence(F.lit(1), F.expr("cast(__taken div __size as int) + if(__taken % __size > 0, 1, 0)")), lambda i: F.least(F.col("__size"), F.col("__taken") - (i - 1) * F.col("__size")))
     rows = rows.withColumn("__words", F.explode(copies))
     part = F.col("__words") < F.col("__size")

@@ -68,7 +68,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
     "op2_mixing": f"""
-with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5(concat_ws(':', '17', cast(doc_id as varchar), source)) as key from documents),
+with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5(concat_ws(':', '17', coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))), source)) as key from documents),
 s as (select source, sum(size)::double as n from d group by source),
 w as (select source, n, 2.0::double * n as cap, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight from s),
 f as (select *, sum(cap) over (order by cap / weight, source nulls last) - cap as filled, sum(weight) over () - sum(weight) over (order by cap / weight, source nulls last) + weight as open, 1.5::double * sum(n) over () as total from w),
