@@ -36,4 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         e = materialise(_small_star(_large_star(before)), "edges")
         forget(before)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._written = e._written  # forget() of the result deletes the last round
+    return out

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import materialise, slices, text_column
+from stratalens.llm.shared import forget, join_hot, materialise, slices, text_column
 
 SAMPLE, CELLS = 2_000, 1 << 16
 #: Strength of each level's prior in pages, and the share of the text's log likelihood that counts, at most MOST nats between languages.
@@ -243,9 +243,7 @@ def identify(pages: DataFrame, model: TextModel | None) -> DataFrame:
     for c in ("parent", "domain", "suffix"):
         full = full.join(table(hosts.groupBy(c).agg(*again), c), c)
     full = materialise(full.select("host", "n", *[f"{c}_sums" for c in (*LEVELS, "suffix")]), "host-sums")
-    large = full.where(F.col("n") * 1000 > n_pages).drop("n")
-    small = full.where(F.col("n") * 1000 <= n_pages).drop("n")
-    out = read.join(F.broadcast(large), "host").unionByName(read.join(F.broadcast(large.select("host")), "host", "left_anti").join(small, "host"))  # at most a thousand large ones
+    out = join_hot(read, full, ["host"], "n", n_pages)
     tags = {c: read.groupBy(c).agg(*sums) for c in ("declared", "code")}
     for c, x in tags.items():
         out = out.join(F.broadcast(table(x, c)), c)  # codes of two or three letters

@@ -11,10 +11,13 @@ copies, however many, cost one row each. The keys of a block of texts are packed
 key values; texts that share a key are linked in a star to the least of them. Stars are confirmed on
 full sets, and components of the links found:
 
-1. every member of a star against its centre;
-2. where a star still spans several components, all its pairs across components, if it is small; else,
-   over all such stars that share members, blocks of members against blocks of members, but for blocks
-   that lie in one component. Sets meet in the blocks; only links leave them.
+1. every member of a star against its centre; a star of many members is dealt to several tasks, each with the centre's set;
+2. where a star still spans several components, all its pairs across components, if it is small; else
+   by prefix filtering among the members of all such stars: two sets as similar as asked share one of
+   the few rarest shingles of each, so members that share none of these across components drop out
+   before sets move, and what is left falls into families that do. In a family, members in the order
+   of their size are cut in blocks, and two blocks meet unless their sizes are too far apart or both lie
+   in one component. Sets meet in the blocks; only links leave them.
 
 All texts that share a key lie in one star, so no pair that meets in a table and could join two
 components goes untested, and no task lists the pairs of a large group. Links, components and sets
@@ -34,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
-from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, materialise, mix, shingles, words
+from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, join_hot, materialise, mix, shingles, words
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 3
-#: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block; elements of sets that are compared at a time.
+#: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block, and of a star that a task takes; elements of sets that are compared at a time.
 BUCKET_BYTES, SMALL, BLOCK, ELEMENTS = 6 << 20, 16, 256, 4096
+#: Partitions at most; each takes one bucket after the other, so their number doesn't bound that of buckets.
+PARTS = 20_000
 
 _rng = np.random.default_rng(0xBA4D)
 _XOR = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
@@ -191,22 +196,25 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: b's set travels to a's, where the two meet."""
-    withb = sets.select(F.col("doc").alias("b"), "set").join(pairs.hint("shuffle_hash"), "b").select("a", "b", "set")
-    centres = sets.select(F.col("doc").alias("a"), "set").join(pairs.select("a").distinct().hint("shuffle_hash"), "a").select("a", F.lit(None).cast("long").alias("b"), "set")
-    both = centres.unionByName(withb)
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(parts, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough: b's set travels to a's, where the two meet.
+
+    The pairs of one a are dealt to as many places as hold ``BLOCK`` of them each; a's set goes to all of these.
+    """
+    many = pairs.groupBy("a").count().where(F.col("count") > BLOCK).select("a", F.ceil(F.col("count") / BLOCK).alias("places"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("places")), F.lit(0)).alias("place"))
+    withb = sets.select(F.col("doc").alias("b"), "set").join(dealt, "b").select("a", "place", "b", "set")
+    centres = sets.select(F.col("doc").alias("a"), "set").join(dealt.select("a", "place").distinct(), "a").select("a", "place", F.lit(None).cast("long").alias("b"), "set")
+    both = centres.unionByName(withb).repartition(parts, "a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first())
 
     def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
         for batch in it:
             out = []
-            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("set"), strict=True):
+            for a, place, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "place", "b")), batch.column("set"), strict=True):
                 x = np.frombuffer(s.as_buffer(), np.uint64)
-                if a != at:
-                    at, own = a, []
+                if (a, place) != at:
+                    at, own = (a, place), []
                 if b is None:
                     own.append(x.copy())
                     continue
@@ -280,23 +288,48 @@ def _block_links(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield links(held)
 
 
-def large_star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components inside large stars (centre, doc, comp): stars that share members are one family, whose members, by component, are cut in blocks; each two blocks that aren't one component meet."""
-    from pyspark.sql import Window
+def rare_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, comp, n, family) of the members (doc, comp) that share one of their rarest shingles with a member of another component; those who share one directly or through others are a family.
+
+    Of a set of n shingles, in the order of their frequency among the members, the first n - ceil(percent n / 100) + 1
+    are its rarest: a set similar enough holds one of these among its own.
+    """
 
-    family = components(stars.where("centre <> doc").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-    docs = stars.select("doc", "comp").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
-    docs = docs.withColumn("block", ((F.row_number().over(Window.partitionBy("family").orderBy("comp", "doc")) - 1) / BLOCK).cast("int"))
-    per = docs.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    docs, per = materialise(docs, "family-docs"), materialise(per, "family-blocks")
-    other = per.select("family", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = per.join(other, "family").where("block <= block2 and not (lo = hi and lo = lo2 and lo = hi2)").select("family", "block", "block2", F.xxhash64("family", "block", "block2").alias("pair"))
+    def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for doc, comp, s in zip(batch.column("doc"), batch.column("comp"), batch.column("set"), strict=True):
+                x = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v.as_py(), np.int64)) for v in (doc, comp)] + [pa.array(x)], ["doc", "comp", "e"])
+
+    held = members.join(sets, "doc").select("doc", "comp", "set").mapInArrow(explode, "doc long, comp long, e long")
+    often = held.groupBy("e").agg(F.count("*").alias("c"))
+    ordered = held.join(often, "e").groupBy("doc", "comp").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("s"), F.count("*").alias("n"))  # a document's own shingles
+    rare = materialise(ordered.select("doc", "comp", "n", F.explode(F.slice("s", F.lit(1), F.col("n").cast("int") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("x")).select("doc", "comp", "n", F.col("x.e").alias("e")), "rare")
+    across = rare.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("root")).where("lo < hi").select("e", "root")
+    family = components(rare.join(across, "e").select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct())
+    out = materialise(rare.select("doc", "comp", "n").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc"), "family-members")
+    forget(rare, family)
+    return out
+
+
+def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links across components inside large stars (centre, doc, comp)."""
+    members = rare_families(stars.select("doc", "comp").distinct(), sets, percent)
+    # The number of a row in its sorted partition names its block, so no family is numbered in one task; the table keeps what was drawn.
+    docs = members.repartitionByRange("family", "n", "doc").sortWithinPartitions("family", "n", "doc")
+    docs = materialise(docs.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), "family-docs")
+    per = docs.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    other = per.select("family", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
+    near = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
+    meet = per.join(other, "family").where("block <= block2 and not (lo = hi and lo = lo2 and lo = hi2)").where(near)
+    meet = materialise(meet.select("family", "block", "block2", F.xxhash64("family", "block", "block2").alias("pair")), "family-blocks")
     side = lambda n, c: meet.select("family", F.col(c).alias("block"), "pair", F.lit(n).alias("side"))
     sides = side(0, "block").unionByName(side(1, "block2").join(meet.where("block = block2").select("pair"), "pair", "left_anti").select("family", "block", "pair", "side"))
     rows = sides.join(docs, ["family", "block"]).join(sets, "doc").select("pair", "side", "doc", "comp", "set")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "pair").sortWithinPartitions("pair", "side")
-    return rows.mapInArrow(lambda it: _block_links(it, percent), "a long, b long")
+    found = materialise(rows.mapInArrow(lambda it: _block_links(it, percent), "a long, b long"), "family-links")
+    forget(members, docs, meet)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -304,17 +337,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     texts = doc_rows(docs)
     profile = materialise(texts.mapInArrow(lambda it: _profile(it, k, n_bands, rows), "doc_id long, n long, s1 long, s2 long, bands binary"), "profiles")
     some = profile.where("doc_id is not null and n > 0")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    n_buckets = int(max(8, min(20_000, input_bytes(docs) // BUCKET_BYTES)))
+    classes = materialise(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    n_buckets = int(max(8, min(1 << 30, input_bytes(docs) // BUCKET_BYTES)))
+    parts = min(n_buckets, PARTS)
+    by = lambda df, c: df.repartitionById(parts, F.col(c) % parts).sortWithinPartitions(c)
     first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, ["doc_id", "s1", "s2"]).select("doc_id", "bands")
     sent = first.mapInArrow(lambda it: _keys(it, n_bands, n_buckets), "bucket int, keys binary, docs binary")
-    starred = sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda it: _stars(it, n_buckets), "home int, a binary, b binary")
-    pairs = starred.repartitionById(n_buckets, F.col("home")).sortWithinPartitions("home").mapInArrow(_distinct_pairs, "a long, b long")
-    pairs = materialise(pairs, "pairs")
+    starred = by(sent, "bucket").mapInArrow(lambda it: _stars(it, n_buckets), "home int, a binary, b binary")
+    pairs = materialise(by(starred, "home").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary")
+    sets = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary")
     sets = materialise(sets, "sets")
-    links = materialise(confirm(pairs, sets, percent), "links")
+    links = materialise(confirm(pairs, sets, percent, parts), "links")
     labels = components(links)
 
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -326,17 +360,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     open_ = materialise(open_, "open")
     small = open_.where((F.col("size") <= SMALL) & (F.col("centre") != F.col("doc"))).groupBy("centre").agg(F.collect_list(F.struct("doc", "comp")).alias("m")).select(F.col("m.doc").alias("ids"), F.col("m.comp").alias("comps"))
     cross = materialise(small.mapInArrow(_cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    more = confirm(cross, sets, percent)
+    more = confirm(cross, sets, percent, parts)
     large = open_.where(F.col("size") > SMALL).select("centre", "doc", "comp")
+    far = None
     if not large.isEmpty():
-        more = more.unionByName(large_star_links(large, sets, percent))
+        far = large_star_links(large, sets, percent, parts)
+        more = more.unionByName(far)
     more = materialise(more, "more-links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    for done in (pairs, sets, links, open_, cross, more):  # the result reads profiles and components only
-        forget(done)
-
-    rep = some.join(classes, ["s1", "s2", "n"]).select("doc_id", "n", "rep")
-    rep = rep.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        before, labels = labels, components(links.unionByName(more))
+        forget(before)
+    forget(pairs, sets, links, open_, cross, more, *([far] if far is not None else []))  # the result reads profiles, classes and components only
+
+    total = some.count()
+    # Components are those of representatives: a class of many copies asks once.
+    rep = classes.join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "copies", F.coalesce("component", "rep").alias("component_id"))
+    rep = join_hot(some.select("doc_id", "n", "s1", "s2"), rep, ["s1", "s2", "n"], "copies", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = profile.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rep.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

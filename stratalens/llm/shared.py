@@ -162,6 +162,17 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x if x < 1 << 60 else 64 << 20 for x in sizes)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Rows with the columns of a table that has one row for each key, and in ``count`` the number of rows that hold the key.
+
+    Keys of more than a thousandth of all rows, a thousand at most, come by broadcast, so their rows stay
+    spread as they are; the others by a shuffle.
+    """
+    large = F.broadcast(table.where(F.col(count) * 1000 > total).drop(count))
+    small = table.where(F.col(count) * 1000 <= total).drop(count)
+    return rows.join(large, on).unionByName(rows.join(large.select(*on), on, "left_anti").join(small, on))
+
+
 def is_local(spark: SparkSession) -> bool:
     """Whether driver and executors are one process on one machine."""
     master = spark.sparkContext.master
