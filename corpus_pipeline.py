@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm import mixing, neardup, recompression, sentencepieces, toxicity
 from stratalens.llm.queries import vocabulary
-from stratalens.llm.shared import materialise
+from stratalens.llm.shared import forget, materialise
 from stratalens.session import read_table
 
 #: SQL can't express the learnt lexicon, the confirmed components or the encoder; tests hold the rows against brute force.
@@ -50,7 +50,7 @@ def _once(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return _once(docs).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    return _once(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,8 +83,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
