@@ -28,7 +28,6 @@ Repeated rows count as often as they stand there. A null doc_id is carried.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,10 @@ from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, materi
 ORDER, BACKOFF, LEAST = 3, 0.4, 1
 #: Bytes of text of a block, bytes of stored input that meet in a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
+#: Bits of a block's number below its home.
+HOME_SHIFT = 44
 
+_CODEC = pa.Codec("zstd", 3)
 _rng = np.random.default_rng(0x10A)
 _PLACE = _rng.integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -65,16 +67,16 @@ def grams(h: np.ndarray, woff: np.ndarray, order: int) -> tuple[np.ndarray, list
 
 
 def pack(x: np.ndarray, even: int = 0) -> bytes:
-    """Whole numbers as byte planes, lowest first: ``even`` low planes, which hold noise, as they are, the others deflated."""
+    """Whole numbers as byte planes, lowest first: ``even`` low planes, which hold noise, as they are, the others compressed."""
     n = len(x)
     width = max(even, (int(x.max()).bit_length() + 7) // 8) if n else even
     raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-    return struct.pack("<IBB", n, width, even) + raw[: even * n] + zlib.compress(raw[even * n :], 1)
+    return struct.pack("<IBB", n, width, even) + raw[: even * n] + _CODEC.compress(raw[even * n :], asbytes=True)
 
 
 def unpack(raw: bytes) -> np.ndarray:
     n, width, even = struct.unpack_from("<IBB", raw)
-    body = raw[6 : 6 + even * n] + zlib.decompress(raw[6 + even * n :])
+    body = raw[6 : 6 + even * n] + _CODEC.decompress(raw[6 + even * n :], (width - even) * n, asbytes=True)
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
     return out.view("<u8")[:, 0]
@@ -83,15 +85,17 @@ def unpack(raw: bytes) -> np.ndarray:
 class Block:
     """Documents read together: their words, n-gram keys and place among the blocks."""
 
-    def __init__(self, seq: int, ids: list[pa.Array], texts: list[np.ndarray], lengths: list[np.ndarray], h: list[np.ndarray], n_words: list[np.ndarray], order: int, bucket_bits: int) -> None:
+    def __init__(self, seq: int, ids: list[pa.Array], texts: list[np.ndarray], lengths: list[np.ndarray], h: list[np.ndarray], n_words: list[np.ndarray], order: int, bucket_bits: int, homes: int = 1, stride: int = 1) -> None:
         self.ids = pa.concat_arrays(ids)
         self.texts, self.lengths = texts, np.concatenate(lengths)
         self.h = np.concatenate(h)
         self.woff = np.concatenate([[0], np.cumsum(np.concatenate(n_words))])
         context = TaskContext.get()
-        where = (context.partitionId() if context else 0) << 24 | seq
+        part = context.partitionId() if context else 0
         check = np.add.reduce(self.h * (np.arange(len(self.h), dtype=np.uint64) | np.uint64(1))) if len(self.h) else np.uint64(0)
-        self.number = int((mix(np.array([where], np.uint64)) ^ mix(np.array([check], np.uint64))).view(np.int64)[0])
+        low = int((mix(np.array([part << 24 | seq], np.uint64)) ^ mix(np.array([check], np.uint64)))[0])
+        # The blocks of a partition go to homes next to each other, so all homes get about as many.
+        self.number = (part * stride + seq) % homes << HOME_SHIFT | low & (1 << HOME_SHIFT) - 1
         self.order, self.bits = order, bucket_bits
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -107,7 +111,7 @@ class Block:
         return s[at], np.diff(np.append(at, len(s))), number, ends
 
 
-def blocks(it: Iterator[pa.RecordBatch], order: int, bucket_bits: int, with_text: bool) -> Iterator[Block]:
+def blocks(it: Iterator[pa.RecordBatch], order: int, bucket_bits: int, with_text: bool, homes: int = 1, stride: int = 1) -> Iterator[Block]:
     held: list[list] = [[], [], [], [], []]
     size = seq = 0
     for rows, buf, off in batches(it, "text"):
@@ -116,14 +120,14 @@ def blocks(it: Iterator[pa.RecordBatch], order: int, bucket_bits: int, with_text
             into.append(x)
         size += len(buf)
         if size >= BLOCK_BYTES:
-            yield Block(seq, *held, order, bucket_bits)
+            yield Block(seq, *held, order, bucket_bits, homes, stride)
             held, size, seq = [[], [], [], [], []], 0, seq + 1
     if held[0]:
-        yield Block(seq, *held, order, bucket_bits)
+        yield Block(seq, *held, order, bucket_bits, homes, stride)
 
 
-def _ask(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
-    for b in blocks(it, order, bits, False):
+def _ask(it: Iterator[pa.RecordBatch], order: int, bits: int, homes: int = 1, stride: int = 1) -> Iterator[pa.RecordBatch]:
+    for b in blocks(it, order, bits, False, homes, stride):
         keys, counts, _, _ = b.table()
         if not len(keys):
             continue
@@ -175,11 +179,11 @@ def _answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield joined(held)
 
 
-def _pack(it: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _pack(it: Iterator[pa.RecordBatch], order: int, bits: int, homes: int, stride: int) -> Iterator[pa.RecordBatch]:
     """Each block's documents as one row."""
-    for b in blocks(it, order, bits, True):
+    for b in blocks(it, order, bits, True, homes, stride):
         ids = np.asarray(b.ids.fill_null(0)).astype("<i8").tobytes()
-        row = [[b.number], [ids], [np.asarray(b.ids.is_null()).astype(np.uint8).tobytes()], [b.lengths.astype("<i8").tobytes()], [zlib.compress(b"".join(x.tobytes() for x in b.texts), 1)]]
+        row = [[b.number], [ids], [np.asarray(b.ids.is_null()).astype(np.uint8).tobytes()], [b.lengths.astype("<i8").tobytes()], [_CODEC.compress(b"".join(x.tobytes() for x in b.texts), asbytes=True)]]
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["block", "ids", "no_id", "lengths", "texts"])
 
 
@@ -229,7 +233,7 @@ def _sum(it: Iterator[pa.RecordBatch], order: int, bits: int, least: int) -> Ite
     def scored(block: dict, answers: list[bytes]) -> pa.RecordBatch:
         ids, none = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["no_id"], np.uint8)
         off = np.concatenate([[0], np.cumsum(np.frombuffer(block["lengths"], np.int64))])
-        buf = np.frombuffer(zlib.decompress(block["texts"]), np.uint8)
+        buf = np.frombuffer(_CODEC.decompress(block["texts"], int(off[-1]), asbytes=True), np.uint8)
         b = object.__new__(Block)
         parts, i = [], 0
         n_words = np.zeros(len(ids), np.int64)
@@ -282,12 +286,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFr
     size = max(8, input_bytes(docs) // BUCKET_BYTES)
     bits = min(30, (size - 1).bit_length())  # a bucket's number is an int; 2^30 buckets of 4 MB are 4 PiB
     parts = min(1 << bits, 20_000)  # partitions only: a task takes one bucket after the other
-    asked = rows.mapInArrow(lambda it: _ask(it, order, bits), "bucket int, block long, keys binary, counts binary")
+    homes = int(min(20_000, size))  # partitions only: a task takes one block after the other
+    stride = -(-homes // max(1, rows._jdf.queryExecution().toRdd().getNumPartitions()))
+    asked = rows.mapInArrow(lambda it: _ask(it, order, bits, homes, stride), "bucket int, block long, keys binary, counts binary")
     answers = asked.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(_answer, "bucket int, block long, sums binary")
-    texts = rows.mapInArrow(lambda it: _pack(it, order, bits), "block long, ids binary, no_id binary, lengths binary, texts binary")
+    texts = rows.mapInArrow(lambda it: _pack(it, order, bits, homes, stride), "block long, ids binary, no_id binary, lengths binary, texts binary")
     both = texts.unionByName(answers, allowMissingColumns=True)
-    homes = int(min(20_000, size))  # partitions only: a task takes one block after the other
-    both = both.repartitionById(homes, F.pmod(F.col("block"), F.lit(homes)).cast("int")).sortWithinPartitions("block", F.col("bucket").asc_nulls_first())
+    both = both.repartitionById(homes, F.shiftrightunsigned("block", HOME_SHIFT).cast("int")).sortWithinPartitions("block", F.col("bucket").asc_nulls_first())
     part = materialise(both.mapInArrow(lambda it: _sum(it, order, bits, least), "doc_id long, n_words long, log_part double, by_order array<long>"), "scores")
     if own is not None:
         forget(own)

@@ -13,8 +13,9 @@ core serves about six neighbouring windows.
 So windows meet by core: each block of texts sends a core once with the fingerprints of the windows
 that it serves (40 bits, besides the 64 of the core), packed for each bucket of core names. In a
 bucket all but the first window of equal ones, by (document, start), are marked. A block first marks
-those that start earlier in the block itself and sends the others only, so a passage that stands in
-very many documents reaches its bucket once for each block. Marked windows go back to their
+those that start earlier in the block itself and sends the others only. A task remembers windows that
+it met in blocks on end (``KNOWN`` of them at most) and marks later ones itself, so a passage that
+stands in very many documents reaches its bucket a few times for each task. Marked windows go back to their
 documents, packed for each *home* (a bucket of doc_ids), and the covered words are removed.
 
 Order of documents: doc_id (null first), then a hash of the text; rows that agree in both are one
@@ -41,6 +42,8 @@ BLOCK_BYTES, BUCKET_BYTES, HOME_BYTES = 4 << 20, 4 << 20, 8 << 20
 #: Levels of symbols: words, then after naming runs, then after each of three rounds of pairs.
 LEVELS = 5
 NULL_ID = -(1 << 63)
+#: Windows that a task remembers; others are sent, so the number doesn't change results.
+KNOWN = 400_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -194,7 +197,43 @@ def _marks(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ths: np.ndarray, h
     return [pa.array(home[each - 1][ends - 1].astype(np.int32)), _binary(ids[d], ends), _binary(ths[d], ends), _binary(per, ends), _binary(runs, each[ends - 1])]
 
 
-def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_buckets: int, homes: int, window: int) -> Iterator[pa.RecordBatch]:
+class Known:
+    """Windows met in consecutive blocks of a task, each with the earliest place (doc_id, text hash, start) sent so far."""
+
+    def __init__(self) -> None:
+        self.last = np.zeros(0, np.uint64)
+        self.hash, self.id, self.th, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, hashes: np.ndarray, ids: np.ndarray, ths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which windows start behind a known equal one; what is met in this block and the last one becomes known."""
+        late = np.zeros(len(hashes), bool)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+            k = np.flatnonzero(self.hash[at] == hashes)
+            a = at[k]
+            i, t, s = ids[k], ths[k], starts[k]
+            before = (self.id[a] < i) | (self.id[a] == i) & ((self.th[a] < t) | (self.th[a] == t) & (self.start[a] < s))
+            late[k[before]] = True
+            k, a = k[~before], a[~before]
+            self.id[a], self.th[a], self.start[a] = ids[k], ths[k], starts[k]
+        sent = np.flatnonzero(~late)
+        now = np.sort(hashes[sent])
+        if len(self.last) and len(now):
+            again = now[np.minimum(np.searchsorted(now, self.last), len(now) - 1)] == self.last
+            new = np.setdiff1d(self.last[again], self.hash)
+            if len(new):
+                if len(self.hash) + len(new) > KNOWN:
+                    self.hash, self.id, self.th, self.start = (x[:0] for x in (self.hash, self.id, self.th, self.start))
+                    new = new[:KNOWN]
+                by = sent[np.argsort(hashes[sent], kind="stable")]
+                k = by[np.searchsorted(hashes[by], new)]
+                order = np.argsort(np.concatenate([self.hash, new]), kind="stable")
+                self.hash, self.id, self.th, self.start = (np.concatenate([x, y])[order] for x, y in ((self.hash, new), (self.id, ids[k]), (self.th, ths[k]), (self.start, starts[k])))
+        self.last = now
+        return late
+
+
+def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_buckets: int, homes: int, window: int, known: Known) -> Iterator[pa.RecordBatch]:
     """What one block of texts sends: marks of its own, and cores for each bucket."""
     nw = np.diff(woff)
     order = np.lexsort((ths, ids))
@@ -216,6 +255,8 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
     by = np.argsort(hashes, kind="stable")
     later = np.zeros(n, bool)
     later[by[1:]] = hashes[by[1:]] == hashes[by[:-1]]
+    first = np.flatnonzero(~later)
+    later[first] = known.later(hashes[first], ids[doc[first]], ths[doc[first]].astype(np.int64), pos[first])
     if later.any():
         k = np.flatnonzero(later)
         found = _marks(doc[k], pos[k], ids, ths, homes)
@@ -266,10 +307,11 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
 
 def _send(it: Iterator[pa.RecordBatch], n_buckets: int, homes: int, window: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
+    known = Known()
 
     def flush():
         ids, ths, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _block(ids, ths, h, np.concatenate([[0], np.cumsum(n)]), n_buckets, homes, window)
+        return _block(ids, ths, h, np.concatenate([[0], np.cumsum(n)]), n_buckets, homes, window, known)
 
     for rows, buf, off in batches(it, "text"):
         h, woff = words(buf, off)

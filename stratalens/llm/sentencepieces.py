@@ -13,7 +13,7 @@ vocabulary breaks this rule, whole texts are one word each and nothing else chan
 Vocabularies trained as BPE store merge ranks, not log scores. Their pieces get the log scores that
 Zipf's law gives to ranks, -ln(rank + 1); Unigram vocabularies keep their own scores.
 
-Nulls and empty texts: no ids, and '' decoded. Repeated rows give repeated results. A text that
+Nulls and empty texts: no ids, and '' decoded. Repeated rows give repeated results, a null doc_id is carried. A text that
 holds U+2581 itself decodes with a space for it (round_trip false), as the library does.
 """
 
@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratalens.llm.shared import doc_rows, list_array
+from stratalens.llm.shared import Memo, doc_rows, list_array
 
 MARK = "▁"
 MARKER = MARK.encode()
-#: Words of a worker's memo; it starts anew when full, so that memory stays bounded.
-MEMO = 250_000
+#: Bytes of a worker's memo of words; it starts anew when full, and long words are never kept.
+MEMO_BYTES = 96 << 20
 UNK_PENALTY = 10.0
 
 
@@ -166,7 +166,7 @@ class Unigram:
         self.is_byte = np.zeros(len(self.pieces), bool)
         self.is_byte[byte_ids] = True
         self.silent = {i for i, t in enumerate(self.types) if t == self.CONTROL}
-        self._memo = _Paths(self)
+        self._memo = Memo(lambda word: array("i", self.path(word)).tobytes(), MEMO_BYTES)
 
     def path(self, word: str) -> list[int]:
         """Ids of the best path over one normalised word."""
@@ -236,8 +236,6 @@ class Unigram:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self._memo) > MEMO:
-            self._memo.clear()
         return np.frombuffer(b"".join(map(self._memo.__getitem__, self.words(text))), np.int32)
 
     def score(self, ids: list[int]) -> float:
@@ -285,15 +283,6 @@ def _utf8(data: bytes) -> str:
         return "".join(out)
 
 
-class _Paths(dict):
-    def __init__(self, model: Unigram) -> None:
-        self.model = model
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = array("i", self.model.path(word)).tobytes()
-        return found
-
-
 _known: dict[int, Unigram] = {}
 
 

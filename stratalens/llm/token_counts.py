@@ -4,20 +4,24 @@ For byte-level BPE the encodings of the prefixes of one pre-token form a tree: t
 prefix is that of a shorter prefix plus one token, and that last token is the only vocabulary entry
 ending there that is *compatible* with the last token of the shorter prefix (two tokens are
 compatible if their joined bytes encode to just these two). So one pass of dynamic programming over
-a pre-token leaves the exact count at each of its prefixes. Texts are sums of pre-tokens, and the
-count at any cut, the longest prefix within a budget, and the total follow without encoding again.
+a pre-token leaves the exact count at each of its prefixes. Texts are sums of pre-tokens; what each
+character adds to the count is stored (a byte a character, compressed), and the count at any cut, the
+longest prefix within a budget, and the total follow from it without encoding again.
 
 Three places where a cut changes the pre-tokens are put right: a run of white space is one
 pre-token as long as nothing follows, a cut contraction ("'l" of "'ll") is two, and a cut special
 string is ordinary text.
 
-Nulls and empty texts: 0 tokens. A repeated row gives a repeated result. Other columns are not read.
+Vocabulary files whose normaliser, pre-tokeniser, model or added tokens work otherwise are refused.
+Nulls and empty texts: 0 tokens. A repeated row gives a repeated result. A null doc_id is carried; other
+columns are not read. Memory of a worker's memos is bounded by bytes; long words are never kept.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import doc_rows
+from stratalens.llm.shared import Memo, doc_rows
 
 # The pre-token pattern of byte-level BPE vocabularies of this kind.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of the pattern; Python's own \s also holds \x1c to \x1f.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
-#: Entries of a worker's memo; it starts anew when full, so that memory stays bounded.
-MEMO = 300_000
+#: Bytes of a worker's memo of words, and entries of that of token pairs; they start anew when full.
+MEMO_BYTES, PAIRS = 64 << 20, 400_000
+_CODEC = pa.Codec("zstd", 1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -51,6 +56,7 @@ class PrefixCounter:
 
     def __init__(self, vocabulary: str | bytes) -> None:
         spec = json.loads(vocabulary)
+        _refuse_other_kinds(spec)
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -64,7 +70,7 @@ class PrefixCounter:
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self.made = {a + b: (a, b) for a, b in reversed(self.rank)}
         self._edges: tuple[dict, dict] = ({}, {})
-        self._last: dict[str, int] = {}
+        self._steps = Memo(self._piece_steps, MEMO_BYTES)
 
     def merge(self, data: bytes) -> list[bytes]:
         """BPE of a few bytes, straight from its definition; the tests compare the recurrence with it."""
@@ -112,7 +118,7 @@ class PrefixCounter:
                 m = rank.get((x, y))
                 if m is not None and m < x_until and m <= y_until:
                     ok = False
-        if len(self._fits) > 4 * MEMO:
+        if len(self._fits) > PAIRS:
             self._fits.clear()
         self._fits[a, b] = ok
         return ok
@@ -218,84 +224,37 @@ class PrefixCounter:
                     base = at
         return out
 
-    def total(self, text: str) -> int:
-        """Tokens of a whole text: the last of its prefix counts, kept for each distinct piece."""
-        memo = self._memo
-        n = 0
-        for section, special in self.sections(text):
-            n += bool(special)
-            if self.two_spaces(section):
-                n += sum(memo[p] for p, _ in self.pieces(section))
-            elif section:
-                head, *rest = section.split(" ")
-                n += sum(map(memo.__getitem__, [" " + x for x in rest])) + (memo[head] if head else 0)
-        if len(memo) > MEMO:
-            memo.clear()
-        return n
-
-    @property
-    def _memo(self) -> dict[str, int]:
-        found = self.__dict__.get("_totals")
-        if found is None:
-            found = self.__dict__["_totals"] = _Totals(self)
-        return found
-
-    def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens.
-
-        A prefix that reaches into a piece has more tokens than the pieces before it, so no piece
-        past the first that begins at the budget need be looked at.
-        """
-        best = at = done = 0
-        memo = self._memo
-        for section, special in self.sections(text):
-            run = 0
-            start = done
-            for piece, spaces in self.pieces(section):
-                if at >= budget:
-                    return done + 1 if 0 < run <= budget else best
-                n = memo[piece]
-                if not run and not spaces and at + n <= budget and len(piece) < 64:
-                    best = done + len(piece)  # counts inside a short piece that fits whole need no look
-                else:
-                    counts = [at + x for x in self.unit(piece)]
-                    if run:
-                        counts[0] = run
-                    ok = [i for i, x in enumerate(counts) if x <= budget]
-                    if ok:
-                        best = done + ok[-1] + 1
-                run = at + self.at_chars(piece + text[done + len(piece)])[-1] if spaces else 0
-                done += len(piece)
-                at += n
-            if special:
-                inside = PrefixCounter.prefix_counts(self, section + special[:-1])[len(section) :]
-                before = at - self.total(section) if section else at
-                ok = [i for i, x in enumerate(inside) if before + x <= budget]
-                if ok:
-                    best = max(best, start + len(section) + ok[-1] + 1)
-                at += 1
-                done += len(special)
-                if at <= budget:
-                    best = done
-        return best
-
-
-class _Totals(dict):
-    def __init__(self, counter: PrefixCounter) -> None:
-        self.counter = counter
-
-    def __missing__(self, piece: str) -> int:
-        n = 0
-        last = self.counter._last
-        for p in self.counter.pretokens(piece):
-            x = last.get(p)
-            if x is None:
-                if len(last) > MEMO:
-                    last.clear()
-                x = last[p] = self.counter.pretoken_counts(p.encode())[-1]
-            n += x
-        self[piece] = n
-        return n
+    def _piece_steps(self, piece: str) -> bytes:
+        """What each character of a piece adds to the count, a signed byte each."""
+        counts = self.unit(piece)
+        return array("b", [y - x for x, y in zip((0, *counts), counts, strict=False)]).tobytes()
+
+    def steps(self, text: str) -> np.ndarray:
+        """What each character of a text adds to the count of its prefix; their sum is the text's own count."""
+        try:
+            if not self.two_spaces(text) and not any(s in text for s in self.special):
+                head, *rest = text.split(" ")
+                memo = self._steps
+                return np.frombuffer((memo[head] if head else b"") + b"".join([memo[" " + x] for x in rest]), np.int8)
+        except OverflowError:  # a character that changes the count by more than 127
+            pass
+        return np.diff(np.array(self.prefix_counts(text), np.int32), prepend=0)
+
+
+def _refuse_other_kinds(spec: dict) -> None:
+    """Raise for a tokenizer file that isn't a byte-level BPE of the kind that PRETOKEN describes."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    same = (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not spec.get("normalizer")
+        and pre.get("type") == "ByteLevel"
+        and not pre.get("add_prefix_space")
+        and pre.get("use_regex", True)
+        and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not same:
+        raise ValueError("only byte-level BPE files with the usual pre-token pattern, without a normaliser, are supported")
 
 
 _known: dict[int, PrefixCounter] = {}
@@ -309,18 +268,28 @@ def counter_of(key: int, vocabulary: bytes) -> PrefixCounter:
     return _known[key]
 
 
-def longest_within(counts: list[int], budget: int) -> int:
-    """Characters of the longest prefix within a budget, from stored prefix counts (they may dip at white space)."""
-    if not counts or counts == sorted(counts):
-        return bisect_right(counts, budget)
-    return max((i + 1 for i, x in enumerate(counts) if x <= budget), default=0)
+def store(steps: np.ndarray) -> bytes:
+    """The steps of a text as it is stored: their width, their number, and they themselves compressed."""
+    return struct.pack("<BI", steps.itemsize, len(steps)) + _CODEC.compress(steps.tobytes(), asbytes=True)
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, store_prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (longest prefix of at most ``limit`` tokens) of each document.
+def stored_counts(raw: bytes) -> np.ndarray:
+    """Token counts after each character, from what is stored."""
+    width, n = struct.unpack_from("<BI", raw)
+    return np.cumsum(np.frombuffer(_CODEC.decompress(raw[5:], width * n, asbytes=True), f"<i{width}"), dtype=np.int32)
 
-    With ``store_prefixes`` also prefix_tokens, the count after every character. The vocabulary is
-    read once on the driver and broadcast; its size is fixed by the file, whatever the data.
+
+def longest_within(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix within a budget, from prefix counts (they may dip at white space)."""
+    ok = np.flatnonzero(np.asarray(counts) <= budget)
+    return int(ok[-1]) + 1 if len(ok) else 0
+
+
+def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (longest prefix of at most ``limit`` tokens), prefix_tokens of each document.
+
+    ``prefix_tokens`` is the stored table of counts at every prefix; ``tokens_at`` and ``fit`` answer from
+    it. The vocabulary is read once on the driver and broadcast; its size is fixed by the file.
     """
     spark = docs.sparkSession
     with open(vocabulary_path, "rb") as f:
@@ -330,21 +299,34 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, store_
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter_of(key, shipped.value)
         for batch in it:
-            ids, tokens, fits, prefixes = batch.column("doc_id"), [], [], []
+            tokens, fits, prefixes = [], [], []
             for x in batch.column("text"):
-                text = x.as_py() or ""
-                n = c.total(text)
+                steps = c.steps(x.as_py() or "")
+                n = int(steps.sum(dtype=np.int64))
                 tokens.append(n)
-                fits.append(len(text) if n <= limit else c.fit(text, limit))
-                if store_prefixes:
-                    prefixes.append(c.prefix_counts(text))
-            cols = [ids, batch.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array(np.asarray(tokens, np.int64) > limit), pa.array(fits, pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
-            if store_prefixes:
-                cols.append(pa.array(prefixes, pa.list_(pa.int32())))
-                names.append("prefix_tokens")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                fits.append(len(steps) if n <= limit else longest_within(np.cumsum(steps, dtype=np.int32), limit))
+                prefixes.append(store(steps))
+            cols = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array(np.asarray(tokens, np.int64) > limit), pa.array(fits, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens"])
 
     rows = doc_rows(docs, F.coalesce(F.octet_length(F.col("text").cast("string")).cast("long"), F.lit(0).cast("long")).alias("n_bytes"))
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + (", prefix_tokens array<int>" if store_prefixes else "")
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_tokens binary")
+
+
+def tokens_at(table: DataFrame, cuts: dict[str, int]) -> DataFrame:
+    """Stored tables with a column for each named cut: the tokens of the text's first so many characters (of the whole text if it is shorter)."""
+    return _answers(table, list(cuts), lambda counts: [int(counts[min(k, len(counts)) - 1]) if k > 0 and len(counts) else 0 for k in cuts.values()])
+
+
+def fit(table: DataFrame, budgets: dict[str, int]) -> DataFrame:
+    """Stored tables with a column for each named budget: the characters of the longest prefix within it."""
+    return _answers(table, list(budgets), lambda counts: [longest_within(counts, b) for b in budgets.values()])
+
+
+def _answers(table: DataFrame, names: list[str], of) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            got = [of(stored_counts(x.as_py())) for x in batch.column("prefix_tokens")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([g[i] for g in got], pa.int64()) for i in range(len(names)))], [*batch.schema.names, *names])
+
+    return table.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in table.dtypes), *(f"`{n}` long" for n in names)]))

@@ -13,15 +13,18 @@ contexts are the inputs of a logistic regression; labels, lang, source and doc_i
 
 Learning uses labelled rows outside the held-out fold (crc32 of doc_id as text, mod 3, is 1), at most
 ``SAMPLE`` = (4,000 toxic, 8,000 other) of them, those with the least hashed ids; the bound is a
-parameter. Every document is scored on its whole text. Empty and null texts have no hits and get the
+parameter, and all terms of these rows are candidates. Of labelled rows that share a doc_id the text of
+the least hash counts. Every document is scored on its whole text. Empty and null texts have no hits and get the
 score of such texts. A null doc_id isn't held out. Without labels of both kinds the score is 0.
 Repeated rows get equal scores; a repeated label counts once.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import doc_rows
+from stratalens.llm.shared import Memo, doc_rows, forget, materialise
 
 SAMPLE = (4_000, 8_000)
-CANDIDATES, COVER, SPAN, THRESHOLD = 3_000, 3, 6, 0.7
+COVER, SPAN, THRESHOLD = 3, 6, 0.7
 STEMS = range(4, 9)
-#: Words of a worker's memo; it starts anew when full.
-MEMO = 150_000
+#: Bytes of a worker's memo of words, and moves of the product automaton that it keeps; both start anew when full.
+MEMO_BYTES, MOVES = 32 << 20, 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Cues of quotation and of address.
@@ -74,10 +77,14 @@ class FuzzyLexicon:
                 self.budget[node] = max(self.budget[node], edits)
             (self.stem if term.endswith("*") else self.word)[node] = term
         self.edits = {t: (0 if len(t) < 7 else 1) if t.endswith("*") else 0 if len(t) < 5 else 1 if len(t) < 9 else 2 for t in terms}
+        self._start_anew()
+
+    def _start_anew(self) -> None:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[tuple[str, int] | None, tuple[str, int] | None]] = []
+        self.made = 0
         self.dead = self._state({})
         self.start = self._state({0: 0})
 
@@ -111,10 +118,13 @@ class FuzzyLexicon:
             for c, child in self.children[node].items():
                 put(child, e + (c != letter))
         found = self.moves[state][letter] = self._state(nodes)
+        self.made += 1
         return found
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the closest term, whole words before stems; None without one."""
+        if self.made > MOVES:
+            self._start_anew()
         state, stem = self.start, None
         moves, accepts, dead = self.moves, self.accepts, self.dead
         last = len(word) - 1
@@ -148,21 +158,12 @@ class Scorer:
     def __init__(self, terms: dict[str, float], coefficients: list[float] | None = None) -> None:
         self.lexicon = FuzzyLexicon(terms)
         self.coefficients = coefficients
-        self.memo: dict[str, tuple[str, int] | None] = {}
+        self.memo = Memo(self.lexicon.match, MEMO_BYTES)
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
-        memo, match = self.memo, self.lexicon.match
-        if len(memo) > MEMO:
-            memo.clear()
-        hits = set()
-        for w in set(_WORD.findall(low)):
-            try:
-                found = memo[w]
-            except KeyError:
-                found = memo[w] = match(w)
-            if found is not None:
-                hits.add(w)
+        memo = self.memo
+        hits = {w: found for w in set(_WORD.findall(low)) if (found := memo[w]) is not None}
         if not hits:
             return [0.0] * len(FEATURES)
         words, spans = [], []
@@ -170,7 +171,7 @@ class Scorer:
             words.append(m[0])
             spans.append(m.span())
         at = [i for i, w in enumerate(words) if w in hits]
-        found = [memo[words[i]] for i in at]
+        found = [hits[words[i]] for i in at]
         contexts = [context(words, spans, low, i) for i in at]
         terms = {t for t, _ in found}
         weights = self.lexicon.weights
@@ -227,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
         return {}, [-40.0] + [0.0] * len(FEATURES)
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(ids, "id long, toxic int"))
-    rows = doc_rows(docs).join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-    rows = rows.dropDuplicates(["doc_id"])
+    rows = doc_rows(docs).join(chosen, F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
+    rows = materialise(rows.select("doc_id", "toxic", "x.text"), "labelled")  # at most sum(sample) rows
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -244,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     counts = rows.mapInArrow(count, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("n") + 0.5) / (nn + 1))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
-    best = counts.where(F.col("t") >= few).withColumn("odds", odds).withColumn("sure", sure).where("sure > 1.5").orderBy(F.desc(F.col("t") * F.col("sure")), "term").limit(CANDIDATES).collect()
+    best = counts.where(F.col("t") >= few).withColumn("odds", odds).withColumn("sure", sure).where("sure > 1.5").collect()  # terms of a bounded sample
     odds_of, sure_of = {r.term: r.odds for r in best}, {r.term: r.sure for r in best}
     terms = {t: odds_of[t] for t in _cover(rows, sure_of, few)}
 
@@ -255,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     found = sorted(rows.mapInArrow(measure, "doc_id long, toxic int, x array<double>").collect())
+    forget(rows)
     y = np.array([r.toxic for r in found], float)
     if not found or y.min() == y.max():
         return {}, [-40.0] + [0.0] * len(FEATURES)
@@ -271,25 +273,39 @@ def _cover(rows: DataFrame, sure: dict[str, float], few: int) -> list[str]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.string()))], ["doc_id", "x"])
 
     docs = {r.doc_id: set(r.x) for r in rows.where("toxic = 1").mapInArrow(which, "doc_id long, x array<string>").collect()}
-    left = {i: COVER for i in docs}
     holds: dict[str, set[int]] = {}
     for i, x in docs.items():
         for t in x:
             holds.setdefault(t, set()).add(i)
+    left = dict.fromkeys(docs, COVER)
+    names = sorted(holds)
+    gain = lambda t: sum(left[i] for i in holds[t])
+    rank = lambda t, g: (-g * sure[t], t.endswith("*"), -len(t), t)
+    heap = [(*rank(t, g), g) for t in names if (g := gain(t)) >= few]
+    heapq.heapify(heap)
     out: list[str] = []
-    while True:
-        gain = {t: sum(left[i] for i in s) for t, s in holds.items()}
-        best = max(gain, key=lambda t: (gain[t] * sure[t], not t.endswith("*"), len(t), t), default=None)
-        if best is None or gain[best] < few:
-            return out
+    while heap:  # gains only fall, so a term whose gain hasn't changed is the best
+        *_, best, g = heapq.heappop(heap)
+        if best not in holds:
+            continue
+        now = gain(best)
+        if now != g:
+            if now >= few:
+                heapq.heappush(heap, (*rank(best, now), now))
+            continue
         out.append(best)
         covered = holds.pop(best)
         for i in covered:
             left[i] = max(0, left[i] - 1)
         text = best.rstrip("*")
-        for t in list(holds):  # what a picked stem includes, and stems that say no more than a picked word
-            if best.endswith("*") and t.startswith(text) or t.endswith("*") and text.startswith(t[:-1]) and len(holds[t] - covered) < few:
+        if best.endswith("*"):  # what a picked stem includes
+            for t in names[bisect_left(names, text) : bisect_left(names, text + chr(0x10FFFF))]:
+                holds.pop(t, None)
+        for k in STEMS:  # stems that say no more than a picked term
+            t = text[:k] + "*"
+            if k <= len(text) and t in holds and len(holds[t] - covered) < few:
                 del holds[t]
+    return out
 
 
 def score(docs: DataFrame, terms: dict[str, float], coefficients: list[float], threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -41,9 +41,10 @@ def spread(spark, rows, parts=3):
     return spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, spans string, home int").repartition(parts)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_are_what_brute_force_finds(spark, monkeypatch, seed):
-    monkeypatch.setattr(RC, "BLOCK_BYTES", 20_000)
+@pytest.mark.parametrize(("seed", "block", "known"), [(0, 20_000, 400_000), (1, 20_000, 400_000), (2, 3_000, 400_000), (3, 3_000, 50)])
+def test_repeats_are_what_brute_force_finds(spark, monkeypatch, seed, block, known):
+    monkeypatch.setattr(RC, "BLOCK_BYTES", block)
+    monkeypatch.setattr(RC, "KNOWN", known)
     rows = passages(seed, 250)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in RC.remove_repeats(spread(spark, rows), digest=True).collect()}
     assert got == brute.repeats(rows)
@@ -91,6 +92,28 @@ def test_copies_of_a_row_in_other_blocks_are_one_document(spark, doc_id):
     assert got == sorted([(str(doc_id), text)] * 2 + [(str(doc_id), again)] * 2 + [("9", "more")])
 
 
+def test_a_task_sends_what_stands_everywhere_a_few_times():
+    import pyarrow as pa
+
+    line = " ".join(f"l{i}" for i in range(30))
+    rng = random.Random(0)
+    n = 60
+    texts = pa.array([line + " " + " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(n)])
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), texts.slice(i, 1), pa.array([i], pa.int32())], ["doc_id", "text", "th"]) for i in range(n)]
+    known = RC.Known()
+    sent = np.zeros(n, int)
+    for i, b in enumerate(batches):
+        from stratalens.llm.shared import shingles, text_column, words
+
+        h, woff = words(*text_column(b.column("text")))
+        hashes, _ = shingles(h, woff, 20)
+        k = len(hashes)
+        late = known.later(hashes, np.full(k, i), np.full(k, i), np.arange(k))
+        sent[i] = (~late[:11]).sum()
+        assert not late[30:].any()
+    assert (sent[:2] == 11).all() and (sent[3:] == 0).all()
+
+
 def test_hash_of_ids_is_sparks(spark):
     ids = [0, 1, -1, 7, 1 << 40, -(1 << 63), (1 << 63) - 1]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x long").select(F.xxhash64("x")).collect()]

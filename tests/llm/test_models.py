@@ -167,6 +167,73 @@ def test_stems_and_contexts():
     assert quoted == 1 and abuse == 1 and s.features("you are nice") == [0.0] * 9
 
 
+def plain_features(terms: dict[str, float], text: str) -> list[float]:
+    """The inputs of the regression from their definition: every word against every term."""
+    import math
+    import re
+
+    low = text.lower()
+    found = [(m[0], m.span()) for m in re.finditer(r"[^\W\d_]+", low)]
+    words = [w for w, _ in found]
+    allowed = lambda t: (0 if len(t) < 7 else 1) if t.endswith("*") else 0 if len(t) < 5 else 1 if len(t) < 9 else 2
+
+    def match(w):
+        whole = min(((distance(w, t), t) for t in terms if not t.endswith("*") and distance(w, t) <= allowed(t)), default=None)
+        stem = None
+        for t in (x for x in terms if x.endswith("*")):
+            for k in range(1, len(w)):
+                e = distance(w[:k], t[:-1])
+                if e <= allowed(t):
+                    stem = min(x for x in (stem, (e, k, t)) if x is not None)
+        if whole and (stem is None or whole[0] <= stem[0]):
+            return whole[1], whole[0]
+        return (stem[2], stem[0]) if stem else None
+
+    hits = [(i, *m) for i, w in enumerate(words) if (m := match(w))]
+    if not hits:
+        return [0.0] * 9
+    quoted = address = 0
+    for i, _, _ in hits:
+        a, b = found[i][1]
+        near = words[max(0, i - 6) : i] + words[i + 1 : i + 7]
+        quoted += bool(set(low[max(0, a - 2) : a]) & set(TX.QUOTE_MARKS) and set(low[b : b + 3]) & set(TX.QUOTE_MARKS)) or bool(set(near) & TX.REPORTING)
+        address += bool(set(near) & TX.ADDRESS) or "!" in low[b : b + 3]
+    n = len(hits)
+    count = lambda x: math.log1p(sum(x))
+    return [math.log1p(n), math.log1p(len({t for _, t, _ in hits})), count(e == 0 for _, _, e in hits), count(e > 0 for _, _, e in hits), max(terms[t] / (1 + e) for _, t, e in hits), math.log1p(100 * n / len(words)), quoted / n, address / n, count(t.endswith("*") for _, t, _ in hits)]
+
+
+def test_scores_are_what_brute_force_finds(spark):
+    import math
+
+    terms = {"idiot": 2.0, "worthless": 1.5, "scum": 3.0, "lowei*": 1.2, "trashi*": 2.2, "fool": 1.0}
+    coefficients = [-2.0, 0.7, 0.3, 0.4, -0.2, 0.5, 0.1, -1.5, 0.9, 0.2]
+    rng = random.Random(8)
+    words = ["you", "idiot", "idiots", "idoit", "worthles", "wortless", "scum", "scums", "loweischaft", "lowe", "trashing", "trashhing", "fool", "fools", "said", '"idiot"', "fool!", "the", "a", "fine", "day", "your", "„scum“", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(150)] + ["", "word " * 50_000 + "idiot"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in TX.score(df, terms, coefficients).collect()}
+    for i, t in enumerate(texts[:-1]):
+        x = coefficients[0] + sum(c * f for c, f in zip(coefficients[1:], plain_features(terms, t), strict=True))
+        assert abs(got[i].score - 1 / (1 + math.exp(-x))) < 1e-8 and got[i].predicted == int(got[i].score >= 0.7)
+    assert got[len(texts) - 1].score > got[len(texts) - 2].score  # one hit at the end of a very long text
+
+
+def test_automaton_starts_anew_when_full(monkeypatch):
+    monkeypatch.setattr(TX, "MOVES", 20)
+    lexicon = TX.FuzzyLexicon({"worthless": 1.0, "idiot": 1.0})
+    for w in ["worthles", "idiott", "abcdefgh", "worthlessx", "wxrthlxss"] * 5:
+        want = min(((distance(w, t), t) for t in ("worthless", "idiot") if distance(w, t) <= lexicon.edits[t]), default=None)
+        assert (lexicon.match(w) or None) == (want and (want[1], want[0]))
+        assert lexicon.made <= 40
+
+
+def test_one_text_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(60) for t in (("you stupid clown", "a nice day") if i % 2 else ("a fine day", "a fine day"))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert TX.fit(docs, labels) == TX.fit(docs.repartition(5), labels)
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(i, "you stupid clown" if i % 3 == 0 else "a fine day it is", 0.5) for i in range(90)] + [(None, None, 0.1), (400, "", 0.1), (400, "", 0.1)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")

@@ -34,16 +34,16 @@ def test_every_prefix_counts_as_the_library_counts_it(counter, library, parts):
     text = "".join(parts)
     want = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
     assert counter.prefix_counts(text) == want
-    assert counter.total(text) == (want[-1] if want else 0)
+    steps = counter.steps(text)
+    stored = TC.stored_counts(TC.store(steps))
+    assert steps.sum() == (want[-1] if want else 0) and stored.tolist() == want
     for budget in (0, 1, 3, 7):
-        best = max((k + 1 for k, x in enumerate(want) if x <= budget), default=0)
-        assert counter.fit(text, budget) == best
-        assert TC.longest_within(want, budget) == best
+        assert TC.longest_within(stored, budget) == max((k + 1 for k, x in enumerate(want) if x <= budget), default=0)
 
 
 def test_compatibility_is_what_merging_gives(counter, spark, data):
     for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(40).collect():
-        counter.total(r.text)
+        counter.steps(r.text)
     pairs = random.Random(1).sample(sorted(counter._fits), 500)
     assert all(counter._fits[a, b] == (counter.merge(a + b) == [x for x in (a, b) if x]) for a, b in pairs)
 
@@ -51,17 +51,39 @@ def test_compatibility_is_what_merging_gives(counter, spark, data):
 def test_token_counts_of_a_table(spark, library):
     texts = [None, "", "a", "x " * 3000, "the <|endoftext|> end", "\n\n", "é" * 900]
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)] + [(None, "a", "z", 1)] * 2, "doc_id long, text string, n_tokens string, n_bytes int")
-    got = TC.token_counts(df, public_tokenizers.path("byte_bpe_50k.json"), store_prefixes=True).collect()
+    got = TC.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert len(got) == 9
     for r in got:
         text = (texts[r.doc_id] if r.doc_id is not None else "a") or ""
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 512)
-        assert (r.prefix_tokens[-1] if text else 0) == n and len(r.prefix_tokens) == len(text)
+        counts = TC.stored_counts(r.prefix_tokens)
+        assert len(counts) == len(text) and (counts[-1] if text else 0) == n
         assert len(library.encode(text[: r.fit_chars], add_special_tokens=False).ids) <= 512
+    cuts = {"at_1": 1, "at_40": 40, "at_none": 0}
+    asked = TC.fit(TC.tokens_at(TC.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")), cuts), {"fit_3": 3}).collect()
+    for r in asked:
+        text = (texts[r.doc_id] if r.doc_id is not None else "a") or ""
+        n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+        assert (r.at_1, r.at_40, r.at_none) == (n(text[:1]), n(text[:40]), 0)
+        assert n(text[: r.fit_3]) <= 3
     assert TC.token_counts(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_other_kinds_of_files_are_refused():
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}, {"model": spec["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            TC.PrefixCounter(json.dumps(spec | change))
+
+
+def test_long_words_leave_no_trace(counter):
+    before = counter._steps.size
+    assert len(counter.steps("z" * 5000)) == 5000 and counter._steps.size == before
+
+
 @pytest.fixture(scope="module")
 def model():
     return SP.Unigram(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
