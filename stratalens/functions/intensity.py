@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.ordered import percentiles
+
 
 def with_group_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
     """The rows with aggregates of their group; null keys are a group."""
@@ -49,9 +51,8 @@ def scale_range(c: Column, a_min: float, a_max: float, b_min: float | None, b_ma
 
 
 def group_percentiles(df: DataFrame, value: str, by: list[str], percents: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, from distinct values with their counts, which combine before the shuffle."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    return counts.groupBy(*by).agg(F.percentile(F.col(value), F.array(*[F.lit(p / 100) for p in percents]), F.col("__n")).alias("p"))
+    """Exact percentiles with linear interpolation of groups that may be few and huge."""
+    return percentiles(df, value, by, percents)
 
 
 def scale_range_percentiles(df: DataFrame, value: str, by: list[str], lower: float, upper: float, b_min: float, b_max: float, name: str, clip: bool = False) -> DataFrame:
@@ -113,10 +114,27 @@ def histogram(df: DataFrame, value: str, by: list[str], lo: float, hi: float, n:
     return df.withColumn("bin", bin_of(F.col(value), lo, hi, n)).where("bin is not null").groupBy(*by, "bin").agg(F.count("*").alias("n"))
 
 
-def equalize_histogram(df: DataFrame, value: str, lo: float, hi: float, n: int, name: str, new_lo: float = 0.0, new_hi: float = 255.0) -> DataFrame:
-    """Each value's share of values in its own and lower bins, scaled to a new range; the table of bins is n rows."""
-    bins = histogram(df, value, [], lo, hi, n)
-    w = Window.orderBy("bin")
-    cdf = bins.withColumn("c", F.sum("n").over(w)).withColumn("top", F.max("c").over(Window.partitionBy())).withColumn("low", F.min("c").over(Window.partitionBy()))
-    cdf = cdf.select("bin", ((F.col("c") - F.col("low")) / F.greatest(F.col("top") - F.col("low"), F.lit(1)) * (new_hi - new_lo) + new_lo).alias(name))
-    return df.withColumn("bin", bin_of(F.col(value), lo, hi, n)).join(F.broadcast(cdf), "bin")
+def equalize_histogram(df: DataFrame, value: str, n: int, name: str, new_lo: float = 0.0, new_hi: float = 255.0) -> DataFrame:
+    """Values by their cumulated histogram: ``n`` bins between the least and greatest value, running counts scaled to a new range, and straight lines between the bins' middles.
+
+    Values outside the first and last middle get the first or last level. The table of bins is n rows;
+    null values stay null and don't count.
+    """
+    lo, hi = df.agg(F.min(value), F.max(value)).first()
+    if lo is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    lo, hi = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    width = (hi - lo) / n
+    count = {r["bin"]: r["n"] for r in histogram(df, value, [], lo, hi, n).collect()}  # n rows
+    run, total = [], 0
+    for k in range(n):
+        total += count.get(k, 0)
+        run.append(float(total))
+    span = run[-1] - run[0]
+    level = [(r - run[0]) / span * (new_hi - new_lo) + new_lo if span else r * new_lo for r in run]
+    table = F.array(*map(F.lit, level))
+    at = (F.col(value) - lo) / width - 0.5  # place among the middles
+    k = F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(n - 2)).cast("int")
+    share = F.least(F.greatest(at - k, F.lit(0.0)), F.lit(1.0))
+    a, b = F.element_at(table, k + 1), F.element_at(table, k + 2)
+    return df.withColumn(name, a + (b - a) * share if n > 1 else F.when(F.col(value).isNotNull(), F.lit(level[0])))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -92,14 +93,13 @@ def smooth(low: float = 0.25, high: float = 1.5) -> RandomKernel:
 
 
 def histogram_shift(points: int = 10) -> RandomKernel:
-    """Inner control points move between their neighbours."""
+    """A piecewise linear map of the value range whose inner control points lie anywhere between the point before and the next grid place."""
 
     def f(a, rng):
-        x = np.linspace(0, 1, points)
-        y = x.copy()
-        for i in range(1, points - 1):
-            y[i] = rng.uniform(y[i - 1], x[i + 1])
-        return X.histogram_shift(list(zip(x, y, strict=True)))(a)
+        grid = np.linspace(0, 1, points)
+        draws = rng.random(points)
+        level = accumulate(zip(grid[2:], draws[1:-1], strict=True), lambda low, up: low + (up[0] - low) * up[1], initial=0.0)
+        return X.histogram_shift(list(zip(grid, [*level, 1.0], strict=True)))(a)
 
     return f
 

@@ -32,15 +32,40 @@ def savitzky_golay(half: int, degree: int) -> list[float]:
     return np.linalg.pinv(np.vander(x, degree + 1, increasing=True))[0].tolist()
 
 
-def convolve(df: DataFrame, value: str, by: list[str], order: list[str], weights: list[float], name: str) -> DataFrame:
-    """Weighted sum over a centred frame; NULL where the frame reaches past an end."""
+def convolve(df: DataFrame, value: str, by: list[str], order: list[str], weights: list[float], name: str, mode: str | None = "zeros") -> DataFrame:
+    """Weighted sum over a centred frame, with a value for every row.
+
+    Beyond the ends stand zeros, the end's value (``replicate``), the rows mirrored at the end row
+    (``reflect``) or those of the other end (``circular``); with None the result is NULL there. Groups that are
+    shorter than the frame's half have NULL where a mirrored or circular row doesn't exist.
+    """
     half = len(weights) // 2
     w = Window.partitionBy(*by).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    from_start, from_end = F.row_number().over(w), F.count("*").over(whole) - F.row_number().over(w) + 1
+    nth = lambda frame, k: F.nth_value(value, k).over(frame)
+
+    def beyond(k: int):
+        """The value k rows off where that is outside."""
+        if mode is None:
+            return F.lit(None).cast("double")
+        if mode == "zeros":
+            return F.lit(0.0)
+        place, near, far = (from_start, whole, back) if k < 0 else (from_end, back, whole)
+        if mode == "replicate":
+            return nth(near, 1)
+        out = F.lit(None).cast("double")
+        for r in range(1, abs(k) + 1):  # rows at r from the end reach abs(k) - r + 1 beyond it
+            out = F.when(place == r, nth(near, abs(k) - r + 2) if mode == "reflect" else nth(far, abs(k) - r + 1)).otherwise(out)
+        return out
+
     total = None
     for i, x in enumerate(weights):
         k = i - half
-        term = F.lit(float(x)) * (F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w))
-        total = term if total is None else total + term
+        inside = F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w)
+        there = F.col(value) if not k else F.when(from_start + k < 1, beyond(k)).when(from_end - k < 1, beyond(k)).otherwise(inside)
+        total = F.lit(float(x)) * there if total is None else total + F.lit(float(x)) * there
     return df.withColumn(name, total)
 
 

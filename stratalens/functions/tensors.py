@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -202,13 +203,16 @@ def convolve_axis(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
 
 
 def gaussian_weights(sigma: float, truncated: float = 4.0) -> np.ndarray:
-    """Gaussian integrated over each sample, by the error function."""
-    tail = int(max(sigma * truncated, 0.5) + 0.5)
+    """Shares of a normal distribution in cells of width 1 around 0, out to ``truncated`` deviations (rounded half up, one cell at least).
+
+    A cell's share is the difference of the distribution function at its borders.
+    """
     if sigma <= 0:
         return np.ones(1)
-    t = 1 / (sigma * math.sqrt(2))
-    w = np.array([0.5 * (math.erf(t * (x + 0.5)) - math.erf(t * (x - 0.5))) for x in range(-tail, tail + 1)])
-    return np.clip(w, 0, None)
+    cells = max(int(math.floor(truncated * sigma + 0.5)), 1)
+    normal = NormalDist(0, sigma)
+    below = np.array([normal.cdf(k - 0.5) for k in range(-cells, cells + 2)])
+    return np.diff(below)
 
 
 def gaussian_smooth(sigma: float) -> Kernel:
@@ -278,15 +282,15 @@ def histogram_shift(points: Sequence[tuple[float, float]]) -> Kernel:
 
 
 def gibbs(alpha: float) -> Kernel:
-    """Drop the frequencies outside a radius: (1 - alpha) of the largest."""
+    """Low-pass: frequencies further from the origin than a share (1 - alpha) of the longest axis' half diagonal are dropped."""
 
     def f(a):
-        k = np.fft.fftshift(np.fft.fftn(a))
-        mid = (np.array(a.shape) - 1) / 2
-        grid = np.stack(np.meshgrid(*map(np.arange, a.shape), indexing="ij"))
-        r = (((grid - mid.reshape(-1, *[1] * a.ndim)) ** 2).sum(axis=0)) ** 0.5
-        limit = (1 - alpha) * np.max(a.shape) * math.sqrt(2) / 2
-        return np.real(np.fft.ifftn(np.fft.ifftshift(np.where(r <= limit, k, 0))))
+        spectrum = np.fft.fftshift(np.fft.fftn(a))
+        axes = [np.arange(n) - (n - 1) / 2 for n in a.shape]
+        squared = sum(np.square(x).reshape([-1 if k == i else 1 for k in range(a.ndim)]) for i, x in enumerate(axes))
+        half_diagonal = math.hypot(max(a.shape) / 2, max(a.shape) / 2)
+        spectrum[squared > ((1 - alpha) * half_diagonal) ** 2] = 0
+        return np.fft.ifftn(np.fft.ifftshift(spectrum)).real
 
     return f
 

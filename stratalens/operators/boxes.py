@@ -111,16 +111,24 @@ def sorted_groups(it: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[t
 
     Groups are small and many (an image's boxes), so a call of Python for each would cost more than the work.
     """
-    held: list[pa.RecordBatch] = []
+    held: list[pa.RecordBatch] = []  # parts of the group that may go on
+    last: tuple | None = None
     for batch in it:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held).combine_chunks()
+        first = tuple(batch.column(c)[0].as_py() for c in by)
+        end = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in by)
+        if held and first == last and end == last:
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
         ends = _group_ends(table, by)
-        if len(ends) > 1:  # the last group may go on
+        held, last = [batch], end
+        if len(ends) > 1:
             yield table.slice(0, int(ends[-2])), ends[:-1]
             held = table.slice(int(ends[-2])).to_batches()
+        elif table.num_rows > batch.num_rows:
+            held = table.to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, _group_ends(table, by)

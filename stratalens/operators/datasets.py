@@ -5,51 +5,17 @@ Position is identity for these operations, so each begins with ``row_index`` ove
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Inputs up to this many stored bytes are numbered in one sorted task; larger ones by ranges.
-SMALL_INPUT, RANGE_BYTES = 64 << 20, 32 << 20
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate for the leaves of a plan; no job runs."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 50) for i in range(leaves.size()))
-
-
-def _number(c: Column, kind: str) -> Column:
-    """A number that grows with a value: itself, its time, or the first six bytes of a string."""
-    if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(F.coalesce(c.cast("binary"), F.lit("").cast("binary")), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return (c.cast("double") if not kind.startswith("date") else F.unix_date(c).cast("double")) if kind != "timestamp" else c.cast("double")
+from stratalens.operators.ordered import positions, running_sums
 
 
 def row_index(df: DataFrame, keys: Sequence[str], name: str = "row_idx") -> DataFrame:
-    """Positions 0, 1, ... in the order of ``keys``.
-
-    Large inputs are dealt by ranges of the first key, at bounds that a percentile sketch finds; rows
-    are numbered within their range, and the ranges' counts (one row each) give what stands before.
-    """
-    order = [F.col(k).asc_nulls_first() for k in keys]
-    size = stored_bytes(df)
-    if size <= SMALL_INPUT:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    from pyspark.ml.feature import Bucketizer
-
-    n = min(100_000, math.ceil(size / RANGE_BYTES))
-    kind = dict(df.dtypes)[keys[0]]
-    at = df.withColumn("__at", F.coalesce(_number(F.col(keys[0]), kind), F.lit(-math.inf)))
-    bounds = at.agg(F.percentile_approx("__at", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    splits = [-math.inf, *sorted({float(b) for b in bounds if not math.isinf(b)}), math.inf]
-    ranged = Bucketizer(splits=splits, inputCol="__at", outputCol="__range").transform(at).drop("__at")
-    counts = ranged.groupBy("__range").count()
-    before = counts.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
-    numbered = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    return numbered.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__range", "__before", "__n")
+    """Positions 0, 1, ... in the order of ``keys``, nulls first; no task sees all rows, whatever their kind and number."""
+    return positions(df, [F.col(k).asc_nulls_first() for k in keys], name)
 
 
 def partition_strided(df: DataFrame, n: int, index: str = "row_idx") -> DataFrame:
@@ -89,8 +55,8 @@ def partition_ratios(df: DataFrame, ratios: Sequence[float], total: int, index:
 
 def partition_stratified(df: DataFrame, by: str, n: int, index: str = "row_idx") -> DataFrame:
     """Strided parts within each class, so that every part has the classes' proportions."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(index)) - 1
-    return df.withColumn("part", F.pmod(place, F.lit(n)).cast("int"))
+    ranked = running_sums(df, [by], [F.col(index)], {"__place": F.lit(1)})
+    return ranked.withColumn("part", F.pmod(F.col("__place") - 1, F.lit(n)).cast("int")).drop("__place")
 
 
 def resample(df: DataFrame, factor: float, total: int, index: str = "row_idx") -> DataFrame:
@@ -120,7 +86,8 @@ def batches(df: DataFrame, size: int, drop_last: bool = False, index: str = "row
 
 def dedup_by_hash(df: DataFrame, columns: Sequence[str], index: str) -> DataFrame:
     """One row for each distinct content, with the first and last position and how often it stands."""
-    key = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]))
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    key = F.sha2(F.concat(*[part(c) for c in columns]), 256)  # lengths keep the columns apart
     return df.groupBy(key.alias("key")).agg(F.min(index).alias("first_idx"), F.max(index).alias("last_idx"), F.count("*").alias("n"))
 
 
@@ -132,8 +99,8 @@ def weighted_draws(df: DataFrame, weight: str, draws: Sequence[float], key: str,
     """
     least = df.agg(F.min(weight)).first()[0]
     rows = df.withColumn("__w", F.col(weight) - (least if least is not None and least < 0 else 0)).withColumn("__stretch", F.floor(F.col(key) / width))
-    sums = rows.groupBy("__stretch").agg(F.sum("__w").alias("__sum"))
-    sums = sums.withColumn("__hi", F.sum("__sum").over(Window.orderBy("__stretch"))).withColumn("__total", F.max("__hi").over(Window.partitionBy()))
+    sums = running_sums(rows.groupBy("__stretch").agg(F.sum("__w").alias("__sum")), [], [F.col("__stretch")], {"__hi": F.col("__sum")})
+    sums = sums.withColumn("__total", F.lit(rows.agg(F.sum("__w")).first()[0]))
     wanted = F.array(*[F.struct(F.lit(i).alias("draw"), F.lit(float(u)).alias("u")) for i, u in enumerate(draws)])
     inside = lambda lo, hi: F.filter("__draws", lambda x: (x["u"] * F.col("__total") >= lo) & (x["u"] * F.col("__total") < hi))
     sums = sums.withColumn("__draws", wanted).withColumn("__draws", inside(F.col("__hi") - F.col("__sum"), F.col("__hi"))).where(F.size("__draws") > 0)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.ordered import running_sums
+
 EPS = 1.1920929e-07
 MODES = ("none", "mean", "sum", "mean_batch", "sum_batch", "mean_channel", "sum_channel")
 
@@ -120,16 +122,14 @@ def roc_auc(df: DataFrame, score: str = "score", y: str = "y", by: tuple[str, ..
     """
     by = list(by)
     g = _score_groups(df, by, score, y).withColumn("n", F.col("c") - F.col("p"))
-    up = Window.partitionBy(*by).orderBy(score)
-    g = g.withColumn("below", F.sum("n").over(up) - F.col("n"))
+    g = running_sums(g, by, [F.col(score)], {"upto": F.col("n")}).withColumn("below", F.col("upto") - F.col("n"))
     return g.groupBy(*by).agg(ratio(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double")).alias("value"))
 
 
 def average_precision(df: DataFrame, score: str = "score", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """Step-wise average precision, ties in one step."""
     by = list(by)
-    down = Window.partitionBy(*by).orderBy(F.desc(score))
-    g = _score_groups(df, by, score, y).withColumn("cp", F.sum("p").over(down)).withColumn("cc", F.sum("c").over(down))
+    g = running_sums(_score_groups(df, by, score, y), by, [F.desc(score)], {"cp": F.col("p"), "cc": F.col("c")})
     return g.groupBy(*by).agg(ratio(F.sum(F.col("p") * F.col("cp") / F.col("cc")), F.sum("p").cast("double")).alias("value"))
 
 
@@ -142,10 +142,9 @@ def averaged(per_class: DataFrame, how: str, weight: str = "weight") -> DataFram
 
 def froc_curve(df: DataFrame, n_images: int, n_targets: int, score: str = "score", y: str = "y") -> DataFrame:
     """(threshold, false positives an image, sensitivity) at every score but the lowest."""
-    down = Window.orderBy(F.desc(score))
-    g = _score_groups(df, [], score, y).withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum(F.col("c") - F.col("p")).over(down))
-    g = g.withColumn("least", F.min(score).over(Window.partitionBy()))
-    return g.where(F.col(score) > F.col("least")).select(F.col(score).alias("threshold"), (F.col("fp") / n_images).alias("fps"), (F.col("tp") / n_targets).alias("sensitivity"))
+    g = running_sums(_score_groups(df, [], score, y), [], [F.desc(score)], {"tp": F.col("p"), "fp": F.col("c") - F.col("p")})
+    least = g.agg(F.min(score)).first()[0]
+    return g.where(F.col(score) > F.lit(least)).select(F.col(score).alias("threshold"), (F.col("fp") / n_images).alias("fps"), (F.col("tp") / n_targets).alias("sensitivity"))
 
 
 def froc_score(curve: list[tuple[float, float]], at: tuple[float, ...] = (0.25, 0.5, 1, 2, 4, 8)) -> float:

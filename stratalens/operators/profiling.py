@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.ordered import percentiles
+
 PERCENTS = {"percentile_00_5": 0.005, "percentile_10_0": 0.1, "percentile_90_0": 0.9, "percentile_99_5": 0.995}
 
 
@@ -44,5 +46,6 @@ def metrics_report(df: DataFrame, sample: str, cls: str, value: str) -> tuple[Da
     per = df.groupBy(sample, cls).agg(F.avg(value).alias("value"))
     mean = per.groupBy(sample).agg(F.avg("value").alias("value")).select(sample, F.lit("mean").alias(cls), "value")
     raw = per.select(sample, F.col(cls).cast("string").alias(cls), "value").unionByName(mean)
-    summary = raw.groupBy(cls).agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("max"), F.percentile("value", F.lit(0.9)).alias("p90"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+    stats = raw.groupBy(cls).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+    summary = stats.join(percentiles(raw, "value", [cls], [50, 90]), cls).select(cls, "mean", F.col("p")[0].alias("median"), "max", F.col("p")[1].alias("p90"), "std", "n")
     return raw, summary

@@ -34,7 +34,10 @@ def concat_items(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def flatten_sub_keys(df: DataFrame, key: str, sub: Sequence[str], delete: bool = True, prefix: str | None = None) -> DataFrame:
-    """Fields of a struct column as columns, ``prefix_field`` if a prefix is given."""
+    """Fields of a struct column as columns, ``prefix_field`` if a prefix is given; a name that is taken is an error."""
+    taken = [n for s in sub if (n := f"{prefix}_{s}" if prefix else s) in df.columns and not (delete and n == key)]
+    if taken:
+        raise ValueError(f"columns {taken} exist already")
     out = df.withColumns({(f"{prefix}_{s}" if prefix else s): F.col(f"{key}.{s}") for s in sub})
     return out.drop(key) if delete else out
 

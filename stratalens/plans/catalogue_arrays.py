@@ -160,11 +160,32 @@ def median_smooth(s, d):
     return S.median_smooth(t(s, d, "events"), "value", ["user_id"], ["ts", "event_id"], 1, "m").select("event_id", r6("m").alias("value"))
 
 
-@query(f"select event_id, round((-3 * lag(value, 2) over ({_ORD}) + 12 * lag(value, 1) over ({_ORD}) + 17 * value + 12 * lead(value, 1) over ({_ORD}) - 3 * lead(value, 2) over ({_ORD})) / 35, 5) as value from events")
+_SG = "round((-3 * {a} + 12 * {b} + 17 * value + 12 * {c} - 3 * {d}) / 35, 5)"
+_FROM = "with e as (select *, row_number() over w as i, count(*) over (partition by user_id) as n from events window w as (partition by user_id order by ts, event_id)) "
+_AT = "(select value from e x where x.user_id = e.user_id and x.i = {k})"
+
+
+@query(f"select event_id, {_SG.format(**{k: f'coalesce({f}(value, {n}) over ({_ORD}), 0)' for k, f, n in (('a', 'lag', 2), ('b', 'lag', 1), ('c', 'lead', 1), ('d', 'lead', 2))})} as value from events")
 def savgol(s, d):
+    """Zeros beyond the ends, as is the default."""
     return S.convolve(t(s, d, "events"), "value", ["user_id"], ["ts", "event_id"], S.savitzky_golay(2, 2), "m").select("event_id", F.round("m", 5).alias("value"))
 
 
+def _mode(rule: str) -> str:
+    at = {k: f"(select x.value from e x where x.user_id = e.user_id and x.i = {rule.format(j=f'(e.i + {o})')})" for k, o in (("a", -2), ("b", -1), ("c", 1), ("d", 2))}
+    return _SG.format(**at).replace("value +", "e.value +")
+
+
+@query(_FROM + f"select event_id, {_mode('least(greatest({j}, 1), e.n)')} as replicated, {_mode('case when {j} < 1 then 2 - {j} when {j} > e.n then 2 * e.n - {j} else {j} end')} as reflected, {_mode('case when {j} < 1 then {j} + e.n when {j} > e.n then {j} - e.n else {j} end')} as circular from e where n >= 3")
+def savgol_edges(s, d):
+    x, made = t(s, d, "events"), []
+    for mode, name in (("replicate", "replicated"), ("reflect", "reflected"), ("circular", "circular")):
+        x = S.convolve(x, "value", ["user_id"], ["ts", "event_id"], S.savitzky_golay(2, 2), name, mode)
+        made.append(F.round(name, 5).alias(name))
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    return x.withColumn("n", n).where("n >= 3").select("event_id", *made)
+
+
 @query(f"select event_id, round(coalesce(lag(value, 2) over ({_ORD}), 0), 6) as shifted, round(value * 1.5, 6) as scaled, round(case when isnan(value) then 0 else value end, 6) as filled from events")
 def signal_shift_scale_fill(s, d):
     x = S.shift(t(s, d, "events"), "value", ["user_id"], ["ts", "event_id"], 2, "m")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from stratalens.functions import arrays as A
 from stratalens.operators import metrics as M
 from stratalens.operators import profiling as P
+from stratalens.operators.datasets import row_index
+from stratalens.operators.ordered import percentiles
 from stratalens.plans.registry import query
 from stratalens.session import read_table as t
+from stratalens.storage import written
 
 
 def r6(c):
@@ -80,7 +83,7 @@ union all select 'sum_batch', class_id, round(coalesce(sum(value), 0), 6), count
 union all select 'mean_channel', cast(sample_id as varchar), round(coalesce(avg(value), 0), 6), count(value) from f group by sample_id
 union all select 'sum_channel', cast(sample_id as varchar), round(coalesce(sum(value), 0), 6), count(value) from f group by sample_id""")
 def reduction_modes(s, d):
-    f, out = _cells(s, d), None
+    f, out = written(_cells(s, d), "cells"), None
     for mode in M.MODES[1:]:
         key = F.col("class_id") if mode.endswith("batch") else F.col("sample_id").cast("string") if mode.endswith("channel") else F.lit(None).cast("string")
         x = M.reduce_metric(f, mode).select(F.lit(mode).alias("mode"), key.alias("key"), r6("value").alias("value"), "n")
@@ -185,8 +188,8 @@ def panoptic_quality(s, d):
 @query("select o_orderkey, cast(dense_rank() over (order by o_custkey) as bigint) as instance from orders")
 def remap_instance_ids(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_custkey")
-    ids = o.select("o_custkey").distinct().withColumn("instance", F.row_number().over(Window.orderBy("o_custkey")).cast("long"))  # one row for each instance
-    return o.join(ids, "o_custkey").select("o_orderkey", "instance")
+    ids = row_index(o.select("o_custkey").distinct(), ["o_custkey"])
+    return o.join(ids, "o_custkey").select("o_orderkey", (F.col("row_idx") + 1).alias("instance"))
 
 
 @query("select case_id, round(max, 6) as max, round(mean, 6) as mean, round(median, 6) as median, round(min, 6) as min, round(stdev, 6) as stdev, round(p0, 6) as percentile_00_5, round(p1, 6) as percentile_10_0, round(p2, 6) as percentile_90_0, round(p3, 6) as percentile_99_5 from (select l_orderkey as case_id, max(l_extendedprice) max, avg(l_extendedprice) mean, quantile_disc(l_extendedprice, 0.5) median, min(l_extendedprice) min, stddev_pop(l_extendedprice) stdev, quantile_cont(l_extendedprice, 0.005) p0, quantile_cont(l_extendedprice, 0.1) p1, quantile_cont(l_extendedprice, 0.9) p2, quantile_cont(l_extendedprice, 0.995) p3 from lineitem group by 1)")
@@ -213,10 +216,10 @@ def label_stats(s, d):
     return x.select("l_returnflag", "n", r6("mean").alias("mean"), "min", "max", r6("stdev").alias("stdev"), r6("share").alias("share"))
 
 
-@query("with x as (select l_extendedprice v from lineitem qualify (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) - 1) % 2 = 0) select round(quantile_cont(v, 0.005), 6) as p005, round(quantile_cont(v, 0.5), 6) as p500, round(quantile_cont(v, 0.995), 6) as p995, count(*) as n from x")
+@query("with x as (select l_extendedprice v from lineitem qualify (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) - 1) % 10 = 0) select round(quantile_cont(v, 0.005), 6) as p005, round(quantile_cont(v, 0.5), 6) as p500, round(quantile_cont(v, 0.995), 6) as p995, count(*) as n from x")
 def dataset_percentiles(s, d):
-    x = P.every_nth(t(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], 2).groupBy("l_extendedprice").agg(F.count("*").alias("c"))
-    p = x.agg(F.percentile("l_extendedprice", F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995)), F.col("c")).alias("p"), F.sum("c").alias("n"))
+    x = P.every_nth(t(s, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], 10)
+    p = percentiles(x, "l_extendedprice", [], [0.5, 50, 99.5]).withColumn("n", F.lit(x.count()).cast("long"))
     return p.select(r6(F.col("p")[0]).alias("p005"), r6(F.col("p")[1]).alias("p500"), r6(F.col("p")[2]).alias("p995"), "n")
 
 
@@ -284,8 +287,9 @@ def prob_map_completion(s, d):
     return x.withColumn("complete", F.col("seen") >= F.col("expected"))
 
 
-@query("select vec_id, label, round(abs(label / 9.0 - (select avg(list_aggregate(embedding, 'max')) from embeddings)), 6) as gap from embeddings", name="label_quality")
+@query("select vec_id, label, round((select avg(abs(cast(x as double) - b.label / 9.0)) from unnest(b.embedding) as u(x)), 6) as gap from embeddings b")
 def label_quality(s, d):
+    """Mean absolute difference of each record's predictions and its own label."""
     e = t(s, d, "embeddings")
-    mean = e.agg(F.avg(F.array_max(A.as_doubles(F.col("embedding"))))).first()[0]
-    return e.select("vec_id", "label", r6(F.abs(F.col("label") / 9.0 - F.lit(mean))).alias("gap"))
+    gap = F.transform(A.as_doubles(F.col("embedding")), lambda x: F.abs(x - F.col("label") / 9.0))
+    return e.select("vec_id", "label", r6(A.mean(gap)).alias("gap"))

@@ -24,7 +24,7 @@ def csv_join_tables(s, d):
     return out.select(F.col("key").alias("c_custkey"), "c_name", "o_orderkey", "o_totalprice", "n_name")
 
 
-@query("select c_custkey, c_name, c_acctbal from customer where c_custkey in (3, 77) or (c_custkey >= 10 and c_custkey < 200)")
+@query("select c_custkey, c_name, c_acctbal from customer where c_custkey in (3, 77) union all select c_custkey, c_name, c_acctbal from customer where c_custkey >= 10 and c_custkey < 200")
 def csv_select_rows_cols(s, d):
     return T.select_rows(t(s, d, "customer"), "c_custkey", [3, 77, (10, 200)]).select("c_custkey", "c_name", "c_acctbal")
 
@@ -42,6 +42,20 @@ def csv_col_groups(s, d):
     return x.select("l_orderkey", "l_linenumber", F.concat_ws(",", F.round(e[0], 2).cast("string"), F.round(e[1], 2).cast("string")).alias("ehr"), r6(e[0]).alias("e0"), r6(e[2]).alias("e2"))
 
 
+@query("select c_custkey, c_name, o_orderkey, o_totalprice, case when o_orderkey is null then 'left_only' when c_custkey is null then 'right_only' else 'both' end as side from customer full join orders on c_custkey = o_custkey")
+def join_left_right_on(s, d):
+    """Keys of different names, the left one checked to be unique, with the side that each row comes from."""
+    c, o = t(s, d, "customer").select("c_custkey", "c_name"), t(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    x = T.join_tables([c, o], left_on="c_custkey", right_on="o_custkey", how="outer", indicator="side", validate="one_to_many")
+    return x.select("c_custkey", "c_name", "o_orderkey", "o_totalprice", "side")
+
+
+@query("select cast(place as int) as place, c_custkey, c_name from (values (0, 77, 78), (1, 3, 4), (2, 70, 80), (3, 77, 78)) v(place, lo, hi) join customer on c_custkey >= lo and c_custkey < hi")
+def row_indices_ordered(s, d):
+    """Labels and ranges in the order of their list; a row that is listed twice comes twice."""
+    return T.select_rows(t(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", [77, 3, (70, 80), 77], order="place").select("place", "c_custkey", "c_name")
+
+
 @query("""with o as (select *, (row_number() over (order by o_orderkey) - 1) // 1000 as chunk from orders), c as (select *, (row_number() over (order by c_custkey) - 1) // 1000 as chunk from customer)
 select o_orderkey, c_custkey, cast(o.chunk as bigint) as chunk from o join c on o_custkey = c_custkey and o.chunk = c.chunk""")
 def chunked_join(s, d):
@@ -216,10 +230,11 @@ def histogram_fixed(s, d):
     return I.histogram(t(s, d, "events"), "value", ["event_type"], 0.0, 100.0, 20)
 
 
-@query("""with b as (select event_id, cast(least(floor(value / 100 * 50), 49) as int) as bin from events where value >= 0 and value <= 100), h as (select bin, count(*) n from b group by 1), c as (select bin, sum(n) over (order by bin) c from h)
-select event_id, round((c - min_c) / greatest(max_c - min_c, 1) * 255, 6) as equalized from b join (select bin, c, min(c) over () min_c, max(c) over () max_c from c) using (bin)""")
+@query("""with r as (select min(value) lo, max(value) hi from events), b as (select cast(least(floor((value - lo) / (hi - lo) * 50), 49) as int) as bin, count(*) n from events, r group by 1), c as (select k, sum(coalesce(n, 0)) over (order by k) as c from range(50) t(k) left join b on bin = k),
+l as (select k, (c - min(c) over ()) / (max(c) over () - min(c) over ()) * 255 as level from c), x as (select event_id, (value - lo) / ((hi - lo) / 50) - 0.5 as place from events, r), y as (select *, least(greatest(floor(place), 0), 48) as k from x)
+select event_id, round(p.level + (q.level - p.level) * least(greatest(place - y.k, 0), 1), 6) as equalized from y join l p on p.k = y.k join l q on q.k = y.k + 1""")
 def histogram_equalize(s, d):
-    return I.equalize_histogram(t(s, d, "events").select("event_id", "value"), "value", 0.0, 100.0, 50, "equalized").select("event_id", r6("equalized").alias("equalized"))
+    return I.equalize_histogram(t(s, d, "events").select("event_id", "value"), "value", 50, "equalized").select("event_id", r6("equalized").alias("equalized"))
 
 
 @query("select md5(concat('7:', event_id)) as shuffle_key, event_id, cast((row_number() over (order by md5(concat('7:', event_id))) - 1) % 4 as int) as rank from events")
