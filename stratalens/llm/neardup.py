@@ -16,8 +16,8 @@ full sets, and components of the links found:
    by prefix filtering among the members of all such stars: two sets as similar as asked share one of
    the few rarest shingles of each, so members that share none of these across components drop out
    before sets move, and what is left falls into families that do. In a family, members in the order
-   of their size are cut in blocks, and two blocks meet unless their sizes are too far apart or both lie
-   in one component. Sets meet in the blocks; only links leave them.
+   of component and size are cut in blocks, and two blocks meet unless both lie in one component or
+   their sizes are too far apart. Sets meet in the blocks; only links leave them.
 
 All texts that share a key lie in one star, so no pair that meets in a table and could join two
 components goes untested, and no task lists the pairs of a large group. Links, components and sets
@@ -203,8 +203,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
     """
     many = pairs.groupBy("a").count().where(F.col("count") > BLOCK).select("a", F.ceil(F.col("count") / BLOCK).alias("places"))
     dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("places")), F.lit(0)).alias("place"))
-    withb = sets.select(F.col("doc").alias("b"), "set").join(dealt, "b").select("a", "place", "b", "set")
-    centres = sets.select(F.col("doc").alias("a"), "set").join(dealt.select("a", "place").distinct(), "a").select("a", "place", F.lit(None).cast("long").alias("b"), "set")
+    withb = sets.select(F.col("doc").alias("b"), "set").join(dealt.hint("merge"), "b").select("a", "place", "b", "set")
+    centres = sets.select(F.col("doc").alias("a"), "set").join(dealt.select("a", "place").distinct().hint("merge"), "a").select("a", "place", F.lit(None).cast("long").alias("b"), "set")
     both = centres.unionByName(withb).repartition(parts, "a", "place").sortWithinPartitions("a", "place", F.col("b").asc_nulls_first())
 
     def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int
     """Links across components inside large stars (centre, doc, comp)."""
     members = rare_families(stars.select("doc", "comp").distinct(), sets, percent)
     # The number of a row in its sorted partition names its block, so no family is numbered in one task; the table keeps what was drawn.
-    docs = members.repartitionByRange("family", "n", "doc").sortWithinPartitions("family", "n", "doc")
+    docs = members.repartitionByRange("family", "comp", "n", "doc").sortWithinPartitions("family", "comp", "n", "doc")
     docs = materialise(docs.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), "family-docs")
     per = docs.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     other = per.select("family", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
@@ -346,7 +346,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     starred = by(sent, "bucket").mapInArrow(lambda it: _stars(it, n_buckets), "home int, a binary, b binary")
     pairs = materialise(by(starred, "home").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary")
+    # Merge joins spill, and move the same at every size.
+    sets = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary")
     sets = materialise(sets, "sets")
     links = materialise(confirm(pairs, sets, percent, parts), "links")
     labels = components(links)
