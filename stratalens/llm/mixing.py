@@ -87,7 +87,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     takes = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("taken").alias("__taken"))
     rows = docs.withColumn("__size", n_words(F.col("text").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    rows = rows.join(takes, same)
+    rows = rows.join(takes.hint("merge"), same)
     copies = F.transform(F.sequence(F.lit(1), F.expr("cast(__taken div __size as int) + if(__taken % __size > 0, 1, 0)")), lambda i: F.least(F.col("__size"), F.col("__taken") - (i - 1) * F.col("__size")))
     rows = rows.withColumn("__words", F.explode(copies))
     part = F.col("__words") < F.col("__size")
