@@ -50,7 +50,7 @@ def _once(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return _once(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    return _once(docs).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
