@@ -113,3 +113,11 @@ def weighted_draws(df: DataFrame, weight: str, draws: Sequence[float], key: str,
 def hash_shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """A repeatable shuffle: order by a hash of seed and key."""
     return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+
+
+def shuffle_buffer(df: DataFrame, by: Sequence[str], order: str, size: int, seed: int = 0) -> DataFrame:
+    """A shuffle by a buffer of ``size`` rows, repeatable: within its group each row may move at most so many places back, by a draw from its key; ``place`` numbers the rows as they leave the buffer, from 1."""
+    w = Window.partitionBy(*by)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    rows = df.withColumn("__leaves", F.row_number().over(w.orderBy(order)) + draw * size)
+    return rows.withColumn("place", F.row_number().over(w.orderBy("__leaves", order))).drop("__leaves")

@@ -69,10 +69,9 @@ def name_distance(s, d):
     return x.select("n_name", "r_name", F.levenshtein("n_name", "r_name").alias("distance"))
 
 
-@query("select user_id, event_id, cast(row_number() over (partition by user_id order by md5(concat('3:', event_id))) as int) as place from events")
+@query("with x as (select user_id, event_id, row_number() over (partition by user_id order by event_id) + cast(('0x' || substr(md5(concat('3:', event_id)), 1, 8)) as bigint) / 4294967296.0::double * 16 as leaves from events) select user_id, event_id, cast(row_number() over (partition by user_id order by leaves, event_id) as int) as place from x")
 def shuffle_buffer(s, d):
-    x = D.hash_shuffle(t(s, d, "events").select("user_id", "event_id"), "event_id", 3)
-    return x.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("shuffle_key")).alias("place"))
+    return D.shuffle_buffer(t(s, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 16, 3).select("user_id", "event_id", "place")
 
 
 def _images(s, d):

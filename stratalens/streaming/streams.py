@@ -5,13 +5,14 @@ Each function works on a streaming or a batch DataFrame alike, or says so.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from stratalens.storage import new_path
 
 
 def chunk_counts(df: DataFrame, index: str, size: int, value: str) -> DataFrame:
@@ -25,20 +26,29 @@ def smart_cache(df: DataFrame, index: str, total: int, cached: int, replaced: in
     return df.where(F.pmod(F.col(index) - start, F.lit(total)) < cached)
 
 
+def _marked(df: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """With a watermark if rows may be late by so much; event times without a zone are read in the session's."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else df
+
+
+def _start(df: DataFrame, ts: str) -> Column:
+    return F.col("w.start").cast(dict(df.dtypes)[ts]).alias("start")
+
+
 def tumbling(df: DataFrame, ts: str, width: str, by: list[str], value: str, late: str | None = None) -> DataFrame:
-    x = df.withWatermark(ts, late) if late else df
+    x = _marked(df, ts, late)
     w = F.window(ts, width)
-    return x.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+    return x.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(_start(df, ts), *by, "n", "total")
 
 
 def sliding(df: DataFrame, ts: str, width: str, step: str, by: list[str], value: str, late: str | None = None) -> DataFrame:
-    x = df.withWatermark(ts, late) if late else df
-    return x.groupBy(F.window(ts, width, step).alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+    x = _marked(df, ts, late)
+    return x.groupBy(F.window(ts, width, step).alias("w"), *by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(_start(df, ts), *by, "n", "total")
 
 
 def sessions(df: DataFrame, ts: str, gap: str, by: list[str], late: str | None = None) -> DataFrame:
-    x = df.withWatermark(ts, late) if late else df
-    return x.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+    x = _marked(df, ts, late)
+    return x.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(_start(df, ts), *by, "n")
 
 
 def completion(df: DataFrame, key: str, expected: str) -> DataFrame:
@@ -60,30 +70,35 @@ def completion(df: DataFrame, key: str, expected: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(update, f"{key} long, seen long, complete boolean", "seen long, want long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Run a stream over what is there now and give its result table (kept in memory, for results of bounded size)."""
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Run a stream over what is there now, each micro-batch through a function of (rows, number); with a checkpoint folder a later run goes on where this one ended."""
     w = stream.writeStream.outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
-    q = (w.foreachBatch(each) if each else w.format("memory").queryName(name)).start()
-    q.awaitTermination()
-    return None if each else spark.table(name)
+    w.foreachBatch(each).start().awaitTermination()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and give its result as a Parquet table in the shared folder, for results that grow with the input.
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what is there now and give its result as a Parquet table in the shared folder; nothing of it goes to the driver.
 
-    Each batch is written to a folder of its own; in complete mode the last one is the result.
+    Each batch is a folder of its own, which a repeated batch overwrites. ``append``: all rows. ``update``:
+    of each key the row of the latest batch. ``complete``: the last batch.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stratalens-")
-    path = f"{shared.rstrip('/')}/stratalens/{name}-{uuid.uuid4().hex}"
-    done: list[str] = []
+    path = new_path(spark, name)
+    done: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
-        done.append(f"{path}/{number}")
-
-    run_available(spark, stream, name, mode, each=write)
-    done = done[-1:] if mode == "complete" else list(dict.fromkeys(done))
-    return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+
+    run_available(stream, write, mode)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={done[-1]}")
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(path)
+    if mode == "append":
+        return out.drop("batch")
+    latest = out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("x"))
+    return latest.select(*[F.col(f"x.{c}").alias(c) for c in stream.columns])
