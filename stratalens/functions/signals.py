@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.functions import draws
+
 
 def frame(by: list[str], order: list[str], before: int, after: int):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-before, after)
@@ -99,3 +101,94 @@ def square_pulse(n: int, magnitude: float, frequency: float) -> list[float]:
 def paste(array: Column, block: list[float], start: int) -> Column:
     """The array with a block written over it, cut off at the end."""
     return F.transform(array, lambda x, i: F.when((i >= start) & (i < start + len(block)), F.element_at(F.array(*map(F.lit, block)), F.least(F.greatest(i - start + 1, F.lit(1)), F.lit(len(block))))).otherwise(x))
+
+
+# Signals as array columns.
+
+
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def rand_scale(a: Column, key: str, lo: float, hi: float, seed: int = 0) -> Column:
+    """The signal plus itself times a drawn factor."""
+    f = draws.between(key, lo, hi, seed)
+    return F.transform(a, lambda x: x + x * f)
+
+
+def rand_shift(a: Column, key: str, lo: float, hi: float, mode: str = "wrap", filling: float = 0.0, seed: int = 0) -> Column:
+    """The signal moved by a drawn share of its length, around its ends (``wrap``) or with a filling."""
+    n = F.size(a)
+    by = F.rint(draws.between(key, lo, hi, seed) * n).cast("int")
+    if mode == "wrap":
+        return F.transform(a, lambda x, i: F.element_at(a, (F.pmod(i - by, n) + 1).cast("int")))
+    return F.transform(a, lambda x, i: F.when((i - by >= 0) & (i - by < n), F.element_at(a, F.least(F.greatest(i - by + 1, F.lit(1)), n))).otherwise(F.lit(filling)))
+
+
+def _segment(a: Column, key: str, lo: float, hi: float, seed: int) -> tuple[Column, Column]:
+    """Start and length of a drawn segment: a drawn share of the signal at a drawn place."""
+    length = F.floor(draws.between(key, lo, hi, seed, "len") * F.size(a)).cast("int")
+    return draws.below(key, F.size(a) - length + 1, seed, "at"), length
+
+
+def rand_drop(a: Column, key: str, lo: float, hi: float, seed: int = 0) -> Column:
+    """A drawn segment of the signal becomes zero."""
+    start, length = _segment(a, key, lo, hi, seed)
+    return F.transform(a, lambda x, i: F.when((i >= start) & (i < start + length), F.lit(0.0)).otherwise(x))
+
+
+def rand_gaussian_noise(a: Column, key: str, lo: float, hi: float, seed: int = 0) -> Column:
+    """Normal noise times a drawn magnitude."""
+    m = draws.between(key, lo, hi, seed)
+    return F.transform(a, lambda x, i: x + m * draws.normal(F.concat_ws("/", F.col(key), i), seed))
+
+
+def _wave(kind: str, magnitude: Column, frequency: Column):
+    sine_at = lambda i: F.sin(frequency * i)
+    return (lambda i: magnitude * sine_at(i)) if kind == "sine" else (lambda i: magnitude * F.when(sine_at(i) >= 0, 1.0).otherwise(-1.0))
+
+
+def rand_add(a: Column, key: str, kind: str, magnitudes: tuple[float, float], frequencies: tuple[float, float], seed: int = 0, part: tuple[float, float] | None = None) -> Column:
+    """A sine or a square pulse of drawn magnitude and frequency added to the signal, or to a drawn segment of it."""
+    wave = _wave(kind, draws.between(key, *magnitudes, seed, "m"), draws.between(key, *frequencies, seed, "f"))
+    if part is None:
+        return F.transform(a, lambda x, i: x + wave(i))
+    start, length = _segment(a, key, *part, seed)
+    return F.transform(a, lambda x, i: F.when((i >= start) & (i < start + length), x + wave(i - start)).otherwise(x))
+
+
+def envelope(a: Column) -> Column:
+    """Magnitude of the analytic signal of short signals of even length: the signal and its Hilbert transform, a circular sum with cotangents."""
+    n = F.size(a)
+
+    def at(x: Column, k: Column) -> Column:
+        terms = F.transform(a, lambda y, m: F.when(F.pmod(k - m, F.lit(2)) == 1, y * 2 / n / F.tan(math.pi * (k - m) / n)).otherwise(0.0))
+        h = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+        return F.sqrt(x * x + h * h)
+
+    return F.transform(a, at)
+
+
+def notch(frequency: float, quality: float, sampling: float) -> tuple[list[float], list[float]]:
+    """(b, a) of the second-order notch filter at a frequency: zeros on the unit circle, poles as far inside as the quality says."""
+    w = 2 * math.pi * frequency / sampling
+    gain = 1 / (1 + math.tan(w / quality / 2))
+    return [gain, -2 * gain * math.cos(w), gain], [1.0, -2 * gain * math.cos(w), 2 * gain - 1]
+
+
+def recursive_filter(a: Column, b: list[float], c: list[float]) -> Column:
+    """Second-order recursive filter along the signal, from rest; the state runs through an aggregate."""
+    zero = F.lit(0.0)
+    start = F.struct(F.array().cast("array<double>").alias("y"), zero.alias("x1"), zero.alias("x2"), zero.alias("y1"), zero.alias("y2"))
+
+    def step(s: Column, x: Column) -> Column:
+        y = x * b[0] + s["x1"] * b[1] + s["x2"] * b[2] - s["y1"] * c[1] - s["y2"] * c[2]
+        return F.struct(F.concat(s["y"], F.array(y)).alias("y"), x.alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"))
+
+    return F.aggregate(a, start, step, lambda s: s["y"])
+
+
+def remove_frequency(a: Column, frequency: float, quality: float, sampling: float) -> Column:
+    """The notch filter forth and back, so that nothing is delayed."""
+    b, c = notch(frequency, quality, sampling)
+    return F.reverse(recursive_filter(F.reverse(recursive_filter(a, b, c)), b, c))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.storage import written
+
 EPS = 1.1920929e-07
 
 
@@ -177,8 +179,8 @@ def match_boxes(pred: np.ndarray, score: np.ndarray, truth: np.ndarray, ious: tu
     return score[order], hits
 
 
-def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[float, ...] = (0.5,), recalls: int = 101, most: int = 100) -> DataFrame:
-    """label, iou, ap, ar, n_truth: matching within (image, class), then precision envelopes over all images of a class; -1 without truths.
+def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[float, ...] = (0.5,), recalls: int = 101, most: int = 100, recall_at: tuple[int, ...] = ()) -> DataFrame:
+    """label, iou, ap, ar, n_truth, and an ar_k for each k of ``recall_at`` (recall of the k best detections of an image): matching within (image, class), then precision envelopes over all images of a class; -1 without truths.
 
     Matches of equal score combine before they are summed up in the order of scores.
     """
@@ -195,14 +197,16 @@ def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[f
                 top = min(end, cut + most)
                 if top > cut:
                     score, hits = match_boxes(boxes[cut:top], scores[cut:top], boxes[start:cut], ious, most) if cut > start else (scores[cut:top], np.zeros((len(ious), top - cut), bool))
-                    out.append((np.full(top - cut, labels[start]), score, hits))
+                    out.append((np.full(top - cut, labels[start]), score, hits, np.arange(1, top - cut + 1)))
                 start = end
             if out:
                 label, score, hits = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(score), pa.array(hits.T.tolist(), pa.list_(pa.bool_()))], ["label", "score", "hits"])
+                rank = np.concatenate([o[3] for o in out])
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(score), pa.array(rank, pa.int32()), pa.array(hits.T.tolist(), pa.list_(pa.bool_()))], ["label", "score", "rank", "hits"])
 
-    hits = rows.mapInArrow(match, "label int, score double, hits array<boolean>")
-    each = hits.select("label", "score", F.posexplode("hits").alias("k", "hit")).groupBy("label", "k", "score").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("c"))
+    hits = written(rows.mapInArrow(match, "label int, score double, rank int, hits array<boolean>"), "matches").select("label", "score", "rank", F.posexplode("hits").alias("k", "hit"))
+    each = hits.groupBy("label", "k", "score").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("c"))
+    first = hits.groupBy("label", "k").agg(F.count("*").alias("found"), *[F.sum((F.col("hit") & (F.col("rank") <= m)).cast("long")).alias(f"first_{m}") for m in recall_at])
     down = Window.partitionBy("label", "k").orderBy(F.desc("score"))
     n = truth.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_truth"))
     curve = each.withColumn("tp", F.sum("tp").over(down)).withColumn("c", F.sum("c").over(down)).join(n, "label", "left").withColumn("recall", F.when(F.col("n_truth") > 0, F.col("tp") / F.col("n_truth")))
@@ -211,7 +215,7 @@ def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[f
     up = Window.partitionBy("label", "k").orderBy(F.desc("step"))
     best = best.withColumn("envelope", F.max("p").over(up)).withColumn("below", F.coalesce(F.lead("step").over(up), F.lit(-1)))
     ap = F.sum(F.col("envelope") * (F.col("step") - F.col("below"))) / recalls
-    out = best.groupBy("label", "k").agg(ap.alias("ap"), F.max("ar").alias("ar"), F.max("n_truth").alias("n_truth"))
+    out = best.groupBy("label", "k").agg(ap.alias("ap"), F.max("ar").alias("ar"), F.max("n_truth").alias("n_truth")).join(first, ["label", "k"])
     iou = F.element_at(F.array(*[F.lit(float(x)) for x in ious]), F.col("k") + 1)
     none = F.coalesce("n_truth", F.lit(0)) == 0
-    return out.select("label", iou.alias("iou"), F.when(none, -1.0).otherwise(F.col("ap")).alias("ap"), F.when(none, -1.0).otherwise(F.col("ar")).alias("ar"), F.coalesce("n_truth", F.lit(0)).alias("n_truth"))
+    return out.select("label", iou.alias("iou"), F.when(none, -1.0).otherwise(F.col("ap")).alias("ap"), F.when(none, -1.0).otherwise(F.col("ar")).alias("ar"), F.coalesce("n_truth", F.lit(0)).alias("n_truth"), *[F.when(none, -1.0).otherwise(F.col(f"first_{m}") / F.col("n_truth")).alias(f"ar_{m}") for m in recall_at])

@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from stratalens.plans import catalogue_arrays, catalogue_metrics, catalogue_more, catalogue_streams, catalogue_tables  # noqa: F401
+from stratalens.plans import catalogue_arrays, catalogue_detection, catalogue_metrics, catalogue_more, catalogue_nd, catalogue_streams, catalogue_tables  # noqa: F401
 from stratalens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

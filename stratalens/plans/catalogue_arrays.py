@@ -51,12 +51,12 @@ def box_area_clip(s, d):
     return b.select("box_id", "image_id", F.round(B.area(), 5).alias("area"), r6(B.clip("xy", {"x": 40, "y": 40})["xmax"]).alias("clipped_xmax"), r6((F.col("xmin") + F.col("xmax")) / 2).alias("xcenter"))
 
 
-@query()
+@query("with recursive " + BOXES[5:] + ", r as (select *, row_number() over (partition by image_id order by score desc, box_id) as k from b), o as (select c.image_id, c.k, list(a.k) as before from r a join r c on a.image_id = c.image_id and a.k < c.k and {i} / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (c.xmax - c.xmin) * (c.ymax - c.ymin) - {i} + 1.1920929e-07) > 0.3 group by all), x as (select r.image_id, r.k, coalesce(before, []) as before from r left join o using (image_id, k)), g(image_id, k, kept) as (select image_id, k, [k] from x where k = 1 union all select x.image_id, x.k, case when list_has_any(g.kept, x.before) then g.kept else list_append(g.kept, x.k) end from g join x on g.image_id = x.image_id and x.k = g.k + 1) select r.image_id, r.box_id, round(score, 6) as score from g join r using (image_id, k) where list_contains(g.kept, r.k)".replace("{i}", "(greatest(least(a.xmax, c.xmax) - greatest(a.xmin, c.xmin), 0) * greatest(least(a.ymax, c.ymax) - greatest(a.ymin, c.ymin), 0))"))
 def box_nms(s, d):
     return B.nms(boxes(s, d), ["image_id"], ["xmin", "ymin", "xmax", "ymax"], "score", "box_id", 0.3).select("image_id", "box_id", r6("score").alias("score"))
 
 
-@query()
+@query("with recursive " + BOXES[5:] + ", r as (select *, row_number() over (partition by image_id, label order by score desc, box_id) as k from b), o as (select c.image_id, c.label, c.k, list(a.k) as before from r a join r c on a.image_id = c.image_id and a.label = c.label and a.k < c.k and {i} / ((a.xmax - a.xmin) * (a.ymax - a.ymin) + (c.xmax - c.xmin) * (c.ymax - c.ymin) - {i} + 1.1920929e-07) > 0.3 group by all), x as (select r.image_id, r.label, r.k, coalesce(before, []) as before from r left join o using (image_id, label, k)), g(image_id, label, k, kept) as (select image_id, label, k, [k] from x where k = 1 union all select x.image_id, x.label, x.k, case when list_has_any(g.kept, x.before) then g.kept else list_append(g.kept, x.k) end from g join x on g.image_id = x.image_id and g.label = x.label and x.k = g.k + 1) select r.image_id, r.label, r.box_id, round(score, 6) as score from g join r using (image_id, label, k) where list_contains(g.kept, r.k)".replace("{i}", "(greatest(least(a.xmax, c.xmax) - greatest(a.xmin, c.xmin), 0) * greatest(least(a.ymax, c.ymax) - greatest(a.ymin, c.ymin), 0))"))
 def batched_nms(s, d):
     return B.nms(boxes(s, d), ["image_id", "label"], ["xmin", "ymin", "xmax", "ymax"], "score", "box_id", 0.3).select("image_id", "label", "box_id", r6("score").alias("score"))
 
@@ -65,7 +65,8 @@ def batched_nms(s, d):
 def coco_ap(s, d):
     b = boxes(s, d)
     truth = b.where("label = 1 or score > 0.05").select("image_id", "label", "xmin", "ymin", "xmax", "ymax")
-    return B.coco_ap(b, truth, ["xmin", "ymin", "xmax", "ymax"], (0.1, 0.3, 0.5)).select("label", "iou", r6("ap").alias("ap"), r6("ar").alias("ar"), "n_truth")
+    x = B.coco_ap(b, truth, ["xmin", "ymin", "xmax", "ymax"], (0.1, 0.3, 0.5), recall_at=(1, 2))
+    return x.select("label", "iou", *[r6(c).alias(c) for c in ("ap", "ar", "ar_1", "ar_2")], "n_truth")
 
 
 @query(BOXES + ", r as (select *, row_number() over (partition by image_id order by score desc, box_id) k from b) select image_id, box_id, cast(k as int) as rank from r where k <= 2")

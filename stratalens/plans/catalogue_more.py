@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratalens.functions import random_tensors as RT
 from stratalens.functions import tensors as X
 from stratalens.operators import datasets as D
 from stratalens.plans.registry import query
@@ -95,23 +94,9 @@ def tensor_mean_filter(s, d):
     return _cells(X.apply(_images(s, d), [X.mean_filter(3)], "vec_id"))
 
 
-@query(_GRID + _nine("cell", "min(x)"))
-def tensor_erode(s, d):
-    return _cells(X.apply(_images(s, d), [X.erode], "vec_id"))
-
-
-@query("with e as (select vec_id, cast(i as int) as i, cast(embedding[i + 1] as double) as x from embeddings, unnest(generate_series(0, 63)) as u(i)) select vec_id, cast((7 - i % 8) * 8 + i // 8 as int) as cell, round(x, 5) as value from e")
-def tensor_rotate90(s, d):
-    return _cells(X.apply(_images(s, d), [X.rotate90(1)], "vec_id"))
-
-
-@query()
-def tensor_random_chain(s, d):
-    chain = [RT.sometimes(RT.gaussian_noise(0.0, 0.1), 0.5), RT.one_of([RT.rotate90(), RT.axis_flip()]), RT.crop([6, 6])]
-    return _cells(RT.apply_random(_images(s, d), chain, "vec_id", seed=11))
-
-
-@query()
+@query("""with recursive e as (select vec_id, cast(i as int) as i, i // 8 as a, i % 8 as b from embeddings, unnest(range(64)) as u(i) where embedding[i + 1] > 0), n as (select x.vec_id, x.i, y.i as j from e x join e y on x.vec_id = y.vec_id and abs(x.a - y.a) + abs(x.b - y.b) = 1),
+r(vec_id, i, root) as (select vec_id, i, i from e union select n.vec_id, n.j, r.root from r join n on r.vec_id = n.vec_id and r.i = n.i where r.root < n.j), c as (select vec_id, i, min(root) as root from r group by 1, 2)
+select vec_id, cast(dense_rank() over (partition by vec_id order by root) as int) as component, count(*) as n from c group by vec_id, root""")
 def tensor_components(s, d):
     """Sizes of the connected components of positive cells."""
     n = X.apply(_images(s, d), [lambda a: X.components(a > 0)], "vec_id")
