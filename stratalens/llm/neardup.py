@@ -13,7 +13,7 @@ full sets, and components of the links found:
 
 1. every member of a star against its centre; a star of many members is dealt to several tasks, each with the centre's set;
 2. where a star still spans several components, all its pairs across components, if it is small; else
-   by prefix filtering among the members of all such stars: two sets as similar as asked share one of
+   by prefix filtering among the members of such stars that share members: two sets as similar as asked share one of
    the few rarest shingles of each, so members that share none of these across components drop out
    before sets move, and what is left falls into families that do. In a family, members in the order
    of component and size are cut in blocks, and two blocks meet unless both lie in one component or
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
@@ -289,7 +289,7 @@ def _block_links(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def rare_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(doc, comp, n, family) of the members (doc, comp) that share one of their rarest shingles with a member of another component; those who share one directly or through others are a family.
+    """(doc, comp, n, family) of the members (doc, comp, stars) that share one of their rarest shingles with a member of another component among the same ``stars``; those who share one directly or through others are a family.
 
     Of a set of n shingles, in the order of their frequency among the members, the first n - ceil(percent n / 100) + 1
     are its rarest: a set similar enough holds one of these among its own.
@@ -297,16 +297,16 @@ def rare_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for doc, comp, s in zip(batch.column("doc"), batch.column("comp"), batch.column("set"), strict=True):
+            for doc, comp, stars, s in zip(*(batch.column(c) for c in ("doc", "comp", "stars", "set")), strict=True):
                 x = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v.as_py(), np.int64)) for v in (doc, comp)] + [pa.array(x)], ["doc", "comp", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v.as_py(), np.int64)) for v in (doc, comp, stars)] + [pa.array(x)], ["doc", "comp", "stars", "e"])
 
-    held = members.join(sets, "doc").select("doc", "comp", "set").mapInArrow(explode, "doc long, comp long, e long")
+    held = members.join(sets, "doc").select("doc", "comp", "stars", "set").mapInArrow(explode, "doc long, comp long, stars long, e long")
     often = held.groupBy("e").agg(F.count("*").alias("c"))
-    ordered = held.join(often, "e").groupBy("doc", "comp").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("s"), F.count("*").alias("n"))  # a document's own shingles
-    rare = materialise(ordered.select("doc", "comp", "n", F.explode(F.slice("s", F.lit(1), F.col("n").cast("int") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("x")).select("doc", "comp", "n", F.col("x.e").alias("e")), "rare")
-    across = rare.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("root")).where("lo < hi").select("e", "root")
-    family = components(rare.join(across, "e").select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct())
+    ordered = held.join(often, "e").groupBy("doc", "comp", "stars").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("s"), F.count("*").alias("n"))  # a document's own shingles
+    rare = materialise(ordered.select("doc", "comp", "stars", "n", F.explode(F.slice("s", F.lit(1), F.col("n").cast("int") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("x")).select("doc", "comp", "stars", "n", F.col("x.e").alias("e")), "rare")
+    across = rare.groupBy("stars", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("root")).where("lo < hi").select("stars", "e", "root")
+    family = components(rare.join(across, ["stars", "e"]).select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct())
     out = materialise(rare.select("doc", "comp", "n").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc"), "family-members")
     forget(rare, family)
     return out
@@ -314,10 +314,15 @@ def rare_families(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links across components inside large stars (centre, doc, comp)."""
-    members = rare_families(stars.select("doc", "comp").distinct(), sets, percent)
-    # The number of a row in its sorted partition names its block, so no family is numbered in one task; the table keeps what was drawn.
-    docs = members.repartitionByRange("family", "comp", "n", "doc").sortWithinPartitions("family", "comp", "n", "doc")
-    docs = materialise(docs.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), "family-docs")
+    reach = components(stars.where("centre <> doc").select(F.col("doc").alias("a"), F.col("centre").alias("b")))  # stars that share members
+    members = rare_families(stars.select("doc", "comp").distinct().join(reach.select(F.col("node").alias("doc"), F.col("component").alias("stars")), "doc"), sets, percent)
+    # Places in one order of all members, from the sizes of its ranges (a row each), name the blocks; no family is numbered in one task.
+    order = ["family", "comp", "n", "doc"]
+    docs = members.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    placed = materialise(docs.withColumn("range", F.shiftright("id", 33)), "family-docs")
+    ranges = placed.groupBy("range").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    ranges = ranges.select("range", (F.sum("rows").over(Window.orderBy("range")) - F.col("rows") - F.col("least")).alias("shift"))
+    docs = placed.join(F.broadcast(ranges), "range").select(*order, F.floor((F.col("id") + F.col("shift")) / BLOCK).alias("block"))
     per = docs.groupBy("family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     other = per.select("family", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
     near = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
@@ -328,7 +333,7 @@ def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int
     rows = sides.join(docs, ["family", "block"]).join(sets, "doc").select("pair", "side", "doc", "comp", "set")
     rows = rows.repartition(parts, "pair").sortWithinPartitions("pair", "side")
     found = materialise(rows.mapInArrow(lambda it: _block_links(it, percent), "a long, b long"), "family-links")
-    forget(members, docs, meet)
+    forget(members, placed, meet, reach)
     return found
 
 
