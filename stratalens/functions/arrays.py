@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once for the row, though lambdas refer to it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
@@ -24,8 +29,8 @@ def argmin(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    e = bind(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return bind(e, lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def sigmoid(a: Column) -> Column:

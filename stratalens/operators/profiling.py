@@ -49,3 +49,51 @@ def metrics_report(df: DataFrame, sample: str, cls: str, value: str) -> tuple[Da
     stats = raw.groupBy(cls).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
     summary = stats.join(percentiles(raw, "value", [cls], [50, 90]), cls).select(cls, "mean", F.col("p")[0].alias("median"), "max", F.col("p")[1].alias("p90"), "std", "n")
     return raw, summary
+
+
+def label_stats_summary(cases: DataFrame, label: str) -> DataFrame:
+    """Over cases (case, label, n, mean, min, max, stdev): of each label the cells, greatest max, least min and the means of the others."""
+    return cases.groupBy(label).agg(F.count("*").alias("cases"), F.sum("n").alias("cells"), F.max("max").alias("max"), F.min("min").alias("min"), F.avg("mean").alias("mean"), F.avg("stdev").alias("stdev"))
+
+
+def label_stats_by_case(df: DataFrame, case: str, label: str, value: str) -> DataFrame:
+    """Statistics of the values of each label of each case, and its share of the case."""
+    per = df.groupBy(case, label).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("stdev"))
+    return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(case)))
+
+
+def component_shapes(cells: DataFrame, case: str, label: str, component: str, at: list[str]) -> DataFrame:
+    """Of each label of each case the number of its components and their shapes (extent on each axis, larger first by cells)."""
+    each = cells.groupBy(case, label, component).agg(F.count("*").alias("cells"), F.array(*[(F.max(a) - F.min(a) + 1).cast("int") for a in at]).alias("shape"))
+    return each.groupBy(case, label).agg(F.count("*").alias("components"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cells")).alias("c"), component, "shape"))), lambda s: s["shape"]).alias("shapes"))
+
+
+def filename_stats(df: DataFrame, column: str, known: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """The base name and suffix of each file of a data list, and whether it is among known paths."""
+    out = df.withColumn("name", F.regexp_extract(column, r"([^/]*)$", 1)).withColumn("suffix", F.regexp_extract(column, r"((?:\.nii)?\.[^./]*)$", 1))
+    if known is None:
+        return out
+    there = known.select(F.col(path).alias(column)).distinct().withColumn("exists", F.lit(True))
+    return out.join(there, column, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def read_folds(items: DataFrame, fold: int, column: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """(training, validation) of a data list whose records name their fold; records without one train."""
+    is_fold = F.coalesce(F.col(column) == fold, F.lit(False))
+    return items.where(~is_fold), items.where(is_fold)
+
+
+def missing_from_report(df: DataFrame, declared: dict[str, object], prefix: str = "") -> list[str]:
+    """Dotted names that a declared report format has and a (nested) schema lacks."""
+    have, out = {f.name: f.dataType for f in df.schema}, []
+
+    def walk(want, fields, at):
+        for name, below in want.items():
+            if name not in fields:
+                out.append(f"{at}{name}")
+            elif isinstance(below, dict) and below:
+                kind = getattr(fields[name], "elementType", fields[name])
+                walk(below, {f.name: f.dataType for f in getattr(kind, "fields", [])}, f"{at}{name}.")
+
+    walk(declared, have, prefix)
+    return out
