@@ -145,6 +145,85 @@ def coarse_shuffle(holes: int, size: Sequence[int]) -> RandomKernel:
     return f
 
 
+def std_shift(low: float, high: float) -> RandomKernel:
+    """A drawn factor times the deviation is added."""
+    return lambda a, rng: a + rng.uniform(low, high) * a.std()
+
+
+def fixed_mean_scale(low: float, high: float, fixed_mean: bool = True, preserve_range: bool = False) -> RandomKernel:
+    """Scaled by 1 plus a drawn factor about the mean, optionally held in the old range."""
+
+    def f(a, rng):
+        mid = a.mean() if fixed_mean else 0.0
+        out = (a - mid) * (1 + rng.uniform(low, high)) + mid
+        return np.clip(out, a.min(), a.max()) if preserve_range else out
+
+    return f
+
+
+def gaussian_sharpen(blur: tuple[float, float] = (0.5, 1.0), finer: tuple[float, float] = (0.5, 0.5), alpha: tuple[float, float] = (10.0, 30.0)) -> RandomKernel:
+    return lambda a, rng: X.gaussian_sharpen(rng.uniform(*blur), rng.uniform(*finer), rng.uniform(*alpha))(a)
+
+
+def gibbs(low: float = 0.0, high: float = 1.0) -> RandomKernel:
+    return lambda a, rng: X.gibbs(rng.uniform(low, high))(a)
+
+
+def filtered(kernel: X.Kernel) -> RandomKernel:
+    """A filter; give it a probability with ``sometimes``."""
+    return always(kernel)
+
+
+def intensity_remap(points: int = 5, slope: float = 0.7) -> RandomKernel:
+    """Grey levels through a drawn curve: so many levels of the range in a drawn order, blended with the identity by a slope."""
+
+    def f(a, rng):
+        lo, hi = a.min(), a.max()
+        if lo == hi:
+            return a
+        levels = np.linspace(lo, hi, points)
+        return slope * a + (1 - slope) * np.interp(a, levels, rng.permutation(levels))
+
+    return f
+
+
+def smooth_field(cells: Sequence[int], low: float, high: float, shape: Sequence[int], rng: np.random.Generator) -> np.ndarray:
+    """Drawn values on a coarse grid, one beyond each side, interpolated to a shape."""
+    return X.resize(shape)(rng.uniform(low, high, cells))
+
+
+def smooth_field_contrast(cells: Sequence[int], low: float = 0.5, high: float = 4.5) -> RandomKernel:
+    """A gamma that changes smoothly over the array."""
+
+    def f(a, rng):
+        lo, span = a.min(), a.max() - a.min()
+        gamma = smooth_field(cells, low, high, a.shape, rng)
+        return a if span == 0 else ((a - lo) / span) ** gamma * span + lo
+
+    return f
+
+
+def smooth_field_intensity(cells: Sequence[int], low: float = 0.1, high: float = 1.0) -> RandomKernel:
+    """A factor that changes smoothly over the array."""
+    return lambda a, rng: a * smooth_field(cells, low, high, a.shape, rng)
+
+
+def smooth_deform(cells: Sequence[int], extent: float = 1.0) -> RandomKernel:
+    """A displacement that changes smoothly over the array, at most so many cells."""
+    return lambda a, rng: X.warp(np.stack([smooth_field(cells, -extent, extent, a.shape, rng) for _ in range(a.ndim)]))(a)
+
+
+def low_resolution(low: float = 0.5, high: float = 1.0) -> RandomKernel:
+    """Sampled down by a drawn zoom to the nearest cells, and back to the old size by interpolation."""
+
+    def f(a, rng):
+        z = rng.uniform(low, high)
+        small = X.resize([max(1, round(n * z)) for n in a.shape], "nearest")(a)
+        return X.resize(a.shape)(small)
+
+    return f
+
+
 # Space.
 
 
@@ -177,6 +256,31 @@ def crop_by_label(size: Sequence[int], label: Callable[[np.ndarray], np.ndarray]
     return f
 
 
+def scale_crop(low: Sequence[float], high: Sequence[float] | None = None) -> RandomKernel:
+    """A box of a share of each axis, or of one drawn up to a larger share."""
+
+    def f(a, rng):
+        share = low if high is None else [rng.uniform(x, y) for x, y in zip(low, high, strict=True)]
+        return a[_box(a.shape, [math.ceil(n * x) for n, x in zip(a.shape, share, strict=True)], rng)]
+
+    return f
+
+
+def weighted_crop(size: Sequence[int], weight: Callable[[np.ndarray], np.ndarray]) -> RandomKernel:
+    """A box centred on a cell drawn in proportion to its weight; negative weights are shifted by the least, and equal ones draw evenly."""
+
+    def f(a, rng):
+        w = np.asarray(weight(a), float).ravel()
+        w = w - min(0.0, w.min())
+        up = np.cumsum(w)
+        at = int(np.searchsorted(up, rng.random() * up[-1], "right")) if up[-1] > 0 else int(rng.integers(len(w)))
+        at = np.unravel_index(min(at, len(w) - 1), a.shape)
+        start = [min(max(c - k // 2, 0), max(n - k, 0)) for c, k, n in zip(at, size, a.shape, strict=True)]
+        return a[tuple(slice(s, s + k) for s, k in zip(start, size, strict=True))]
+
+    return f
+
+
 def flip(axes: Sequence[int]) -> RandomKernel:
     return lambda a, rng: np.flip(a, tuple(axes))
 

@@ -1,4 +1,4 @@
-"""Sources: CSV tables, data lists, NumPy files, binary files by format, generated frames, REST and cached tables."""
+"""Sources: CSV tables, data lists, NumPy files, binary files by format, generated frames and cached tables."""
 
 from __future__ import annotations
 
@@ -102,11 +102,13 @@ def _nifti(raw: bytes) -> dict:
     return {"data": data, "affine": affine}
 
 
-TENSOR = "path string, name string, shape array<int>, data array<double>"
+TENSOR = "path string, name string, shape array<int>, data array<double>, error string"
 
 
 def read_arrays(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Arrays of files by suffix as rows (path, name, shape, data in row-major order); unreadable files have null data."""
+    """Arrays of files by suffix as rows (path, name, shape, data in row-major order, error); a file that can't be read is a row with null data and the reason, and the others are read."""
+    from stratalens.sources import formats  # noqa: F401  registers its readers
+
     r = spark.read.format("binaryFile")
     files = (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "content")
 
@@ -116,13 +118,15 @@ def read_arrays(spark: SparkSession, path: str, glob: str | None = None) -> Data
             for p, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 name = PurePosixPath(p).name.lower()
                 f = next((DECODERS[s] for s in sorted(DECODERS, key=len, reverse=True) if name.endswith("." + s)), None)
+                error = None if f else "no reader for this kind of file"
                 try:
                     found = f(raw.as_py()) if f else {"data": None}
-                except Exception:
-                    found = {"data": None}
-                rows += [(p, k, None if a is None else list(a.shape), None if a is None else a.astype(float).ravel().tolist()) for k, a in found.items()]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.float64()))], ["path", "name", "shape", "data"])
+                except Exception as e:
+                    found, error = {"data": None}, f"{type(e).__name__}: {e}"
+                rows += [(p, k, None if a is None else list(a.shape), None if a is None else a.astype(float).ravel().tolist(), error) for k, a in found.items()]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "name", "shape", "data", "error"])
 
     return files.mapInArrow(decode, TENSOR)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
@@ -34,24 +33,35 @@ def file_name(path, postfix: str = "", extension: str | None = None, parent: boo
     return F.concat(base, F.lit("/"), name) if parent else name
 
 
-def save_arrays(df: DataFrame, path: str, name: str = "name") -> DataFrame:
-    """(name, content) with each array (shape, data) as the bytes of an .npy file, written as a table that any store holds."""
+def save_arrays(df: DataFrame, path: str, name: str = "name", suffix: str = "npy") -> DataFrame:
+    """(name, content) with each array (shape, data[, affine]) as the bytes of a file of a kind (npy, png, nrrd, nii, nii.gz), written as a table that any store holds."""
     import numpy as np
     import pyarrow as pa
 
+    from stratalens.sources.formats import writer_of
+
+    encode_one = writer_of(f"x.{suffix}")
+    with_affine = "affine" in df.columns
+
     def encode(it):
         for batch in it:
             out = []
-            for shape, data in zip(batch.column("shape").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                f = io.BytesIO()
-                np.save(f, np.asarray(data, float).reshape(shape))
-                out.append(f.getvalue())
+            affines = batch.column("affine").to_pylist() if with_affine else [None] * batch.num_rows
+            for shape, data, m in zip(batch.column("shape").to_pylist(), batch.column("data").to_pylist(), affines, strict=True):
+                n = int(len(m) ** 0.5) if m else 0
+                out.append(encode_one(np.asarray(data, float).reshape(shape), np.asarray(m, float).reshape(n, n) if m else None))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], ["name", "content"])
 
-    files = df.select(F.col(name).cast("string").alias("name"), "shape", "data").mapInArrow(encode, "name string, content binary")
+    cols = [F.col(name).cast("string").alias("name"), "shape", "data", *(["affine"] if with_affine else [])]
+    files = df.select(*cols).mapInArrow(encode, "name string, content binary")
     files.write.mode("append").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def write_mapping(df: DataFrame, source: str, target: str, path: str) -> None:
+    """The log of which input became which output, as JSON lines; runs add to it."""
+    df.select(F.col(source).alias("input"), F.col(target).alias("output")).distinct().write.mode("append").json(path)
+
+
 def suffix(path: str) -> str:
     return PurePosixPath(path).suffix
