@@ -70,7 +70,8 @@ class PrefixCounter:
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self.made = {a + b: (a, b) for a, b in reversed(self.rank)}
         self._edges: tuple[dict, dict] = ({}, {})
-        self._steps = Memo(self._piece_steps, MEMO_BYTES)
+        self._steps = Memo(lambda piece: b"".join([self._parts[p] for p in self.pretokens(piece)]), MEMO_BYTES)
+        self._parts = Memo(self._pretoken_steps, MEMO_BYTES)
 
     def merge(self, data: bytes) -> list[bytes]:
         """BPE of a few bytes, straight from its definition; the tests compare the recurrence with it."""
@@ -224,9 +225,9 @@ class PrefixCounter:
                     base = at
         return out
 
-    def _piece_steps(self, piece: str) -> bytes:
-        """What each character of a piece adds to the count, a signed byte each."""
-        counts = self.unit(piece)
+    def _pretoken_steps(self, pretoken: str) -> bytes:
+        """What each character of a pre-token adds to the count, a signed byte each."""
+        counts = self.at_chars(pretoken)
         return array("b", [y - x for x, y in zip((0, *counts), counts, strict=False)]).tobytes()
 
     def steps(self, text: str) -> np.ndarray:
