@@ -411,6 +411,25 @@ def ssim(a: np.ndarray, b: np.ndarray, window: int = 7, span: float = 1.0, k1: f
     return float((((2 * mx * my + c1) * (2 * cxy + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
 
 
+def multiscale_ssim(a: np.ndarray, b: np.ndarray, window: int = 7, span: float = 1.0, weights: Sequence[float] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333), k1: float = 0.01, k2: float = 0.03) -> float:
+    """Structural similarity over scales, each the means of 2 x 2 (x 2) cells of the one before: contrast terms of all but the last, the whole similarity there, as weighted powers; negative terms count as zero."""
+    out = 1.0
+    for k, w in enumerate(weights):
+        view = lambda x: np.lib.stride_tricks.sliding_window_view(x, [window] * a.ndim).reshape(-1, window**a.ndim)  # noqa: E731, B023
+        x, y = view(a), view(b)
+        mx, my = x.mean(axis=1), y.mean(axis=1)
+        vx, vy, cxy = (x * x).mean(axis=1) - mx**2, (y * y).mean(axis=1) - my**2, (x * y).mean(axis=1) - mx * my
+        term = (2 * cxy + (k2 * span) ** 2) / (vx + vy + (k2 * span) ** 2)
+        if k == len(weights) - 1:
+            term = term * (2 * mx * my + (k1 * span) ** 2) / (mx**2 + my**2 + (k1 * span) ** 2)
+        out *= max(float(term.mean()), 0.0) ** w
+        half = [n // 2 for n in a.shape]
+        pool = lambda z: z[tuple(slice(0, 2 * h) for h in half)].reshape([v for h in half for v in (h, 2)]).mean(axis=tuple(range(1, 2 * len(half), 2)))  # noqa: E731, B023
+        if k < len(weights) - 1:
+            a, b = pool(a), pool(b)
+    return out
+
+
 def otsu(a: np.ndarray, bins: int = 256) -> float:
     """Threshold of the largest variance between classes."""
     n, edges = np.histogram(a, bins)

@@ -1,4 +1,4 @@
-"""Queries of patches in two and three dimensions, orientation and collation."""
+"""Queries of patches in two and three dimensions, orientation, collation, array functions and evaluation."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import affines as AF
 from stratalens.functions import arrays as A
+from stratalens.functions import unified as U
 from stratalens.functions.nd import Nd
 from stratalens.operators import patches_nd as PN
 from stratalens.plans.catalogue_arrays import vectors
 from stratalens.plans.catalogue_detection import unit_sql
+from stratalens.plans.evaluation import Evaluator
 from stratalens.plans.registry import query
 
 _E = "with e as (select vec_id, cast(i as int) as i, i // 8 as a, i % 8 as b, cast(embedding[i + 1] as double) as x from embeddings, unnest(range(64)) as u(i)) "
@@ -66,3 +68,53 @@ def pad_collate(s, d):
     x = PN.pad_collate(x, "batch", "data", "shape", 2)
     total = F.aggregate(F.transform("data", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, b: a + b)
     return x.select("vec_id", F.col("shape")[0].alias("h"), F.col("shape")[1].alias("w"), F.round(total, 4).alias("checksum"))
+
+
+_F = "with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v, list_transform(embedding, lambda x: cast(floor(x * 10) as int)) as w from embeddings) "
+
+
+@query(_F + """select vec_id, list_sort(v)[32] + list_sort(v)[33] as twice_median, round(list_stddev_pop(v), 6) as std, list_min(list_filter(list_distinct(w), lambda u: len(list_filter(w, lambda x: x = u)) = list_max(list_transform(w, lambda t: len(list_filter(w, lambda x: x = t)))))) as mode, cast(len(list_distinct(w)) as int) as kinds,
+cast(len(list_filter(v, lambda x: x < -0.1)) as int) as before, list_indexof(v, list_min(v)) - 1 as first, round(list_sum(list_transform(v, lambda x: least(greatest(x, -0.1), 0.1))), 5) as clipped, round(list_sum(list_transform(range(64), lambda i: greatest(v[i + 1], v[64 - i]))), 5) as larger, round(list_sum(list_transform(range(64), lambda i: case when w[i + 1] <> 0 then v[i + 1] else v[64 - i] end)), 5) as chosen, cast(len(list_filter(w, lambda x: x in (0, 1))) as int) as among, v[1] > 0 and v[1] < 1 and v[2] > 0 and v[2] < 1 as inside from e""")
+def array_functions(s, d):
+    """Medians, modes, deviations, orders, choices and tests of array columns."""
+    v, w = F.col("v"), F.col("w")
+    x = vectors(s, d).withColumn("w", F.transform("v", lambda x: F.floor(x * 10).cast("int")))
+    out = x.select(
+        "vec_id",
+        (U.median(v) * 2).alias("twice_median"),
+        F.round(U.std(v), 6).alias("std"),
+        U.mode(w).alias("mode"),
+        F.size(U.unique(w)).alias("kinds"),
+        U.searchsorted(F.array_sort(v), F.array(F.lit(-0.1)))[0].alias("before"),
+        U.argsort(v)[0].cast("int").alias("first"),
+        F.round(A.total(U.clip(v, -0.1, 0.1)), 5).alias("clipped"),
+        F.round(A.total(U.maximum(v, F.reverse(v))), 5).alias("larger"),
+        F.round(A.total(U.where(w, v, F.reverse(v))), 5).alias("chosen"),
+        F.size(F.filter(U.in1d(w, F.array(F.lit(0), F.lit(1))), lambda c: c)).alias("among"),
+        U.in_bounds(F.slice(v, F.lit(1), F.lit(2)), F.array(F.lit(1e-12), F.lit(1e-12)), F.array(F.lit(1.0), F.lit(1.0))).alias("inside"),
+    )
+    return out
+
+
+@query(_F + """, r as (select vec_id, (list_max(v) - list_min(v)) as top, list_transform(v, lambda x: (x - list_min(v)) / (list_max(v) - list_min(v))) as y, label from e) select vec_id, round(list_sum(y), 5) as scaled, cast(list_sum(list_transform(y, lambda x: cast(floor(x * 255) as bigint))) as bigint) as integers, cast(len(list_filter(range(64), lambda i: y[i + 1] > 0.5 and i // 8 % 2 = 1)) as int) as odd_rows from r""")
+def array_rescaling(s, d):
+    """Values to [0, 1] and to whole numbers, and cells in an order that turns at each row's end."""
+    x = vectors(s, d).withColumn("y", U.rescale_each(F.array(F.col("v")))[0])
+    turned = U.reorder(F.col("y"), U.scan_order(8, 8, "s_curve"))
+    odd = F.filter(F.transform(turned, lambda v, i: F.when((v > 0.5) & (F.floor(i / 8) % 2 == 1), i)), lambda i: i.isNotNull())
+    whole = U.rescale_to_integers(F.col("v"), 8)
+    return x.select("vec_id", F.round(A.total(F.col("y")), 5).alias("scaled"), F.aggregate(whole, F.lit(0).cast("long"), lambda a, b: a + b).alias("integers"), F.size(odd).alias("odd_rows"))
+
+
+@query(_F + ", p as (select vec_id, label, (v[1] + v[2] * 2) / 2 > 0.05 as pred from e), m as (select abs(cast(pred as int) - cast(label > 4 as int)) as error, case when label > 4 then cast(pred as int) end as recall from p) select 'error' as metric, round(avg(error), 6) as mean, cast(min(error) as double) as min, cast(max(error) as double) as max, count(error) as n from m union all select 'recall', round(avg(recall), 6), min(recall), max(recall), count(recall) from m")
+def evaluation(s, d):
+    """An ensemble of two predictions, thresholded, against labels; records without a positive label have no recall."""
+    e = Evaluator(
+        "vec_id",
+        {"a": lambda: F.col("v")[0], "b": lambda: F.col("v")[1] * 2},
+        {"error": lambda p: F.abs(p - F.col("y")), "recall": lambda p: F.when(F.col("y") == 1, p)},
+        prepare={"y": (F.col("label") > 4).cast("int")},
+        post=[lambda p: (p > 0.05).cast("int")],
+    )
+    x = e.summary(vectors(s, d))
+    return x.select("metric", F.round("mean", 6).alias("mean"), "min", "max", "n")

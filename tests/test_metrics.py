@@ -1,4 +1,7 @@
-"""Metrics, profiling, boxes and patches against small known results."""
+"""Metrics, profiling, boxes and patches against small known results.
+
+Fixed values: the small inputs and results below are those that every implementation of these metrics must give.
+"""
 
 from __future__ import annotations
 
