@@ -3,7 +3,7 @@
 Every shingle of five words is hashed once. The top bits of the hash name one of ``BINS`` bins, and
 the least hash of each bin is kept. Empty bins are filled by optimal densification: bin j tries the
 bins that a fixed hash of (j, attempt) names until one that holds a shingle of its own turns up. Of
-each bin only the ``BITS`` low-order bits are stored. Two unequal minima agree in them by chance with
+each bin only the ``BITS`` low-order bits are stored, two bins to a byte. Two unequal minima agree in them by chance with
 probability 2^-BITS, so likeness is (agreeing share - 2^-BITS) / (1 - 2^-BITS), between 0 and 1.
 
 Equal texts have equal fingerprints. A text of one to four words is one shingle. A null text counts
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stratalens.llm.shared import doc_rows, input_bytes, mix, shingles, slices, text_column, words
 
-BINS, BITS, SHINGLE = 256, 8, 5
+BINS, BITS, SHINGLE = 512, 4, 5
 #: A range of ids is one task; it holds about so many bytes of stored input.
 RANGE_BYTES = 8 << 20
 

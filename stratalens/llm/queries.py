@@ -60,13 +60,29 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "log_score", "mean_log_score", "perplexity", *[F.col("by_order")[i].alias(f"n_by_{i}") for i in range(lm_scores.ORDER + 1)])
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 4 makes of the texts that it fingerprints: the columns that SQL can check."""
+    return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 5 reads back from its streams: the columns that SQL can check."""
+    return op5_mpeg_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, fingerprint_edits, audio_payloads)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
+    "fingerprint_edits": """
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lead(coalesce(text, '')) over w, first_value(coalesce(text, '')) over w) as nxt from documents window w as (order by doc_id))
+select doc_id, length(t) as n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(nxt, 1, length(t) // 2)) as edited_sha256 from d""",
+    "audio_payloads": """
+with d as (select doc_id, coalesce(text, '') as t, cast(strlen(coalesce(text, '')) as bigint) as n_bytes from documents), p as (select *, greatest(64, (n_bytes + 63) // 64 * 64) as payload_bytes from d)
+select doc_id, n_bytes, payload_bytes, sha256(t || repeat(chr(0), cast(payload_bytes - n_bytes as bigint))) as payload_sha256 from p""",
     "op2_mixing": f"""
 with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size, md5(concat_ws(':', '17', coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))), source)) as key from documents),
 s as (select source, sum(size)::double as n from d group by source),
