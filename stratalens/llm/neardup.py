@@ -7,9 +7,10 @@ With m = 12 and r = 3, 72 values make 144 tables, and two sets of similarity 0.8
 probability (1 - (1 - 0.8^3)^12)^2 = 0.9996, higher similarities almost surely.
 
 Texts with equal sets are one class first, and only its representative (least doc_id) goes on, so
-copies, however many, cost one row each. The keys of a block of texts are packed for each bucket of
-key values; texts that share a key are linked in a star to the least of them. Stars are confirmed on
-full sets, and components of the links found:
+copies, however many, cost one row each. The keys of a block of texts are packed for each partition, where
+they are cut into buckets of key values; texts that share a key are linked in a star to the least of
+them. So rows stay large however many buckets there are. Stars are confirmed on full sets, and
+components of the links found:
 
 1. every member of a star against its centre; a star of many members is dealt to several tasks, each with the centre's set;
 2. where a star still spans several components, all its pairs across components, if it is small; else
@@ -42,8 +43,8 @@ from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, join_h
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 3
 #: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block, and of a star that a task takes; elements of sets that are compared at a time.
 BUCKET_BYTES, SMALL, BLOCK, ELEMENTS = 6 << 20, 16, 256, 4096
-#: Partitions at most; each takes one bucket after the other, so their number doesn't bound that of buckets.
-PARTS = 20_000
+#: Partitions at most; each takes one bucket after the other, so their number doesn't bound that of buckets. Bytes that are cut into buckets at a time.
+PARTS, SPLIT_BYTES = 20_000, 64 << 20
 
 _rng = np.random.default_rng(0xBA4D)
 _XOR = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
@@ -110,30 +111,57 @@ def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def _keys(it: Iterator[pa.RecordBatch], n_bands: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Table keys of representatives, packed for each bucket."""
+def _by_number(number: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct numbers, ends of their stretches, the columns in the order of numbers)."""
+    by = np.argsort(number, kind="stable")
+    n = number[by]
+    last = np.ones(len(n), bool)
+    last[:-1] = n[1:] != n[:-1]
+    ends = np.flatnonzero(last) + 1
+    return n[ends - 1], ends, [c[by] for c in columns]
+
+
+def _keys(it: Iterator[pa.RecordBatch], n_bands: int, n_buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Table keys of representatives, packed for each partition of buckets."""
     for batch in it:
         for at in range(0, batch.num_rows, 6000):
-            part = batch.slice(at, 6000)
-            ids = np.asarray(part.column("doc_id"))
-            b = np.frombuffer(b"".join(part.column("bands").to_pylist()), np.uint64).reshape(len(ids), 2, n_bands)
+            rows = batch.slice(at, 6000)
+            ids = np.asarray(rows.column("doc_id"))
+            b = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(len(ids), 2, n_bands)
             table = np.arange(n_bands * n_bands, dtype=np.uint64).reshape(1, n_bands, n_bands)
             key = mix(b[:, 0, :, None] * np.uint64(0x9E3779B97F4A7C15) + b[:, 1, None, :] * np.uint64(0xC2B2AE3D27D4EB4F) + table).reshape(-1)
-            doc = np.repeat(ids, n_bands * n_bands)
-            bucket = (key % np.uint64(n_buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            key, doc, bucket = key[by], doc[by], bucket[by]
-            last = np.ones(len(bucket), bool)
-            last[:-1] = bucket[1:] != bucket[:-1]
-            ends = np.flatnonzero(last) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), _packed(key, ends), _packed(doc, ends)], ["bucket", "keys", "docs"])
+            part, ends, (key, doc) = _by_number((key % np.uint64(n_buckets) % np.uint64(parts)).astype(np.int32), key, np.repeat(ids, n_bands * n_bands))
+            yield pa.RecordBatch.from_arrays([pa.array(part), _packed(key, ends), _packed(doc, ends)], ["part", "keys", "docs"])
+
+
+def _split(it: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition cut into its buckets, so many bytes at a time."""
+    keys: list[bytes] = []
+    docs: list[bytes] = []
+    size = 0
 
+    def cut() -> pa.RecordBatch:
+        key, doc = np.frombuffer(b"".join(keys), np.uint64), _ids(b"".join(docs))
+        bucket, ends, (key, doc) = _by_number((key % np.uint64(n_buckets)).astype(np.int32), key, doc)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), _packed(key, ends), _packed(doc, ends)], ["bucket", "keys", "docs"])
 
-def _stars(it: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of the least text of a key with each other one, packed for each home of pairs; rows come sorted by bucket."""
+    for batch in it:
+        for k, d in zip(batch.column("keys").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+            keys.append(k)
+            docs.append(d)
+            size += 2 * len(k)
+            if size >= SPLIT_BYTES:
+                yield cut()
+                keys, docs, size = [], [], 0
+    if keys:
+        yield cut()
+
+
+def _stars(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the least text of a key with each other one, packed for each partition of pairs; rows come sorted by bucket."""
 
     def met(keys: list[bytes], docs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, doc = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(docs), np.int64)
+        key, doc = np.frombuffer(b"".join(keys), np.uint64), _ids(b"".join(docs))
         by = np.lexsort((doc, key))
         key, doc = key[by], doc[by]
         first = np.ones(len(key), bool)
@@ -143,11 +171,9 @@ def _stars(it: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]
         a, b = _unique_pairs(centre[pair], doc[pair])
         if not len(a):
             return
-        home = (mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
-        by = np.argsort(home, kind="stable")
-        a, b, home = a[by], b[by], home[by]
-        ends = np.append(np.flatnonzero(home[1:] != home[:-1]) + 1, len(home))
-        yield pa.RecordBatch.from_arrays([pa.array(home[ends - 1]), _packed(a, ends), _packed(b, ends)], ["home", "a", "b"])
+        part = (mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        part, ends, (a, b) = _by_number(part, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(part), _packed(a, ends), _packed(b, ends)], ["part", "a", "b"])
 
     keys: list[bytes] = []
     docs: list[bytes] = []
@@ -164,19 +190,24 @@ def _stars(it: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]
         yield from met(keys, docs)
 
 
-def _distinct_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pair once; rows come sorted by home."""
-    home, a, b = None, [], []
+def _unpack_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        for r in batch.to_pylist():
-            if a and r["home"] != home:
-                yield _pair_rows(_ids(b"".join(a)), _ids(b"".join(b)))
-                a, b = [], []
-            home = r["home"]
-            a.append(r["a"])
-            b.append(r["b"])
-    if a:
-        yield _pair_rows(_ids(b"".join(a)), _ids(b"".join(b)))
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(a)), pa.array(_ids(b))], ["a", "b"])
+
+
+def _first_of_equal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair once; pairs come sorted."""
+    last = None
+    for batch in it:
+        a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
+        if not len(a):
+            continue
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first[0] = last != (a[0], b[0])
+        last = (a[-1], b[-1])
+        yield batch.filter(pa.array(first))
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -345,11 +376,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     classes = materialise(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     n_buckets = int(max(8, min(1 << 30, input_bytes(docs) // BUCKET_BYTES)))
     parts = min(n_buckets, PARTS)
-    by = lambda df, c: df.repartitionById(parts, F.col(c) % parts).sortWithinPartitions(c)
+    dealt = lambda df: df.repartitionById(parts, F.col("part"))
     first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, ["doc_id", "s1", "s2"]).select("doc_id", "bands")
-    sent = first.mapInArrow(lambda it: _keys(it, n_bands, n_buckets), "bucket int, keys binary, docs binary")
-    starred = by(sent, "bucket").mapInArrow(lambda it: _stars(it, n_buckets), "home int, a binary, b binary")
-    pairs = materialise(by(starred, "home").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
+    sent = dealt(first.mapInArrow(lambda it: _keys(it, n_bands, n_buckets, parts), "part int, keys binary, docs binary"))
+    cut = sent.mapInArrow(lambda it: _split(it, n_buckets), "bucket int, keys binary, docs binary") if n_buckets > parts else sent.withColumnRenamed("part", "bucket")
+    starred = dealt(cut.sortWithinPartitions("bucket").mapInArrow(lambda it: _stars(it, parts), "part int, a binary, b binary"))
+    pairs = starred.mapInArrow(_unpack_pairs, "a long, b long").sortWithinPartitions("a", "b").mapInArrow(_first_of_equal, "a long, b long")
+    pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     # Merge joins spill, and move the same at every size.
     sets = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("doc")).select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), "doc long, set binary")

@@ -143,10 +143,12 @@ def families(seed: int) -> list[tuple]:
     return [(k * 3 + 1, t) for k, t in rows]
 
 
-@pytest.mark.parametrize(("seed", "small", "block"), [(0, 16, 256), (1, 2, 8), (2, 4, 16)])
-def test_near_duplicates_are_what_brute_force_finds(spark, monkeypatch, seed, small, block):
+@pytest.mark.parametrize(("seed", "small", "block", "parts"), [(0, 16, 256, 20_000), (1, 2, 8, 20_000), (2, 4, 16, 3)])
+def test_near_duplicates_are_what_brute_force_finds(spark, monkeypatch, seed, small, block, parts):
     monkeypatch.setattr(ND, "SMALL", small)
     monkeypatch.setattr(ND, "BLOCK", block)
+    monkeypatch.setattr(ND, "PARTS", parts)  # fewer partitions than buckets: the keys are cut again
+    monkeypatch.setattr(ND, "SPLIT_BYTES", 50_000)
     rows = families(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ND.near_duplicates(spread(spark, rows).withColumnRenamed("home", "component_id"), k=2).collect()}
     assert got == brute.near(rows, 2, 80)
