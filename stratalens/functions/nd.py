@@ -143,6 +143,66 @@ class Nd:
         n = self.shape[0]
         return self.gather((-(-n // times) if isinstance(n, int) else F.ceil(n / times).cast("int"), *self.shape[1:]), lambda at: ([at[0] * times, *at[1:]], None))
 
+    def resize_nearest(self, size: Sequence[int]) -> Nd:
+        """Another size; each cell takes the one whose place holds its middle."""
+        return self.gather(size, lambda at: ([F.floor((c + 0.5) * _col(n) / k).cast("int") for c, n, k in zip(at, self.shape, size, strict=True)], None))
+
+    def paste(self, shape: Sequence[int], start: Sequence[Size], fill: float = 0.0) -> Nd:
+        """This array at a place in a larger one; what reaches beyond that is cut off."""
+
+        def source(at: list[Column]):
+            own = [c - _col(s) for c, s in zip(at, start, strict=True)]
+            return own, reduce(Column.__and__, [(c >= 0) & (c < _col(n)) for c, n in zip(own, self.shape, strict=True)])
+
+        return self.gather(shape, source, fill)
+
+    def around(self, center: Sequence[Size], size: Sequence[int], fill: float = 0.0) -> Nd:
+        """A box of a size about a cell, its middle (rounded down) on it; cells outside are ``fill``."""
+
+        def source(at: list[Column]):
+            own = [c + _col(m) - k // 2 for c, m, k in zip(at, center, size, strict=True)]
+            return own, reduce(Column.__and__, [(c >= 0) & (c < _col(n)) for c, n in zip(own, self.shape, strict=True)])
+
+        return self.gather(size, source, fill)
+
+    def shift_frequencies(self, axes: Sequence[int] | None = None, back: bool = False) -> Nd:
+        """The first cell of each axis moved to its middle, or back."""
+        hit = {self._axis(a) for a in axes} if axes is not None else set(range(len(self.shape)))
+
+        def source(at: list[Column]):
+            by = [F.floor(_col(n) / 2) if not back else -F.floor(_col(n) / 2) for n in self.shape]
+            return [F.pmod(c - b, _col(n)).cast("int") if k in hit else c for k, (c, b, n) in enumerate(zip(at, by, self.shape, strict=True))], None
+
+        return self.gather(self.shape, source)
+
+    def margins_are_zero(self, margin: int) -> Column:
+        """Whether all cells less than a margin away from an end of any axis are zero."""
+
+        def inner(x: Column, i: Column) -> Column:
+            at = unravel_index(i, self.shape)
+            return (x == 0) | reduce(Column.__and__, [(c >= margin) & (c < _col(n) - margin) for c, n in zip(at, self.shape, strict=True)])
+
+        return F.forall(F.transform(self.data, inner), lambda ok: ok)
+
+    def peaks(self, box: Sequence[int], threshold: float, most: int) -> Column:
+        """Greedy suppression of a dense map of probabilities: the greatest cell above a threshold is taken (the first of equal ones), the box about it becomes zero, and so on; array of (value, place)."""
+        start = F.struct(self.data.alias("m"), F.array().cast("array<struct<value:double,place:int>>").alias("out"))
+
+        def step(s: Column, _: Column) -> Column:
+            top = F.array_max(s["m"])
+            place = (F.array_position(s["m"], top) - 1).cast("int")
+            mid = unravel_index(place, self.shape)
+
+            def clear(x: Column, i: Column) -> Column:
+                at = unravel_index(i, self.shape)
+                inside = reduce(Column.__and__, [(c >= m - b // 2) & (c < m + b - b // 2) for c, m, b in zip(at, mid, box, strict=True)])
+                return F.when(inside, F.lit(0.0)).otherwise(x)
+
+            found = F.struct(F.transform(s["m"], clear).alias("m"), F.concat(s["out"], F.array(F.struct(top.alias("value"), place.alias("place")))).alias("out"))
+            return F.when(top > threshold, found).otherwise(s)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["out"])
+
     def neighbours(self, radius: int = 1, fill: float | None = None) -> Column:
         """For each cell the array of the values around it; those outside are left out, or ``fill``."""
         from itertools import product as offsets

@@ -302,3 +302,15 @@ def boxes_of_points(points: Column, axes: str = "xy") -> dict[str, Column]:
     """The box around an array of points."""
     at = lambda i: F.transform(points, lambda p: p[i])
     return {f"{a}{s}": (F.array_min if s == "min" else F.array_max)(at(i)) for i, a in enumerate(axes) for s in ("min", "max")}
+
+
+def rand_crop_by_box(df: DataFrame, key: str, box: str, size: Sequence[int], image: Sequence[int], seed: int = 0, axes: str = "xy") -> DataFrame:
+    """Boxes as a crop of their image shows them, the crop about the centre of one drawn box of the image and inside it."""
+    mid = [((corner(a, "min") + corner(a, "max")) / 2).alias(a) for a in axes]
+    drawn = df.groupBy(key).agg(F.min_by(F.struct(*mid), F.struct(draws.unit(F.concat_ws("/", F.col(key), F.col(box)), seed), F.col(box), *mid)).alias("__mid"))
+    out = df.join(drawn, key)
+    for a, k, n in zip(axes, size, image, strict=True):
+        start = F.least(F.greatest(F.floor(F.col(f"__mid.{a}")) - k // 2, F.lit(0)), F.lit(n - k))
+        out = out.withColumn(f"__{a}", start)
+    made = {f"{a}{s}": F.least(F.greatest(corner(a, s) - F.col(f"__{a}"), F.lit(0.0)), F.lit(float(k))) for a, k in zip(axes, size, strict=True) for s in ("min", "max")}
+    return out.withColumns(made).where(nonempty(axes)).drop("__mid", *[f"__{a}" for a in axes])

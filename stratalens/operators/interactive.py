@@ -122,3 +122,43 @@ def prompt_classes(labels: Column, special: Sequence[int], key: str, most: int,
 def merge_points(channels: Sequence[Column]) -> Column:
     """Cell by cell the greatest of several dense arrays."""
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), channels)
+
+
+def valid_slices_of_labels(label: Nd, names: Mapping[str, int]) -> dict[str, Column]:
+    """For each named label the slices along the first axis that hold it."""
+    each = product(label.shape[1:])
+
+    def of(k: int) -> Column:
+        hit = F.transform(F.sequence(F.lit(0), F.lit(label.shape[0] - 1)), lambda i: F.when(F.array_contains(F.slice(label.data, i * each + 1, F.lit(each)), k), i))
+        return F.filter(hit, lambda i: i.isNotNull())
+
+    return {n: of(k) for n, k in names.items()}
+
+
+def restore_label(label: Nd, cropped: Sequence[int], start: Sequence[Column | int], shape: Sequence[int]) -> Nd:
+    """A label of a resized crop back in the original image: nearest cells at the crop's size, at its place, zeros elsewhere."""
+    return label.resize_nearest(cropped).paste(shape, start)
+
+
+def click_patches(df: DataFrame, image: Nd, clicks: str, size: Sequence[int], name: str = "patch") -> DataFrame:
+    """A row for each click (array of coordinates): the box of the image about it, zeros outside."""
+    rows = df.withColumn("click", F.explode(clicks))
+    return rows.withColumn(name, image.around([F.col("click")[k] for k in range(len(size))], size).data)
+
+
+def click_channels(shape: Sequence[int], inside: Column, others: Column) -> tuple[Column, Column]:
+    """(1 at the clicks on an instance, 1 at those on others but not on it), as dense arrays."""
+    from stratalens.functions.nd import unravel_index
+
+    def at(i: Column, clicks: Column) -> Column:
+        place = F.array(*[c.cast("int") for c in unravel_index(i, shape)])
+        return F.array_contains(clicks, place)
+
+    cells = F.sequence(F.lit(0), F.lit(product(shape) - 1))
+    return F.transform(cells, lambda i: at(i, inside).cast("int")), F.transform(cells, lambda i: (at(i, others) & ~at(i, inside)).cast("int"))
+
+
+def argmax_labels(channels: Sequence[Column], ids: Sequence[int], threshold: float = 0.0) -> Column:
+    """The label of the channel with the greatest value at each cell, 0 where none is above a threshold; of equal ones the first."""
+    best = reduce(lambda a, b: F.zip_with(a, b, lambda s, t: F.when(t["v"] > s["v"], t).otherwise(s)), [F.transform(c, lambda v: F.struct(v.alias("v"), F.lit(k).alias("k"))) for c, k in zip(channels, ids, strict=True)])  # noqa: B023
+    return F.transform(best, lambda s: F.when(s["v"] > threshold, s["k"]).otherwise(0))

@@ -148,3 +148,9 @@ def box_points(s, d):
     x = DT.select_labels(boxes(s, d), "label", [1]).withColumn("p", DT.points_of_boxes())
     b = DT.boxes_of_points(F.col("p"))
     return x.select("box_id", "image_id", r5(F.col("p")[1][0] + F.col("p")[1][1]).alias("second"), r5(b["xmin"]).alias("xmin"), r5(b["ymax"]).alias("ymax"))
+
+
+@query(BOXES + f", m as (select image_id, arg_min((xmin + xmax) / 2, ({unit_sql("concat(image_id, '/', box_id)", '2')}, box_id, (xmin + xmax) / 2, (ymin + ymax) / 2)) as mx, arg_min((ymin + ymax) / 2, ({unit_sql("concat(image_id, '/', box_id)", '2')}, box_id, (xmin + xmax) / 2, (ymin + ymax) / 2)) as my from b group by 1), s as (select image_id, least(greatest(floor(mx) - 20, 0), 160) as sx, least(greatest(floor(my) - 25, 0), 250) as sy from m), z as (select box_id, image_id, least(greatest(xmin - sx, 0), 40) as xmin, least(greatest(ymin - sy, 0), 50) as ymin, least(greatest(xmax - sx, 0), 40) as xmax, least(greatest(ymax - sy, 0), 50) as ymax from b join s using (image_id)) select box_id, image_id, {_ALL} from z where xmax >= xmin + 1 and ymax >= ymin + 1")
+def box_random_crop(s, d):
+    """Boxes in a crop of 40 x 50 about one drawn box of each image of 200 x 300."""
+    return _sides(DT.rand_crop_by_box(boxes(s, d), "image_id", "box_id", (40, 50), (200, 300), 2))

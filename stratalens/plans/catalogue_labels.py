@@ -200,3 +200,49 @@ def record_helpers(s, d):
     x = R.flatten_struct(x, "a")
     m = R.pairs_to_map(F.array(F.lit("x=1"), F.concat(F.lit("brand="), F.col("`a.p_brand`"))))
     return x.select("p_partkey", F.concat(F.lit("brand="), m["brand"]).alias("first"), r5(F.col("`a.b.s`") * R.unit_factor("inch", "millimeter")).alias("mm"), F.col("`a.b.s`").alias("s"))
+
+
+_P = "with recursive c as (select vec_id, cast(i as int) as i, i // 8 as a, i % 8 as b, cast(embedding[i + 1] as double) as x, row_number() over (partition by vec_id order by embedding[i + 1] desc, i) as k from embeddings, unnest(range(64)) as u(i) where embedding[i + 1] > 0.1), o as (select z.vec_id, z.k, list(y.k) as before from c y join c z on y.vec_id = z.vec_id and y.k < z.k and z.a >= y.a - 1 and z.a < y.a + 2 and z.b >= y.b - 2 and z.b < y.b + 2 group by all), w as (select c.vec_id, c.k, coalesce(before, []) as before from c left join o using (vec_id, k)), g(vec_id, k, kept) as (select vec_id, k, [k] from w where k = 1 union all select w.vec_id, w.k, case when list_has_any(g.kept, w.before) then g.kept else list_append(g.kept, w.k) end from g join w on g.vec_id = w.vec_id and w.k = g.k + 1), p as (select vec_id, k, row_number() over (partition by vec_id order by k) as n from g where list_contains(kept, k)) "
+
+
+@query(_P + "select vec_id, cast(n - 1 as int) as n, i as place, round(x, 5) as value from p join c using (vec_id, k) where n <= 6")
+def probability_peaks(s, d):
+    """At most six peaks of a map of probabilities, boxes of 3 x 4 cells about each suppressed."""
+    x = vectors(s, d).select("vec_id", F.posexplode(Nd(F.col("v"), (8, 8)).peaks((3, 4), 0.1, 6)).alias("n", "p"))
+    return x.select("vec_id", "n", F.col("p.place").alias("place"), r5("p.value").alias("value"))
+
+
+@query("select vec_id, cast(a * 12 + b as int) as cell, round(cast(embedding[cast(floor((a - 2 + 0.5) * 8 / 6) as int) * 8 + cast(floor((b - 5 + 0.5) * 8 / 4) as int) + 1] as double), 5) as value from embeddings, unnest(range(2, 8)) as t(a), unnest(range(5, 9)) as u(b)")
+def restored_label(s, d):
+    """An 8 x 8 label back in a 10 x 12 image, where it was a crop of 6 x 4 cells at (2, 5)."""
+    y = IA.restore_label(Nd(F.col("v"), (8, 8)), (6, 4), (2, 5), (10, 12)).data
+    x = vectors(s, d).select("vec_id", F.posexplode(y).alias("cell", "value"))
+    a, b = F.floor(F.col("cell") / 12), F.col("cell") % 12
+    return x.where((a >= 2) & (a < 8) & (b >= 5) & (b < 9)).select("vec_id", "cell", r5("value").alias("value"))
+
+
+@query("with p as (select vec_id, vec_id % 8 as a, vec_id % 5 as b, embedding from embeddings) select vec_id, round(sum(case when a + i - 1 between 0 and 7 and b + j - 2 between 0 and 7 then cast(embedding[(a + i - 1) * 8 + b + j - 2 + 1] as double) * (i * 4 + j + 1) else 0 end), 4) as checksum from p, unnest(range(3)) as t(i), unnest(range(4)) as u(j) group by 1")
+def click_patch(s, d):
+    """The 3 x 4 box about a click, weighted by place."""
+    x = vectors(s, d).withColumn("clicks", F.array(F.array((F.col("vec_id") % 8).cast("int"), (F.col("vec_id") % 5).cast("int"))))
+    x = IA.click_patches(x, Nd(F.col("v"), (8, 8)), "clicks", (3, 4))
+    total = F.aggregate(F.transform("patch", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return x.select("vec_id", F.round(total, 4).alias("checksum"))
+
+
+@query(_L + "select vec_id, list_filter(range(4), lambda k: list_contains(l[k * 16 + 1 : k * 16 + 16], 3))::varchar as three, list_filter(range(4), lambda k: list_contains(l[k * 16 + 1 : k * 16 + 16], 1))::varchar as one, not list_contains(list_transform(range(64), lambda i: l[i + 1] <> 0 and (i // 8 < 1 or i // 8 > 6 or i % 8 < 1 or i % 8 > 6)), true) as clear from l")
+def label_slices(s, d):
+    """Slices of a 4 x 16 array that hold label 3 or 1, and whether an 8 x 8 array has zero margins."""
+    by = IA.valid_slices_of_labels(Nd(F.col("l"), (4, 16)), {"three": 3, "one": 1})
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda k: k.cast("string")), ", "), F.lit("]"))
+    return labels(s, d).select("vec_id", text(by["three"]).alias("three"), text(by["one"]).alias("one"), Nd(F.col("l"), (8, 8)).margins_are_zero(1).alias("clear"))
+
+
+@query("with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), a as (select vec_id, list_transform(range(64), lambda i: case when greatest(v[i + 1], v[64 - i], -v[i + 1] / 2) <= 0.05 then 0 when v[i + 1] >= v[64 - i] and v[i + 1] >= -v[i + 1] / 2 then 5 when v[64 - i] >= -v[i + 1] / 2 then 7 else 9 end) as l, v from e) select vec_id, cast(list_sum(l) as bigint) as labels, round(list_sum(list_transform(range(64), lambda i: v[i + 1] * ((i // 8 + 4) % 8 * 8 + (i % 8 + 4) % 8 + 1))), 4) as shifted from a")
+def argmax_and_shift(s, d):
+    """Labels of the greatest of three channels, and frequencies with the first cell in the middle."""
+    v = F.col("v")
+    l = IA.argmax_labels([v, F.reverse(v), F.transform(v, lambda x: -x / 2)], [5, 7, 9], 0.05)
+    y = Nd(v, (8, 8)).shift_frequencies().data
+    total = F.aggregate(F.transform(y, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return vectors(s, d).select("vec_id", F.aggregate(l, F.lit(0).cast("long"), lambda a, b: a + b).alias("labels"), F.round(total, 4).alias("shifted"))
