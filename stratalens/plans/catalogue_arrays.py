@@ -61,7 +61,18 @@ def batched_nms(s, d):
     return B.nms(boxes(s, d), ["image_id", "label"], ["xmin", "ymin", "xmax", "ymax"], "score", "box_id", 0.3).select("image_id", "label", "box_id", r6("score").alias("score"))
 
 
-@query()
+_INTER = "(greatest(least(p.xmax, q.xmax) - greatest(p.xmin, q.xmin), 0) * greatest(least(p.ymax, q.ymax) - greatest(p.ymin, q.ymin), 0))"
+_COCO = ("with recursive " + BOXES[5:] + """, p as (select *, row_number() over (partition by image_id, label order by score desc, box_id) as k from b qualify k <= 100), q as (select *, row_number() over (partition by image_id, label order by box_id, xmin, ymin) as j from b where label = 1 or score > 0.05), n as (select label, count(*) as n from q group by 1), h as (select unnest([0.1, 0.3, 0.5])::double as iou),
+c as (select p.image_id, p.label, p.k, p.box_id, h.iou, list({'v': v, 'j': q.j} order by v desc, q.j desc) as cand from p join q using (image_id, label), h, lateral (select {i} / ((p.xmax - p.xmin) * (p.ymax - p.ymin) + (q.xmax - q.xmin) * (q.ymax - q.ymin) - {i} + 1.1920929e-07) as v) where v >= h.iou group by all),
+x as (select p.image_id, p.label, p.k, p.score, h.iou, coalesce(list_transform(cand, lambda s: s.j), []) as cand from p cross join h left join c on c.image_id = p.image_id and c.label = p.label and c.k = p.k and c.iou = h.iou),
+g(image_id, label, iou, k, score, used, hit) as (select image_id, label, iou, k, score, case when len(cand) > 0 then [cand[1]] else [] end, len(cand) > 0 from x where k = 1
+union all select x.image_id, x.label, x.iou, x.k, x.score, case when len(list_filter(x.cand, lambda j: not list_contains(g.used, j))) > 0 then list_append(g.used, list_filter(x.cand, lambda j: not list_contains(g.used, j))[1]) else g.used end, len(list_filter(x.cand, lambda j: not list_contains(g.used, j))) > 0 from g join x on x.image_id = g.image_id and x.label = g.label and x.iou = g.iou and x.k = g.k + 1),
+e as (select label, iou, score, sum(cast(hit as int)) as tp, count(*) as c from g group by 1, 2, 3), r as (select label, iou, sum(tp) over w as tp, sum(c) over w as c from e window w as (partition by label, iou order by score desc)),
+s as (select label, iou, floor(tp / n * 100 + 1e-9) as step, max(tp / c) as pr, max(tp / n) as ar from r join n using (label) group by 1, 2, 3), v as (select *, max(pr) over (partition by label, iou order by step desc) as envelope, coalesce(lead(step) over (partition by label, iou order by step desc), -1) as below from s)
+select v.label, v.iou, round(sum(envelope * (step - below)) / 101, 6) as ap, round(max(ar), 6) as ar, round((select count(*) from g where g.label = v.label and g.iou = v.iou and hit and k <= 1) / max(n), 6) as ar_1, round((select count(*) from g where g.label = v.label and g.iou = v.iou and hit and k <= 2) / max(n), 6) as ar_2, max(n) as n_truth from v join n using (label) group by 1, 2""").replace("{i}", _INTER)
+
+
+@query(_COCO)
 def coco_ap(s, d):
     b = boxes(s, d)
     truth = b.where("label = 1 or score > 0.05").select("image_id", "label", "xmin", "ymin", "xmax", "ymax")
