@@ -51,7 +51,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of each document; ``keep`` names further columns to carry."""
-    rows = doc_rows(docs, F.col("source").cast("string").alias("source"), *keep)
+    rows = doc_rows(docs, F.col("source").cast("string").alias("source"), *(c for c in keep if c != "text"))
     rows = rows.withColumn("size", n_words(F.col("text")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))  # rows without an id are told apart by their texts
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("source")))
