@@ -75,12 +75,21 @@ def soft_clip(c: Column, lo: Column | None, hi: Column | None, sharpness: float
     return out
 
 
+def normalize_all(df: DataFrame, values: dict[str, tuple[str, bool]], by: list[str]) -> DataFrame:
+    """``normalize`` of several columns, {value: (name, nonzero)}, with one pass for all statistics."""
+    kept = {v: F.when(F.col(v) != 0, F.col(v)) if nonzero else F.col(v) for v, (_, nonzero) in values.items()}
+    stats = {f"__{k}_{i}": f(x) for i, x in enumerate(kept.values()) for k, f in (("mean", F.avg), ("dev", F.stddev_pop))}
+    out = with_group_stats(df, by, **stats)
+    for i, (value, (name, nonzero)) in enumerate(values.items()):
+        dev = F.col(f"__dev_{i}")
+        z = (F.col(value) - F.col(f"__mean_{i}")) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)
+        out = out.withColumn(name, F.when(F.col(value) == 0, F.lit(0.0)).otherwise(z) if nonzero else z)
+    return out.drop(*stats)
+
+
 def normalize(df: DataFrame, value: str, by: list[str], name: str, nonzero: bool = False) -> DataFrame:
     """(x - mean) / population deviation of the group, a zero deviation counting as 1; with ``nonzero`` zeros stay and don't count."""
-    x = F.when(F.col(value) != 0, F.col(value)) if nonzero else F.col(value)
-    out = with_group_stats(df, by, __mean=F.avg(x), __dev=F.stddev_pop(x))
-    z = (F.col(value) - F.col("__mean")) / F.when(F.col("__dev") == 0, F.lit(1.0)).otherwise(F.col("__dev"))
-    return out.withColumn(name, F.when(F.col(value) == 0, F.lit(0.0)).otherwise(z) if nonzero else z).drop("__mean", "__dev")
+    return normalize_all(df, {value: (name, nonzero)}, by)
 
 
 def std_shift(df: DataFrame, value: str, by: list[str], factor: float, name: str) -> DataFrame:

@@ -200,8 +200,8 @@ def soft_clip(s, d):
 @query("""select l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) over w) / (case when stddev_pop(l_quantity) over w = 0 then 1 else stddev_pop(l_quantity) over w end), 6) as z,
 round(case when l_discount = 0 then 0 else (l_discount - avg(nullif(l_discount, 0)) over w) / (case when stddev_pop(nullif(l_discount, 0)) over w = 0 then 1 else stddev_pop(nullif(l_discount, 0)) over w end) end, 6) as nz from lineitem window w as (partition by l_returnflag)""")
 def normalize_z(s, d):
-    x = I.normalize(t(s, d, "lineitem"), "l_quantity", ["l_returnflag"], "z")
-    return I.normalize(x, "l_discount", ["l_returnflag"], "nz", nonzero=True).select("l_orderkey", "l_linenumber", r6("z").alias("z"), r6("nz").alias("nz"))
+    x = I.normalize_all(t(s, d, "lineitem"), {"l_quantity": ("z", False), "l_discount": ("nz", True)}, ["l_returnflag"])
+    return x.select("l_orderkey", "l_linenumber", r6("z").alias("z"), r6("nz").alias("nz"))
 
 
 @query("select event_id, round(value + 0.5 * stddev_pop(value) over (partition by event_type), 6) as shifted from events")
