@@ -191,9 +191,20 @@ def _stars(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]
 
 
 def _unpack_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs as rows; of those that lie in one stretch of so many bytes each once."""
+    a: list[bytes] = []
+    b: list[bytes] = []
+    size = 0
     for batch in it:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(a)), pa.array(_ids(b))], ["a", "b"])
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a.append(x)
+            b.append(y)
+            size += 2 * len(x)
+            if size >= SPLIT_BYTES:
+                yield _pair_rows(_ids(b"".join(a)), _ids(b"".join(b)))
+                a, b, size = [], [], 0
+    if a:
+        yield _pair_rows(_ids(b"".join(a)), _ids(b"".join(b)))
 
 
 def _first_of_equal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
