@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import fingerprints, languages, lm_scores, mixing, mpeg, neardup, recompression, sentencepieces, token_counts, toxicity
+from stratalens.llm import fingerprints, languages, lm_scores, mixing, mpeg, neardup, periodic_runs, recompression, sentencepieces, token_counts, toxicity
 from stratalens.session import read_table
 
 
@@ -60,6 +60,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "log_score", "mean_log_score", "perplexity", *[F.col("by_order")[i].alias(f"n_by_{i}") for i in range(lm_scores.ORDER + 1)])
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_periods(read_table(spark, sf_dir, "documents"))))
+
+
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What operator 4 makes of the texts that it fingerprints: the columns that SQL can check."""
     return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -71,7 +75,7 @@ def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, fingerprint_edits, audio_payloads)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, op12_periodic_runs, fingerprint_edits, audio_payloads)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -122,6 +126,21 @@ t as (select w.doc_id, case when c3.n > 0 then 3 when c2.n > 0 then 2 when c1.n
 from w join size using (doc_id) join e1 c1 on w.doc_id = c1.doc_id and w.w3 = c1.w3 left join e2 c2 on w.doc_id = c2.doc_id and w.w2 = c2.w2 and w.w3 = c2.w3 left join e3 c3 on w.doc_id = c3.doc_id and w.w1 = c3.w1 and w.w2 = c3.w2 and w.w3 = c3.w3 left join e1 h1 on h1.doc_id = w.doc_id and h1.w3 = w.w2 left join e2 h2 on h2.doc_id = w.doc_id and h2.w2 = w.w1 and h2.w3 = w.w2, total),
 g as (select doc_id, sum(s) as s, count(*) as n, count(*) filter (where o = 0) as n0, count(*) filter (where o = 1) as n1, count(*) filter (where o = 2) as n2, count(*) filter (where o = 3) as n3 from t group by 1)
 select d.doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 9) as mean_log_score, round(exp(-s / n), 6) as perplexity, coalesce(n0, 0) as n_by_0, coalesce(n1, 0) as n_by_1, coalesce(n2, 0) as n_by_2, coalesce(n3, 0) as n_by_3 from d left join g using (doc_id)""",
+    "op12_periodic_runs": f"""
+with c as (select doc_id, {WORDS} as ws, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), x -> [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), (r, e) -> case when e >= 0 then xor(r, e) else xor(r >> 1, 3988292384 * (r & 1)) end)) as h from documents),
+g as (select doc_id, ws, len(ws)::bigint as n, h, h // 10 as g from c),
+a as (select *, case when n > 0 and h % 10 = 0 then g % n end as a from g),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+d as materialized (select doc_id, n, case when a is null then ws else list_transform(range(0, n), i -> ws[case when i < a then i else a + (i - a) % p end + 1]) end as ws from p),
+x as materialized (select doc_id, i, hash(ws[i + 1 : i + 6]) as k from d, unnest(range(0, n - 5)) as u(i)),
+m as (select doc_id, x.i, y.i - x.i as q from x join x y using (doc_id, k) where x.i < y.i),
+e as (select doc_id, q, min(i) as s, count(*) + 5 + q as size from (select *, i - row_number() over (partition by doc_id, q order by i) as island from m) group by doc_id, q, island having count(*) + 5 + q >= greatest(12, 2 * q)),
+r as materialized (select * from e where not exists (select 1 from e o where o.doc_id = e.doc_id and o.q < e.q and o.s <= e.s and o.s + o.size >= e.s + e.size)),
+gone as (select distinct doc_id, j from r, unnest(range(s + q, s + size)) as u(j)),
+w as (select doc_id, j, ws[j + 1] as word from d, unnest(range(0, n)) as u(j)),
+k as (select w.doc_id, string_agg(w.word, ' ' order by w.j) as kept from w anti join gone on w.doc_id = gone.doc_id and w.j = gone.j group by w.doc_id),
+b as (select doc_id, count(*) as n_runs, arg_min(row(s, size, q), row(-size, s, q)) as best, string_agg(s || ',' || size || ',' || q || chr(10), '' order by s, q) as lines from r group by doc_id)
+select d.doc_id, coalesce(b.n_runs, 0) as n_runs, cast(best[1] as bigint) as start, cast(best[2] as bigint) as length, cast(best[3] as bigint) as period, cast(1000 * best[2] // best[3] as bigint) as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from d left join b using (doc_id) left join k using (doc_id)""",
 }
 
 

@@ -78,3 +78,24 @@ def backoff(rows: list[tuple], order: int, least: int = 1, factor: float = 0.4)
         got = [score(i, k, order) for k in range(len(w))]
         out[i] = (len(w), sum(math.log(x) for x, _ in got), [sum(t == o for _, t in got) for o in range(order + 1)])
     return out
+
+
+def runs(w: list, least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all maximal stretches of at least max(least, 2 period) words with that smallest period."""
+    out = []
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(least, 2 * q) and not any(all(w[k] == w[k + p] for k in range(i, i + length - p)) for p in range(1, q)):
+                out.append((i, length, q))
+            i = max(j, i) + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w: list, found: list[tuple[int, int, int]]) -> list:
+    gone = {k for s, n, q in found for k in range(s + q, s + n)}
+    return [x for k, x in enumerate(w) if k not in gone]
