@@ -127,11 +127,11 @@ from w join size using (doc_id) join e1 c1 on w.doc_id = c1.doc_id and w.w3 = c1
 g as (select doc_id, sum(s) as s, count(*) as n, count(*) filter (where o = 0) as n0, count(*) filter (where o = 1) as n1, count(*) filter (where o = 2) as n2, count(*) filter (where o = 3) as n3 from t group by 1)
 select d.doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 9) as mean_log_score, round(exp(-s / n), 6) as perplexity, coalesce(n0, 0) as n_by_0, coalesce(n1, 0) as n_by_1, coalesce(n2, 0) as n_by_2, coalesce(n3, 0) as n_by_3 from d left join g using (doc_id)""",
     "op12_periodic_runs": f"""
-with c as (select doc_id, {WORDS} as ws, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), x -> [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), (r, e) -> case when e >= 0 then xor(r, e) else xor(r >> 1, 3988292384 * (r & 1)) end)) as h from documents),
+with c as (select doc_id, {WORDS} as ws, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, e: case when e >= 0 then xor(r, e) else xor(r >> 1, 3988292384 * (r & 1)) end)) as h from documents),
 g as (select doc_id, ws, len(ws)::bigint as n, h, h // 10 as g from c),
 a as (select *, case when n > 0 and h % 10 = 0 then g % n end as a from g),
 p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
-d as materialized (select doc_id, n, case when a is null then ws else list_transform(range(0, n), i -> ws[case when i < a then i else a + (i - a) % p end + 1]) end as ws from p),
+d as materialized (select doc_id, n, case when a is null then ws else list_transform(range(0, n), lambda i: ws[case when i < a then i else a + (i - a) % p end + 1]) end as ws from p),
 x as materialized (select doc_id, i, hash(ws[i + 1 : i + 6]) as k from d, unnest(range(0, n - 5)) as u(i)),
 m as (select doc_id, x.i, y.i - x.i as q from x join x y using (doc_id, k) where x.i < y.i),
 e as (select doc_id, q, min(i) as s, count(*) + 5 + q as size from (select *, i - row_number() over (partition by doc_id, q order by i) as island from m) group by doc_id, q, island having count(*) + 5 + q >= greatest(12, 2 * q)),
