@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import fingerprints, languages, lm_scores, mixing, mpeg, neardup, periodic_runs, recompression, sentencepieces, token_counts, toxicity
+from stratalens.llm import chats, fingerprints, languages, lm_scores, mixing, mpeg, neardup, periodic_runs, recompression, sentencepieces, token_counts, toxicity
 from stratalens.session import read_table
 
 
@@ -60,6 +60,13 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "log_score", "mean_log_score", "perplexity", *[F.col("by_order")[i].alias(f"n_by_{i}") for i in range(lm_scores.ORDER + 1)])
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chats.digests(chats.windows(turns.unionByName(more)))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_periods(read_table(spark, sf_dir, "documents"))))
 
@@ -75,7 +82,7 @@ def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, op12_periodic_runs, fingerprint_edits, audio_payloads)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, op11_chat_windows, op12_periodic_runs, fingerprint_edits, audio_payloads)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -126,6 +133,18 @@ t as (select w.doc_id, case when c3.n > 0 then 3 when c2.n > 0 then 2 when c1.n
 from w join size using (doc_id) join e1 c1 on w.doc_id = c1.doc_id and w.w3 = c1.w3 left join e2 c2 on w.doc_id = c2.doc_id and w.w2 = c2.w2 and w.w3 = c2.w3 left join e3 c3 on w.doc_id = c3.doc_id and w.w1 = c3.w1 and w.w2 = c3.w2 and w.w3 = c3.w3 left join e1 h1 on h1.doc_id = w.doc_id and h1.w3 = w.w2 left join e2 h2 on h2.doc_id = w.doc_id and h2.w2 = w.w1 and h2.w3 = w.w2, total),
 g as (select doc_id, sum(s) as s, count(*) as n, count(*) filter (where o = 0) as n0, count(*) filter (where o = 1) as n1, count(*) filter (where o = 2) as n2, count(*) filter (where o = 3) as n3 from t group by 1)
 select d.doc_id, coalesce(n, 0) as n_words, round(coalesce(s, 0), 6) as log_score, round(s / n, 9) as mean_log_score, round(exp(-s / n), 6) as perplexity, coalesce(n0, 0) as n_by_0, coalesce(n1, 0) as n_by_1, coalesce(n2, 0) as n_by_2, coalesce(n3, 0) as n_by_3 from d left join g using (doc_id)""",
+    "op11_chat_windows": f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok'),
+n as (select *, len({WORDS}) + 4 as n, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as pos from c),
+s as (select conv_id, n as s_n from n where pos = 1 and role = 'system'),
+u as (select n.*, s_n, coalesce(s_n, 0) as sys, pos = 1 and s_n is not null as is_system, sum(n) over (partition by n.conv_id order by pos) as upto, length(text) + len(regexp_extract_all(text, '\\\\')) + len(regexp_extract_all(text, '</turn>')) + len(regexp_extract_all(text, '#')) - len(regexp_extract_all(text, '#+')) + length(role) + 14 as chars from n left join s on n.conv_id is not distinct from s.conv_id),
+p as (select *, greatest({chats.BUDGET - chats.HISTORY} - sys, {chats.BUDGET // 4}) as room, case when is_system then 0 else n end as size, case when is_system then 0 else upto - n - sys end as p0 from u),
+q as materialized (select *, p0 // room as cell, p0 + size > (p0 // room + 1) * room as alone, least({chats.HISTORY}, room) as back from p),
+w as (select conv_id, cell, alone, min(p0) as start, min(pos) as first, max(size) as size, any_value(room) as room, any_value(back) as back, bool_or(is_system) as has_system, any_value(s_n) as s_n from q group by all),
+again as (select w.conv_id, sum(q.chars) as chars from w join q on w.conv_id is not distinct from q.conv_id where not q.is_system and q.p0 >= w.start - w.back and q.pos < w.first and not (w.alone and w.size > w.room) group by 1),
+head as (select w.conv_id, sum(q.chars) as chars from w join q on w.conv_id is not distinct from q.conv_id and q.is_system where not w.has_system group by 1),
+t as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256, coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '') as learnt, sum(chars) as chars from q group by 1)
+select t.conv_id, n_turns, turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, cast(t.chars + coalesce(again.chars, 0) + coalesce(head.chars, 0) as bigint) as formatted_chars from t left join again on t.conv_id is not distinct from again.conv_id left join head on t.conv_id is not distinct from head.conv_id""",
     "op12_periodic_runs": f"""
 with c as (select doc_id, {WORDS} as ws, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, e: case when e >= 0 then xor(r, e) else xor(r >> 1, 3988292384 * (r & 1)) end)) as h from documents),
 g as (select doc_id, ws, len(ws)::bigint as n, h, h // 10 as g from c),
