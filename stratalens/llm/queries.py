@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chats, fingerprints, languages, lm_scores, mixing, mpeg, neardup, periodic_runs, recompression, sentencepieces, token_counts, toxicity
+from stratalens.llm import chats, collocations, fingerprints, languages, lm_scores, mixing, mpeg, neardup, periodic_runs, recompression, sentencepieces, token_counts, toxicity
 from stratalens.session import read_table
 
 
@@ -71,6 +71,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_periods(read_table(spark, sf_dir, "documents"))))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What operator 4 makes of the texts that it fingerprints: the columns that SQL can check."""
     return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -82,7 +86,7 @@ def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, op11_chat_windows, op12_periodic_runs, fingerprint_edits, audio_payloads)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_token_counts, op4_fingerprints, op5_mpeg_audio, op6_substring_dedup, op7_near_dedup, op8_language_id, op9_toxicity, op10_lm_scores, op11_chat_windows, op12_periodic_runs, op13_collocations, fingerprint_edits, audio_payloads)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -145,6 +149,20 @@ again as (select w.conv_id, sum(q.chars) as chars from w join q on w.conv_id is
 head as (select w.conv_id, sum(q.chars) as chars from w join q on w.conv_id is not distinct from q.conv_id and q.is_system where not w.has_system group by 1),
 t as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256, coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '') as learnt, sum(chars) as chars from q group by 1)
 select t.conv_id, n_turns, turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, cast(t.chars + coalesce(again.chars, 0) + coalesce(head.chars, 0) as bigint) as formatted_chars from t left join again on t.conv_id is not distinct from again.conv_id left join head on t.conv_id is not distinct from head.conv_id""",
+    "op13_collocations": """
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+g as (select lang, array_to_string(ws[i : i + k - 1], ' ') as phrase, k from w, unnest([1, 2, 3]) as s(k), unnest(range(1, len(ws) - k + 2)) as u(i)),
+f as materialized (select lang, phrase, k, count(*) as a from g group by all having count(*) >= 10),
+n as (select lang, sum(len(ws)) as n from w group by 1),
+c as (select lang, phrase, a, k, string_split(phrase, ' ') as ws from f where k > 1),
+x as (select lang, phrase, a, j, array_to_string(ws[1 : j], ' ') as first, array_to_string(ws[j + 1 :], ' ') as rest from c, unnest(range(1, k)) as u(j)),
+y as (select x.lang, x.phrase, x.a, x.j, l.a as l, r.a as r, (1000000::hugeint * x.a * x.a) // (l.a::hugeint * r.a) as score from x join f l on l.lang = x.lang and l.phrase = x.first join f r on r.lang = x.lang and r.phrase = x.rest),
+z as (select * from y qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+i as (select lang, a, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) as phrase from c where k = 3),
+m as (select lang, phrase, max(a) as most from i group by all),
+o as (select z.* from z left join m using (lang, phrase) where most is null or 100 * most < 50 * z.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from o join n using (lang) qualify rank <= 2000""",
     "op12_periodic_runs": f"""
 with c as (select doc_id, {WORDS} as ws, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, e: case when e >= 0 then xor(r, e) else xor(r >> 1, 3988292384 * (r & 1)) end)) as h from documents),
 g as (select doc_id, ws, len(ws)::bigint as n, h, h // 10 as g from c),
