@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.lm_scores import HOME_SHIFT, _only_reads, pack, unpack
-from stratalens.llm.shared import _BYTES_LOWER, _POWERS, batches, forget, input_bytes, materialise, mix
+from stratalens.llm.shared import _BYTES_LOWER, _POWERS, batches, forget, input_bytes, materialise, mix, slices
 
 LEAST, LONGEST, TOP, WITHIN = 10, 3, 2000, 50
 #: Bytes of text of a block, bytes of stored input that meet in a bucket.
@@ -65,30 +65,51 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def split(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, document, piece) of the words of lower-cased texts; words of one piece share the number of breaks and documents before them."""
+    apart = _APART[buf]
+    before = np.append(True, apart[:-1])
+    before[off[:-1][off[:-1] < len(buf)]] = True
+    first = before & ~apart
+    after = np.append(apart[1:], True)
+    after[off[1:][off[1:] > 0] - 1] = True
+    starts, ends = np.flatnonzero(first), np.flatnonzero(after & ~apart) + 1
+    doc = np.searchsorted(off, starts, "right") - 1
+    piece = np.cumsum(_BREAK[buf], dtype=np.int32)[starts] + doc
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64), doc, piece
+    at = np.cumsum(first, dtype=np.int32)
+    at -= 1
+    np.maximum(at, 0, out=at)
+    within = np.arange(len(buf), dtype=np.int32)
+    within -= starts.astype(np.int32)[at]
+    within &= 4095
+    value = _BYTES_LOWER[buf]
+    value[apart] = 0
+    value *= _POWERS[within]
+    return starts, ends, mix(np.add.reduceat(value, starts)), doc, piece
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of stretches."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 class Words:
     """The words of documents of a block: bytes, hash, piece and language of each."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, langs: np.ndarray) -> None:
-        self.buf = buf = _LOWER[buf]
-        apart = _APART[buf]
-        before = np.append(True, apart[:-1]) if len(buf) else np.zeros(0, bool)
-        before[off[:-1][off[:-1] < len(buf)]] = True
-        first = before & ~apart
-        self.starts = np.flatnonzero(first)
-        after = np.append(apart[1:], True) if len(buf) else np.zeros(0, bool)
-        after[off[1:][off[1:] > 0] - 1] = True
-        self.ends = np.flatnonzero(after & ~apart) + 1
-        doc = np.searchsorted(off, self.starts, "right") - 1
-        self.lang = langs[doc] if len(langs) else np.zeros(0, np.int64)
-        # Words of one piece share the number of breaks and documents before them.
-        self.piece = np.cumsum(_BREAK[buf], dtype=np.int64)[self.starts] + doc if len(buf) else np.zeros(0, np.int64)
-        self.hash = np.zeros(0, np.uint64)
-        if len(self.starts):
-            within = np.arange(len(buf)) - self.starts[np.maximum(np.cumsum(first) - 1, 0)]
-            value = _BYTES_LOWER[buf]
-            value[apart] = 0
-            value *= _POWERS[within & 4095]
-            self.hash = mix(np.add.reduceat(value, self.starts))
+        self.buf = _LOWER[buf]
+        parts, pieces = [[np.zeros(0, np.int64)] for _ in range(5)], 0
+        parts[2] = [np.zeros(0, np.uint64)]
+        for i, j in slices(off):
+            if off[j] == off[i]:
+                continue
+            starts, ends, h, doc, piece = split(self.buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            for into, x in zip(parts, (starts + off[i], ends + off[i], h, langs[doc + i], piece + pieces), strict=True):
+                into.append(x)
+            pieces += int(off[j] - off[i]) + j - i + 1  # more than the slice has
+        self.starts, self.ends, self.hash, self.lang, self.piece = (np.concatenate(x) for x in parts)
 
     def numbers(self) -> tuple[np.ndarray, pa.Array]:
         """(number of each word in a list of different words, the list); hashes propose, bytes decide."""
@@ -96,19 +117,17 @@ class Words:
         size = self.ends - self.starts
         like = first[number]
         bad = size != size[like]
-        ok = np.flatnonzero(~bad)
-        at = np.repeat(self.starts[ok] - np.cumsum(size[ok]) + size[ok], size[ok]) + np.arange(int(size[ok].sum()))
-        to = at + np.repeat(self.starts[like[ok]] - self.starts[ok], size[ok])
-        off = np.flatnonzero(self.buf[at] != self.buf[to])
-        bad[ok[np.searchsorted(np.cumsum(size[ok]), off, "right")]] = True
-        spell = lambda i: self.buf[self.starts[i] : self.ends[i]].tobytes()
+        for i in range(0, len(size), 1 << 17):
+            ok = i + np.flatnonzero(~bad[i : i + (1 << 17)])
+            at = spread(self.starts[ok], size[ok])
+            other = np.flatnonzero(self.buf[at] != self.buf[spread(self.starts[like[ok]], size[ok])])
+            bad[ok[np.searchsorted(np.cumsum(size[ok]), other, "right")]] = True
         more: dict[bytes, int] = {}
         for i in np.flatnonzero(bad).tolist():
-            number[i] = more.setdefault(spell(i), len(first) + len(more))
+            number[i] = more.setdefault(self.buf[self.starts[i] : self.ends[i]].tobytes(), len(first) + len(more))
         n = size[first]
-        at = np.repeat(self.starts[first] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         ends = np.append(0, np.cumsum(n)).astype(np.int64)
-        listed = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.buf[at])))
+        listed = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.buf[spread(self.starts[first], n)])))
         return number, pa.concat_arrays([listed, pa.array([k.decode() for k in more], pa.large_string())]) if more else listed
 
 
