@@ -16,9 +16,11 @@ bucket all but the first window of equal ones, by (document, start), are marked.
 those that start earlier in the block itself and sends the others only. A task remembers windows that
 it met in blocks on end (``KNOWN`` of them at most) and marks later ones itself, so a passage that
 stands in very many documents reaches its bucket a few times for each task. Marked windows go back to their
-documents, packed for each *home* (a bucket of doc_ids), and the covered words are removed.
+documents, packed for each *home* (a bucket of doc_ids; of texts where the id is null), and the covered
+words are removed. A core that serves more windows than a task may hold (``HELD_BYTES``) has its windows
+dealt anew by bits of their own hashes, again and again if need be, so no task holds a share of all windows.
 
-Order of documents: doc_id (null first), then a hash of the text; rows that agree in both are one
+Order of documents: doc_id (null first), then a 64-bit hash of the text; rows that agree in both are one
 document and have the same result. Null and empty texts have no words and nothing to remove; texts
 under ``WINDOW`` words lose nothing. Marks rest on 104 bits of fingerprint: the chance of one wrong
 mark in 10^10 windows is below 10^-11.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import batches, doc_rows, input_bytes, mix, shingles, slices, spark_xxhash64, text_column, words
+from stratalens.llm.shared import batches, doc_rows, input_bytes, materialise, mix, shingles, slices, spark_xxhash64, text_column, words
 
 WINDOW = 20
 #: Bytes of text that are parsed together, and of stored input that meet in a bucket and in a home.
@@ -44,6 +46,8 @@ LEVELS = 5
 NULL_ID = -(1 << 63)
 #: Windows that a task remembers; others are sent, so the number doesn't change results.
 KNOWN = 400_000
+#: Bytes of a bucket that a task holds; a larger one is split by the windows' own hashes, so many bits at a time.
+HELD_BYTES, SPLIT_BITS = 48 << 20, 12
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -188,7 +192,8 @@ def _marks(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, ths: np.ndarray, h
     new[1:] |= pos[1:] != pos[:-1] + 1
     at = np.flatnonzero(new)
     runs = np.stack([pos[at], np.diff(np.append(at, len(doc)))], axis=1).astype(np.uint32)
-    home = spark_xxhash64(ids[doc[at]]) % homes
+    who = ids[doc[at]]
+    home = spark_xxhash64(np.where(who == NULL_ID, ths[doc[at]], who)) % homes
     by = np.argsort(home, kind="stable")
     runs, home, d = runs[by], home[by], doc[at][by]
     each = _cut(d)
@@ -324,11 +329,11 @@ def _send(it: Iterator[pa.RecordBatch], n_buckets: int, homes: int, window: int)
         yield from flush()
 
 
-def _mark(blobs: list[dict], homes: int) -> pa.RecordBatch | None:
-    """Marked windows of one bucket."""
+def _windows(blobs: list[dict]) -> tuple[np.ndarray, ...]:
+    """(doc_ids, text hashes, and of each window its document, start, core's name, 40 bits of hash and key) of rows of a bucket, by place."""
     whole = lambda c, kind: np.concatenate([np.frombuffer(b[c], kind) for b in blobs])
     per_doc = whole("cores_of", np.uint32)
-    ids, ths = whole("docs", np.int64), whole("ths", np.int32)
+    ids, ths = whole("docs", np.int64), whole("ths", np.int64)
     doc = np.repeat(np.arange(len(ids)), per_doc)
     name, start, count = whole("names", np.uint64), whole("starts", np.uint32).astype(np.int64), whole("counts", np.uint8).astype(np.int64)
     five = whole("hashes", np.uint8).reshape(-1, 5)
@@ -338,65 +343,126 @@ def _mark(blobs: list[dict], homes: int) -> pa.RecordBatch | None:
     order = np.lexsort((start, ths[doc], ids[doc]))
     w0 = np.concatenate([[0], np.cumsum(count)[:-1]])[order]
     doc, name, start, count = doc[order], name[order], start[order], count[order]
-    total = int(count.sum())
     row = np.repeat(np.arange(len(count)), count)
-    inside = np.arange(total) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+    inside = np.arange(int(count.sum())) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     h40 = h40[w0[row] + inside]
-    key = mix(name[row] ^ (h40 * _A))
+    return ids, ths, doc[row], start[row] + inside, name[row], h40, mix(name[row] ^ (h40 * _A))
+
+
+def _mark(blobs: list[dict], homes: int) -> pa.RecordBatch | None:
+    """Marked windows of one bucket."""
+    ids, ths, doc, pos, name, h40, key = _windows(blobs)
     by = np.argsort(key, kind="stable")
     a, b = by[1:], by[:-1]
-    equal = np.zeros(total, bool)
-    equal[1:] = (key[a] == key[b]) & (h40[a] == h40[b]) & (name[row[a]] == name[row[b]])
+    equal = np.zeros(len(key), bool)
+    equal[1:] = (key[a] == key[b]) & (h40[a] == h40[b]) & (name[a] == name[b])
     at = np.flatnonzero(equal)
-    k, first = by[at], by[np.maximum.accumulate(np.where(equal, 0, np.arange(total)))[at]]
+    k, first = by[at], by[np.maximum.accumulate(np.where(equal, 0, np.arange(len(key))))[at]]
     # A document whose rows lie in several blocks sends a window once for each: these are one window.
-    x, y = doc[row[k]], doc[row[first]]
-    k = np.sort(k[(ids[x] != ids[y]) | (ths[x] != ths[y]) | (start[row[k]] + inside[k] != start[row[first]] + inside[first])])
+    x, y = doc[k], doc[first]
+    k = np.sort(k[(ids[x] != ids[y]) | (ths[x] != ths[y]) | (pos[k] != pos[first])])
     if not len(k):
         return None
-    doc, pos = doc[row[k]], start[row[k]] + inside[k]
+    doc, pos = doc[k], pos[k]
     # A document stands in ids once for each block that names it: the first of equal ones is its number.
     new = np.ones(len(k), bool)
     new[1:] = (ids[doc[1:]] != ids[doc[:-1]]) | (ths[doc[1:]] != ths[doc[:-1]])
     return pa.RecordBatch.from_arrays(_marks(doc[np.flatnonzero(new)][np.cumsum(new) - 1], pos, ids, ths, homes), MARKS)
 
 
-def _meet(it: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; marks made in the blocks pass through."""
+def _split(blobs: list[dict], level: int) -> pa.RecordBatch:
+    """Windows of a bucket that is too large for a task, dealt to smaller ones by bits of their keys; equal windows stay together."""
+    ids, ths, doc, pos, name, h40, key = _windows(blobs)
+    bucket = (key >> np.uint64(64 - SPLIT_BITS * (level + 1)) & np.uint64((1 << SPLIT_BITS) - 1)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")  # by place within a bucket
+    bucket, doc, pos, name, h40 = bucket[by], doc[by], pos[by], name[by], h40[by]
+    ends = _cut(bucket)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+    at = np.flatnonzero(new)
+    d_ends = np.searchsorted(at, ends)
+    m = len(ends)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[ends - 1].astype(np.int32)),
+            pa.nulls(m, pa.int32()),
+            _binary(ids[doc[at]], d_ends),
+            _binary(ths[doc[at]], d_ends),
+            pa.nulls(m, pa.binary()),
+            pa.nulls(m, pa.binary()),
+            _binary(np.diff(np.append(at, len(doc))).astype(np.uint32), d_ends),
+            _binary(name, ends),
+            _binary(pos.astype(np.uint32), ends),
+            _binary(np.ones(len(pos), np.uint8), ends),
+            _binary(np.ascontiguousarray(h40).view(np.uint8).reshape(-1, 8)[:, :5], ends),
+        ],
+        list(COLUMNS),
+    )
+
+
+def _meet(it: Iterator[pa.RecordBatch], homes: int, level: int = 0, held_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+    """Marks of each bucket, and the windows of buckets too large for a task as rows of smaller ones. Rows come sorted by bucket; marks made in the blocks pass through."""
+    held_bytes = held_bytes or HELD_BYTES
+    deepest = SPLIT_BITS * (level + 1) > 64  # all bits are used: what is left together is equal
+
+    def marks(found: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        if found is not None:
+            m = found.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(found.column("home")), pa.int32()), *(found.column(c) for c in MARKS), *[pa.nulls(m, pa.binary())] * 5], list(COLUMNS))
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if blobs and large:
+            yield _split(blobs, level)
+        elif blobs:
+            yield from marks(_mark(blobs, homes))
+
     blobs: list[dict] = []
-    bucket = None
+    bucket, size, large = None, 0, False
     for batch in it:
         own = batch.filter(batch.column("names").is_null())
         if own.num_rows:
-            yield own.select(MARKS)
+            yield own.select(list(COLUMNS))
         for r in batch.filter(batch.column("names").is_valid()).to_pylist():
-            if blobs and r["bucket"] != bucket:
-                out = _mark(blobs, homes)
-                blobs = []
-                if out is not None:
-                    yield out
-            bucket = r["bucket"]
+            if bucket != r["bucket"]:
+                yield from closed()
+                bucket, blobs, size, large = r["bucket"], [], 0, False
             blobs.append(r)
-    if blobs and (out := _mark(blobs, homes)) is not None:
-        yield out
+            size += sum(len(r[c]) for c in ("docs", "ths", "names", "starts", "hashes"))
+            if size > held_bytes and not deepest:
+                yield _split(blobs, level)
+                blobs, size, large = [], 0, True
+    yield from closed()
 
 
 def text_hash():
-    return F.hash(F.coalesce(F.col("text"), F.lit("")), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def home_key():
+    """Rows without an id are spread by their texts."""
+    null_id = F.lit(NULL_ID).cast("long")
+    return F.when(F.col("doc_id").isNull() | (F.col("doc_id") == null_id), F.col("th")).otherwise(F.col("doc_id"))
 
 
 def repeated_windows(docs: DataFrame, homes: int, window: int = WINDOW) -> DataFrame:
     """Windows that start earlier elsewhere, as rows (home, docs, ths, runs_of, runs): packed for each home of documents.
 
-    The binary columns hold doc_ids (64 bits, null as the least number), text hashes (32), runs of each
+    The binary columns hold doc_ids (64 bits, null as the least number), text hashes (64), runs of each
     document (32), and the runs: first window start and number of windows (32 each).
     """
     n = int(max(8, min(1 << 30, input_bytes(docs) // BUCKET_BYTES)))
     parts = min(n, 20_000)
     rows = doc_rows(docs).withColumn("th", text_hash())
     sent = rows.mapInArrow(lambda it: _send(it, n, homes, window), SCHEMA)
-    met = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return met.mapInArrow(lambda it: _meet(it, homes), "home int, docs binary, ths binary, runs_of binary, runs binary")
+    deal = lambda df: df.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
+    held, level = HELD_BYTES, 0
+    met = materialise(deal(sent).mapInArrow(lambda it: _meet(it, homes, 0, held), SCHEMA), "marks")
+    out, rest = met.where("names is null"), met.where("names is not null")
+    while not rest.isEmpty():
+        level += 1
+        met = materialise(deal(rest).mapInArrow(lambda it, level=level: _meet(it, homes, level, held), SCHEMA), "marks")
+        out, rest = out.unionByName(met.where("names is null")), met.where("names is not null")
+    return out.select(*MARKS)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
@@ -406,7 +472,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     marks = repeated_windows(docs, homes, window).withColumn("late", F.lit(0))
     kinds = dict(docs.dtypes)
     texts = doc_rows(docs, *(c for c in keep if c != "text")).withColumn("th", text_hash()).withColumn("late", F.lit(1))
-    texts = texts.withColumn("home", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))), F.lit(homes)).cast("int"))
+    texts = texts.withColumn("home", F.pmod(F.xxhash64(home_key()), F.lit(homes)).cast("int"))
     both = marks.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("home") % parts).sortWithinPartitions("home", "late")
     last = "kept_sha256" if digest else "kept"
 
@@ -419,7 +485,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
             is_text = np.asarray(batch.column("late")) == 1
             for r in batch.filter(pa.array(~is_text)).select(MARKS).to_pylist():
                 at, here = 0, runs.setdefault(r["home"], {})
-                for i, t, n in zip(*(np.frombuffer(r[c], k).tolist() for c, k in (("docs", np.int64), ("ths", np.int32), ("runs_of", np.uint32))), strict=True):
+                for i, t, n in zip(*(np.frombuffer(r[c], k).tolist() for c, k in (("docs", np.int64), ("ths", np.int64), ("runs_of", np.uint32))), strict=True):
                     here.setdefault((i, t), []).append(r["runs"][8 * at : 8 * (at + n)])
                     at += n
             whole = batch.filter(pa.array(is_text))

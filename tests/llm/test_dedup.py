@@ -41,8 +41,9 @@ def spread(spark, rows, parts=3):
     return spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, spans string, home int").repartition(parts)
 
 
-@pytest.mark.parametrize(("seed", "block", "known"), [(0, 20_000, 400_000), (1, 20_000, 400_000), (2, 3_000, 400_000), (3, 3_000, 50)])
-def test_repeats_are_what_brute_force_finds(spark, monkeypatch, seed, block, known):
+@pytest.mark.parametrize(("seed", "block", "known", "held"), [(0, 20_000, 400_000, 48 << 20), (1, 20_000, 400_000, 3000), (2, 3_000, 400_000, 200), (3, 3_000, 50, 48 << 20)])
+def test_repeats_are_what_brute_force_finds(spark, monkeypatch, seed, block, known, held):
+    monkeypatch.setattr(RC, "HELD_BYTES", held)  # small ones are split by the windows' hashes, up to the last bit
     monkeypatch.setattr(RC, "BLOCK_BYTES", block)
     monkeypatch.setattr(RC, "KNOWN", known)
     rows = passages(seed, 250)
@@ -57,6 +58,48 @@ def test_repeats_of_a_data_table(spark, data):
     assert got == brute.repeats(rows) and sum(v[1] for v in got.values()) > 0
 
 
+def test_a_phrase_of_all_texts_fills_no_task(monkeypatch):
+    """What a task holds stays flat when a table doubles whose windows nearly all share one core."""
+    import pyarrow as pa
+
+    inner = RC._windows
+
+    def one_core(h, woff, window=20):
+        n = int((np.diff(woff) - window + 1).sum())
+        return np.arange(n), np.arange(n) + 1, np.full(n, 7, np.uint64), None
+
+    def largest(n):
+        rng = random.Random(1)
+        texts = [" ".join(f"v{rng.randint(0, 10**6)}" for _ in range(9)) + " same old phrase " + " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(9)) for _ in range(n)]
+        texts[-1] = texts[0]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts), pa.array(range(n), pa.int64())], ["doc_id", "text", "th"])
+        held = []
+        monkeypatch.setattr(RC, "cores", one_core)
+        monkeypatch.setattr(RC, "_windows", lambda blobs: (held.append(sum(len(b["hashes"]) // 5 for b in blobs)), inner(blobs))[1])
+        sent = [b for i in range(0, n, 50) for b in RC._send(iter([rows.slice(i, 50)]), 8, 4, 20)]
+        marked, level = 0, 0
+        while sent:
+            met = list(RC._meet(iter(sorted(sent, key=lambda b: b.column("bucket")[0].as_py())), 4, level, 4000))
+            sent, level = [r for b in met for r in (b.slice(i, 1) for i in range(b.num_rows)) if r.column("names").is_valid()[0].as_py()], level + 1
+            marked += sum(int(np.frombuffer(r, np.uint32).reshape(-1, 2)[:, 1].sum()) for b in met for r in b.column("runs").drop_null().to_pylist())
+        return max(held), marked
+
+    (a, found), (b, again) = largest(800), largest(1600)
+    assert b <= 1.5 * a and found == again == 2
+
+
+def test_texts_without_ids_go_to_many_homes_and_lose_only_repeats(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"n{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(200)]
+    rows = [(None, t) for t in texts] + [(1, texts[0] + " end"), (2, "begin " + texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.kept for r in RC.remove_repeats(df).collect()}
+    assert got == {*texts, "end", "begin"}
+    homes = [r.home for r in RC.repeated_windows(df, 64).select("home").collect()]
+    keyed = df.withColumn("th", RC.text_hash()).select(F.pmod(F.xxhash64(RC.home_key()), F.lit(64)).alias("h")).distinct().count()
+    assert len(homes) == 2 and keyed > 50
+
+
 def test_equal_windows_have_equal_cores():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 9, 3000).astype(np.uint64)
@@ -99,7 +142,7 @@ def test_a_task_sends_what_stands_everywhere_a_few_times():
     rng = random.Random(0)
     n = 60
     texts = pa.array([line + " " + " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(n)])
-    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), texts.slice(i, 1), pa.array([i], pa.int32())], ["doc_id", "text", "th"]) for i in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), texts.slice(i, 1), pa.array([i], pa.int64())], ["doc_id", "text", "th"]) for i in range(n)]
     known = RC.Known()
     sent = np.zeros(n, int)
     for i, b in enumerate(batches):
