@@ -44,7 +44,7 @@ from stratalens.llm.shared import _BYTES_LOWER, _POWERS, batches, forget, input_
 
 LEAST, LONGEST, TOP, WITHIN = 10, 3, 2000, 50
 #: Bytes of text of a block, bytes of stored input that meet in a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
 #: Base of the polynomials, odd so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
