@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.shared import WORD, doc_rows
+from stratalens.operators.ordered import positions
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hexadecimal digits of a key that name its range: 4096 ranges for each source.
@@ -49,13 +50,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return s.select("source", "source_size", "weight", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken of each document; ``keep`` names further columns to carry."""
+def _key(seed: int, text: str | Column) -> Column:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(text, F.lit(""))))  # rows without an id are told apart by their texts
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("source").cast("string")))
+
+
+def _takes(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    """Of each document: doc_id, size, source, source_size, target, key, epochs (times that its source is taken whole) and part (words taken after that)."""
     rows = doc_rows(docs, F.col("source").cast("string").alias("source"), *(c for c in keep if c != "text"))
-    rows = rows.withColumn("size", n_words(F.col("text")))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))  # rows without an id are told apart by their texts
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("source")))
-    rows = rows.withColumn("key", key)
+    rows = rows.withColumns({"size": n_words(F.col("text")), "key": _key(seed, F.col("text"))})
     if "text" not in keep:
         rows = rows.drop("text")
     rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
@@ -71,23 +74,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     whole = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as long) div source_size")).otherwise(F.lit(0)).cast("long")
     left = whole - epochs * F.col("source_size") - (F.col("before") + F.col("upto") - F.col("size"))
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *keep)
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "key", epochs.alias("epochs"), part.alias("part"), *keep)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken of each document; ``keep`` names further columns to carry."""
+    return _takes(docs, weights, share, most, seed, keep).select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *keep)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document as often as it is taken whole, and once more cut where the budget ends within it.
 
     The cut text is its leading words joined by one space; a column n_chars follows it. Documents that
-    the mix doesn't reach, and those without words, are left out. Only ids, sources and sizes move until
-    the takes are known. Rows that agree in doc_id, source and size are taken alike.
+    the mix doesn't reach, and those without words, are left out. The words of a source add up to its
+    rounded target, whatever ids repeat or are null.
+
+    Only ids, sources and sizes move until each source's *cut* is known: the last place (key, doc_id, size)
+    in its order that is taken beyond whole epochs. A row before it is taken once more, a row behind it isn't.
+    Rows at that very place share what is left there, one after the other by text and other columns.
     """
     cols = docs.columns
-    takes = mix(docs, **how).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    takes = takes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("taken").alias("__taken"))
-    rows = docs.withColumn("__size", n_words(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    rows = rows.join(takes.hint("merge"), same)
+    takes = _takes(docs, weights, share, most, seed, ())
+    place = F.struct("key", F.col("doc_id").cast("long").alias("doc_id"), "size")
+    sums = takes.groupBy("source", "key", "doc_id", "size").agg(F.sum("part").alias("part"), F.max("epochs").alias("epochs"))
+    cuts = sums.groupBy("source").agg(F.max(F.when(F.col("part") > 0, F.struct(place.alias("at"), "part"))).alias("cut"), F.max("epochs").alias("epochs"))
+    cuts = cuts.select(F.col("source").alias("__s"), F.col("cut.at").alias("__cut"), F.col("cut.part").alias("__left"), F.col("epochs").alias("__epochs"))
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    rows = docs.withColumns({"__size": n_words(text), "__key": _key(seed, text)})
+    rows = rows.join(cuts, source.eqNullSafe(F.col("__s"))).withColumn("__place", F.struct(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__size").alias("size")))
+    behind = F.col("__cut").isNull() | (F.col("__place") > F.col("__cut"))
+    at_cut = F.col("__cut").isNotNull() & ~behind & ~(F.col("__place") < F.col("__cut"))
+    sure = rows.where(~at_cut).withColumn("__part", F.when(behind, F.lit(0)).otherwise(F.col("__size")).cast("long"))
+    tied = rows.where(at_cut).withColumn("__rest", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]))))
+    tied = positions(tied, [F.col("__s").asc_nulls_first(), F.md5(text), F.col("__rest")], "__at")
+    firsts = tied.groupBy("__s").agg(F.min("__at").alias("__first")).withColumnRenamed("__s", "__of")
+    tied = tied.join(firsts, F.col("__s").eqNullSafe(F.col("__of")))
+    share_left = F.col("__left") - (F.col("__at") - F.col("__first")) * F.col("__size")
+    tied = tied.withColumn("__part", F.greatest(F.lit(0), F.least(F.col("__size"), share_left)).cast("long"))
+    rows = sure.unionByName(tied.select(*sure.columns))
+    rows = rows.withColumn("__taken", F.col("__epochs") * F.col("__size") + F.col("__part")).where("__taken > 0")
     copies = F.transform(F.sequence(F.lit(1), F.expr("cast(__taken div __size as int) + if(__taken % __size > 0, 1, 0)")), lambda i: F.least(F.col("__size"), F.col("__taken") - (i - 1) * F.col("__size")))
     rows = rows.withColumn("__words", F.explode(copies))
     part = F.col("__words") < F.col("__size")

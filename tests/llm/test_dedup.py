@@ -97,7 +97,7 @@ def test_texts_without_ids_go_to_many_homes_and_lose_only_repeats(spark):
     assert got == {*texts, "end", "begin"}
     homes = [r.home for r in RC.repeated_windows(df, 64).select("home").collect()]
     keyed = df.withColumn("th", RC.text_hash()).select(F.pmod(F.xxhash64(RC.home_key()), F.lit(64)).alias("h")).distinct().count()
-    assert len(homes) == 2 and keyed > 50
+    assert len(set(homes)) == 2 and keyed > 50
 
 
 def test_equal_windows_have_equal_cores():
