@@ -5,6 +5,7 @@ A box is the columns xmin, ymin, [zmin,] xmax, ymax[, zmax]; two prefixes name t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.ordered import running_sums
 from stratalens.storage import written
 
 EPS = 1.1920929e-07
@@ -162,60 +164,90 @@ def nms(df: DataFrame, by: list[str], corners: list[str], score: str, key: str,
     return rows.mapInArrow(run, df.schema)
 
 
-def match_boxes(pred: np.ndarray, score: np.ndarray, truth: np.ndarray, ious: tuple[float, ...], most: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(scores best first, hits: IoU thresholds x predictions) of greedy matching, each truth taken once; of equal overlaps the later truth is taken."""
+def match_boxes(pred: np.ndarray, score: np.ndarray, truth: np.ndarray, ious: tuple[float, ...], most: int = 100, ignore: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores best first, IoU thresholds x predictions: 1 for a hit, 2 for a prediction on an ignored truth, 0 for a miss).
+
+    In the order of scores each prediction takes one truth that is still free and overlaps it by the threshold
+    or more: a counted one before an ignored one, then the one of greatest overlap, then the last. A threshold
+    of 1 leaves room for rounding.
+    """
     order = np.argsort(-score, kind="stable")[:most]
-    overlap = iou_matrix(pred[order], truth) if len(truth) and len(order) else np.zeros((len(order), len(truth)))
-    hits = np.zeros((len(ious), len(order)), bool)
-    for t, at in enumerate(ious):
-        free = np.ones(len(truth), bool)
-        for i in range(len(order)):
-            best, who = min(at, 1 - 1e-10), -1
-            for j in range(len(truth)):
-                if free[j] and overlap[i, j] >= best:
-                    best, who = overlap[i, j], j
-            if who >= 0:
-                free[who], hits[t, i] = False, True
+    hits = np.zeros((len(ious), len(order)), np.int8)
+    if not len(order) or not len(truth):
+        return score[order], hits
+    ignored = np.zeros(len(truth), bool) if ignore is None else np.asarray(ignore, bool)
+    overlap = iou_matrix(pred[order], truth)
+    # Truths by rank of choice: for each prediction the columns from the best to the worst.
+    ranked = np.lexsort((np.broadcast_to(-np.arange(len(truth)), overlap.shape), -overlap, np.broadcast_to(ignored, overlap.shape)), axis=1)
+    enough = np.take_along_axis(overlap, ranked, axis=1)
+    free = np.ones((len(ious), len(truth)), bool)
+    least = np.minimum(np.asarray(ious, float), 1 - 1e-10)[:, None]
+    for i in range(len(order)):
+        open_ = free[:, ranked[i]] & (enough[i] >= least)
+        took = np.flatnonzero(open_.any(axis=1))
+        who = ranked[i][open_[took].argmax(axis=1)]
+        free[took, who] = False
+        hits[took, i] = 1 + ignored[who]
     return score[order], hits
 
 
-def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[float, ...] = (0.5,), recalls: int = 101, most: int = 100, recall_at: tuple[int, ...] = ()) -> DataFrame:
+def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[float, ...] = (0.5,), recalls: int = 101, most: int = 100, recall_at: tuple[int, ...] = (), areas: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """label, iou, ap, ar, n_truth, and an ar_k for each k of ``recall_at`` (recall of the k best detections of an image): matching within (image, class), then precision envelopes over all images of a class; -1 without truths.
 
-    Matches of equal score combine before they are summed up in the order of scores.
+    A truth whose boolean column ``ignore`` is true doesn't count, nor does a prediction that takes it. With
+    ``areas`` (name: least and greatest box area) there is a row for each of them, named in ``area``: truths of
+    other areas are ignored there, and so are predictions of other areas that take no truth.
+
+    Matches of equal score combine, and running sums in the order of scores are spread over ranges.
     """
-    side = lambda df, k: df.select("image_id", "label", F.lit(k).alias("side"), *[F.col(c).cast("double").alias(c) for c in corners], (F.col("score").cast("double") if k else F.lit(0.0)).alias("score"), (F.col("box_id").cast("long") if k else F.lit(0).cast("long")).alias("box_id"))
+    named = areas or {"all": (-math.inf, math.inf)}
+    limits = list(named.values())
+    if "ignore" not in truth.columns:
+        truth = truth.withColumn("ignore", F.lit(False))
+    side = lambda df, k: df.select("image_id", "label", F.lit(k).alias("side"), *[F.col(c).cast("double").alias(c) for c in corners], (F.col("score").cast("double") if k else F.lit(0.0)).alias("score"), (F.col("box_id").cast("long") if k else F.lit(0).cast("long")).alias("box_id"), (F.lit(False) if k else F.coalesce("ignore", F.lit(False))).alias("ignore"))
     rows = side(truth, 0).unionByName(side(pred, 1)).repartition("image_id", "label").sortWithinPartitions("image_id", "label", "side", F.desc("score"), "box_id")
+    half = len(corners) // 2
 
     def match(it):
         for table, ends in sorted_groups(it, ["image_id", "label"]):
             boxes = np.stack([table.column(c).to_numpy() for c in corners], axis=1)
-            scores, sides, labels = table.column("score").to_numpy(), table.column("side").to_numpy(), table.column("label").to_numpy()
+            scores, sides, labels, ignored = (table.column(c).to_numpy() for c in ("score", "side", "label", "ignore"))
+            size = np.prod(boxes[:, half:] - boxes[:, :half], axis=1)
             out, start = [], 0
             for end in ends.tolist():
                 cut = start + int((sides[start:end] == 0).sum())
                 top = min(end, cut + most)
                 if top > cut:
-                    score, hits = match_boxes(boxes[cut:top], scores[cut:top], boxes[start:cut], ious, most) if cut > start else (scores[cut:top], np.zeros((len(ious), top - cut), bool))
-                    out.append((np.full(top - cut, labels[start]), score, hits, np.arange(1, top - cut + 1)))
+                    each = []
+                    for lo, hi in limits:
+                        other = (size < lo) | (size > hi)
+                        hits = match_boxes(boxes[cut:top], scores[cut:top], boxes[start:cut], ious, most, ignored[start:cut] | other[start:cut])[1]
+                        each.append(np.where((hits == 0) & other[cut:top], 2, hits))
+                    out.append((np.full(top - cut, labels[start]), scores[cut:top], np.concatenate(each), np.arange(1, top - cut + 1)))
                 start = end
             if out:
                 label, score, hits = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out], axis=1)
                 rank = np.concatenate([o[3] for o in out])
-                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(score), pa.array(rank, pa.int32()), pa.array(hits.T.tolist(), pa.list_(pa.bool_()))], ["label", "score", "rank", "hits"])
-
-    hits = written(rows.mapInArrow(match, "label int, score double, rank int, hits array<boolean>"), "matches").select("label", "score", "rank", F.posexplode("hits").alias("k", "hit"))
-    each = hits.groupBy("label", "k", "score").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("c"))
-    first = hits.groupBy("label", "k").agg(F.count("*").alias("found"), *[F.sum((F.col("hit") & (F.col("rank") <= m)).cast("long")).alias(f"first_{m}") for m in recall_at])
-    down = Window.partitionBy("label", "k").orderBy(F.desc("score"))
-    n = truth.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_truth"))
-    curve = each.withColumn("tp", F.sum("tp").over(down)).withColumn("c", F.sum("c").over(down)).join(n, "label", "left").withColumn("recall", F.when(F.col("n_truth") > 0, F.col("tp") / F.col("n_truth")))
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(score), pa.array(rank, pa.int32()), pa.array(hits.T.tolist(), pa.list_(pa.int32()))], ["label", "score", "rank", "hits"])
+
+    hits = written(rows.mapInArrow(match, "label int, score double, rank int, hits array<int>"), "matches").select("label", "score", "rank", F.posexplode("hits").alias("k", "hit"))
+    right, counts = (F.col("hit") == 1).cast("long"), (F.col("hit") < 2).cast("long")
+    each = hits.groupBy("label", "k", "score").agg(F.sum(right).alias("tp"), F.sum(counts).alias("c"))
+    first = hits.groupBy("label", "k").agg(*[F.sum(F.when(F.col("rank") <= m, right).otherwise(0)).alias(f"first_{m}") for m in recall_at], F.count("*").alias("found"))
+    ends = reduce(lambda a, b: a * b, [F.col(hi).cast("double") - F.col(lo).cast("double") for lo, hi in zip(corners[:half], corners[half:], strict=True)])
+    inside = F.array(*[((ends >= lo) & (ends <= hi) & ~F.coalesce("ignore", F.lit(False))).cast("long") for lo, hi in limits])
+    n = truth.select(F.col("label").cast("int").alias("label"), F.posexplode(inside).alias("a", "in")).groupBy("label", "a").agg(F.sum("in").alias("n_truth"))
+    area = F.floor(F.col("k") / len(ious)).cast("int")
+    curve = running_sums(each, ["label", "k"], [F.desc("score")], {"tps": F.col("tp"), "cs": F.col("c")}).withColumn("a", area).join(n, ["label", "a"], "left").where("cs > 0 or n_truth is null or n_truth = 0")
+    curve = curve.withColumn("recall", F.when(F.col("n_truth") > 0, F.col("tps") / F.col("n_truth")))
     step = F.floor(F.col("recall") * (recalls - 1) + 1e-9).cast("int")  # the highest recall point that is reached
-    best = curve.groupBy("label", "k", step.alias("step")).agg(F.max(F.col("tp") / F.col("c")).alias("p"), F.max("recall").alias("ar"), F.max("n_truth").alias("n_truth"))
+    best = curve.groupBy("label", "k", step.alias("step")).agg(F.max(F.when(F.col("cs") > 0, F.col("tps") / F.col("cs"))).alias("p"), F.max("recall").alias("ar"))
     up = Window.partitionBy("label", "k").orderBy(F.desc("step"))
     best = best.withColumn("envelope", F.max("p").over(up)).withColumn("below", F.coalesce(F.lead("step").over(up), F.lit(-1)))
     ap = F.sum(F.col("envelope") * (F.col("step") - F.col("below"))) / recalls
-    out = best.groupBy("label", "k").agg(ap.alias("ap"), F.max("ar").alias("ar"), F.max("n_truth").alias("n_truth")).join(first, ["label", "k"])
-    iou = F.element_at(F.array(*[F.lit(float(x)) for x in ious]), F.col("k") + 1)
+    out = first.join(best.groupBy("label", "k").agg(ap.alias("ap"), F.max("ar").alias("ar")), ["label", "k"], "left").withColumn("a", area).join(n, ["label", "a"], "left")
+    iou = F.element_at(F.array(*[F.lit(float(x)) for x in ious]), F.col("k") % len(ious) + 1)
+    names = [F.element_at(F.array(*map(F.lit, named)), F.col("a") + 1).alias("area")] if areas else []
     none = F.coalesce("n_truth", F.lit(0)) == 0
-    return out.select("label", iou.alias("iou"), F.when(none, -1.0).otherwise(F.col("ap")).alias("ap"), F.when(none, -1.0).otherwise(F.col("ar")).alias("ar"), F.coalesce("n_truth", F.lit(0)).alias("n_truth"), *[F.when(none, -1.0).otherwise(F.col(f"first_{m}") / F.col("n_truth")).alias(f"ar_{m}") for m in recall_at])
+    of = lambda c: F.when(none, -1.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    return out.select("label", iou.alias("iou"), *names, of(F.col("ap")).alias("ap"), of(F.col("ar")).alias("ar"), F.coalesce("n_truth", F.lit(0)).alias("n_truth"), *[of(F.col(f"first_{m}") / F.col("n_truth")).alias(f"ar_{m}") for m in recall_at])

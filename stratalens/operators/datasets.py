@@ -116,8 +116,7 @@ def hash_shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 
 def shuffle_buffer(df: DataFrame, by: Sequence[str], order: str, size: int, seed: int = 0) -> DataFrame:
-    """A shuffle by a buffer of ``size`` rows, repeatable: within its group each row may move at most so many places back, by a draw from its key; ``place`` numbers the rows as they leave the buffer, from 1."""
-    w = Window.partitionBy(*by)
+    """A shuffle by a buffer of ``size`` rows, repeatable: within its group each row may move at most so many places back, by a draw from its key; ``place`` numbers the rows as they leave the buffer, from 1. A group of any size is spread over ranges."""
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    rows = df.withColumn("__leaves", F.row_number().over(w.orderBy(order)) + draw * size)
-    return rows.withColumn("place", F.row_number().over(w.orderBy("__leaves", order))).drop("__leaves")
+    rows = running_sums(df, by, [F.col(order)], {"__in": F.lit(1)}).withColumn("__leaves", F.col("__in") + draw * size)
+    return running_sums(rows, by, [F.col("__leaves"), F.col(order)], {"place": F.lit(1)}).select(*df.columns, F.col("place").cast("int").alias("place"))

@@ -80,6 +80,28 @@ def coco_ap(s, d):
     return x.select("label", "iou", *[r6(c).alias(c) for c in ("ap", "ar", "ar_1", "ar_2")], "n_truth")
 
 
+_AREAS = {"all": (0.0, 1e10), "small": (0.0, 150.0), "large": (150.0, 1e10)}
+_COCO_AREAS = ("with recursive " + BOXES[5:] + """, p as (select *, (xmax - xmin) * (ymax - ymin) as size, row_number() over (partition by image_id, label order by score desc, box_id) as k from b qualify k <= 100), q as (select *, (xmax - xmin) * (ymax - ymin) as size, box_id % 5 = 0 as ignore, row_number() over (partition by image_id, label order by box_id, xmin, ymin) as j from b where label = 1 or score > 0.05),
+h as (select * from (values (0.1::double), (0.3)) as i(iou), (values {areas}) as a(area, lo, hi)), n as (select label, area, count(*) filter (where not ignore and size between lo and hi) as n from q, (select distinct area, lo, hi from h) group by all),
+c as (select p.image_id, p.label, p.k, h.iou, h.area, list({'j': q.j, 'code': 1 + cast(ig as int)} order by ig, v desc, q.j desc) as cand from p join q using (image_id, label), h, lateral (select {i} / (p.size + q.size - {i} + 1.1920929e-07) as v, q.ignore or q.size < h.lo or q.size > h.hi as ig) where v >= h.iou group by all),
+x as (select p.image_id, p.label, p.k, p.score, h.iou, h.area, case when p.size < h.lo or p.size > h.hi then 2 else 0 end as miss, coalesce(cand, []) as cand from p cross join h left join c on c.image_id = p.image_id and c.label = p.label and c.k = p.k and c.iou = h.iou and c.area = h.area),
+g(image_id, label, iou, area, k, score, used, hit) as (select image_id, label, iou, area, k, score, case when len(cand) > 0 then [cand[1].j] else [] end, case when len(cand) > 0 then cand[1].code else miss end from x where k = 1
+union all select image_id, label, iou, area, k, score, case when len(free) > 0 then list_append(used, free[1].j) else used end, case when len(free) > 0 then free[1].code else miss end from (select x.*, g.used, list_filter(x.cand, lambda s: not list_contains(g.used, s.j)) as free from g join x on x.image_id = g.image_id and x.label = g.label and x.iou = g.iou and x.area = g.area and x.k = g.k + 1)),
+e as (select label, iou, area, score, sum(cast(hit = 1 as int)) as tp, sum(cast(hit < 2 as int)) as c from g group by all), r as (select label, iou, area, sum(tp) over w as tp, sum(c) over w as c from e window w as (partition by label, iou, area order by score desc)),
+s as (select label, iou, area, floor(tp / n * 100 + 1e-9) as step, max(tp / c) as pr, max(tp / n) as ar from r join n using (label, area) where c > 0 and n > 0 group by 1, 2, 3, 4), v as (select *, max(pr) over (partition by label, iou, area order by step desc) as envelope, coalesce(lead(step) over (partition by label, iou, area order by step desc), -1) as below from s),
+a as (select label, iou, area, sum(envelope * (step - below)) / 101 as ap, max(ar) as ar from v group by all)
+select d.label, d.iou, d.area, round(case when coalesce(n, 0) = 0 then -1 else coalesce(ap, 0) end, 6) as ap, round(case when coalesce(n, 0) = 0 then -1 else coalesce(ar, 0) end, 6) as ar, coalesce(n, 0) as n_truth from (select distinct label, iou, area from g) d left join a using (label, iou, area) left join n using (label, area)""").replace("{i}", _INTER).replace("{areas}", ", ".join(f"('{k}', {lo}::double, {hi}::double)" for k, (lo, hi) in _AREAS.items()))
+
+
+@query(_COCO_AREAS)
+def coco_ap_areas(s, d):
+    """Precision and recall for all, small and large boxes, with every fifth truth ignored."""
+    b = boxes(s, d)
+    truth = b.where("label = 1 or score > 0.05").select("image_id", "label", "xmin", "ymin", "xmax", "ymax", (F.col("box_id") % 5 == 0).alias("ignore"))
+    x = B.coco_ap(b, truth, ["xmin", "ymin", "xmax", "ymax"], (0.1, 0.3), areas=_AREAS)
+    return x.select("label", "iou", "area", r6("ap").alias("ap"), r6("ar").alias("ar"), "n_truth")
+
+
 @query(BOXES + ", r as (select *, row_number() over (partition by image_id order by score desc, box_id) k from b) select image_id, box_id, cast(k as int) as rank from r where k <= 2")
 def box_selector_topk(s, d):
     w = Window.partitionBy("image_id").orderBy(F.desc("score"), "box_id")

@@ -21,7 +21,9 @@ def _stream(s, d, name="events"):
 
 @query("select cast(event_id // 100 as bigint) as chunk, count(*) as n, round(sum(value), 6) as total from events group by 1")
 def stream_chunk_counts(s, d):
-    return ST.run_to_table(ST.chunk_counts(_stream(s, d), "event_id", 100, "value"), "chunks", "update", ["chunk"])
+    """No state: the chunks of each micro-batch are added up where the table is read."""
+    x = ST.run_partial(_stream(s, d), "chunks", ["chunk"], ["n", "total"], lambda b: ST.chunk_counts(b, "event_id", 100, "value"))
+    return x.withColumn("total", F.round("total", 6))
 
 
 @query("with x as (select event_id, event_id - min(event_id) over () as i, count(*) over () as n from events) select event_id, cast(i as bigint) as row_idx from x where (i - (3 * (n // 20)) % n + n) % n < n // 4")
@@ -46,7 +48,13 @@ def stream_sliding(s, d):
 @query("""with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval '2 hours' then 0 else 1 end as fresh from events), r as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as run from g)
 select user_id, min(ts) as start, count(*) as n from r group by user_id, run""")
 def stream_session(s, d):
-    return ST.run_to_table(ST.sessions(_stream(s, d), "ts", "2 hours", ["user_id"]), "sessions", "complete").select("user_id", "start", "n")
+    """Sessions leave the state when the watermark passes them; a closing event brings the last ones out."""
+    folder = new_path(s, "closing")
+    events = _stream(s, d)
+    s.createDataFrame([], events.select("ts").schema).write.parquet(folder)
+    x = ST.sessions(ST.with_closing(events, "ts", folder), "ts", "2 hours", ["user_id"], late="1 day")
+    out = ST.run_to_table(x, "sessions", closing=lambda: ST.close(s, "ts", dict(events.dtypes)["ts"], folder))
+    return out.where("start < timestamp '9998-01-01'").select("user_id", "start", "n")
 
 
 @query("select event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1")
@@ -66,16 +74,17 @@ def stream_late_data(s, d):
     each, extra = n // 4, n % 4  # the first parts are one row longer
     ends = [each * (k + 1) + min(k + 1, extra) for k in range(4)]
     path = new_path(s, "arrivals")
+    files = max(1, min(int(s.conf.get("spark.sql.shuffle.partitions")), each))  # rows are dealt in turn, so that each part has just so many files, and they are a batch
     for k in range(4):
         part = e.where((F.col("row_idx") >= (ends[k - 1] if k else 0)) & (F.col("row_idx") < ends[k]))
-        part.drop("row_idx").coalesce(1).write.parquet(f"{path}/part={k}")  # a file is a batch
-    r = s.readStream.schema("event_id long, event_type string, ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartitionById(files, (F.col("row_idx") % files).cast("int")).drop("row_idx").write.parquet(f"{path}/part={k}")
+    r = s.readStream.schema("event_id long, event_type string, ts timestamp, part int").option("maxFilesPerTrigger", files).parquet(path)
     x = r.withWatermark("ts", "6 hours").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return ST.run_to_table(x.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), "late", "update", ["event_type", "start"])
 
 
-@query("select conv_id, count(*) as seen, count(*) >= max(turn) + 1 as complete from conversations group by 1")
+@query("select conv_id, count(distinct turn) as seen, count(distinct turn) >= max(turn) + 1 as complete from conversations group by 1")
 def stream_completion(s, d):
     """Turns of conversations as they arrive: how many have come, and whether all have, kept in state until complete."""
-    x = _stream(s, d, "conversations").select("conv_id", (F.col("turn") + 1).cast("long").alias("expected"))
-    return ST.run_to_table(ST.completion(x, "conv_id", "expected"), "completion", "update", ["conv_id"])
+    x = _stream(s, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).cast("long").alias("expected"))
+    return ST.run_to_table(ST.completion(x, "conv_id", "turn", "expected"), "completion", "update", ["conv_id"])

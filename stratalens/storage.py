@@ -6,11 +6,14 @@ import atexit
 import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _folders: set[str] = set()
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,7 +35,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(delete, spark, folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is written inside goes when it ends: collect or write the results before. Scopes may be nested."""
+    made: list[tuple[SparkSession, str]] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for spark, path in made:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str = "part") -> DataFrame:
@@ -40,7 +59,16 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_written", None):
+            delete(df.sparkSession, df._written)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -123,6 +123,33 @@ def test_perfect_detection_has_full_precision(spark):
     assert all(r.ap == -1.0 for r in none)
 
 
+def greedy(pred, score, truth, least, ignore):
+    """Matching as it is defined, one prediction after the other."""
+    over, free, out = B.iou_matrix(pred, truth), set(range(len(truth))), []
+    for i in sorted(range(len(pred)), key=lambda i: (-score[i], i)):
+        able = [(not ignore[j], over[i, j], j) for j in free if over[i, j] >= least]
+        if not able:
+            out.append(0)
+            continue
+        free.remove(max(able)[2])
+        out.append(1 if max(able)[0] else 2)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_prefers_counted_truths_then_overlap_then_the_last(seed):
+    rng = np.random.default_rng(seed)
+    pred, truth = random_boxes(40, seed), random_boxes(30, seed + 50)
+    truth = np.concatenate([truth, truth[:8], pred[:5]])
+    score, ignore = rng.integers(0, 9, 40) / 9, rng.random(len(truth)) < 0.3
+    ious = (0.05, 0.3, 1.0)
+    scores, hits = B.match_boxes(pred, score, truth, ious, ignore=ignore)
+    assert (np.diff(scores) <= 0).all()
+    for t, least in enumerate(ious):
+        assert hits[t].tolist() == greedy(pred, score, truth, min(least, 1 - 1e-10), ignore)
+    assert B.match_boxes(pred, score, truth[:0], ious)[1].sum() == 0 and B.match_boxes(pred[:0], score[:0], truth, ious)[1].shape == (3, 0)
+
+
 def test_patches_round_trip(spark):
     df = spark.createDataFrame([(1, [float(x) for x in range(16)])], "id int, v array<double>")
     cells = P.merge(P.split(df, "v", 4, 0.5), ["id"], P.gaussian_weights(4)).orderBy("position").collect()

@@ -87,13 +87,52 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 
 def test_completion_over_batches(spark, tmp_path):
     folder = str(tmp_path / "in")
-    for k, rows in enumerate([[(1, 3), (2, 1)], [(1, 3)], [(1, 3), (3, 2)]]):
-        spark.createDataFrame(rows, "k long, want long").coalesce(1).write.parquet(f"{folder}/p={k}")
-    s = spark.readStream.option("maxFilesPerTrigger", 1).schema("k long, want long, p int").parquet(folder).drop("p")
-    got = {r.k: (r.seen, r.complete) for r in ST.run_to_table(ST.completion(s, "k", "want"), "c", "update", ["k"]).collect()}
+    # Parts that come again, before or after a key is complete, change nothing.
+    for k, rows in enumerate([[(1, 0, 3), (2, 0, 1)], [(1, 1, 3), (1, 0, 3), (2, 0, 1)], [(1, 2, 3), (3, 1, 2), (3, 1, 2)], [(1, 2, 3)]]):
+        spark.createDataFrame(rows, "k long, part long, want long").coalesce(1).write.parquet(f"{folder}/p={k}")
+    s = spark.readStream.option("maxFilesPerTrigger", 1).schema("k long, part long, want long, p int").parquet(folder).drop("p")
+    got = {r.k: (r.seen, r.complete) for r in ST.run_to_table(ST.completion(s, "k", "part", "want"), "c", "update", ["k"]).collect()}
     assert got == {1: (3, True), 2: (1, True), 3: (1, False)}
 
 
+def test_state_of_completion_ends_with_the_watermark(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for k, (key, hour) in enumerate([(1, 0), (2, 9), (3, 30), (1, 31)]):
+        spark.createDataFrame([(key, 0, 2, hour)], "k long, part long, want long, h long").selectExpr("k", "part", "want", "timestamp_seconds(h * 3600) as ts").coalesce(1).write.parquet(f"{folder}/p={k}")
+    s = spark.readStream.option("maxFilesPerTrigger", 1).schema("k long, part long, want long, ts timestamp, p int").parquet(folder).drop("p")
+    out = ST.run_to_table(ST.completion(s, "k", "part", "want", "ts", "5 hours"), "c", "update", ["k"])
+    # The key that comes again a day later begins anew: the first part was forgotten, not counted twice.
+    assert {r.k: (r.seen, r.complete) for r in out.collect()} == {1: (1, False), 2: (1, False), 3: (1, False)}
+
+
+def test_sessions_leave_the_state_and_a_closing_event_brings_the_last_ones_out(spark, tmp_path):
+    folder, ends = str(tmp_path / "in"), str(tmp_path / "ends")
+    for k, hours in enumerate([[0, 1, 5], [6, 30], [31, 60]]):
+        spark.createDataFrame([(7, h) for h in hours], "user long, h long").selectExpr("user", "timestamp_seconds(h * 3600) as ts").coalesce(1).write.parquet(f"{folder}/p={k}")
+    spark.createDataFrame([], "ts timestamp").write.parquet(ends)
+    s = spark.readStream.option("maxFilesPerTrigger", 1).schema("user long, ts timestamp, p int").parquet(folder).drop("p")
+    x = ST.sessions(ST.with_closing(s, "ts", ends), "ts", "2 hours", ["user"], late="12 hours")
+    out = ST.run_to_table(x, "s", closing=lambda: ST.close(spark, "ts", "timestamp", ends))
+    assert sorted((r.start.hour + 24 * (r.start.day - 1), r.n) for r in out.where("user = 7").collect()) == [(0, 2), (5, 2), (30, 2), (60, 1)]
+
+
+def test_tables_written_in_a_scope_go_with_it(spark):
+    import os
+
+    from stratalens import storage
+
+    with storage.scope():
+        x = storage.written(spark.range(5), "scoped")
+        with storage.scope():
+            y = storage.written(x, "inner")
+            assert y.count() == 5
+        assert not os.path.exists(y._written.removeprefix("file://")) and x.count() == 5
+    assert not os.path.exists(x._written.removeprefix("file://"))
+    z = storage.written(spark.range(3), "kept")
+    storage.forget(z, spark.range(1))
+    assert not os.path.exists(z._written.removeprefix("file://"))
+
+
 @pytest.mark.parametrize(
     "kernel",
     [RT.std_shift(-1, 1), RT.fixed_mean_scale(-0.5, 0.5, preserve_range=True), RT.gaussian_sharpen(), RT.gibbs(), RT.intensity_remap(), RT.smooth_field_contrast((3, 3)), RT.smooth_field_intensity((3, 3)), RT.smooth_deform((3, 3)), RT.low_resolution(), RT.histogram_shift()],
