@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.lm_scores import HOME_SHIFT, _only_reads, pack, unpack
-from stratalens.llm.shared import _BYTES_LOWER, _POWERS, batches, forget, input_bytes, materialise, mix, slices
+from stratalens.llm.shared import _BYTES_LOWER, _POWERS, batches, forget, input_bytes, materialise, mix, release, slices
 
 LEAST, LONGEST, TOP, WITHIN = 10, 3, 2000, 50
 #: Bytes of text of a block, bytes of stored input that meet in a bucket.
@@ -280,10 +280,12 @@ def _phrases(it: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBa
 
     block, answers = None, []
     for batch in it:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):  # one by one: rows hold whole blocks
+            r = batch.slice(i, 1).to_pylist()[0]
             if block is not None and r["block"] != block["block"]:
                 yield from counted(block, answers)
                 block, answers = None, []
+                release()
             if r["texts"] is not None:
                 block = r
             elif block is None:

@@ -10,6 +10,11 @@ No piece holds a marker behind another character, so the best path of a text is
 its marker-led words one after the other, and each worker keeps those of words it has met. If a
 vocabulary breaks this rule, whole texts are one word each and nothing else changes.
 
+Scores are added in 64 bits, word by word, so the path is the best one but for rounding in the sixteenth
+digit. Of paths of equal score the one whose last piece is longest wins, then the last but one, and so on
+towards the front. The SentencePiece library adds in 32 bits along the whole text; where two paths are
+nearer to each other than that rounding it may take the other one (its exact score is never better).
+
 Vocabularies trained as BPE store merge ranks, not log scores. Their pieces get the log scores that
 Zipf's law gives to ranks, -ln(rank + 1); Unigram vocabularies keep their own scores.
 

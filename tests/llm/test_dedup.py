@@ -230,3 +230,28 @@ def test_components_of_random_graphs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in nodes}
+
+
+def test_blocks_of_a_family_meet_only_where_they_share_a_rare_shingle(spark, monkeypatch):
+    """A family that hangs together link by link: the pairs of blocks grow with its rows, not with their square; similar members are found."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ND, "BLOCK", 4)
+
+    def run(n):
+        common = np.arange(1, 16)
+        sets = {i: np.sort(np.concatenate([common, [1000 + i, 1001 + i, 5000 + 7 * i, 50_000 + 7 * i, 90_000 + i]])).astype(np.int64) for i in range(n)}
+        sets[n] = sets[n // 2].copy()  # similar enough to one other member
+        sets[n][-1] = 10**6
+        order = [int(x) for x in rng.permutation(n + 1)]
+        stars = spark.createDataFrame([(order[0], i, 10_000 + i) for i in order], "centre long, doc long, comp long")
+        held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "doc long, set binary")
+        pairs = []
+        inner = ND.materialise
+        monkeypatch.setattr(ND, "materialise", lambda df, name="part": (out := inner(df, name), pairs.append(out.count()) if name == "family-blocks" else None)[0])
+        links = {(r.a, r.b) for r in ND.large_star_links(stars, held, 80, 3).collect()}
+        monkeypatch.setattr(ND, "materialise", inner)
+        return pairs[0], links, (n // 2, n)
+
+    (a, found, want), (b, again, other) = run(60), run(120)
+    assert found == {want} and again == {other}
+    assert b <= 2.6 * a and b < (120 / 4) ** 2 / 4

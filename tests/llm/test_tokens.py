@@ -7,7 +7,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from stratalens.llm import sentencepieces as SP
@@ -103,14 +103,52 @@ def unigram(model):
     return sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
 
 
+def exact(model, ids) -> float:
+    """Score of a path, each piece in 64 bits; a run of bytes is one unknown character."""
+    out, at = 0.0, 0
+    while at < len(ids):
+        if model.is_byte[ids[at]]:
+            lead = model.byte_of[ids[at]]
+            at += 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            out += model.unk_score
+        else:
+            out += model.scores[ids[at]]
+            at += 1
+    return out
+
+
+def same_but_for_ties(model, unigram, text) -> bool:
+    """Whether the ids are the library's. If not, its path is no better, and worse by no more than 32-bit sums along the text can hide."""
+    got, other = model.encode(text).tolist(), unigram.encode(text)
+    if got == other:
+        return True
+    ours, theirs = exact(model, got), exact(model, other)
+    assert theirs <= ours + 1e-9 * abs(ours)
+    assert ours - theirs <= 2 * max(len(got), len(other)) * float(np.finfo(np.float32).eps) * abs(ours)
+    return False
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=10).map("".join))
-def test_unigram_viterbi_gives_the_library_s_pieces(model, unigram, text):
+@example("  theaaa")  # a tie that 32-bit sums settle otherwise
+def test_unigram_viterbi_gives_the_best_path(model, unigram, text):
+    same_but_for_ties(model, unigram, text)
     got = model.encode(text).tolist()
-    assert got == unigram.encode(text)
     assert model.decode(np.array(got, np.int32)) == unigram.decode(got)
 
 
+def test_texts_of_a_table_have_the_library_s_pieces_but_for_ties(model, unigram, spark, data):
+    texts = [r.text for r in spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("text").collect()]
+    other = sum(not same_but_for_ties(model, unigram, t or "") for t in texts)
+    assert len(texts) == 1000 and other == 18
+
+
+def test_ties_go_to_the_longest_last_piece(model):
+    ids = model.encode("  theaaa").tolist()
+    swapped = [*ids[:-2], ids[-1], ids[-2]]
+    assert abs(exact(model, ids) - exact(model, swapped)) < 1e-12 and len(model.pieces[ids[-1]]) >= len(model.pieces[ids[-2]])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(model, text):
