@@ -331,7 +331,7 @@ def _block_links(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def rare_families(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, comp, n, family), and (doc, group) for the rare shingles that members of several components hold: of the members (doc, comp, stars) that share one of their rarest shingles with a member of another component among the same ``stars``; those who share one directly or through others are a family.
+    """(doc, comp, n, family), and (doc, comp, n, group, root) for the rare shingles that members of several components hold: of the members (doc, comp, stars) that share one of their rarest shingles with a member of another component among the same ``stars``; those who share one directly or through others are a family.
 
     Of a set of n shingles, in the order of their frequency among the members, the first n - ceil(percent n / 100) + 1
     are its rarest: a set similar enough holds one of these among its own.
@@ -348,17 +348,17 @@ def rare_families(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     ordered = held.join(often, "e").groupBy("doc", "comp", "stars").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("s"), F.count("*").alias("n"))  # a document's own shingles
     rare = materialise(ordered.select("doc", "comp", "stars", "n", F.explode(F.slice("s", F.lit(1), F.col("n").cast("int") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("x")).select("doc", "comp", "stars", "n", F.col("x.e").alias("e")), "rare")
     across = rare.groupBy("stars", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("root")).where("lo < hi").select("stars", "e", "root")
-    family = components(rare.join(across, ["stars", "e"]).select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct())
-    out = materialise(rare.select("doc", "comp", "n").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc"), "family-members")
-    groups = materialise(rare.join(across.select("stars", "e"), ["stars", "e"]).select("doc", F.xxhash64("stars", "e").alias("group")), "rare-groups")
-    forget(rare, family)
-    return out, groups
+    shared = materialise(rare.join(across, ["stars", "e"]).select("doc", "comp", "n", "root", F.xxhash64("stars", "e").alias("group")), "rare-shared")
+    forget(rare)
+    family = components(shared.select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct())
+    out = shared.select("doc", "comp", "n").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
+    return out, shared
 
 
 def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links across components inside large stars (centre, doc, comp)."""
     reach = components(stars.where("centre <> doc").select(F.col("doc").alias("a"), F.col("centre").alias("b")))  # stars that share members
-    members, groups = rare_families(stars.select("doc", "comp").distinct().join(reach.select(F.col("node").alias("doc"), F.col("component").alias("stars")), "doc"), sets, percent)
+    members, shared = rare_families(stars.select("doc", "comp").distinct().join(reach.select(F.col("node").alias("doc"), F.col("component").alias("stars")), "doc"), sets, percent)
     # Places in one order of all members, from the sizes of its ranges (a row each), name the blocks; no family is numbered in one task.
     order = ["family", "comp", "n", "doc"]
     docs = members.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
@@ -367,8 +367,8 @@ def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int
     ranges = ranges.select("range", (F.sum("rows").over(Window.orderBy("range")) - F.col("rows") - F.col("least")).alias("shift"))
     docs = placed.join(F.broadcast(ranges), "range").select(*order, F.floor((F.col("id") + F.col("shift")) / BLOCK).alias("block"))
     # Two blocks meet where they share a rare shingle across components, among members of near sizes: as many pairs as shingles tie, not all of a family.
-    per = docs.join(groups, "doc").groupBy("group", "family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    per = materialise(per, "group-blocks")
+    placed_at = docs.select("doc", "family", "block")
+    per = shared.join(placed_at, "doc").groupBy("group", "family", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     other = per.select("group", "family", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
     near = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
     meet = per.join(other, ["group", "family"]).where("block <= block2 and not (lo = hi and lo = lo2 and lo = hi2)").where(near)
@@ -378,7 +378,7 @@ def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int
     rows = sides.join(docs, ["family", "block"]).join(sets, "doc").select("pair", "side", "doc", "comp", "set")
     rows = rows.repartition(parts, "pair").sortWithinPartitions("pair", "side")
     found = materialise(rows.mapInArrow(lambda it: _block_links(it, percent), "a long, b long"), "family-links")
-    forget(members, groups, placed, per, meet, reach)
+    forget(shared, placed, meet, reach)
     return found
 
 
