@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratalens.operators import contours as C
+from stratalens.operators import stains as ST
 from stratalens.operators import tiled as T
 from stratalens.plans.catalogue_arrays import vectors
 from stratalens.plans.registry import query
@@ -76,3 +78,56 @@ def tiled_instances(s, d):
     """Touching instances told apart: mask, border, distance, markers and water in a row."""
     rows = cells(s, d).withColumns({"p": F.col("v") + 0.5, "b": F.abs("v") * 4})
     return T.separate_instances(rows, BY, AT, "p", "b", [0.25, 0.5, 0.25], 0.45, 0.6, 1, 3, tile=16)
+
+
+def outlines(s, d):
+    found = T.components(cells(s, d).where("v > 0.02"), BY, AT, tile=16).withColumn("label", F.col("component") + 1)
+    return C.rings(found, BY)
+
+
+@query(_C + "m as materialized (select image, y, x from c where v > 0.02), " + _REACH + """, b as (select image, component, y + a as cy, x + e as cx, count(*) as n, count(distinct (y + x) % 2) as kinds from k, unnest([0, 1]) as t(a), unnest([0, 1]) as u(e) group by all),
+q as (select image, component, sum(case when n in (1, 3) then 1 when n = 2 and kinds = 1 then 2 else 0 end) as corners from b group by all),
+l as (select k.image, k.component, sum(4 - (select count(*) from k o, s where o.image = k.image and o.component = k.component and o.y = k.y + dy and o.x = k.x + dx)) as length, count(*) as area, min(k.y) as least_y, max(k.y) + 1 as most_y, min(k.x) as least_x, max(k.x) + 1 as most_x from k group by 1, 2)
+select image, component, cast(area as double) as area, cast(length as bigint) as length, cast(corners as bigint) as corners, least_y, most_y, least_x, most_x from l join q using (image, component)""")
+def contour_measures(s, d):
+    """Area, length, corners and extent of the outlines of components, summed over an instance's rings."""
+    m = C.measures(outlines(s, d), BY)
+    out = m.groupBy("image", (F.col("label") - 1).alias("component")).agg(*[F.sum(c).alias(c) for c in ("area", "length", "corners")], *[f(f"{n}_{a}").alias(f"{n}_{a}") for n, f in (("least", F.min), ("most", F.max)) for a in AT])
+    return out
+
+
+_STAINS = """with p as (select vec_id // 50 as image, vec_id, i, [cast(floor(least(greatest(110 + 300 * cast(embedding[3 * i + k + 1] as double) + 60 * k, 0), 255)) as int) for k in range(3)] as v from embeddings, unnest(range(21)) as u(i)),
+o as (select image, vec_id, i, -ln(least(v[1] + 1.0::double, 240.0) / 240.0::double) as r, -ln(least(v[2] + 1.0::double, 240.0) / 240.0::double) as g, -ln(least(v[3] + 1.0::double, 240.0) / 240.0::double) as b from p), f as (select * from o where r > 0.15 and g > 0.15 and b > 0.15),
+m as (select image, covar_samp(r, r) as a, covar_samp(r, g) as b, covar_samp(r, b) as c, covar_samp(g, g) as d, covar_samp(g, b) as e, covar_samp(b, b) as f from f group by 1 having count(*) > 1),
+q as (select *, (a + d + f) / 3 as q, sqrt(((a - (a + d + f) / 3) ** 2 + (d - (a + d + f) / 3) ** 2 + (f - (a + d + f) / 3) ** 2 + 2 * (b * b + c * c + e * e)) / 6) as w from m),
+t as (select *, acos(greatest(-1, least(1, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * w * w * w)))) / 3 as t from q),
+l as (select *, q + 2 * w * cos(t) as l1, q + 2 * w * cos(t + 2 * pi() / 3) as l3 from t), l2 as (select *, unnest([l1, 3 * q - l1 - l3]) as lam, unnest([1, 2]) as nth from l),
+x as (select image, nth, b * e - c * (d - lam) as x, c * b - (a - lam) * e as y, (a - lam) * (d - lam) - b * b as z from l2),
+y as (select image, nth, case when x + y + z < 0 then -1 else 1 end / sqrt(x * x + y * y + z * z) as s, x, y, z from x),
+v as (select image, max(x * s) filter (nth = 1) as x1, max(y * s) filter (nth = 1) as y1, max(z * s) filter (nth = 1) as z1, max(x * s) filter (nth = 2) as x2, max(y * s) filter (nth = 2) as y2, max(z * s) filter (nth = 2) as z2 from y group by 1),
+h as (select image, atan2(r * x1 + g * y1 + b * z1, r * x2 + g * y2 + b * z2) as phi from f join v using (image)), n as (select image, quantile_cont(phi, 0.01) as lo, quantile_cont(phi, 0.99) as hi from h group by 1),
+z as (select image, [cos(lo) * x2 + sin(lo) * x1, cos(lo) * y2 + sin(lo) * y1, cos(lo) * z2 + sin(lo) * z1] as lo, [cos(hi) * x2 + sin(hi) * x1, cos(hi) * y2 + sin(hi) * y1, cos(hi) * z2 + sin(hi) * z1] as hi from n join v using (image)),
+st as materialized (select image, case when lo[1] > hi[1] then lo else hi end as h, case when lo[1] > hi[1] then hi else lo end as e from z) """
+
+
+def pixels(s, d):
+    value = lambda k: F.floor(F.least(F.greatest(110 + 300 * F.element_at("v", (3 * F.col("i") + k + 1).cast("int")) + 60 * k, F.lit(0.0)), F.lit(255.0))).cast("int")
+    x = vectors(s, d).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    return x.select(F.floor(F.col("vec_id") / 50).alias("image"), "vec_id", "i", *[value(k).alias(c) for k, c in enumerate("rgb")])
+
+
+@query(_STAINS + "select image, round(h[1], 5) as h_r, round(h[2], 5) as h_g, round(h[3], 5) as h_b, round(e[1], 5) as e_r, round(e[2], 5) as e_g, round(e[3], 5) as e_b from st")
+def stain_vectors(s, d):
+    """Directions of both stains of each image."""
+    x = ST.extract_stains(pixels(s, d), BY)
+    return x.select("image", *[F.round(c, 5).alias(c) for c in x.columns[1:]])
+
+
+@query(_STAINS + """, g as (select *, h[1] * h[1] + h[2] * h[2] + h[3] * h[3] as hh, e[1] * e[1] + e[2] * e[2] + e[3] * e[3] as ee, h[1] * e[1] + h[2] * e[2] + h[3] * e[3] as he from st),
+c as (select image, vec_id, i, (ee * (r * h[1] + g * h[2] + b * h[3]) - he * (r * e[1] + g * e[2] + b * e[3])) / (hh * ee - he * he) as ch, (hh * (r * e[1] + g * e[2] + b * e[3]) - he * (r * h[1] + g * h[2] + b * h[3])) / (hh * ee - he * he) as ce from o join g using (image)),
+u as (select image, quantile_cont(ch, 0.99) as th, quantile_cont(ce, 0.99) as te from c group by 1), w as (select vec_id, ch / (th / 1.9705) as h, ce / (te / 1.0308) as e from c join u using (image))
+select vec_id, round(sum(240 * exp(-(h * 0.5626 + e * 0.2159))), 3) as r, round(sum(240 * exp(-(h * 0.7201 + e * 0.8012))), 3) as g, round(sum(240 * exp(-(h * 0.4062 + e * 0.5581))), 3) as b from w group by 1""")
+def stain_normalized(s, d):
+    """Colours after normalisation, summed over the pixels of a row of an image."""
+    x = ST.normalize_stains(pixels(s, d), BY, whole=False)
+    return x.groupBy("vec_id").agg(*[F.round(F.sum(c), 3).alias(c) for c in "rgb"])
