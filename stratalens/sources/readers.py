@@ -107,10 +107,13 @@ TENSOR = "path string, name string, shape array<int>, data array<double>, error
 
 def read_arrays(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Arrays of files by suffix as rows (path, name, shape, data in row-major order, error); a file that can't be read is a row with null data and the reason, and the others are read."""
-    from stratalens.sources import formats  # noqa: F401  registers its readers
-
     r = spark.read.format("binaryFile")
-    files = (r.option("pathGlobFilter", glob) if glob else r).load(path).select("path", "content")
+    return decode_arrays((r.option("pathGlobFilter", glob) if glob else r).load(path))
+
+
+def decode_arrays(files: DataFrame) -> DataFrame:
+    """The arrays of rows (path, content), as ``read_arrays`` gives them."""
+    from stratalens.sources import formats  # noqa: F401  registers its readers
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -128,7 +131,7 @@ def read_arrays(spark: SparkSession, path: str, glob: str | None = None) -> Data
             kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "name", "shape", "data", "error"])
 
-    return files.mapInArrow(decode, TENSOR)
+    return files.select("path", "content").mapInArrow(decode, TENSOR)
 
 
 def cached(df: DataFrame, folder: str, steps: str) -> DataFrame:
