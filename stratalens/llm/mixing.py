@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import WORD, doc_rows
+from stratalens.llm.shared import WORD, doc_rows, materialise
 from stratalens.operators.ordered import positions
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hexadecimal digits of a key that name its range: 4096 ranges for each source.
 RANGE_DIGITS = 3
+#: Sources whose cuts (some 100 bytes each) are sent to all executors; more are joined by a shuffle.
+FEW_SOURCES = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -100,6 +102,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     sums = takes.groupBy("source", "key", "doc_id", "size").agg(F.sum("part").alias("part"), F.max("epochs").alias("epochs"))
     cuts = sums.groupBy("source").agg(F.max(F.when(F.col("part") > 0, F.struct(place.alias("at"), "part"))).alias("cut"), F.max("epochs").alias("epochs"))
     cuts = cuts.select(F.col("source").alias("__s"), F.col("cut.at").alias("__cut"), F.col("cut.part").alias("__left"), F.col("epochs").alias("__epochs"))
+    # A row for each source: by broadcast as long as they are few, so texts stay where they are; else by a join whose hot sources are split.
+    cuts = materialise(cuts, "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= FEW_SOURCES else cuts
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     rows = docs.withColumns({"__size": n_words(text), "__key": _key(seed, text)})
     rows = rows.join(cuts, source.eqNullSafe(F.col("__s"))).withColumn("__place", F.struct(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__size").alias("size")))
