@@ -127,9 +127,14 @@ def shapes():
     return [DT.anchor_shapes([n], [1.0, 0.5]) for n in (16, 32)]
 
 
-@query("with " + _ANCHORS + "select level, cast(place as bigint) as place, shape, xmin, ymin, xmax, ymax from n")
+@query(BOXES + ", " + _ANCHORS + ", e as (select image_id, max(xmax) as w, max(ymax) as h from b group by 1) select image_id, level, shape, count(*) as anchors, min(xmin) as xmin, min(ymin) as ymin, max(n.xmax) as xmax, max(n.ymax) as ymax from e join n on ax < w and ay < h group by 1, 2, 3")
 def anchor_grid(s, d):
-    return DT.anchors(s, GRIDS, STRIDES, shapes()).select("level", "place", "shape", *SIDES)
+    """The anchors whose middle lies within an image's boxes: a few hundred of the plan against every image."""
+    ends = boxes(s, d).groupBy("image_id").agg(F.max("xmax").alias("w"), F.max("ymax").alias("h"))
+    anchors = F.broadcast(DT.anchors(s, GRIDS, STRIDES, shapes()).select("level", "shape", *SIDES))
+    inside = ((F.col("xmin") + F.col("xmax")) / 2 < F.col("w")) & ((F.col("ymin") + F.col("ymax")) / 2 < F.col("h"))
+    sides = [f(c).alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))]
+    return ends.join(anchors, inside).groupBy("image_id", "level", "shape").agg(F.count("*").alias("anchors"), *sides)
 
 
 @query(BOXES + ", " + _ANCHORS + """, k as (select image_id, box_id, b.xmin, b.ymin, b.xmax, b.ymax, level, place, row_number() over (partition by image_id, box_id, level order by pow(ax - (b.xmin + b.xmax) / 2, 2) + pow(ay - (b.ymin + b.ymax) / 2, 2), place) r from b, (select distinct level, place, ax, ay from n)),

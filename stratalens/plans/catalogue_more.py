@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import tensors as X
+from stratalens.functions.nd import Nd
 from stratalens.operators import datasets as D
 from stratalens.plans.registry import query
 from stratalens.session import read_table as t
@@ -91,7 +92,7 @@ def _cells(df):
 
 @query(_GRID + _nine("cell", "sum(x) / 9"))
 def tensor_mean_filter(s, d):
-    return _cells(X.apply(_images(s, d), [X.mean_filter(3)], "vec_id"))
+    return _cells(_images(s, d).withColumn("data", Nd(F.col("data"), (8, 8)).mean_filter().data))
 
 
 @query("""with recursive e as (select vec_id, cast(i as int) as i, i // 8 as a, i % 8 as b from embeddings, unnest(range(64)) as u(i) where embedding[i + 1] > 0), n as (select x.vec_id, x.i, y.i as j from e x join e y on x.vec_id = y.vec_id and abs(x.a - y.a) + abs(x.b - y.b) = 1),

@@ -135,11 +135,15 @@ def decode_arrays(files: DataFrame) -> DataFrame:
 
 
 def cached(df: DataFrame, folder: str, steps: str) -> DataFrame:
-    """A table computed once: Parquet under a key made of the plan's inputs, schema and the name of the steps."""
+    """A table computed once: Parquet under a key made of the plan's input files (name, length and time of change of each), its schema and the name of the steps."""
     import hashlib
 
     spark = df.sparkSession
-    key = hashlib.md5(json.dumps([sorted(df.inputFiles()), df.schema.json(), steps]).encode()).hexdigest()
+    files, seen = sorted(df.inputFiles()), []
+    if files:  # listed by Spark; no content is read
+        listed = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+        seen = [str(x) for x in listed.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()]
+    key = hashlib.md5(json.dumps([files, seen, df.schema.json(), steps]).encode()).hexdigest()
     path = f"{folder.rstrip('/')}/{key}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")

@@ -42,6 +42,6 @@ def test_wavelets_are_convolutions(spark):
     got = df.select(FT.wavelets(F.col("v"), 50, widths).alias("c")).first().c
     for w, row in zip(widths, got, strict=True):
         bank = np.array(FT.mexican_hat(w))
-        assert np.sum(bank**2) == pytest.approx(1, abs=1e-2)
+        assert np.sum(bank**2) == pytest.approx(1, abs=2e-2)  # sampled
         full = np.convolve(x, bank)
         assert np.allclose(row, full[len(bank) // 2 :][:50])

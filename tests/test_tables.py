@@ -103,6 +103,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "csv")).first()[0] == "k1\t1.0\t2.0"
     one = readers.cached(spark.range(5), f"file://{tmp_path}/cache", "step")
     assert one.count() == 5 and readers.cached(spark.range(5), f"file://{tmp_path}/cache", "step").count() == 5
+    # An input that was written anew under the same names gives a new table.
+    (tmp_path / "in").mkdir()
+    read = lambda: spark.read.schema("x int").csv(f"file://{tmp_path}/in/a.csv")
+    (tmp_path / "in" / "a.csv").write_text("1\n")
+    assert readers.cached(read(), f"file://{tmp_path}/cache", "s").count() == 1
+    (tmp_path / "in" / "a.csv").write_text("1\n2\n")
+    assert readers.cached(read(), f"file://{tmp_path}/cache", "s").count() == 2 and readers.cached(read(), f"file://{tmp_path}/cache", "s").count() == 2
     spark.dataSource.register(readers.FrameSource)
     assert spark.read.format("frames").option("frames", 250).load().count() == 250
     names = spark.createDataFrame([("/d/img.nii.gz",)], "p string").select(sinks.file_name(F.col("p"), "seg")).first()[0]
