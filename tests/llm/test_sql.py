@@ -12,7 +12,8 @@ from tests.test_queries import plain
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_operator(spark, data, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     df = queries()[name](spark, data)
     rows, cols, r = df.collect(), sorted(df.columns), con.sql(SQL[name])
     assert sorted(r.columns) == cols
