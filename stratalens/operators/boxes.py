@@ -18,6 +18,8 @@ from stratalens.operators.ordered import running_sums
 from stratalens.storage import written
 
 EPS = 1.1920929e-07
+#: Groups of more boxes than this are worked one by one.
+SMALL = 32
 
 
 def _extent(axis: str, p: str = "") -> Column:
@@ -92,12 +94,12 @@ def centers_in_boxes(points: DataFrame, boxes: DataFrame, axes: str, tile: float
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlaps of boxes given as rows of lower then upper corners."""
-    d = a.shape[1] // 2
-    lo, hi = np.maximum(a[:, None, :d], b[None, :, :d]), np.minimum(a[:, None, d:], b[None, :, d:])
-    i = np.clip(hi - lo, 0, None).prod(axis=2)
-    size = lambda x: np.clip(x[:, d:] - x[:, :d], 0, None).prod(axis=1)
-    return i / (size(a)[:, None] + size(b)[None, :] - i + EPS)
+    """Overlaps of boxes given as rows of lower then upper corners; of many groups at a time if there are axes before the rows."""
+    d = a.shape[-1] // 2
+    lo, hi = np.maximum(a[..., :, None, :d], b[..., None, :, :d]), np.minimum(a[..., :, None, d:], b[..., None, :, d:])
+    i = np.clip(hi - lo, 0, None).prod(axis=-1)
+    size = lambda x: np.clip(x[..., d:] - x[..., :d], 0, None).prod(axis=-1)
+    return i / (size(a)[..., :, None] + size(b)[..., None, :] - i + EPS)
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float, most: int | None = None) -> np.ndarray:
@@ -110,6 +112,25 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float, most: int
     return np.array(kept, int)
 
 
+def suppress_groups(boxes: np.ndarray, scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float, most: int | None = None) -> np.ndarray:
+    """Positions that ``suppress`` keeps in each of many groups whose rows stand best first; small groups of one size go at a time."""
+    keep = np.zeros(len(boxes), bool)
+    alone = (sizes > SMALL) | (np.add.reduceat(np.isnan(scores), starts) > 0)
+    for a, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True):
+        keep[a + suppress(boxes[a : a + n], scores[a : a + n], threshold, most)] = True
+    for n in np.unique(sizes[~alone]).tolist():
+        at = starts[~alone & (sizes == n)][:, None] + np.arange(n)
+        alive = np.ones(at.shape, bool)
+        if n > 1:
+            apart = iou_matrix(boxes[at], boxes[at]) <= threshold
+            for i in range(n - 1):
+                alive[:, i + 1 :] &= apart[:, i, i + 1 :] | ~alive[:, i, None]
+        if most is not None:
+            alive &= np.cumsum(alive, axis=1) <= most
+        keep[at[alive]] = True
+    return np.flatnonzero(keep)
+
+
 def sorted_groups(it: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, group ends) of whole groups, many at a time, from batches in which the rows of a group stand together.
 
@@ -142,7 +163,7 @@ def _group_ends(table: pa.Table, by: Sequence[str]) -> np.ndarray:
     last = np.zeros(table.num_rows, bool)
     last[-1] = True
     for c in by:
-        _, code = np.unique(table.column(c).to_numpy(), return_inverse=True)
+        code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
         last[:-1] |= code[1:] != code[:-1]
     return np.flatnonzero(last) + 1
 
@@ -154,12 +175,9 @@ def nms(df: DataFrame, by: list[str], corners: list[str], score: str, key: str,
     def run(it):
         for table, ends in sorted_groups(it, by):
             boxes = np.stack([table.column(c).to_numpy() for c in corners], axis=1).astype(float)
-            scores = table.column(score).to_numpy()
-            keep, start = [], 0
-            for end in ends.tolist():
-                keep.append(start + suppress(boxes[start:end], scores[start:end], threshold, most) if end - start > 1 else np.array([start]))
-                start = end
-            yield from table.take(pa.array(np.concatenate(keep))).to_batches()
+            scores = table.column(score).to_numpy().astype(float)
+            starts = np.concatenate([[0], ends[:-1]])
+            yield from table.take(pa.array(suppress_groups(boxes, scores, starts, ends - starts, threshold, most))).to_batches()
 
     return rows.mapInArrow(run, df.schema)
 
