@@ -1,16 +1,18 @@
 """Box layouts, geometric transforms of boxes, box and mask conversion, regression codes, anchors and anchor matching.
 
 Boxes are columns xmin, ymin, [zmin,] xmax, ymax[, zmax]; ``axes`` is "xy" or "xyz". Transforms give a
-dictionary of columns for ``withColumns``. All of it stays in the JVM.
+dictionary of columns for ``withColumns``. All but the matching of anchors stays in the JVM.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions import draws
@@ -256,6 +258,44 @@ def anchors(spark: SparkSession, grids: Sequence[Sequence[int]], strides: Sequen
     return out
 
 
+def near_anchors(box: np.ndarray, of: np.ndarray, level: int, grid: Sequence[int], stride: Sequence[int], half: Sequence[Sequence[float]], candidates: int) -> tuple[np.ndarray, ...]:
+    """(row of ``box``, level, place, shape, iou, whether the place lies in the box) of the candidates on one level of each group (``of``, ascending) of boxes.
+
+    A place that comes r-th along one axis and s-th along the other has (r + 1)(s + 1) - 1 places before it, so few are looked at.
+    """
+    near, apart = [], []
+    for a in range(2):
+        mid = (box[:, a] + box[:, a + 2]) / 2
+        first = np.clip(np.floor(np.nan_to_num(mid / stride[a]) + 0.5), 0, grid[a] - 1).astype(np.int64)
+        at = first[:, None] + np.arange(-candidates, candidates + 1)
+        away = np.where((at >= 0) & (at < grid[a]), (at * float(stride[a]) - mid[:, None]) ** 2, np.inf)
+        order = np.argsort(away, axis=1, kind="stable")[:, :candidates]
+        near.append(np.take_along_axis(at, order, axis=1))
+        apart.append(np.take_along_axis(away, order, axis=1))
+    r, s = np.array([(r, s) for r in range(candidates) for s in range(candidates) if (r + 1) * (s + 1) <= candidates]).T
+    d = apart[0][:, r] + apart[1][:, s]
+    i, j = near[0][:, r], near[1][:, s]
+    row = np.repeat(np.arange(len(box)), len(r))
+    d, i, j = d.ravel(), i.ravel(), j.ravel()
+    ok = np.isfinite(d)
+    row, d, i, j = row[ok], d[ok], i[ok], j[ok]
+    place = i * grid[1] + j
+    order = np.lexsort((place, d, of[row]))
+    group = of[row[order]]
+    begins = np.flatnonzero(np.diff(group, prepend=-1))
+    rank = np.arange(len(group)) - np.repeat(begins, np.diff(begins, append=len(group)))
+    order = order[rank < candidates]
+    shape = np.tile(np.arange(len(half)), len(order))
+    row, place, mid = (np.repeat(x, len(half), axis=0) for x in (row[order], place[order], np.stack([i[order] * float(stride[0]), j[order] * float(stride[1])], axis=1)))
+    reach = np.asarray(half, float)[shape]
+    mine = box[row]
+    size = np.clip(mine[:, 2:] - mine[:, :2], 0, None).prod(axis=1)
+    common = np.clip(np.minimum(mine[:, 2:], mid + reach) - np.maximum(mine[:, :2], mid - reach), 0, None).prod(axis=1)
+    iou = common / (size + (2 * reach).prod(axis=1) - common + B.EPS)
+    inside = ((mid > mine[:, :2] + 0.01) & (mid < mine[:, 2:] - 0.01)).all(axis=1)
+    return row, np.full(len(row), level), place, shape, iou, inside
+
+
 def match_anchors(boxes: DataFrame, by: Sequence[str], key: str, grids: Sequence[Sequence[int]], strides: Sequence[Sequence[int]], halves: Sequence[Sequence[Sequence[float]]], candidates: int = 4, center_in_box: bool = True) -> DataFrame:
     """``by``, level, place, shape, ``key``, iou: the box that each positive anchor of an image is matched with, by adaptive selection of training samples (2-D).
 
@@ -263,31 +303,36 @@ def match_anchors(boxes: DataFrame, by: Sequence[str], key: str, grids: Sequence
     candidates; those whose overlap is at least the mean plus the deviation of the overlaps of all its
     candidates, and whose centre lies in the box, are positive. An anchor of several boxes goes to the one
     it overlaps most. Near places are found from the box's centre, so boxes never meet all anchors. Places
-    of equal distance come in row-major order.
+    of equal distance come in row-major order. Rows of one image and ``key`` share their candidates; boxes
+    without all four corners match nothing. Boxes move once, and then only positive anchors.
     """
-    parts = []
-    for level, (grid, stride, half) in enumerate(zip(grids, strides, halves, strict=True)):
-        x = boxes.withColumn("level", F.lit(level))
-        for a, n, name, st in zip("xy", grid, "ij", stride, strict=True):
-            mid = F.least(F.greatest(F.round(_center("", a) / float(st)), F.lit(0.0)), F.lit(float(n - 1))).cast("int")
-            x = x.withColumn(name, F.explode(F.sequence(F.greatest(mid - candidates, F.lit(0)), F.least(mid + candidates, F.lit(n - 1)))))
-        x = x.withColumn("ax", F.col("i") * float(stride[0])).withColumn("ay", F.col("j") * float(stride[1])).withColumn("place", (F.col("i") * grid[1] + F.col("j")).cast("long"))
-        d = (F.col("ax") - _center("", "x")) * (F.col("ax") - _center("", "x")) + (F.col("ay") - _center("", "y")) * (F.col("ay") - _center("", "y"))
-        near = Window.partitionBy(*by, key).orderBy(F.col("d"), "place")
-        x = x.withColumn("d", d).withColumn("r", F.row_number().over(near)).where(F.col("r") <= min(candidates, math.prod(grid)))
-        each = F.array(*[F.struct(F.lit(s).alias("shape"), F.lit(h[0]).alias("hx"), F.lit(h[1]).alias("hy")) for s, h in enumerate(half)])
-        parts.append(x.withColumn("s", F.explode(each)))
-    x = reduce(DataFrame.unionByName, parts)
-    for a in "xy":
-        x = x.withColumns({f"a_{a}min": F.col(f"a{a}") - F.col(f"s.h{a}"), f"a_{a}max": F.col(f"a{a}") + F.col(f"s.h{a}")})
-    x = x.withColumn("iou", B.box_iou("", "a_"))
-    of_box = Window.partitionBy(*by, key)
-    x = x.withColumn("least", F.avg("iou").over(of_box) + F.coalesce(F.stddev_samp("iou").over(of_box), F.lit(0.0))).where("iou >= least")
-    if center_in_box:
-        inside = reduce(Column.__and__, [(F.col(f"a{a}") > F.col(f"{a}min") + 0.01) & (F.col(f"a{a}") < F.col(f"{a}max") - 0.01) for a in "xy"])
-        x = x.where(inside)
+    sides = [corner(a, s) for s in ("min", "max") for a in "xy"]
+    rows = boxes.select(*by, key, *[c.cast("double").alias(f"__{i}") for i, c in enumerate(sides)]).dropna(subset=[f"__{i}" for i in range(4)])
+    rows = rows.repartition(*by, key).sortWithinPartitions(*by, key)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in B.sorted_groups(it, [*by, key]):
+            box = np.stack([table.column(f"__{i}").to_numpy() for i in range(4)], axis=1)
+            of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            found = [np.concatenate(x) for x in zip(*[near_anchors(box, of, level, grid, stride, half, candidates) for level, (grid, stride, half) in enumerate(zip(grids, strides, halves, strict=True))], strict=True)]
+            row, level, place, shape, iou, inside = found
+            group = of[row]
+            n = np.bincount(group, minlength=len(ends))
+            mean = np.bincount(group, iou, len(ends)) / np.maximum(n, 1)
+            least = mean + np.sqrt(np.bincount(group, (iou - mean[group]) ** 2, len(ends)) / np.maximum(n - 1, 1))
+            keep = iou >= least[group]
+            if center_in_box:
+                keep &= inside
+            taken = table.select([*by, key]).take(pa.array(row[keep])).combine_chunks()
+            made = {"level": pa.array(level[keep].astype(np.int32)), "place": pa.array(place[keep]), "shape": pa.array(shape[keep].astype(np.int32)), "iou": pa.array(iou[keep])}
+            for name, column in made.items():
+                taken = taken.append_column(name, column)
+            yield from taken.to_batches()
+
+    schema = rows.select(*by, key, F.lit(0).alias("level"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("shape"), F.lit(0.0).alias("iou")).schema
+    x = rows.mapInArrow(run, schema)
     best = F.max_by(F.struct(F.col(key), "iou"), F.struct("iou", -F.col(key))).alias("b")
-    return x.groupBy(*by, "level", "place", F.col("s.shape").alias("shape")).agg(best).select(*by, "level", "place", "shape", F.col(f"b.{key}").alias(key), F.col("b.iou").alias("iou"))
+    return x.groupBy(*by, "level", "place", "shape").agg(best).select(*by, "level", "place", "shape", F.col(f"b.{key}").alias(key), F.col("b.iou").alias("iou"))
 
 
 def points_of_boxes(axes: str = "xy") -> Column:

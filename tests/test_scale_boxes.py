@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 
 from stratalens.operators import boxes as B
+from stratalens.operators import detection as DT
+
+CORNERS = "xmin double, ymin double, xmax double, ymax double"
 
 
 def some_boxes(n, rng):
@@ -23,3 +26,32 @@ def test_groups_are_suppressed_together_as_one_by_one(most):
     scores[starts[3]] = np.nan
     want = sorted(a + k for a, n in zip(starts, sizes, strict=True) for k in B.suppress(boxes[a : a + n], scores[a : a + n], 0.2, most))
     assert B.suppress_groups(boxes, scores, starts, sizes, 0.2, most).tolist() == want
+
+
+def test_boxes_meet_their_anchors_without_a_row_for_each_place(spark):
+    rng = np.random.default_rng(7)
+    box = some_boxes(50, rng).round(1)
+    rows = [(i % 9, (i // 9) % 4 if i < 40 else i, *map(float, b)) for i, b in enumerate(box)] + [(1, None, *map(float, box[0])), (1, 77, None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, f"image_id int, box_id long, {CORNERS}")
+    halves = [[(8.0, 8.0), (11.0, 6.0)], [(16.0, 16.0)]]
+    got = DT.match_anchors(df, ["image_id"], "box_id", [[8, 12], [1, 6]], [[16, 16], [32, 32]], halves)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    want = {}
+    for image, key in {r[:2] for r in rows}:
+        mine = [np.array(r[2:]) for r in rows if r[:2] == (image, key) and None not in r[2:]]
+        found = []
+        for level, (n, m, st) in enumerate(((8, 12, 16.0), (1, 6, 32.0))):
+            each = sorted((((i * st - (b[0] + b[2]) / 2) ** 2 + (j * st - (b[1] + b[3]) / 2) ** 2, i * m + j, k) for k, b in enumerate(mine) for i in range(n) for j in range(m)))[:4]
+            for _, place, k in each:
+                x, y = place // m * st, place % m * st
+                for s, (hx, hy) in enumerate(halves[level]):
+                    iou = B.iou_matrix(mine[k][None], np.array([[x - hx, y - hy, x + hx, y + hy]]))[0, 0]
+                    inside = mine[k][0] + 0.01 < x < mine[k][2] - 0.01 and mine[k][1] + 0.01 < y < mine[k][3] - 0.01
+                    found.append((iou, level, place, s, inside))
+        ious = np.array([f[0] for f in found])
+        least = ious.mean() + ious.std(ddof=1) if len(found) else 0
+        for iou, level, place, s, inside in found:
+            at = (image, level, place, s)
+            if iou >= least and inside and (at not in want or want[at][1] < iou):
+                want[at] = (key, iou)
+    assert {(r.image_id, r.level, r.place, r["shape"]): (r.box_id, pytest.approx(r.iou)) for r in got.collect()} == want
