@@ -209,6 +209,30 @@ def match_boxes(pred: np.ndarray, score: np.ndarray, truth: np.ndarray, ious: tu
     return score[order], hits
 
 
+def match_groups(pred: np.ndarray, truth: np.ndarray, there: np.ndarray, ignored: np.ndarray, ious: Sequence[float]) -> np.ndarray:
+    """``match_boxes`` for many groups at a time, as (groups, ways to ignore, thresholds, predictions).
+
+    Predictions (groups, p, corners) stand best first; truths (groups, t, corners) are those of ``there``, ignored by ``ignored`` (groups, ways, t).
+    """
+    overlap = iou_matrix(pred, truth)
+    least = np.minimum(np.asarray(ious, float), 1 - 1e-10)[:, None]
+    groups, ways, last = len(pred), ignored.shape[1], truth.shape[1] - 1
+    free = np.repeat(np.repeat(there[:, None, None], ways, axis=1), len(least), axis=2)
+    counted = ~ignored[:, :, None]
+    hits = np.zeros((groups, ways, len(least), pred.shape[1]), np.int8)
+    for i in range(pred.shape[1]):
+        o = overlap[:, None, None, i]
+        open_ = free & (o >= least)
+        best = open_ & counted
+        has = best.any(axis=-1, keepdims=True)
+        took = open_.any(axis=-1)
+        who = last - np.where(np.where(has, best, open_), o, -1.0)[..., ::-1].argmax(axis=-1)
+        g, a, k = np.nonzero(took)
+        free[g, a, k, who[took]] = False
+        hits[..., i] = np.where(took, 2 - has[..., 0], 0)
+    return hits
+
+
 def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[float, ...] = (0.5,), recalls: int = 101, most: int = 100, recall_at: tuple[int, ...] = (), areas: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """label, iou, ap, ar, n_truth, and an ar_k for each k of ``recall_at`` (recall of the k best detections of an image): matching within (image, class), then precision envelopes over all images of a class; -1 without truths.
 
@@ -231,22 +255,32 @@ def coco_ap(pred: DataFrame, truth: DataFrame, corners: list[str], ious: tuple[f
             boxes = np.stack([table.column(c).to_numpy() for c in corners], axis=1)
             scores, sides, labels, ignored = (table.column(c).to_numpy() for c in ("score", "side", "label", "ignore"))
             size = np.prod(boxes[:, half:] - boxes[:, :half], axis=1)
-            out, start = [], 0
-            for end in ends.tolist():
-                cut = start + int((sides[start:end] == 0).sum())
-                top = min(end, cut + most)
-                if top > cut:
-                    each = []
-                    for lo, hi in limits:
-                        other = (size < lo) | (size > hi)
-                        hits = match_boxes(boxes[cut:top], scores[cut:top], boxes[start:cut], ious, most, ignored[start:cut] | other[start:cut])[1]
-                        each.append(np.where((hits == 0) & other[cut:top], 2, hits))
-                    out.append((np.full(top - cut, labels[start]), scores[cut:top], np.concatenate(each), np.arange(1, top - cut + 1)))
-                start = end
-            if out:
-                label, score, hits = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out], axis=1)
-                rank = np.concatenate([o[3] for o in out])
-                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(score), pa.array(rank, pa.int32()), pa.array(hits.T.tolist(), pa.list_(pa.int32()))], ["label", "score", "rank", "hits"])
+            starts = np.concatenate([[0], ends[:-1]])
+            sizes = ends - starts
+            truths = np.add.reduceat((sides == 0).astype(np.int64), starts)
+            found = np.minimum(sizes - truths, most)
+            other = np.stack([(size < lo) | (size > hi) for lo, hi in limits])
+            place = np.arange(len(size))
+            hits = np.zeros((len(place), len(limits), len(ious)), np.int8)
+            alone = (sizes > 2 * SMALL) | (np.add.reduceat(np.isnan(scores), starts) > 0)
+            for a, t, p in zip(starts[alone].tolist(), truths[alone].tolist(), found[alone].tolist(), strict=True):
+                cut = a + t
+                for w in range(len(limits) if p else 0):
+                    hits[cut : cut + p, w] = match_boxes(boxes[cut : cut + p], scores[cut : cut + p], boxes[a:cut], ious, most, ignored[a:cut] | other[w, a:cut])[1].T
+            for p in np.unique(found[~alone & (found > 0)]).tolist():
+                here = ~alone & (found == p)
+                n = truths[here]
+                at = starts[here][:, None] + np.arange(max(1, int(n.max())))
+                there = np.arange(at.shape[1]) < n[:, None]
+                at = np.where(there, at, 0)
+                mine = (starts[here] + n)[:, None] + np.arange(p)
+                hits[mine] = match_groups(boxes[mine], boxes[at], there, (ignored | other)[:, at].transpose(1, 0, 2), ious).transpose(0, 3, 1, 2)
+            rank = place - np.repeat(starts + truths, sizes) + 1
+            top = (rank > 0) & (rank <= most)
+            if top.any():
+                hits = np.where((hits == 0) & other.T[:, :, None], 2, hits)[top].reshape(int(top.sum()), -1)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(hits) + 1, dtype=np.int32) * hits.shape[1]), pa.array(hits.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(labels[top], pa.int32()), pa.array(scores[top]), pa.array(rank[top], pa.int32()), flat], ["label", "score", "rank", "hits"])
 
     hits = written(rows.mapInArrow(match, "label int, score double, rank int, hits array<int>"), "matches").select("label", "score", "rank", F.posexplode("hits").alias("k", "hit"))
     right, counts = (F.col("hit") == 1).cast("long"), (F.col("hit") < 2).cast("long")

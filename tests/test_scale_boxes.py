@@ -28,6 +28,21 @@ def test_groups_are_suppressed_together_as_one_by_one(most):
     assert B.suppress_groups(boxes, scores, starts, sizes, 0.2, most).tolist() == want
 
 
+def test_groups_are_matched_together_as_one_by_one():
+    rng = np.random.default_rng(6)
+    ious = (0.05, 0.3, 1.0)
+    pred = np.stack([some_boxes(7, rng) for _ in range(40)])
+    truth = np.stack([some_boxes(9, rng) for _ in range(40)])
+    truth[:, :3], truth[:, 5] = pred[:, 1:4], truth[:, 4]
+    there = np.arange(9) < rng.integers(0, 10, 40)[:, None]
+    ignored = rng.random((40, 2, 9)) < 0.3
+    got = B.match_groups(pred, truth, there, ignored, ious)
+    for g in range(40):
+        for w in range(2):
+            n = int(there[g].sum())
+            assert got[g, w].tolist() == B.match_boxes(pred[g], -np.arange(7.0), truth[g, :n], ious, ignore=ignored[g, w, :n])[1].tolist()
+
+
 def test_boxes_meet_their_anchors_without_a_row_for_each_place(spark):
     rng = np.random.default_rng(7)
     box = some_boxes(50, rng).round(1)
