@@ -187,6 +187,37 @@ def box_cells(df: DataFrame, axes: str = "xy") -> DataFrame:
     return df
 
 
+def masks_of_boxes(df: DataFrame, by: Sequence[str], axes: str = "xy") -> DataFrame:
+    """(by, cells, xmin, xmax, ...): the number of different cells (see ``box_cells``) inside the boxes of each group, and the box around them, its end exclusive.
+
+    Boxes move once. Cells meet 64 at a time, as the bits of a block of 8 x 8 or 4 x 4 x 4, so no cell is a row.
+    """
+    side = {1: 64, 2: 8, 3: 4}[len(axes)]
+    ends = {f"{a}{s}": corner(a, s).cast("int") for a in axes for s in ("min", "max")}
+    x = df.select(*by, *[c.alias(f"__{n}") for n, c in ends.items()])
+    x = x.where(reduce(Column.__and__, [F.col(f"__{a}max") > F.col(f"__{a}min") for a in axes])).repartition(*by)
+    for a in axes:
+        lo, hi = F.col(f"__{a}min"), F.col(f"__{a}max")
+        x = x.withColumn(f"__{a}", F.explode(F.sequence(F.floor(lo / side), F.floor((hi - 1) / side))))
+    mask = None
+    for k, a in enumerate(axes):
+        # The bits of a block whose coordinate lies from one number to before another, for all such pairs.
+        step = side ** (len(axes) - 1 - k)
+        table = [_signed(sum(1 << bit for bit in range(64) if lo <= bit // step % side < hi)) for lo in range(side) for hi in range(1, side + 1)]
+        base = F.col(f"__{a}") * side
+        lo, hi = F.greatest(F.col(f"__{a}min") - base, F.lit(0)), F.least(F.col(f"__{a}max") - base, F.lit(side))
+        bits = F.element_at(F.lit(table).cast("array<bigint>"), (lo * side + hi).cast("int"))
+        mask = bits if mask is None else mask.bitwiseAND(bits)
+    around = {f"{a}{s}": f(f"__{a}{s}").alias(f"__{a}{s}") for a in axes for s, f in (("min", F.min), ("max", F.max))}
+    blocks = x.groupBy(*by, *[f"__{a}" for a in axes]).agg(F.bit_or(mask).alias("__bits"), *around.values())
+    wide = [f(f"__{a}{s}").alias(f"{a}{s}") for a in axes for s, f in (("min", F.min), ("max", F.max))]
+    return blocks.groupBy(*by).agg(F.sum(F.bit_count("__bits").cast("long")).alias("cells"), *wide)
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def boxes_of_cells(cells: DataFrame, by: Sequence[str], label: str, axes: str = "xy") -> DataFrame:
     """The box around the cells of each group, its end exclusive, with the label of the first cell in row-major order."""
     ends = [x for a in axes for x in (F.min(a).alias(f"{a}min"), (F.max(a) + 1).alias(f"{a}max"))]

@@ -98,10 +98,8 @@ def box_random_rotate90(s, d):
 @query(BOXES + ", c as (select image_id, label, box_id, x, y from b, unnest(range(cast(floor(xmin) as int), cast(floor(xmax) as int))) as u(x), unnest(range(cast(floor(ymin) as int), cast(floor(ymax) as int))) as v(y)) select image_id, label, count(*) as cells, cast(min(x) as int) as xmin, cast(max(x) + 1 as int) as xmax, cast(min(y) as int) as ymin, cast(max(y) + 1 as int) as ymax from (select distinct image_id, label, x, y from c) group by 1, 2")
 def box_mask_box(s, d):
     """Masks of the boxes of a label, as cells, and the box around each mask."""
-    cells = DT.box_cells(boxes(s, d)).select("image_id", "label", "x", "y").distinct()
-    n = cells.groupBy("image_id", F.col("label").alias("l")).agg(F.count("*").alias("cells"))
-    b = DT.boxes_of_cells(cells.withColumn("l", F.col("label")), ["image_id", "l"], "label")
-    return b.join(n, ["image_id", "l"]).select("image_id", "label", "cells", *[F.col(c).cast("int").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+    x = DT.masks_of_boxes(boxes(s, d), ["image_id", "label"])
+    return x.select("image_id", "label", "cells", "xmin", "xmax", "ymin", "ymax")
 
 
 _CODE = BOXES + ", p as (select a.box_id, a.image_id, a.xmin, a.ymin, a.xmax, a.ymax, c.xmin x0, c.ymin y0, c.xmax x1, c.ymax y1 from b a join (select image_id, min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax from b group by 1) c using (image_id)) "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.operators import boxes as B
 from stratalens.operators import detection as DT
@@ -70,3 +71,16 @@ def test_boxes_meet_their_anchors_without_a_row_for_each_place(spark):
             if iou >= least and inside and (at not in want or want[at][1] < iou):
                 want[at] = (key, iou)
     assert {(r.image_id, r.level, r.place, r["shape"]): (r.box_id, pytest.approx(r.iou)) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("axes", ["xy", "xyz"])
+def test_masks_of_boxes_count_cells_without_a_row_for_each(spark, axes):
+    rng = np.random.default_rng(8)
+    low = rng.integers(-20, 20, (60, len(axes))) + rng.random((60, len(axes)))
+    both = np.concatenate([low, low + rng.random(low.shape) * 30 - 1], axis=1)
+    df = spark.createDataFrame([(i % 7 if i % 7 else None, *map(float, b)) for i, b in enumerate(both)], "g int, " + ", ".join(f"{a}{s} double" for s in ("min", "max") for a in axes))
+    ends = [f(a).alias(f"{a}{s}") for a in axes for s, f in (("min", F.min), ("max", lambda a: F.max(a) + 1))]
+    want = DT.box_cells(df, axes).select("g", *axes).distinct().groupBy("g").agg(F.count("*").alias("cells"), *ends)
+    got = DT.masks_of_boxes(df, ["g"], axes)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().toString().count("Exchange") == 1  # boxes move once
