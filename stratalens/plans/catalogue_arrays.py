@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,11 @@ def vectors(s, d):
     return t(s, d, "embeddings").select("vec_id", "label", A.as_doubles(F.col("embedding")).alias("v"))
 
 
+def single(x: float) -> float:
+    """A threshold in the precision of the stored values, 32 bits: SQL compares them so."""
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
 def patches(s, d):
     return PT.split(vectors(s, d), "v", 16, 0.5)
 

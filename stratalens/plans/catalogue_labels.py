@@ -11,7 +11,7 @@ from stratalens.operators import interactive as IA
 from stratalens.operators import lesions as L
 from stratalens.operators import profiling as P
 from stratalens.operators import records as R
-from stratalens.plans.catalogue_arrays import vectors
+from stratalens.plans.catalogue_arrays import single, vectors
 from stratalens.plans.catalogue_detection import unit_sql
 from stratalens.plans.registry import query
 from stratalens.session import read_table as t
@@ -26,7 +26,7 @@ _M = "with m as (select vec_id, s, cast(i // 8 as int) as a, cast(i % 8 as int)
 
 def masks(s, d):
     cut = lambda at: F.transform("v", lambda x: (x > at).cast("int"))
-    return vectors(s, d).select("vec_id", cut(-0.02).alias("p"), cut(0.03).alias("g"))
+    return vectors(s, d).select("vec_id", cut(single(-0.02)).alias("p"), cut(single(0.03)).alias("g"))
 
 
 @query(_M + """, d as (select x.vec_id, x.s, min(sqrt((x.a - y.a) * (x.a - y.a) + pow((x.b - y.b) * 1.5, 2))) as dist, min(greatest(abs(x.a - y.a), abs(x.b - y.b))) as chess, min(abs(x.a - y.a) + abs(x.b - y.b)) as taxi from e x join e y on x.vec_id = y.vec_id and x.s <> y.s group by x.vec_id, x.s, x.a, x.b),
@@ -66,14 +66,14 @@ _CLAMP = "select vec_id, cast(k as int) as k, cast(least(greatest(pos // 8, 2),
 @query(_IX + f", q as (select *, case when {unit_sql('key', '5side')} < case when len(fg) = 0 then 0.0 when len(bg) = 0 then 1.0 else 0.75 end then fg else bg end as use from k), p as (select vec_id, k, use[cast(floor({unit_sql('key', '5at')} * len(use)) as int) + 1] as pos from q) " + _CLAMP)
 def crop_centers(s, d):
     """Four crop centres of 8 x 8 arrays for crops of 5 x 3 cells (two and one on either side), three of four on foreground."""
-    fg, bg = PO.indices_of(F.transform("v", lambda x: x > 0.1), True), PO.indices_of(F.transform("v", lambda x: x > 0.1), False)
+    fg, bg = PO.indices_of(F.transform("v", lambda x: x > single(0.1)), True), PO.indices_of(F.transform("v", lambda x: x > single(0.1)), False)
     x = vectors(s, d).withColumn("c", PO.crop_centers(fg, bg, F.col("vec_id"), 4, 0.75, (5, 3), (8, 8), 5))
     return x.select("vec_id", F.posexplode("c").alias("k", "c")).select("vec_id", "k", F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
 
 
 @query(_IX.replace("0.1)", "0.2)") + f", q as (select *, case when {unit_sql('key', '6class')} * (case when len(bg) > 0 then 1.0 else 0 end + case when len(fg) > 0 then 2.0 else 0 end) < case when len(bg) > 0 then 1.0 else 0 end then bg else fg end as use from k), p as (select vec_id, k, use[cast(floor({unit_sql('key', '6at')} * len(use)) as int) + 1] as pos from q) " + _CLAMP)
 def crop_centers_by_class(s, d):
-    high = F.transform("v", lambda x: x > 0.2)
+    high = F.transform("v", lambda x: x > single(0.2))
     at = [PO.indices_of(high, False), PO.indices_of(high, True)]
     x = vectors(s, d).withColumn("c", PO.class_crop_centers(at, [1.0, 2.0], F.col("vec_id"), 4, (5, 3), (8, 8), 6))
     return x.select("vec_id", F.posexplode("c").alias("k", "c")).select("vec_id", "k", F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
@@ -81,7 +81,7 @@ def crop_centers_by_class(s, d):
 
 @query("with m as (select vec_id, i, cast(i // 8 as int) as a, cast(i % 8 as int) as b from embeddings, unnest(range(64)) as u(i) where embedding[i + 1] > 0.1) select vec_id, arg_min(a * 8 + b, (a, i)) as top, arg_min(a * 8 + b, (-a, i)) as bottom, arg_min(a * 8 + b, (b, i)) as first, arg_min(a * 8 + b, (-b, i)) as last from m group by 1")
 def extreme_points(s, d):
-    x = vectors(s, d).withColumn("p", PO.extreme_points(Nd(F.col("v"), (8, 8)), 0.1)).where("p is not null")
+    x = vectors(s, d).withColumn("p", PO.extreme_points(Nd(F.col("v"), (8, 8)), single(0.1))).where("p is not null")
     code = lambda k: F.col("p")[k][0] * 8 + F.col("p")[k][1]
     return x.select("vec_id", *[code(k).alias(n) for k, n in enumerate(("top", "bottom", "first", "last"))])
 
@@ -97,7 +97,7 @@ def guidance(s, d):
 @query("select vec_id, list_filter(range(4), lambda k: list_max(embedding[k * 16 + 1 : k * 16 + 16]) > 0.25)::varchar as slices, cast(len(list_filter(range(64), lambda i: embedding[i + 1] > 0.05 and not embedding[64 - i] > 0.05)) as int) as missed, cast(len(list_filter(range(64), lambda i: not embedding[i + 1] > 0.05 and embedding[64 - i] > 0.05)) as int) as wrong from embeddings")
 def label_discrepancy(s, d):
     """Slices of a 4 x 16 label with foreground, and what a prediction (the label reversed) misses and adds."""
-    miss, wrong = IA.discrepancy(F.col("v"), F.reverse("v"), 0.05)
+    miss, wrong = IA.discrepancy(F.col("v"), F.reverse("v"), single(0.05))
     text = F.concat(F.lit("["), F.array_join(F.transform(IA.valid_slices(Nd(F.col("v"), (4, 16)), 0.25), lambda k: k.cast("string")), ", "), F.lit("]"))
     add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     return vectors(s, d).select("vec_id", text.alias("slices"), add(miss).alias("missed"), add(wrong).alias("wrong"))
@@ -107,7 +107,7 @@ _L = "with l as (select vec_id, list_transform(embedding, lambda x: case when x
 
 
 def labels(s, d):
-    return vectors(s, d).select("vec_id", F.transform("v", lambda x: F.when(x > 0.15, 3).when(x > 0.05, 2).when(x > 0, 1).otherwise(0)).alias("l"))
+    return vectors(s, d).select("vec_id", F.transform("v", lambda x: F.when(x > single(0.15), 3).when(x > single(0.05), 2).when(x > 0, 1).otherwise(0)).alias("l"))
 
 
 @query(_L + f", s as (select vec_id, l, list_filter([1, 2, 3], lambda x: list_contains(l, x)) as there from l), p as (select *, there[cast(floor({unit_sql('vec_id', '7')} * len(there)) as int) + 1] as drawn from s) select vec_id, cast(list_sum(list_transform(l, lambda x: case x when 1 then 2 when 2 then 0 when 3 then 1 else 0 end)) as int) as relabelled, drawn, cast(len(list_filter(l, lambda x: x = drawn)) as int) as cells, cast(len(list_filter(l, lambda x: x = 2)) as int) as two, cast(len(list_filter(l, lambda x: x not in (0, 2))) as int) as others from p")
@@ -208,7 +208,7 @@ _P = "with recursive c as (select vec_id, cast(i as int) as i, i // 8 as a, i %
 @query(_P + "select vec_id, cast(n - 1 as int) as n, i as place, round(x, 5) as value from p join c using (vec_id, k) where n <= 6")
 def probability_peaks(s, d):
     """At most six peaks of a map of probabilities, boxes of 3 x 4 cells about each suppressed."""
-    x = vectors(s, d).select("vec_id", F.posexplode(Nd(F.col("v"), (8, 8)).peaks((3, 4), 0.1, 6)).alias("n", "p"))
+    x = vectors(s, d).select("vec_id", F.posexplode(Nd(F.col("v"), (8, 8)).peaks((3, 4), single(0.1), 6)).alias("n", "p"))
     return x.select("vec_id", "n", F.col("p.place").alias("place"), r5("p.value").alias("value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import complexes as C
 from stratalens.functions import signals as S
 from stratalens.functions.nd import Nd, split_dim, unravel_indices
-from stratalens.plans.catalogue_arrays import vectors
+from stratalens.plans.catalogue_arrays import single, vectors
 from stratalens.plans.catalogue_detection import unit_sql
 from stratalens.plans.registry import query
 
@@ -192,7 +192,7 @@ def signal_remove_frequency(s, d):
 @query("select vec_id, label, coalesce(list_sum(list_filter(range(64), lambda i: embedding[i + 1] <= -0.1)), 0)::bigint as low, coalesce(list_sum(list_filter(range(64), lambda i: embedding[i + 1] > -0.1 and embedding[i + 1] <= 0.1)), 0)::bigint as middle, coalesce(list_sum(list_filter(range(64), lambda i: embedding[i + 1] > 0.1)), 0)::bigint as high from embeddings")
 def classes_to_indices(s, d):
     """Positions of the cells of each of three classes; their sums."""
-    x = vectors(s, d).withColumn("c", F.transform("v", lambda x: F.when(x <= -0.1, 0).when(x <= 0.1, 1).otherwise(2)))
+    x = vectors(s, d).withColumn("c", F.transform("v", lambda x: F.when(x <= single(-0.1), 0).when(x <= single(0.1), 1).otherwise(2)))
     places = lambda k: F.filter(F.transform("c", lambda c, i: F.when(c == k, i)), lambda i: i.isNotNull())
     at = [places(k) for k in range(3)]
     add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
