@@ -3,7 +3,7 @@
 A length is split into its factors. Each factor is one pass over the array (self-sorting, so no cells
 are put back in order at the end), and a pass of factor r takes r products a cell: n times the sum of the
 factors in all, n log n for lengths of small factors. The roots of unity are one table, which the
-optimizer folds to a constant. Sizes are numbers of the plan.
+optimizer folds to a constant. Sizes are numbers of the plan. Wavelets are transformed batch by batch by numpy.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,15 +108,6 @@ def centered(a: Column, shape: Sequence[int], axes: Sequence[int] | None = None,
     return moved(fftn(moved(a, True), shape, axes, inverse), False)
 
 
-def _padded(a: Column, n: int) -> Column:
-    """A real array with zeros behind it, as complex numbers."""
-    return bind(a, lambda x: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.when(i < F.size(x), x[i]).otherwise(0.0).cast("double").alias("re"), F.lit(0.0).alias("im"))))
-
-
-def _product(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["re"] * y["re"] - x["im"] * y["im"]).alias("re"), (x["re"] * y["im"] + x["im"] * y["re"]).alias("im")))
-
-
 def mexican_hat(width: float) -> list[float]:
     """The wavelet at whole places out to eight widths, of unit energy."""
     reach = math.ceil(8 * width)
@@ -126,19 +118,32 @@ def mexican_hat(width: float) -> list[float]:
 def wavelets(signal: Column, n: int, widths: Sequence[float], wavelet=mexican_hat) -> Column:
     """The continuous wavelet transform of a real signal of n samples, zero beyond its ends: an array of coefficients for each width.
 
-    The signal is transformed once; each width is a product in frequency and one transform back.
+    A batch of signals is transformed at once; each width is a product in frequency and one transform back. No
+    signal has no coefficients, and a signal with an empty sample null ones.
     """
     banks = [wavelet(float(w)) for w in widths]
     size = n + max(len(b) for b in banks) - 1
     size = 1 << (size - 1).bit_length()
 
-    def rows(spectrum: Column) -> Column:
-        out = []
-        for b in banks:
-            known = np.fft.fft(b, size)  # a wavelet is a parameter of the plan
-            bank = F.zip_with(F.lit(known.real.tolist()), F.lit(known.imag.tolist()), lambda x, y: F.struct(x.alias("re"), y.alias("im")))
-            back = fft(_product(spectrum, bank), size, inverse=True, ortho=False)
-            out.append(F.transform(F.slice(back, len(b) // 2 + 1, n), lambda z: z["re"]))
-        return F.array(*out)
-
-    return bind(fft(_padded(signal, size), size, ortho=False), rows)
+    @F.arrow_udf("array<array<double>>")
+    def coefficients(signals: pa.Array) -> pa.Array:
+        lengths = np.diff(np.asarray(signals.offsets))
+        flat = signals.flatten()
+        lengths[np.asarray(signals.is_null())] = 0
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        inside = place < size
+        x = np.zeros((len(lengths), size))
+        x[row[inside], place[inside]] = flat.to_numpy(zero_copy_only=False).astype(float)[inside]
+        empty = np.zeros(len(lengths), bool)
+        empty[row[inside & np.asarray(flat.is_null())]] = True
+        spectrum = np.fft.rfft(x, axis=1)
+        out = np.empty((len(lengths), len(banks), n))
+        for k, b in enumerate(banks):
+            out[:, k] = np.fft.irfft(spectrum * np.fft.rfft(b, size), size, axis=1)[:, len(b) // 2 : len(b) // 2 + n]
+        values = pa.array(out.ravel(), mask=np.repeat(empty, len(banks) * n))
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) * len(banks) + 1, dtype=np.int32) * n), values)
+        ends = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * len(banks))
+        return pa.ListArray.from_arrays(ends, each, mask=signals.is_null())
+
+    return coefficients(signal)

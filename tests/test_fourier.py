@@ -45,3 +45,14 @@ def test_wavelets_are_convolutions(spark):
         assert np.sum(bank**2) == pytest.approx(1, abs=2e-2)  # sampled
         full = np.convolve(x, bank)
         assert np.allclose(row, full[len(bank) // 2 :][:50])
+
+
+def test_wavelets_of_short_absent_and_broken_signals(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [])]
+    df = spark.createDataFrame(rows, "id int, v array<double>").coalesce(1)
+    got = {r.id: r.c for r in df.select("id", FT.wavelets(F.col("v"), 8, (1.0, 2.5)).alias("c")).collect()}
+    for k, w in enumerate((1.0, 2.5)):
+        bank = np.array(FT.mexican_hat(w))
+        want = np.convolve([1.0, 2.0, 0, 0, 0, 0, 0, 0], bank)[len(bank) // 2 :][:8]
+        assert np.allclose(got[0][k], want) and got[2][k] == [None] * 8 and np.allclose(got[3][k], 0)
+    assert got[1] is None
