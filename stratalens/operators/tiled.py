@@ -33,6 +33,11 @@ def disk(radius: int, dims: int = 2) -> list[tuple[int, ...]]:
     return [o for o in product(range(-radius, radius + 1), repeat=dims) if sum(x * x for x in o) <= radius * radius]
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """The side of a join that is met where its rows are: written tables look small in their files, and to broadcast them every round sends them through the driver."""
+    return df.hint("merge")
+
+
 def _bits(dims: int) -> int:
     return 62 // dims
 
@@ -107,9 +112,9 @@ def linked(links: DataFrame, by: Sequence[str]) -> DataFrame:
             break
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
-        large = both.join(low, [*by, "u"]).where("v > u").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_met(low), [*by, "u"]).where("v > u").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(*by, "u", F.col("m").alias("v"))).distinct()
+        small = large.join(_met(low), [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(*by, "u", F.col("m").alias("v"))).distinct()
         before, seen = e, now
         e = written(small, "links")
         forget(before)
@@ -157,18 +162,18 @@ def components(cells: DataFrame, by: Sequence[str], at: Sequence[str], value: st
     border = labelled.where(edge)
     there = border.select(*by, *at, F.col("label").alias("b"), *[F.col(c).alias(f"__o_{c}") for c in kept])
     near = _moved(border.withColumnRenamed("label", "a"), by, at, half, "a", *kept)
-    near = near.join(there, [*by, *at])
+    near = near.join(_met(there), [*by, *at])
     if value:
         near = near.where(F.col(value).eqNullSafe(F.col(f"__o_{value}")))
     found = linked(near.select(*by, "a", "b"), by)
-    out = labelled.join(found.withColumnRenamed("node", "label"), [*by, "label"], "left")
+    out = labelled.join(_met(found.withColumnRenamed("node", "label")), [*by, "label"], "left")
     return out.select(*by, *at, *kept, F.coalesce("component", "label").alias("component"))
 
 
 def drop_small(labelled: DataFrame, by: Sequence[str], label: str, least: int) -> DataFrame:
     """Cells of components of at least so many cells."""
     sizes = labelled.groupBy(*by, label).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
-    return labelled.join(sizes, [*by, label], "left_semi")
+    return labelled.join(_met(sizes), [*by, label], "left_semi")
 
 
 def with_points(labelled: DataFrame, points: DataFrame, by: Sequence[str], at: Sequence[str], label: str = "component", positive: str | None = None) -> DataFrame:
@@ -316,17 +321,17 @@ def watershed(cells: DataFrame, by: Sequence[str], at: Sequence[str], height: st
             some = some.withColumn("halo", F.lit(None).cast("array<struct<p:bigint,level:double,n:bigint,label:bigint>>"))
         else:
             halo = around(borders, "p", "level", "n", "label").groupBy(*by, *tiles).agg(F.collect_list(F.struct("p", "level", "n", "label")).alias("halo"))  # a tile's surroundings
-            some = some.join(halo, [*by, *tiles], "left")
+            some = some.join(_met(halo), [*by, *tiles], "left")
         return some.mapInArrow(run(every_cell), schema)
 
     borders = written(flooded(packed, None, False), "borders")
     changed = borders
     while not changed.isEmpty():
         active = around(changed).distinct()
-        new = written(flooded(packed.join(active, [*by, *tiles], "left_semi"), borders, False), "borders")
+        new = written(flooded(packed.join(_met(active), [*by, *tiles], "left_semi"), borders, False), "borders")
         old, same = borders, [*by, *tiles, "p", "level", "n", "label"]
-        changed = new.join(old, same, "left_anti")
-        borders = written(old.join(active, [*by, *tiles], "left_anti").unionByName(new), "borders")
+        changed = new.join(_met(old), same, "left_anti")
+        borders = written(old.join(_met(active), [*by, *tiles], "left_anti").unionByName(new), "borders")
         changed = written(changed, "changed")
         forget(old, new)
     out = flooded(packed, borders, True)

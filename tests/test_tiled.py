@@ -156,3 +156,11 @@ def test_smoothing_and_touching_instances(spark):
     for p, v in got.items():
         want = sum(w[a] * w[b] * value[p[0] - a, p[1] - b] for a in w for b in w if 0 <= p[0] - a < 7 and 0 <= p[1] - b < 6)
         assert v == pytest.approx(want)
+
+
+def test_floods_and_components_send_no_table_through_the_driver(spark):
+    rows = [(0, y, x, float((y * 7 + x * 3) % 5), 1 if (y, x) == (0, 0) else 2 if (y, x) == (9, 9) else 0) for y in range(10) for x in range(10)]
+    df = spark.createDataFrame(rows, "image int, y long, x long, h double, m int")
+    for out in (T.watershed(df, ["image"], ["y", "x"], "h", "m", tile=4), T.components(df, ["image"], ["y", "x"], tile=4)):
+        assert out.count() == 100
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
