@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
-from stratalens.llm.shared import batches, doc_rows, forget, input_bytes, join_hot, materialise, mix, shingles, words
+from stratalens.llm.shared import batches, doc_rows, forget, freed, input_bytes, join_hot, materialise, mix, shingles, words
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 3
 #: Stored input that meets in a bucket of keys; members up to which all pairs of a star are listed; members of a block, and of a star that a task takes; elements of sets that are compared at a time.
@@ -272,7 +272,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
                         break
             yield _pair_rows(np.array([p[0] for p in out], np.int64), np.array([p[1] for p in out], np.int64))
 
-    return both.mapInArrow(test, "a long, b long")
+    return both.mapInArrow(lambda it: freed(test(it)), "a long, b long")
 
 
 def _cross_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +377,7 @@ def large_star_links(stars: DataFrame, sets: DataFrame, percent: int, parts: int
     sides = side(0, "block").unionByName(side(1, "block2").join(meet.where("block = block2").select("pair"), "pair", "left_anti").select("family", "block", "pair", "side"))
     rows = sides.join(docs, ["family", "block"]).join(sets, "doc").select("pair", "side", "doc", "comp", "set")
     rows = rows.repartition(parts, "pair").sortWithinPartitions("pair", "side")
-    found = materialise(rows.mapInArrow(lambda it: _block_links(it, percent), "a long, b long"), "family-links")
+    found = materialise(rows.mapInArrow(lambda it: freed(_block_links(it, percent)), "a long, b long"), "family-links")
     forget(shared, placed, meet, reach)
     return found
 
@@ -392,10 +392,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     parts = min(n_buckets, PARTS)
     dealt = lambda df: df.repartitionById(parts, F.col("part"))
     first = classes.select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, ["doc_id", "s1", "s2"]).select("doc_id", "bands")
-    sent = dealt(first.mapInArrow(lambda it: _keys(it, n_bands, n_buckets, parts), "part int, keys binary, docs binary"))
-    cut = sent.mapInArrow(lambda it: _split(it, n_buckets), "bucket int, keys binary, docs binary") if n_buckets > parts else sent.withColumnRenamed("part", "bucket")
-    starred = dealt(cut.sortWithinPartitions("bucket").mapInArrow(lambda it: _stars(it, parts), "part int, a binary, b binary"))
-    pairs = starred.mapInArrow(_unpack_pairs, "a long, b long").sortWithinPartitions("a", "b").mapInArrow(_first_of_equal, "a long, b long")
+    sent = dealt(first.mapInArrow(lambda it: freed(_keys(it, n_bands, n_buckets, parts)), "part int, keys binary, docs binary"))
+    cut = sent.mapInArrow(lambda it: freed(_split(it, n_buckets)), "bucket int, keys binary, docs binary") if n_buckets > parts else sent.withColumnRenamed("part", "bucket")
+    starred = dealt(cut.sortWithinPartitions("bucket").mapInArrow(lambda it: freed(_stars(it, parts)), "part int, a binary, b binary"))
+    pairs = starred.mapInArrow(lambda it: freed(_unpack_pairs(it)), "a long, b long").sortWithinPartitions("a", "b").mapInArrow(lambda it: freed(_first_of_equal(it)), "a long, b long")
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     # Merge joins spill, and move the same at every size.

@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import batches, doc_rows, input_bytes, materialise, mix, shingles, slices, spark_xxhash64, text_column, words
+from stratalens.llm.shared import batches, doc_rows, freed, input_bytes, materialise, mix, shingles, slices, spark_xxhash64, text_column, words
 
 WINDOW = 20
 #: Bytes of text that are parsed together, and of stored input that meet in a bucket and in a home.
 BLOCK_BYTES, BUCKET_BYTES, HOME_BYTES = 4 << 20, 4 << 20, 8 << 20
+#: Words of whole texts that are parsed together: what parsing needs on the way is some 150 bytes a word.
+PARSED_WORDS = 1 << 16
 #: Levels of symbols: words, then after naming runs, then after each of three rounds of pairs.
 LEVELS = 5
 NULL_ID = -(1 << 63)
@@ -157,6 +159,26 @@ def _least(s, e, lo, hi, sym, begin, n_words, level):
     return s, e, mix(sym[at] + _salt(level, _A)), begin[at]
 
 
+def _chunks(woff: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``PARSED_WORDS`` words; a longer text is a range of its own."""
+    return slices(woff, PARSED_WORDS)
+
+
+def parsed(h: np.ndarray, woff: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every window, number of windows of each core's range, the core's name), a few texts at a time."""
+    hashes = np.empty(int((np.diff(woff) - window + 1).sum()), np.uint64)
+    at, sizes, names = 0, [], []
+    for i, j in _chunks(woff):
+        part, off = h[woff[i] : woff[j]], woff[i : j + 1] - woff[i]
+        own, _ = shingles(part, off, window)
+        hashes[at : at + len(own)] = own
+        at += len(own)
+        s, e, name, _ = cores(part, off, window)
+        sizes.append((e - s).astype(np.int32))
+        names.append(name)
+    return hashes, np.concatenate(sizes), np.concatenate(names)
+
+
 def marked_words(starts: np.ndarray, counts: np.ndarray, n_words: int, window: int = WINDOW) -> np.ndarray:
     """Which words are covered by windows whose starts are given as runs (start, how many)."""
     delta = np.zeros(n_words + 1, np.int64)
@@ -249,26 +271,28 @@ def _block(ids: np.ndarray, ths: np.ndarray, h: np.ndarray, woff: np.ndarray, n_
         order = order[~same]
     if not len(order):
         return
-    take = np.repeat(woff[order] - np.concatenate([[0], np.cumsum(nw[order])[:-1]]), nw[order]) + np.arange(int(nw[order].sum()))
-    h, ids, ths = h[take], ids[order], ths[order]
+    h = np.concatenate([h[woff[i] : woff[i + 1]] for i in order.tolist()])
+    ids, ths = ids[order], ths[order]
     woff = np.concatenate([[0], np.cumsum(nw[order])])
     per_doc = np.diff(woff) - window + 1
     n = int(per_doc.sum())
-    hashes, _ = shingles(h, woff, window)
-    doc = np.repeat(np.arange(len(ids)), per_doc)
-    pos = np.arange(n) - np.repeat(np.concatenate([[0], np.cumsum(per_doc)[:-1]]), per_doc)
-    by = np.argsort(hashes, kind="stable")
+    hashes, size, name = parsed(h, woff, window)
+    del h
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), per_doc)
+    pos = np.arange(n, dtype=np.int32) - np.repeat(np.concatenate([[0], np.cumsum(per_doc)[:-1]]).astype(np.int32), per_doc)
+    by = np.argsort(hashes, kind="stable").astype(np.int32)
     later = np.zeros(n, bool)
     later[by[1:]] = hashes[by[1:]] == hashes[by[:-1]]
-    first = np.flatnonzero(~later)
+    del by
+    first = np.flatnonzero(~later).astype(np.int32)
     later[first] = known.later(hashes[first], ids[doc[first]], ths[doc[first]].astype(np.int64), pos[first])
+    del first
     if later.any():
         k = np.flatnonzero(later)
         found = _marks(doc[k], pos[k], ids, ths, homes)
         m = len(found[0])
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(found[0]) % n_buckets, pa.int32()), *found, *[pa.nulls(m, pa.binary())] * 5], list(COLUMNS))
-    s, e, name, _ = cores(h, woff, window)
-    core = np.repeat(np.arange(len(s)), e - s)
+    core = np.repeat(np.arange(len(size), dtype=np.int32), size)
     new = np.ones(n, bool)
     new[1:] = (core[1:] != core[:-1]) | (later[1:] != later[:-1])
     at = np.flatnonzero(new)
@@ -316,6 +340,7 @@ def _send(it: Iterator[pa.RecordBatch], n_buckets: int, homes: int, window: int)
 
     def flush():
         ids, ths, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         return _block(ids, ths, h, np.concatenate([[0], np.cumsum(n)]), n_buckets, homes, window, known)
 
     for rows, buf, off in batches(it, "text"):
@@ -324,7 +349,7 @@ def _send(it: Iterator[pa.RecordBatch], n_buckets: int, homes: int, window: int)
         size += len(buf)
         if size >= BLOCK_BYTES:
             yield from flush()
-            held, size = [], 0
+            size = 0
     if held:
         yield from flush()
 
@@ -453,14 +478,14 @@ def repeated_windows(docs: DataFrame, homes: int, window: int = WINDOW) -> DataF
     n = int(max(8, min(1 << 30, input_bytes(docs) // BUCKET_BYTES)))
     parts = min(n, 20_000)
     rows = doc_rows(docs).withColumn("th", text_hash())
-    sent = rows.mapInArrow(lambda it: _send(it, n, homes, window), SCHEMA)
+    sent = rows.mapInArrow(lambda it: freed(_send(it, n, homes, window)), SCHEMA)
     deal = lambda df: df.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
     held, level = HELD_BYTES, 0
-    met = materialise(deal(sent).mapInArrow(lambda it: _meet(it, homes, 0, held), SCHEMA), "marks")
+    met = materialise(deal(sent).mapInArrow(lambda it: freed(_meet(it, homes, 0, held)), SCHEMA), "marks")
     out, rest = met.where("names is null"), met.where("names is not null")
     while not rest.isEmpty():
         level += 1
-        met = materialise(deal(rest).mapInArrow(lambda it, level=level: _meet(it, homes, level, held), SCHEMA), "marks")
+        met = materialise(deal(rest).mapInArrow(lambda it, level=level: freed(_meet(it, homes, level, held)), SCHEMA), "marks")
         out, rest = out.unionByName(met.where("names is null")), met.where("names is not null")
     return out.select(*MARKS)
 
@@ -509,4 +534,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in keep)], ["doc_id", "n_words", "n_removed", last, *keep])
 
     extra = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string{extra}")
+    return both.mapInArrow(lambda it: freed(run(it)), f"doc_id long, n_words long, n_removed long, {last} string{extra}")

@@ -138,6 +138,12 @@ def release() -> None:
         pass
 
 
+def freed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task yields; when it ends, memory that it has freed goes back to the system."""
+    yield from it
+    release()
+
+
 def batches(it: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of slices of the batches of a partition."""
     for batch in it:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -255,3 +256,20 @@ def test_blocks_of_a_family_meet_only_where_they_share_a_rare_shingle(spark, mon
     (a, found, want), (b, again, other) = run(60), run(120)
     assert found == {want} and again == {other}
     assert b <= 2.6 * a and b < (120 / 4) ** 2 / 4
+
+
+def test_a_block_is_parsed_a_few_texts_at_a_time():
+    rng = np.random.default_rng(4)
+    n = np.full(700, 1000)
+    h = rng.integers(0, 1 << 63, int(n.sum()), dtype=np.uint64)
+    ids, woff = np.arange(len(n)), np.concatenate([[0], np.cumsum(n)])
+    tracemalloc.start()
+    try:
+        rows = list(RC._block(ids, ids, h, woff, 64, 8, RC.WINDOW, RC.Known()))
+        assert tracemalloc.get_traced_memory()[1] < 110 * len(h)  # bytes a word
+    finally:
+        tracemalloc.stop()
+    one = list(map(RC.cores, [h[a:b] for a, b in zip(woff[:3], woff[1:4], strict=True)], [np.array([0, 1000])] * 3))
+    hashes, size, name = RC.parsed(h[:3000], woff[:4], RC.WINDOW)
+    assert len(hashes) == size.sum() == 3 * 981 and (name == np.concatenate([x[2] for x in one])).all()
+    assert sum(sum(len(b) for b in r.column("hashes").to_pylist()) for r in rows) == 5 * 700 * 981
