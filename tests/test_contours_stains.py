@@ -67,3 +67,20 @@ def test_stains_of_a_known_mixture_come_back(spark):
     assert np.abs(np.array([a[i] for i in range(3000)]) - np.array([b[i] for i in range(3000)])).max() < 2.0
     whole = S.normalize_stains(df, ["im"], faint=0.02).where("im = 0").first()
     assert isinstance(whole.r, int) and 0 <= whole.r <= 255
+
+
+def test_rings_that_cross_tiles_are_those_of_one_tile(spark):
+    rng = np.random.default_rng(5)
+    im = np.where(rng.random((17, 19)) < 0.7, rng.integers(1, 3, (17, 19)), 0)
+    im[2:14, 3:15] = 5
+    im[6:9, 6:10] = 0
+    cells = spark.createDataFrame([(0, int(y), int(x), int(im[y, x])) for y, x in np.ndindex(im.shape)], "im int, y int, x int, label int")
+    whole, parts = (sorted(map(tuple, C.rings(cells, ["im"], tile=t).collect())) for t in (32, 5))
+    assert whole == parts and len(whole) > 500
+
+
+def test_edges_move_only_where_rings_cross_tiles(spark):
+    cells = spark.range(64 * 64).selectExpr("0 as im", "id div 64 as y", "id % 64 as x", "1L as label")
+    plan = C.rings(cells, ["im"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert C.measures(C.rings(cells, ["im"]), ["im"]).first().area == 4096.0
