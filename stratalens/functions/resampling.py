@@ -13,6 +13,9 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import product as every
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +123,140 @@ def gather(data: Column, shape: Column, m: Column, target: Column, dims: int, mo
     return bind(made, data, shape, m, target, *([displacement] if displacement is not None else []))
 
 
+def _of_rows(column: pa.Array, dims: int) -> np.ndarray:
+    """Arrays of a row as a row of numbers, NaN where there is none or a shorter one."""
+    out = np.full((len(column), dims), np.nan)
+    flat, off = np.asarray(column.flatten().cast(pa.float64())), np.asarray(column.value_lengths().fill_null(0)).cumsum()
+    for k in range(dims):
+        at = np.diff(off, prepend=0) > k
+        out[at, k] = flat[(off - np.diff(off, prepend=0))[at] + k]
+    return out
+
+
+def inverses(m: np.ndarray, dims: int) -> np.ndarray:
+    """``inverse`` of a matrix a row, by the same operations in the same order; NaN where there is none."""
+    at = lambda i, j: m[:, i * (dims + 1) + j]
+
+    def det(a):
+        if len(a) == 1:
+            return a[0][0]
+        return reduce(np.add, [(a[0][j] if j % 2 == 0 else -a[0][j]) * det([r[:j] + r[j + 1 :] for r in a[1:]]) for j in range(len(a))])
+
+    a = [[at(i, j) for j in range(dims)] for i in range(dims)]
+
+    def cofactor(i, j):
+        if dims == 1:
+            return np.ones(len(m))
+        minor = det([r[:j] + r[j + 1 :] for k, r in enumerate(a) if k != i])
+        return minor if (i + j) % 2 == 0 else -minor
+
+    d = det(a)
+    d = np.where(d == 0, np.nan, d)
+    v = [cofactor(j, i) / d for i in range(dims) for j in range(dims)]
+    rows = [[*v[i * dims : (i + 1) * dims], -reduce(np.add, [v[i * dims + j] * at(j, dims) for j in range(dims)])] for i in range(dims)]
+    return np.stack([x for r in rows for x in r], axis=1)
+
+
+def read_cells(cell: np.ndarray, row: np.ndarray, shape: np.ndarray, m: np.ndarray, size: np.ndarray, dims: int) -> np.ndarray:
+    """For cells of the rows' targets (``cell`` is a number in its row's target) the number of the nearest source cell in its row, -1 outside; the operations are those of ``gather``."""
+    own, rest = [], cell
+    n = size.astype(np.int64)
+    for k in reversed(range(dims)):
+        rest, x = np.divmod(rest, n[row, k])
+        own.append(x.astype(float))
+    own = own[::-1]
+    source, ok = np.zeros(len(cell)), np.ones(len(cell), bool)
+    for k in range(dims):
+        x = reduce(np.add, [m[row, k * (dims + 1) + j] * own[j] for j in range(dims)]) + m[row, k * (dims + 1) + dims]
+        x = np.floor(x + 0.5)
+        most = shape[row, k]
+        ok &= (x >= 0) & (x < most)
+        source = source * most + x
+    return np.where(ok, source, -1).astype(np.int64)
+
+
+def _lists(data: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(values, first of each row, how many)."""
+    n = np.asarray(data.value_lengths().fill_null(0)).astype(np.int64)
+    return data.flatten(), np.cumsum(n) - n, n
+
+
+def restored_rows(data: pa.Array, shape: pa.Array, matrices: pa.Array, before: pa.Array, dims: int, fill: float) -> pa.Array:
+    """Arrays taken back through the steps of their rows' traces (matrices and shapes before, one behind another), the last step first; a row without steps stays as it is."""
+    values, first, n = _lists(data)
+    absent = np.asarray(data.is_null())
+    now = _of_rows(shape, dims)
+    m_of, m_first, steps = _lists(matrices)
+    m_all = _of_rows(m_of, dims * (dims + 1))
+    b_of, b_first, _ = _lists(before)
+    b_all = _of_rows(b_of, dims)
+    # Each row's places are carried from its first array backwards, so values move once.
+    at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    for back in range(int(steps.max(initial=0))):
+        here = np.flatnonzero(steps > back)
+        step = steps[here] - 1 - back
+        m, target = inverses(m_all[m_first[here] + step], dims), b_all[b_first[here] + step]
+        size = np.nan_to_num(np.prod(target, axis=1)).astype(np.int64)
+        row = np.repeat(np.arange(len(here)), size)
+        cell = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        source = read_cells(cell, row, now[here], m, target, dims)
+        if (source >= n[here][row]).any() and not absent[here][row[source >= n[here][row]]].all():
+            raise ValueError("an array has fewer cells than its shape says")
+        begin = np.cumsum(n) - n
+        new_n = n.copy()
+        new_n[here] = size
+        new = np.empty(int(new_n.sum()), np.int64)
+        new_begin = np.cumsum(new_n) - new_n
+        stay = np.flatnonzero(steps <= back)
+        if len(stay):
+            k = np.arange(int(n[stay].sum())) - np.repeat(np.cumsum(n[stay]) - n[stay], n[stay])
+            new[np.repeat(new_begin[stay], n[stay]) + k] = at[np.repeat(begin[stay], n[stay]) + k]
+        # -1 is outside; -2 a cell of an array that is null.
+        got = np.full(len(source), -1)
+        inside = source >= 0
+        gone = inside & absent[here][row]
+        take = inside & ~gone
+        got[take] = at[(begin[here][row] + source)[take]]
+        got[gone] = -2
+        new[np.repeat(new_begin[here], size) + cell] = got
+        at, n = new, new_n
+        absent[here] = False
+        now[here] = target
+    made = values.cast(pa.float64()).take(pa.array(np.maximum(at, 0), mask=at < 0))
+    made = pc.if_else(pa.array(at == -1), pa.scalar(float(fill)), made)
+    off = np.append(np.cumsum(n) - n, n.sum()).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off, mask=np.append(absent, False)), made)
+
+
+def gathered_rows(data: pa.Array, shape: pa.Array, m: pa.Array, size: pa.Array, cells: pa.Array, dims: int, fill: float) -> pa.Array:
+    """The given cells of each row's target, as ``gather`` reads the nearest ones."""
+    values, first, n = _lists(data)
+    cell, _, many = _lists(cells)
+    row = np.repeat(np.arange(len(data)), many)
+    source = read_cells(np.asarray(cell).astype(np.int64), row, _of_rows(shape, dims), _of_rows(m, dims * (dims + 1)), np.nan_to_num(_of_rows(size, dims)), dims)
+    absent = np.asarray(data.is_null())
+    if ((source >= n[row]) & ~absent[row]).any():
+        raise ValueError("an array has fewer cells than its shape says")
+    made = values.cast(pa.float64()).take(pa.array(np.maximum(first[row] + source, 0), mask=(source < 0) | absent[row]))
+    made = pc.if_else(pa.array(source < 0), pa.scalar(float(fill)), made)
+    off = np.append(np.cumsum(many) - many, many.sum()).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off, mask=np.append(absent & (many == 0), False)), made)
+
+
+def gather_rows(data: Column, shape: Column, m: Column, target: Column, dims: int, fill: float = 0.0) -> Column:
+    """``gather`` of the nearest cells by numpy, for many rows at once."""
+    run = F.arrow_udf(lambda d, s, a, n, c: gathered_rows(d, s, a, n, c, dims, fill), "array<double>")
+    total = reduce(Column.__mul__, [target[k] for k in range(dims)])
+    cells = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))
+    return run(data.cast("array<double>"), shape.cast("array<int>"), m, target, cells)
+
+
+def restore(data: Column, shape: Column, matrices: Column, before: Column, dims: int, fill: float = 0.0) -> Column:
+    """``restored_rows`` as a column: nothing in a row but its own arrays is read, so batches are any rows."""
+    run = F.arrow_udf(lambda d, s, m, b: restored_rows(d, s, m, b, dims, fill), "array<double>")
+    return run(data.cast("array<double>"), shape.cast("array<int>"), matrices, before)
+
+
 def match_matrix(source_affine: Column, target_affine: Column, dims: int) -> Column:
     """From cells of a target grid to cells of a source, through the world that both affines (cell -> world) share."""
     return compose(inverse(source_affine, dims), target_affine, dims)

@@ -142,7 +142,7 @@ def apply(df: DataFrame, steps: Sequence[Step], key: Column | str, dims: int, da
     for name, made in steps:
         m, new = made(F.col(shape), dims, key)
         df = df.withColumns({"__m": m, "__n": new.cast("array<int>")})
-        df = df.withColumn(data, R.gather(F.col(data), F.col(shape), F.col("__m"), F.col("__n"), dims, fill=fill))
+        df = df.withColumn(data, R.gather_rows(F.col(data), F.col(shape), F.col("__m"), F.col("__n"), dims, fill))
         df = df.withColumn(trace, F.concat(trace, F.array(F.struct(F.lit(name).alias("step"), F.col("__m").alias("matrix"), F.col(shape).cast("array<int>").alias("before")))))
         df = df.withColumn(shape, F.col("__n")).drop("__m", "__n")
     return df
@@ -162,9 +162,8 @@ def apply_lazily(df: DataFrame, steps: Sequence[Step], key: Column | str, dims:
 
 def restored(data: Column, shape: Column, trace: Column, dims: int, fill: float = 0.0) -> Column:
     """(data, shape) as a struct before all steps of a trace."""
-    start = F.struct(data.alias("data"), shape.cast("array<int>").alias("shape"))
-    back = lambda s, t: F.struct(R.gather(s["data"], s["shape"], R.inverse(t["matrix"], dims), t["before"], dims, fill=fill).alias("data"), t["before"].alias("shape"))
-    return F.aggregate(F.reverse(trace), start, back)
+    made = R.restore(data, shape, F.transform(trace, lambda t: t["matrix"]), F.transform(trace, lambda t: t["before"]), dims, fill)
+    return F.struct(made.alias("data"), F.coalesce(F.get(trace, 0)["before"], shape.cast("array<int>")).alias("shape"))
 
 
 def invert(df: DataFrame, dims: int, data: str = "data", shape: str = "shape", trace: str = "trace", fill: float = 0.0) -> DataFrame:

@@ -100,3 +100,16 @@ def test_rotation_keeps_the_middle(spark):
     for mode in ("nearest", "linear"):
         turned = np.array(T.apply_lazily(df, [T.rotate(np.pi / 2, np.pi / 2 + 1e-12)], "k", 2, mode).first().data).reshape(5, 5)
         assert turned[2, 2] == pytest.approx(5) and sorted(turned.ravel())[-2:] == pytest.approx([1, 5]) and turned[0, 2] + turned[4, 2] == pytest.approx(1)
+
+
+def test_rows_gathered_together_are_those_of_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.random(12).tolist(), [3, 4], rng.normal(0, 1, 6).tolist(), [int(x) for x in rng.integers(0, 5, 2)]) for k in range(40)]
+    rows += [(40, None, [3, 4], rows[0][3], [2, 2]), (41, [1.0, None, 3.0, 4.0], [2, 2], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [3, 2]), (42, [], [0, 3], rows[0][3], [2, 1]), (43, [1.0] * 12, [3, 4], [0.0] * 6, [2, 2]), (44, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a array<double>, s array<int>, m array<double>, n array<int>").repartition(3)
+    args = [F.col(c) for c in "asmn"]
+    for r in df.select("k", R.gather(*args, 2, fill=7.0).alias("x"), R.gather_rows(*args, 2, 7.0).alias("y")).collect():
+        assert r.x == r.y, r.k
+    back = lambda c: R.gather(c, F.col("s"), R.inverse(F.col("m"), 2), F.col("n"), 2, fill=7.0)
+    for r in df.where("k <> 44").select("k", back(F.col("a")).alias("x"), R.restore(F.col("a"), F.col("s"), F.array("m"), F.array("n"), 2, 7.0).alias("y")).collect():
+        assert r.x == r.y, r.k
