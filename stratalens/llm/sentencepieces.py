@@ -33,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratalens.llm.shared import Memo, doc_rows, list_array
+from stratalens.llm.shared import Memo, doc_rows, freed, list_array
 
 MARK = "▁"
 MARKER = MARK.encode()
 #: Bytes of a worker's memo of words; it starts anew when full, and long words are never kept.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 32 << 20
 UNK_PENALTY = 10.0
 
 
@@ -321,7 +321,7 @@ def encode_decode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ())
 
     rows = doc_rows(docs, *(c for c in keep if c != "text"))
     extra = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    return rows.mapInArrow(run, f"doc_id long, ids array<int>, decoded string{extra}")
+    return rows.mapInArrow(lambda it: freed(run(it)), f"doc_id long, ids array<int>, decoded string{extra}")
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -352,4 +352,4 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
                     ["doc_id", "ids", "n_pieces", "n_byte_pieces", "decoded_sha256", "round_trip"],
                 )
 
-    return doc_rows(docs).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long, decoded_sha256 string, round_trip boolean")
+    return doc_rows(docs).mapInArrow(lambda it: freed(run(it)), "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long, decoded_sha256 string, round_trip boolean")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
+#: A task gives freed memory back after so many bytes of its rows.
+RELEASE_BYTES = 16 << 20
 
 _own: list[str] = []
 _folders: set[str] = set()
@@ -139,8 +141,14 @@ def release() -> None:
 
 
 def freed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task yields; when it ends, memory that it has freed goes back to the system."""
-    yield from it
+    """What a task yields; memory that it has freed goes back to the system when it ends and each time it has yielded RELEASE_BYTES."""
+    size = 0
+    for batch in it:
+        yield batch
+        size += batch.nbytes
+        if size >= RELEASE_BYTES:
+            batch, size = None, 0
+            release()
     release()
 
 

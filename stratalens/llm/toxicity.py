@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.shared import Memo, doc_rows, forget, materialise
+from stratalens.llm.shared import Memo, doc_rows, forget, freed, materialise
 
 SAMPLE = (4_000, 8_000)
 COVER, SPAN, THRESHOLD = 3, 6, 0.7
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     nt = sum(y == 1 for _, y in ids)
     nn = len(ids) - nt
     few = max(4, math.ceil(0.003 * nt))
-    counts = rows.mapInArrow(count, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lambda it: freed(count(it)), "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("n") + 0.5) / (nn + 1))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
     best = counts.where(F.col("t") >= few).withColumn("odds", odds).withColumn("sure", sure).where("sure > 1.5").collect()  # terms of a bounded sample
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
             x = [s.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    found = sorted(rows.mapInArrow(measure, "doc_id long, toxic int, x array<double>").collect())
+    found = sorted(rows.mapInArrow(lambda it: freed(measure(it)), "doc_id long, toxic int, x array<double>").collect())
     forget(rows)
     y = np.array([r.toxic for r in found], float)
     if not found or y.min() == y.max():
@@ -272,7 +272,7 @@ def _cover(rows: DataFrame, sure: dict[str, float], few: int) -> list[str]:
             x = [sorted(t for t in _terms(text or "") if t in sure) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.string()))], ["doc_id", "x"])
 
-    docs = {r.doc_id: set(r.x) for r in rows.where("toxic = 1").mapInArrow(which, "doc_id long, x array<string>").collect()}
+    docs = {r.doc_id: set(r.x) for r in rows.where("toxic = 1").mapInArrow(lambda it: freed(which(it)), "doc_id long, x array<string>").collect()}
     holds: dict[str, set[int]] = {}
     for i, x in docs.items():
         for t in x:
@@ -320,4 +320,4 @@ def score(docs: DataFrame, terms: dict[str, float], coefficients: list[float], t
     kinds = dict(docs.dtypes)
     extra = "".join(f", `{c}` {kinds[c]}" for c in keep)
     rows = doc_rows(docs, held_out(F.col("doc_id").cast("long")).alias("held_out"), *(c for c in keep if c != "text"))
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int{extra}")
+    return rows.mapInArrow(lambda it: freed(run(it)), f"doc_id long, held_out boolean, score double, predicted int{extra}")

@@ -30,11 +30,15 @@ def get_spark(app: str = "stratalens", master: str | None = None, **conf: str) -
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import the package wherever the driver was started; on a cluster ship it with --py-files.
 
-    Batches sent to Python are cut to 2,000 rows unless the session has a size of its own: rows here hold whole texts.
+    Batches sent to Python are cut to 2,000 rows and 2 MB unless the session has sizes of its own: rows here hold whole texts,
+    and a batch stands several times in the memory of an executor and its worker.
     """
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows, "10000") == "10000":
         spark.conf.set(rows, "2000")
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "2147483647") == "2147483647":
+        spark.conf.set(size, "2m")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -5,11 +5,13 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stratalens.llm import mixing, neardup, sentencepieces
 from stratalens.llm import shared as S
+from stratalens.session import importable
 
 
 def session(master: str):
@@ -69,3 +71,23 @@ def test_rows_without_ids_and_empty_tables(spark):
     many = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
     taken = mixing.mix(many, keep=("text",)).collect()
     assert sum(r.taken for r in taken) == 1800 and len({r.taken for r in taken}) == 2
+
+
+def test_batches_of_long_texts_are_cut_by_bytes(spark):
+    """A batch stands several times in the memory of an executor and its worker."""
+    docs = importable(spark).range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long text "), 1000).alias("text"))
+
+    def sizes(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 15_000_000 and max(found) < 3 << 20
+
+
+def test_a_task_gives_memory_back_before_it_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(S, "release", lambda: calls.append(1))
+    part = pa.RecordBatch.from_arrays([pa.array(["x" * (1 << 20)] * 6)], ["text"])
+    assert sum(b.num_rows for b in S.freed(iter([part] * 6))) == 36
+    assert len(calls) == 3
