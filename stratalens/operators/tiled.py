@@ -121,16 +121,20 @@ def linked(links: DataFrame, by: Sequence[str]) -> DataFrame:
     return e.select(*by, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(*by, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _placed(cells: DataFrame, by: Sequence[str], at: Sequence[str], *keep: str) -> DataFrame:
+    """Cells of whole coordinates; repeated ones are left to the tiles, where they meet anyway."""
+    return cells.dropna(subset=list(at)).select(*by, *[F.col(c).cast("long").alias(c) for c in at], *keep)
+
+
 def _clean(cells: DataFrame, by: Sequence[str], at: Sequence[str], *keep: str) -> DataFrame:
-    rows = cells.dropna(subset=list(at)).select(*by, *[F.col(c).cast("long").alias(c) for c in at], *keep)
-    return rows.dropDuplicates([*by, *at])
+    return _placed(cells, by, at, *keep).dropDuplicates([*by, *at])
 
 
 def components(cells: DataFrame, by: Sequence[str], at: Sequence[str], value: str | None = None, connectivity: int = 1, tile: int = TILE) -> DataFrame:
     """(by, at, [value], component): the place of the first cell, row by row, of each cell's component. With ``value`` only cells of one value belong together."""
     dims, steps = len(at), offsets(len(at), connectivity)
     kept = [value] if value else []
-    rows = _clean(cells, by, at, *kept)
+    rows = _placed(cells, by, at, *kept)
     if value:
         rows = rows.withColumn("__v", F.xxhash64(value))
     else:
@@ -143,6 +147,11 @@ def components(cells: DataFrame, by: Sequence[str], at: Sequence[str], value: st
         for batch in it:
             lists = batch.column("cells")
             flat, off = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            p = np.asarray(flat.field("p"))
+            first = np.ones(len(p), bool)  # of repeated cells, which stand side by side
+            first[1:] = p[1:] != p[:-1]
+            first[off[:-1]] = True
+            flat, off = flat.filter(pa.array(first)), np.concatenate([[0], np.cumsum(first)])[off]
             p, v = np.asarray(flat.field("p")), np.asarray(flat.field("__v"))
             out = np.zeros(len(p), np.int64)
             for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
@@ -204,31 +213,87 @@ def dilate(cells: DataFrame, by: Sequence[str], at: Sequence[str], steps: Sequen
     return _moved(_clean(cells, by, at), by, at, steps).distinct()
 
 
-def opened(cells: DataFrame, by: Sequence[str], at: Sequence[str], radius: int) -> DataFrame:
-    """Eroded and dilated by a ball."""
+def _windowed(cells: DataFrame, by: Sequence[str], at: Sequence[str], reach: int, tile: int, make, value: str | None = None) -> DataFrame:
+    """(by, at, [value]) of what ``make`` keeps of each tile's own cells. A cell moves once to its tile and to those that it lies within ``reach`` of;
+    ``make(there, own, values)`` gets dense boxes of a tile and its surroundings and returns (mask of kept cells, their values)."""
+    dims, side, tiles = len(at), tile + 2 * reach, [f"__t{k}" for k in range(len(at))]
+    box, inner = (side,) * dims, (slice(reach, reach + tile),) * dims
+    rows = cells
+    for c, t in zip(at, tiles, strict=True):
+        near = F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
+        rows = rows.withColumn(t, F.explode(near))
+    place = reduce(lambda acc, x: acc * side + x, [F.col(c) - F.col(t) * tile + reach for c, t in zip(at, tiles, strict=True)])
+    rows = rows.select(*by, *tiles, F.struct(place.cast("int").alias("p"), *([F.col(value).cast("double").alias("v")] if value else [])).alias("c"))
+    packed = rows.groupBy(*by, *tiles).agg(F.collect_list("c").alias("cells"))  # side^dims cells at most
+    kinds, keys = dict(packed.dtypes), [*by, *tiles]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                flat = batch.column("cells")[i].values
+                p = np.asarray(flat.field("p"))
+                there, own, values = np.zeros(box, bool), np.zeros(box, bool), None
+                there.reshape(-1)[p] = True
+                own[inner] = there[inner]
+                if value:
+                    values = np.zeros(box)
+                    known = flat.field("v")
+                    values.reshape(-1)[p] = np.asarray(known.fill_null(0.0))
+                    there.reshape(-1)[p] = np.asarray(known.is_valid())
+                if not own.any():
+                    continue
+                keep, made = make(there, own, values)
+                found = np.argwhere(keep)
+                first = [batch.column(t)[i].as_py() * tile - reach for t in tiles]
+                cols = [pa.array([batch.column(c)[i].as_py()] * len(found), batch.schema.field(c).type) for c in by]
+                cols += [pa.array(found[:, k] + first[k], pa.int64()) for k in range(dims)]
+                yield pa.RecordBatch.from_arrays([*cols, *([made] if value else [])], [*by, *at, *([value] if value else [])])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"`{c}` long" for c in at), *([f"`{value}` double"] if value else [])])
+    return packed.select(*keys, "cells").mapInArrow(run, schema)
+
+
+def _shifted(box: np.ndarray, o: Sequence[int]) -> np.ndarray:
+    """The box whose cell p is the cell p + o of ``box``, empty beyond its ends."""
+    out = np.zeros_like(box)
+    if all(abs(x) < n for x, n in zip(o, box.shape, strict=True)):
+        out[tuple(slice(max(0, -x), n - max(0, x)) for x, n in zip(o, box.shape, strict=True))] = box[tuple(slice(max(0, x), n - max(0, -x)) for x, n in zip(o, box.shape, strict=True))]
+    return out
+
+
+def opened(cells: DataFrame, by: Sequence[str], at: Sequence[str], radius: int, tile: int = TILE) -> DataFrame:
+    """Eroded and dilated by a ball. Only cells of the input can be left, so each tile settles its own."""
     ball = disk(radius, len(at))
-    return dilate(erode(cells, by, at, ball), by, at, ball)
+
+    def make(there: np.ndarray, own: np.ndarray, values: None) -> tuple[np.ndarray, None]:
+        whole = np.logical_and.reduce([_shifted(there, o) for o in ball])
+        return np.logical_or.reduce([_shifted(whole, o) for o in ball]) & own, None
+
+    return _windowed(_placed(cells, by, at), list(by), at, 2 * radius, tile, make)
 
 
 def fill_holes(cells: DataFrame, grid: DataFrame, by: Sequence[str], at: Sequence[str], connectivity: int = 1, tile: int = TILE) -> DataFrame:
     """The cells and the holes in them: components of the rest of the grid that don't touch the grid's ends."""
     cells, grid = _clean(cells, by, at), _clean(grid, by, at)
-    rest = components(grid.join(cells, [*by, *at], "left_anti"), by, at, connectivity=connectivity, tile=tile)
+    rest = written(components(grid.join(_met(cells), [*by, *at], "left_anti"), by, at, connectivity=connectivity, tile=tile), "rest")
     ends = grid.groupBy(*by).agg(*[f(c).alias(f"__{n}_{c}") for c in at for n, f in (("lo", F.min), ("hi", F.max))])
     touch = reduce(Column.__or__, [(F.col(c) == F.col(f"__lo_{c}")) | (F.col(c) == F.col(f"__hi_{c}")) for c in at])
     open_ = rest.join(ends, list(by)).where(touch).select(*by, "component").distinct()
     return cells.unionByName(rest.join(open_, [*by, "component"], "left_anti").select(*by, *at))
 
 
-def smooth(cells: DataFrame, by: Sequence[str], at: Sequence[str], value: str, weights: Sequence[float]) -> DataFrame:
-    """Values weighted over neighbours, axis by axis, zero where there is no cell; the cells stay the same."""
-    out, r = _clean(cells, by, at, value), len(weights) // 2
-    here = out.select(*by, *at)
-    for k, c in enumerate(at):
-        taps = F.array(*[F.struct(F.lit(j - r).alias("d"), F.lit(float(w)).alias("w")) for j, w in enumerate(weights)])
-        moved = out.withColumn("__s", F.explode(taps)).select(*by, *[(F.col(a) + F.col("__s.d")).alias(a) if a == c else F.col(a) for a in at], (F.col(value) * F.col("__s.w")).alias(value))
-        out = moved.groupBy(*by, *at).agg(F.sum(value).alias(value))
-    return here.join(out, [*by, *at])
+def smooth(cells: DataFrame, by: Sequence[str], at: Sequence[str], value: str, weights: Sequence[float], tile: int = TILE) -> DataFrame:
+    """Values weighted over neighbours, axis by axis, zero where there is no cell; the cells stay the same. Null values count as none; among nulls alone a cell stays null."""
+    r, dims = len(weights) // 2, len(at)
+
+    def make(there: np.ndarray, own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        for k in range(dims):
+            to = [[-(j - r) if a == k else 0 for a in range(dims)] for j in range(len(weights))]
+            values = sum(_shifted(values, o) * float(w) for o, w in zip(to, weights, strict=True))
+            there = np.logical_or.reduce([_shifted(there, o) for o in to])
+        return own, pa.array(values[own], pa.float64(), mask=~there[own])
+
+    return _windowed(_placed(cells, by, at, value), list(by), at, max(r, len(weights) - 1 - r), tile, make, value)
 
 
 def flood(places: np.ndarray, height: np.ndarray, marker: np.ndarray, dims: int, steps: Sequence[tuple[int, ...]], halo: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,11 +416,13 @@ def separate_instances(cells: DataFrame, by: Sequence[str], at: Sequence[str], p
     """(by, at, label): touching instances told apart. The mask is where ``probability`` passes its threshold, without small components; the
     height is one less the border map, smoothed and inverted; markers are what is certain to be inside, holes filled, opened, without small ones; water does the rest."""
     cells = written(_clean(cells, by, at, probability, border), "instances")
-    mask = drop_small(components(cells.where(F.col(probability) > threshold), by, at, tile=tile), by, "component", least).select(*by, *at)
-    mask = written(mask.join(cells, [*by, *at]).select(*by, *at, F.col(border).alias("__b")), "mask")
+    found = written(components(cells.where(F.col(probability) > threshold), by, at, tile=tile), "found")
+    mask = drop_small(found, by, "component", least).select(*by, *at)
+    mask = written(mask.join(_met(cells), [*by, *at]).select(*by, *at, F.col(border).alias("__b")), "mask")
     sure = fill_holes(mask.where(F.col("__b") < border_threshold), cells, by, at, tile=tile)
-    marks = drop_small(components(opened(sure, by, at, radius), by, at, tile=tile), by, "component", least)
-    flat = cells.select(*by, *at).join(mask, [*by, *at], "left").withColumn("__d", F.coalesce(1 - F.col("__b"), F.lit(0.0)))
-    heights = smooth(flat, by, at, "__d", weights).withColumn("__d", -F.col("__d"))
-    rows = mask.join(heights, [*by, *at]).join(marks.select(*by, *at, (F.col("component") + 1).alias("__m")), [*by, *at], "left")
+    marks = written(components(opened(sure, by, at, radius, tile), by, at, tile=tile), "marks")
+    marks = drop_small(marks, by, "component", least)
+    # Cells outside the mask have no height, as places without a cell.
+    heights = smooth(mask.withColumn("__d", F.coalesce(1 - F.col("__b"), F.lit(0.0))), by, at, "__d", weights, tile).withColumn("__d", -F.col("__d"))
+    rows = heights.join(_met(marks.select(*by, *at, (F.col("component") + 1).alias("__m"))), [*by, *at], "left")
     return watershed(rows, by, at, "__d", "__m", tile=tile)

@@ -164,3 +164,26 @@ def test_floods_and_components_send_no_table_through_the_driver(spark):
     for out in (T.watershed(df, ["image"], ["y", "x"], "h", "m", tile=4), T.components(df, ["image"], ["y", "x"], tile=4)):
         assert out.count() == 100
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_opening_and_smoothing_move_each_cell_once(spark):
+    """One shuffle, to tiles that take what surrounds them along; repeated cells and nulls as before."""
+    rng = np.random.default_rng(9)
+    im, value = rng.random((13, 11)) < 0.8, rng.random((13, 11))
+    cells = table(spark, {0: im}, {0: value})
+    cells = cells.unionByName(cells.limit(5)).unionByName(spark.createDataFrame([(0, None, 1, 1.0), (1, 2, 2, None)], cells.schema))
+    ball = T.disk(1)
+    inside = lambda y, x: 0 <= y < 13 and 0 <= x < 11 and im[y, x]
+    eroded = [(y, x) for y in range(13) for x in range(11) if all(inside(y + a, x + b) for a, b in ball)]
+    opened = T.opened(cells, ["im"], ["y", "x"], 1, tile=4)
+    assert sorted((r.y, r.x) for r in opened.collect()) == sorted({(y + a, x + b) for y, x in eroded for a, b in ball})
+    smooth = T.smooth(cells, ["im"], ["y", "x"], "e0", [0.2, 0.5, 0.3], tile=3)
+    got = {(r.im, r.y, r.x): r.e0 for r in smooth.collect()}
+    w = {-1: 0.2, 0: 0.5, 1: 0.3}
+    want = {(0, *map(int, p)): sum(w[a] * w[b] * value[p[0] - a, p[1] - b] for a in w for b in w if inside(p[0] - a, p[1] - b)) for p in np.argwhere(im)}
+    assert got.pop((1, 2, 2)) is None and got == pytest.approx(want)
+    for out in (opened, smooth):
+        assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+        out = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert out.count("Exchange hashpartitioning") == 1
+    assert sum(r.n for r in T.components(cells, ["im"], ["y", "x"], tile=4).groupBy("im", "y", "x").agg(F.count("*").alias("n")).collect()) == im.sum() + 1
