@@ -7,8 +7,9 @@ character that no piece covers costs the lowest score less ten and is written as
 markers back into spaces and drops the one in front.
 
 No piece holds a marker behind another character, so the best path of a text is the best paths of
-its marker-led words one after the other, and each worker keeps those of words it has met. If a
-vocabulary breaks this rule, whole texts are one word each and nothing else changes.
+its marker-led words one after the other, and each worker keeps those of words it has met. Words new
+to it are walked through the trie and scored by numpy, all those of a slice of texts side by side; words
+of more than 64 characters one by one. If a vocabulary breaks this rule, whole texts are one word each and nothing else changes.
 
 Scores are added in 64 bits, word by word, so the path is the best one but for rounding in the sixteenth
 digit. Of paths of equal score the one whose last piece is longest wins, then the last but one, and so on
@@ -28,17 +29,20 @@ import hashlib
 import math
 from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratalens.llm.shared import Memo, doc_rows, freed, list_array
+from stratalens.llm.shared import Memo, batches, doc_rows, freed, list_array
 
 MARK = "▁"
 MARKER = MARK.encode()
 #: Bytes of a worker's memo of words; it starts anew when full, and long words are never kept.
 MEMO_BYTES = 32 << 20
+#: Words that are looked up in the memo at once, and bytes of new ones that are encoded side by side.
+RUN_WORDS, RUN_BYTES = 1 << 17, 1 << 18
 UNK_PENALTY = 10.0
 
 
@@ -171,6 +175,10 @@ class Unigram:
         self.is_byte = np.zeros(len(self.pieces), bool)
         self.is_byte[byte_ids] = True
         self.silent = {i for i, t in enumerate(self.types) if t == self.CONTROL}
+        self._base, self._check, self._value = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self._score_of = np.array([*self.score_of, self.unk_score])  # the last key stands for a character that no piece covers
+        self._id_of_key = np.array([*self.ids, self.unk], np.int32)
+        self._id_of_byte = np.array([self.id_of_byte[b] for b in range(256)], np.int32) if self.id_of_byte else None
         self._memo = Memo(lambda word: array("i", self.path(word)).tobytes(), MEMO_BYTES)
 
     def path(self, word: str) -> list[int]:
@@ -221,12 +229,84 @@ class Unigram:
             n = i
         return out[::-1]
 
+    def paths(self, words: list[str]) -> Iterator[bytes]:
+        """What ``path`` gives for each word, as bytes of 32-bit ids."""
+        some, size = [], 0
+        for word in words:
+            some.append(word.encode())
+            size += len(some[-1])
+            if size >= RUN_BYTES:
+                yield from self._side_by_side(some)
+                some, size = [], 0
+        if some:
+            yield from self._side_by_side(some)
+
+    def _side_by_side(self, words: list[bytes]) -> list[bytes]:
+        """``path`` of all words at once: the same sums in the same order, so the same ties.
+
+        The words stand in one buffer, each with a byte behind it that is in no piece. A node of the search
+        is a place in the buffer; an edge is a piece from one place to another of the same word.
+        """
+        buf = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate([[0], np.cumsum(length + 1)])
+        within = (np.arange(len(buf)) - np.repeat(first[:-1], length + 1)).astype(np.int32)
+        width = (1 + (buf >= 0xC0) + (buf >= 0xE0) + (buf >= 0xF0)).astype(np.int32)
+        begin = np.flatnonzero((buf & 0xC0 != 0x80) & (buf != 0xFF)).astype(np.int32)
+        covered = np.zeros(len(buf), bool)
+        edges, at, state, depth = [], begin, np.zeros(len(begin), np.int32), 0
+        while len(at):
+            child = self._base[state] + buf[at + depth] + np.int32(1)
+            on = self._check[child] == state
+            at, state, depth = at[on], child[on], depth + 1
+            key = self._value[state]
+            hit = key >= 0
+            start = at[hit]
+            edges.append((start, start + np.int32(depth), key[hit]))
+            covered[start[width[start] == depth]] = True
+        bare = begin[~covered[begin]]
+        edges.append((bare, bare + width[bare], np.full(len(bare), len(self.ids), np.int32)))
+        start, end, key = (np.concatenate(x) for x in zip(*edges, strict=True))
+        place = within[start]
+        order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+        start, end, key = start[order], end[order], key[order]
+        best, via = np.full(len(buf), -math.inf), np.zeros(len(buf), np.int32)
+        best[first[:-1]] = 0.0
+        for lo, hi in pairwise(np.concatenate([[0], np.cumsum(np.bincount(place))])):  # edges from one place of a word end at different ones
+            to = end[lo:hi]
+            score = best[start[lo:hi]] + self._score_of[key[lo:hi]]
+            better = np.flatnonzero(score > best[to])
+            best[to[better]] = score[better]
+            via[to[better]] = lo + better
+        passed, node, origin = np.zeros(len(buf), bool), first[1:] - 1, first[:-1]
+        while len(node):
+            on = node > origin
+            node, origin = node[on], origin[on]
+            passed[node] = True
+            node = start[via[node]]
+        node = np.flatnonzero(passed)
+        last = via[node]
+        unknown = key[last] == len(self.ids)
+        if self._id_of_byte is None:  # unknown characters in a row are one
+            count = np.ones(len(node), np.int64)
+            count[:-1][unknown[:-1] & unknown[1:] & (start[last[1:]] == node[:-1])] = 0
+        else:
+            count = np.where(unknown, end[last] - start[last], 1)
+        ids = np.repeat(self._id_of_key[key[last]], count)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        if self._id_of_byte is not None and unknown.any():
+            which = np.flatnonzero(np.repeat(unknown, count))
+            of = np.repeat(np.arange(len(node)), count)[which]
+            ids[which] = self._id_of_byte[buf[start[last[of]] + which - upto[of]]]
+        out = ids.tobytes()
+        return [out[a:b] for a, b in pairwise((4 * upto[np.searchsorted(node, first)]).tolist())]
+
     def words(self, text: str) -> list[str]:
         """Normalised text cut in front of its runs of markers."""
         if not text:
             return []
         if self.by_word and self.dummy_prefix and MARK not in text and "  " not in text and text[0] != " ":
-            return [MARK + x for x in text.split(" ")]
+            return (MARK + text.replace(" ", " " + MARK)).split(" ")
         whole = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
         if not self.by_word:
             return [whole]
@@ -243,6 +323,17 @@ class Unigram:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._memo.__getitem__, self.words(text))), np.int32)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """``encode`` of each text."""
+        split = [self.words(x) for x in texts]
+        flat, found = list(chain.from_iterable(split)), []
+        for at in range(0, len(flat), RUN_WORDS):
+            run = flat[at : at + RUN_WORDS]
+            self._memo.learn(run, self.paths)
+            found += map(self._memo.__getitem__, run)
+        off = np.cumsum([0, *map(len, split)]).tolist()
+        return [np.frombuffer(b"".join(found[a:b]), np.int32) for a, b in pairwise(off)]
+
     def score(self, ids: list[int]) -> float:
         """Sum of log scores; each character written as bytes counts once, at its first byte."""
         return sum(self.unk_score * (self.byte_of[i] & 0xC0 != 0x80) if i in self.byte_of else self.scores[i] for i in ids)
@@ -311,13 +402,11 @@ def encode_decode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(key, shipped.value)
-        for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [m.encode(x.as_py() or "") for x in part.column("text")]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                cols = [part.column("doc_id"), list_array(np.concatenate(ids) if ids else np.zeros(0, np.int32), off, pa.int32()), pa.array([m.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in keep)], ["doc_id", "ids", "decoded", *keep])
+        for part, _, _ in batches(it, "text"):
+            ids = m.encode_all([x or "" for x in part.column("text").to_pylist()])
+            off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            cols = [part.column("doc_id"), list_array(np.concatenate(ids), off, pa.int32()), pa.array([m.decode(x) for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in keep)], ["doc_id", "ids", "decoded", *keep])
 
     rows = doc_rows(docs, *(c for c in keep if c != "text"))
     extra = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
@@ -333,23 +422,21 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(key, shipped.value)
-        for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [x.as_py() or "" for x in part.column("text")]
-                ids = [m.encode(x) for x in texts]
-                decoded = [m.decode(x) for x in ids]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        list_array(np.concatenate(ids) if ids else np.zeros(0, np.int32), off, pa.int32()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([int(m.is_byte[x].sum()) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
-                        pa.array([a == b for a, b in zip(texts, decoded, strict=True)]),
-                    ],
-                    ["doc_id", "ids", "n_pieces", "n_byte_pieces", "decoded_sha256", "round_trip"],
-                )
+        for part, _, _ in batches(it, "text"):
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            ids = m.encode_all(texts)
+            decoded = [m.decode(x) for x in ids]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    list_array(np.concatenate(ids), off, pa.int32()),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([int(m.is_byte[x].sum()) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
+                    pa.array([a == b for a, b in zip(texts, decoded, strict=True)]),
+                ],
+                ["doc_id", "ids", "n_pieces", "n_byte_pieces", "decoded_sha256", "round_trip"],
+            )
 
     return doc_rows(docs).mapInArrow(lambda it: freed(run(it)), "doc_id long, ids array<int>, n_pieces long, n_byte_pieces long, decoded_sha256 string, round_trip boolean")

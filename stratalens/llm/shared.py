@@ -130,6 +130,16 @@ class Memo(dict):
             self[key] = found
         return found
 
+    def learn(self, keys: Iterable[str], many) -> None:
+        """Keep what ``many`` makes of those keys that are missing, all at once, but for long ones. Afterwards none of the others is missing."""
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+        new = [k for k in set(keys) if k not in self and len(k) <= self.longest]
+        for key, found in zip(new, many(new), strict=True):
+            self.size += 200 + 4 * len(key)
+            self[key] = found
+
 
 def release() -> None:
     """Give memory that a worker has freed back to the system; workers live for many tasks."""

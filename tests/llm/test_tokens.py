@@ -170,6 +170,44 @@ def test_path_is_the_best_of_all(model):
         assert abs(model.score(model.path(w)) - best(w)) < 1e-9
 
 
+WORDS = st.lists(st.one_of(st.text(max_size=12), st.lists(st.sampled_from([*PARTS, "▁"]), max_size=6).map("".join)), max_size=12).map(lambda ws: [w.encode("utf-8", "ignore").decode() for w in ws])
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS)
+@example(["", "▁", "▁ꙮꙮ\x01a", "ꙮ", "▁the", "▁the"])
+def test_words_side_by_side_have_the_paths_of_single_words(model, words):
+    assert [np.frombuffer(x, np.int32).tolist() for x in model.paths(words)] == [model.path(w) for w in words]
+
+
+@pytest.mark.parametrize("run", [1, 40, 1 << 18])
+def test_unknown_characters_without_byte_fallback_are_one(run, monkeypatch):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    m.trainer_spec.byte_fallback = False
+    plain = SP.Unigram(m.SerializeToString())
+    words = ["▁ꙮꙮ\x01a", "ꙮ", "ꙮꙮ", "ꙮaꙮꙮ", "", "▁", "ꙮ"]
+    monkeypatch.setattr(SP, "RUN_BYTES", run)
+    got = [np.frombuffer(x, np.int32).tolist() for x in plain.paths(words)]
+    assert got == [plain.path(w) for w in words] and got[1] == got[2] == [plain.unk]
+
+
+def test_new_words_of_many_texts_are_not_searched_one_by_one(spark, data, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    texts += ["", " ", "a\n▁b  c", "x" * 3000, "word " * 300 + "ꙮ" * 100]
+    raw = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    plain, many = SP.Unigram(raw), SP.Unigram(raw)
+    want = [plain.encode(t).tolist() for t in texts]
+    path, alone = many.path, []
+    many.path = lambda word: alone.append(word) or path(word)
+    monkeypatch.setattr(SP, "RUN_WORDS", 1000)
+    many._memo.most = 100_000  # forgets between runs
+    assert [x.tolist() for x in many.encode_all(texts)] == want
+    assert all(len(w) > 64 for w in alone) and len(alone) < 10 < len(texts)
+
+
 def test_double_array_trie():
     keys = [b"a", b"ab", b"abc", b"b", b"\xff\x00", b"zebra", b"zeb"]
     t = SP.DoubleArrayTrie(keys)
