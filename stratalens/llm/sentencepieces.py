@@ -42,7 +42,7 @@ MARKER = MARK.encode()
 #: Bytes of a worker's memo of words; it starts anew when full, and long words are never kept.
 MEMO_BYTES = 32 << 20
 #: Words that are looked up in the memo at once, and bytes of new ones that are encoded side by side.
-RUN_WORDS, RUN_BYTES = 1 << 17, 1 << 18
+RUN_WORDS, RUN_BYTES = 1 << 16, 1 << 16
 UNK_PENALTY = 10.0
 
 
